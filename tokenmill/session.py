@@ -65,6 +65,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under the shared checkpoint folder, for data a job
+    writes and reads back (caches, logs, shards)."""
+    import uuid
+    base = checkpoint_dir(spark)
+    if base.startswith("file:"):
+        base = base[len("file:"):]
+    return os.path.join(base, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never a local one).
 

@@ -177,7 +177,7 @@ def sample_log_scan(spark: SparkSession, path: str) -> DataFrame:
     are cast (never evaluated); the file name is kept."""
     df = spark.read.schema(SAMPLE_LOG_SCHEMA).option("header", "false").csv(path)
     return df.select(
-        F.col("_metadata.file_name").alias("file_name"), "gen_ppl_raw",
+        F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"), "gen_ppl_raw",
         F.expr("try_cast(gen_ppl_raw as double)").alias("gen_ppl"),
         F.expr("try_cast(nfes_raw as double)").alias("nfes"), "nfes_raw",
         F.expr("try_cast(entropy_raw as double)").alias("entropy"),
