@@ -69,6 +69,43 @@ def running_offset(df: DataFrame, length_col: str, order_cols: Sequence[str],
             .drop("_pid", "_base"))
 
 
+_AGG = {"min": (F.min, F.least), "max": (F.max, F.greatest), "sum": (F.sum, lambda a, b: a + b)}
+
+
+def running_agg(df: DataFrame, value_col: str, order_cols: Sequence[str], group_cols: Sequence[str] = (),
+                fn: str = "min", out_col: str = "running", partitions: int | None = None,
+                exclusive_col: str | None = None) -> DataFrame:
+    """Inclusive running min / max / sum in ``order_cols`` order per group, by
+    the same two passes as ``running_offset`` (per-task totals, then the
+    carry from earlier tasks combined with the in-task running value), so a
+    group that holds a third of the rows is still spread over many tasks.
+    ``exclusive_col`` also gives the value over the earlier rows only."""
+    agg, combine = _AGG[fn]
+    group_cols, order_cols = list(group_cols), list(order_cols)
+    p = _n_parts(df, partitions)
+    v = F.col(value_col)
+    ranged = cut_lineage(df.repartitionByRange(p, *group_cols, *order_cols)
+                         .withColumn("_pid", F.spark_partition_id()))
+    totals = ranged.groupBy(*group_cols, "_pid").agg(agg(v).alias("_tot"))
+    wb = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(*group_cols, "_pid", agg("_tot").over(wb).alias("_carry"))
+    if not group_cols:
+        base = F.broadcast(base)
+    joined = ranged.join(base, on=[*group_cols, "_pid"], how="inner")
+    wr = Window.partitionBy(*group_cols, "_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    local = agg(v).over(wr)
+    carry = F.col("_carry")
+
+    def merge(loc):
+        return F.when(carry.isNull(), loc).when(loc.isNull(), carry).otherwise(combine(carry, loc))
+
+    out = joined.withColumn(out_col, merge(local))
+    if exclusive_col:
+        we = Window.partitionBy(*group_cols, "_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumn(exclusive_col, merge(agg(v).over(we)))
+    return out.drop("_pid", "_carry")
+
+
 def row_index(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
               out_col: str = "idx", strategy: str = "two_pass", partitions: int | None = None) -> DataFrame:
     """Dense 0-based row index in ``order_cols`` order (per group)."""

@@ -89,11 +89,10 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
             .withColumn("prob", F.col("_e") / F.sum("_e").over(w)).drop("_e"))
 
 
-CANDIDATES_SQL = """select seq_id, pos, label, token_id, logit,
-  exp(logit - max(logit) over (partition by seq_id, pos))
-    / sum(exp(logit - max(logit) over (partition by seq_id, pos))) over (partition by seq_id, pos) prob
-from (select vec_id seq_id, 0::BIGINT pos, label, (generate_subscripts(embedding, 1) - 1)::INTEGER token_id,
-             unnest(embedding)::DOUBLE logit from embeddings)"""
+CANDIDATES_SQL = """select seq_id, pos, label, token_id, logit, e / sum(e) over (partition by seq_id, pos) prob
+from (select *, exp(logit - max(logit) over (partition by seq_id, pos)) e
+      from (select vec_id seq_id, 0::BIGINT pos, label, (generate_subscripts(embedding, 1) - 1)::INTEGER token_id,
+                   unnest(embedding)::DOUBLE logit from embeddings))"""
 
 
 # ------------------------------------------------------- char token docs --
