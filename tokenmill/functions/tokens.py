@@ -27,21 +27,39 @@ def empty_int_array() -> Column:
 
 
 # --------------------------------------------------------------------- T1 --
+# Character ids are code point - 89 after two built-in string passes that
+# bring every character into '`'..'{': 'a'..'z' -> 8..33, ' ' -> '{' (34),
+# EOS_CHAR -> '\' (3), anything else -> '`' (7). One ascii() per character
+# inside the (interpreted) higher-order transform.
+EOS_CHAR = "\ue000"  # stands for EOS inside character streams (see packing.pack_chars)
+_CHAR_OFFSET = 89
+
+
+def _normalised_chars(lowered: Column) -> Column:
+    s = F.regexp_replace(lowered, "[^a-z " + EOS_CHAR + "]", "`")
+    return F.translate(s, " " + EOS_CHAR, "{" + chr(_CHAR_OFFSET + V.CHAR_EOS))
+
+
+def char_ids_of_lowered(lowered: Column) -> Column:
+    """T1 on text that is already lower-cased (may hold EOS_CHAR)."""
+    ids = F.transform(F.split(_normalised_chars(lowered), ""), lambda ch: F.ascii(ch) - _CHAR_OFFSET)
+    return F.when(F.coalesce(F.length(lowered), F.lit(0)) == 0, empty_int_array()).otherwise(ids)
+
+
 def char_ids(text) -> Column:
     """Lower-case, split into code points, 'a'..'z' -> 8..33, ' ' -> 34, else UNK 7.
 
     An empty or NULL text gives an empty array (``split('', '')`` would give
     one empty string).
     """
-    t = F.lower(_c(text))
-    code = F.ascii
-    ids = F.transform(
-        F.split(t, ""),
-        lambda ch: F.when(ch == " ", F.lit(V.CHAR_VOCAB[" "]))
-        .when((code(ch) >= 97) & (code(ch) <= 122), code(ch) - 89)
-        .otherwise(F.lit(V.CHAR_UNK)),
-    )
-    return F.when(F.coalesce(F.length(t), F.lit(0)) == 0, empty_int_array()).otherwise(ids)
+    t = F.replace(F.lower(_c(text)), F.lit(EOS_CHAR), F.lit("\ue001"))  # keeps the count; maps to UNK
+    return char_ids_of_lowered(t)
+
+
+def char_count(text) -> Column:
+    """Number of character tokens of ``text`` (code points after lower-casing),
+    without building the id array."""
+    return F.coalesce(F.char_length(F.lower(_c(text))), F.lit(0)).cast("long")
 
 
 def char_tokens(text) -> Column:

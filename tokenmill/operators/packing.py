@@ -75,6 +75,47 @@ def pack_wrapped(df: DataFrame, ids: Column, order_cols: Sequence[str], block_si
                          input_ids.alias("input_ids"), T.ones_mask(block_size).alias("attention_mask"))
 
 
+def pack_chars(df: DataFrame, text_col: str, order_cols: Sequence[str], block_size: int,
+               bos: int, eos: int, insert_special: bool = True, insert_eos: bool = True,
+               group_cols: Sequence[str] = ()) -> DataFrame:
+    """K1/K2 for the character tokenizer, packed as text.
+
+    Character tokens are the code points of the lower-cased text, so the
+    corpus can be concatenated and cut as *strings* (EOS is one sentinel code
+    point): lengths come from ``char_length`` without tokenising, the shuffle
+    carries substrings (about a byte per token instead of an int array), and
+    each finished block is tokenised once. Same rows as ``pack_wrapped`` with
+    ``char_ids`` + EOS."""
+    group_cols, order_cols = list(group_cols), list(order_cols)
+    chunk = block_size - 2 if insert_special else block_size
+    keys = [*group_cols, *order_cols]
+    t = F.replace(F.coalesce(F.lower(F.col(text_col)), F.lit("")), F.lit(T.EOS_CHAR), F.lit(""))
+    if insert_eos:
+        t = F.concat(t, F.lit(T.EOS_CHAR))
+    lengths = df.select(*keys, F.char_length(t).cast("long").alias("_n"))
+    offs = running_offset(lengths, "_n", order_cols, group_cols, "_off")
+    wide = df.join(offs, on=keys, how="inner").where(F.col("_n") > 0)
+    off, n = F.col("_off"), F.col("_n")
+
+    def piece(b):
+        ps = F.greatest(off, b * chunk)
+        pe = F.least(off + n, (b + 1) * chunk)
+        return F.struct(b.alias("block_id"), ps.alias("s"),
+                        F.substring(F.col("_t"), (ps - off + 1).cast("int"), (pe - ps).cast("int")).alias("t"))
+
+    pieces = (wide.select(*group_cols, "_off", "_n", t.alias("_t"))
+              .select(*group_cols, F.explode(F.transform(F.sequence(F.floor(off / chunk), F.floor((off + n - 1) / chunk)),
+                                                          piece)).alias("p"))
+              .select(*group_cols, "p.block_id", "p.s", "p.t"))
+    blocks = pieces.groupBy(*group_cols, "block_id").agg(F.collect_list(F.struct("s", "t")).alias("_p"))
+    text = F.array_join(F.transform(F.array_sort(F.col("_p")), lambda x: x["t"]), "")
+    full = blocks.select(*group_cols, "block_id", text.alias("_body")).where(F.char_length("_body") == chunk)
+    body = T.char_ids_of_lowered(F.col("_body"))
+    input_ids = F.concat(F.array(F.lit(bos)), body, F.array(F.lit(eos))) if insert_special else body
+    return full.select(*group_cols, F.col("block_id").cast("long").alias("block_id"), input_ids.alias("input_ids"),
+                       T.ones_mask(block_size).alias("attention_mask"))
+
+
 def contiguous_shards(df: DataFrame, idx_col: str, n_rows: int, num_shards: int,
                       batch_rows: int) -> DataFrame:
     """Contiguous shard and in-shard batch of each row (the parallel map layout:

@@ -185,13 +185,12 @@ def q_scan_limited(spark, sf):
 # ------------------------------------------------------------------ S10 --
 @query("sink_cache")
 def q_sink_cache(spark, sf):
-    from ..operators.packing import pack_wrapped
+    from ..operators.packing import pack_chars
     root = scratch_path(spark, "cache")
     key = S.cache_key("documents", "train", True, 64)
 
     def build():
-        ids = T.append_eos(T.char_ids("text"), V.CHAR_EOS)
-        return pack_wrapped(_docs(spark, sf), ids, ["doc_id"], 64, V.CHAR_BOS, V.CHAR_EOS)
+        return pack_chars(_docs(spark, sf), "text", ["doc_id"], 64, V.CHAR_BOS, V.CHAR_EOS)
 
     S.sink_cache(spark, build, root, key)
     again = S.sink_cache(spark, build, root, key)  # second call reads the cache

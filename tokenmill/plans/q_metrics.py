@@ -181,7 +181,7 @@ def _qname(q):
     f"round(quantile_cont(n, {q}), {R}) {_qname(q)}" for q in QS) +
     f" from (select len({char_ids_sql()}) + 1 n from documents)")
 def q_length_quantiles(spark, sf):
-    d = table(spark, sf, "documents").select(T.token_count(T.char_ids("text"), plus_eos=True).alias("n"))
+    d = table(spark, sf, "documents").select((T.char_count("text") + 1).alias("n"))
     out = M.length_quantiles(d, "n")
     return out.select(*[_r(_qname(q)) for q in QS])
 
@@ -192,7 +192,7 @@ c as (select least(floor((n - mn) / w) + 1, 50)::INTEGER bin, count(*) c from d,
 select g.bin::INTEGER bin, round(mn + (g.bin - 1) * w, {R}) lo, round(mn + g.bin * w, {R}) hi, coalesce(c.c, 0)::BIGINT "count"
 from (select unnest(generate_series(1, 50)) bin) g cross join m left join c on g.bin = c.bin""")
 def q_length_histogram(spark, sf):
-    d = table(spark, sf, "documents").select(T.token_count(T.char_ids("text"), plus_eos=True).alias("n"))
+    d = table(spark, sf, "documents").select((T.char_count("text") + 1).alias("n"))
     out = M.length_histogram(d, "n", 50)
     return out.select("bin", _r("lo"), _r("hi"), "count")
 

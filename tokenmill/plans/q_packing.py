@@ -39,7 +39,7 @@ select block_id::BIGINT block_id, array_to_string(list_concat([{V.CHAR_BOS}], id
   {BLOCK}::BIGINT n_mask
 from b where len(ids) = {CHUNK}""")
 def q_pack_wrapped(spark, sf):
-    out = K.pack_wrapped(docs(spark, sf), doc_ids_eos(), ["doc_id"], BLOCK, V.CHAR_BOS, V.CHAR_EOS)
+    out = K.pack_chars(docs(spark, sf), "text", ["doc_id"], BLOCK, V.CHAR_BOS, V.CHAR_EOS)
     return out.select("block_id", T.ids_text("input_ids").alias("input_ids"),
                       F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_mask"))
 
@@ -49,8 +49,7 @@ def q_pack_wrapped(spark, sf):
 b as (select gpos // {BLOCK} block_id, list(id order by gpos) ids from g group by 1)
 select block_id::BIGINT block_id, array_to_string(ids, ' ') input_ids from b where len(ids) = {BLOCK}""")
 def q_pack_wrapped_raw(spark, sf):
-    out = K.pack_wrapped(docs(spark, sf), doc_ids_eos(), ["doc_id"], BLOCK, V.CHAR_BOS, V.CHAR_EOS,
-                         insert_special=False)
+    out = K.pack_chars(docs(spark, sf), "text", ["doc_id"], BLOCK, V.CHAR_BOS, V.CHAR_EOS, insert_special=False)
     return out.select("block_id", T.ids_text("input_ids").alias("input_ids"))
 
 
@@ -134,7 +133,7 @@ select block_id::BIGINT block_id, st,
   array_to_string(list_concat(list_slice(x, st + 2, st + {BLOCK}), [{V.CHAR_EOS}]), ' ') target_ids
 from s""")
 def q_crop_subsequence(spark, sf):
-    blocks = K.pack_wrapped(docs(spark, sf), doc_ids_eos(), ["doc_id"], 2 * BLOCK, V.CHAR_BOS, V.CHAR_EOS)
+    blocks = K.pack_chars(docs(spark, sf), "text", ["doc_id"], 2 * BLOCK, V.CHAR_BOS, V.CHAR_EOS)
     blocks = blocks.withColumn("batch_id", F.floor(F.col("block_id") / 4))
     start = F.floor(uniform(7, F.lit("crop"), "batch_id") * BLOCK)
     out = K.crop_subsequence(blocks, "input_ids", "attention_mask", BLOCK, start, bos=V.CHAR_BOS, eos=V.CHAR_EOS)
@@ -195,8 +194,7 @@ select block_id::BIGINT block_id, item_idx::INTEGER item_idx,
   (item_idx < max(n_eos)) complete
 from k group by block_id, item_idx having count(*) filter (where id <> {V.CHAR_EOS}) > 0""")
 def q_unpack_by_eos(spark, sf):
-    blocks = K.pack_wrapped(docs(spark, sf), doc_ids_eos(), ["doc_id"], BLOCK, V.CHAR_BOS, V.CHAR_EOS,
-                            insert_special=True)
+    blocks = K.pack_chars(docs(spark, sf), "text", ["doc_id"], BLOCK, V.CHAR_BOS, V.CHAR_EOS)
     body = blocks.select("block_id", F.slice("input_ids", 2, CHUNK).alias("ids"))
     out = K.unpack_by_eos(body, "ids", V.CHAR_EOS, keep=["block_id"])
     return out.select("block_id", F.col("item_idx").cast("int").alias("item_idx"), T.ids_text("item").alias("item"), "complete")
@@ -222,7 +220,7 @@ def q_pack_by_cluster(spark, sf):
   (coalesce(sum(len({char_ids_sql()}) + 1) over (order by doc_id rows between unbounded preceding and 1 preceding), 0))::BIGINT "offset"
 from documents""")
 def q_running_offset(spark, sf):
-    d = docs(spark, sf).select("doc_id", T.token_count(doc_ids_eos()).alias("n"))
+    d = docs(spark, sf).select("doc_id", (T.char_count("text") + 1).alias("n"))
     return running_offset(d, "n", ["doc_id"], out_col="offset").select("doc_id", "n", "offset")
 
 
