@@ -26,7 +26,7 @@ select doc_id, window_id::INTEGER window_id, (window_id * 512)::BIGINT win_start
   greatest(least(window_id * 512 + 1024, L) - (case when window_id = 0 then 1 else window_id * 512 + 512 end), 0)::BIGINT n_scored
 from w""")
 def q_sliding_window_stitch(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.size(T.char_ids("text")).alias("L"))
+    d = table(spark, sf, "documents").select("doc_id", T.char_count("text").alias("L"))
     w = E.sliding_windows(d, "L", 1024, 512, keep=["doc_id"])
     return w.select("doc_id", F.col("window_id").cast("int").alias("window_id"), "win_start", "win_end", "score_from", "n_scored")
 
