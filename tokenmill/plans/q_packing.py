@@ -182,6 +182,37 @@ def q_block_context_ranges(spark, sf):
     return K.block_context_ranges(blocks, "doc_id", "q_block")
 
 
+@query("block_context_pairs", f"""with b as (select doc_id, unnest(range(0, len({char_ids_sql()}) // 16)) q_block from documents),
+r as (select doc_id, q_block, 'noisy' q_kind, 'noisy' kv_kind, q_block kv_lo, q_block kv_hi from b
+  union all select doc_id, q_block, 'noisy', 'clean', 0, q_block - 1 from b
+  union all select doc_id, q_block, 'clean', 'clean', 0, q_block from b)
+select q_kind, kv_kind, count(*)::BIGINT n_query_blocks, sum(kv_hi - kv_lo + 1)::BIGINT n_pairs
+from r where kv_hi >= kv_lo group by all""")
+def q_block_context_pairs(spark, sf):
+    """K10 under its survey name: the pair relation summarised from the ranges
+    (the number of pairs is a sum over ranges; no pair row is ever built)."""
+    r = q_block_context_ranges(spark, sf)
+    return r.groupBy("q_kind", "kv_kind").agg(F.count(F.lit(1)).alias("n_query_blocks"),
+                                              F.sum("n_kv_blocks").cast("long").alias("n_pairs"))
+
+
+@query("join_block_prefix", f"""with b as (select doc_id, q_block,
+    len(list_filter(list_slice(ids, q_block * 16 + 1, q_block * 16 + 16), lambda x: x <> 34)) n_letters
+  from (select doc_id, ids, unnest(range(0, len(ids) // 16)) q_block from (select doc_id, {char_ids_sql()} ids from documents)))
+select doc_id, q_block::BIGINT q_block, n_letters::BIGINT n_letters,
+  coalesce(sum(n_letters) over (partition by doc_id order by q_block rows between unbounded preceding and 1 preceding), 0)::BIGINT context_letters
+from b""")
+def q_join_block_prefix(spark, sf):
+    """J5 re-aimed: what a query block gathers from its earlier (context) blocks,
+    as a per-sequence prefix aggregate (two-pass scan) instead of a theta join."""
+    d = docs(spark, sf).select("doc_id", T.char_ids("text").alias("ids"))
+    blocks = K.split_into_blocks(d, "ids", 16, keep=["doc_id"])
+    b = blocks.select("doc_id", F.col("block_id").cast("long").alias("q_block"),
+                      F.size(F.filter("block_ids", lambda x: x != 34)).cast("long").alias("n_letters"))
+    out = running_offset(b, "n_letters", ["q_block"], ["doc_id"], "context_letters")
+    return out.select("doc_id", "q_block", "n_letters", "context_letters")
+
+
 # --------------------------------------------------------------------- K11 --
 @query("unpack_by_eos", PACK_SQL + f""",
 b as (select gpos // {CHUNK} block_id, list(id order by gpos) ids, list(gpos order by gpos) ps from g group by 1 having count(*) = {CHUNK}),
@@ -215,6 +246,20 @@ def q_pack_by_cluster(spark, sf):
                       F.md5(T.ids_text("input_ids")).alias("ids_md5"))
 
 
+@query("pack_by_similarity", MOL_TOKS_SQL + f""",
+c as (select array_to_string(list_slice(toks, 1, 3), '') cluster, mol_id, list_append(ids, {V.SMILES_EOS}) x from i),
+u as (select cluster, mol_id, unnest(x) id, generate_subscripts(x, 1) p from c),
+g as (select cluster, (row_number() over (partition by cluster order by mol_id, p) - 1) gpos, id from u),
+b as (select cluster, gpos // 64 block_id, list(id order by gpos) ids from g group by all)
+select cluster, block_id::BIGINT block_id, array_to_string(ids, ' ') input_ids from b where len(ids) = 64""")
+def q_pack_by_similarity(spark, sf):
+    """K12 with a structural fingerprint as the cluster key (the first three
+    molecule tokens); items of a cluster are packed together, EOS between."""
+    m = molecules(spark, sf).withColumn("cluster", F.array_join(F.slice(T.smiles_tokens("smiles"), 1, 3), ""))
+    out = K.pack_by_cluster(m, T.smiles_ids("smiles"), "cluster", ["mol_id"], 64, V.SMILES_EOS)
+    return out.select("cluster", "block_id", T.ids_text("input_ids").alias("input_ids"))
+
+
 # --------------------------------------------------------------------- W2 --
 @query("running_offset", f"""select doc_id, (len({char_ids_sql()}) + 1)::BIGINT n,
   (coalesce(sum(len({char_ids_sql()}) + 1) over (order by doc_id rows between unbounded preceding and 1 preceding), 0))::BIGINT "offset"
