@@ -21,7 +21,7 @@ def one(spark, col, value, schema="v string"):
 def test_red_green_packing(spark):
     # two molecules, block 16, no EOS between: ids from the vocabulary head
     df = spark.createDataFrame([(0, "CC(=O)O"), (1, "c1ccccc1")], "k long, s string")
-    ids =df.select("k", T.smiles_ids("s").alias("ids")).orderBy("k").collect()
+    ids = df.select("k", T.smiles_ids("s").alias("ids")).orderBy("k").collect()
     assert ids[0]["ids"] == [20, 20, 21, 26, 23, 22, 23]
     assert ids[1]["ids"] == [19, 24, 19, 19, 19, 19, 19, 24]
     green = K.pack_wrapped(df, T.smiles_ids("s"), ["k"], 16, V.SMILES_BOS, V.SMILES_EOS).collect()
@@ -132,3 +132,21 @@ def test_detokenizers(spark):
     assert one(spark, X.detok_wikitext(F.col("v")), "1 @,@ 000 ( a )") == "1,000 (a)"
     assert one(spark, X.detok_lm1b(F.col("v")), "abc été .") == "abc été."
     assert one(spark, X.detok_lm1b(F.col("v")), "x foo .\n") == "x foo.\n"
+
+
+def test_fixture_numbers_sf001(spark):
+    """Figures stated for the derived fixtures at sf0.01."""
+    import os
+    import pytest
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("sf0.01 tables not present")
+    from tokenmill.operators.metrics import loss_metrics
+    from tokenmill.plans.fixtures import losses, molecules
+    m = molecules(spark, sf)
+    assert m.count() == 2000
+    assert m.select("smiles").distinct().count() == 48
+    assert m.where("qed >= 0.6 and sa <= 4").count() == 916
+    got = {r["phase"]: r for r in loss_metrics(losses(spark, sf), ["phase"]).collect()}
+    assert round(got["train"]["nll"], 9) == 0.538731827 and round(got["val"]["nll"], 9) == 0.535614167
+    assert round(got["train"]["ppl"], 9) == 1.713832047 and round(got["val"]["ppl"], 9) == 1.708497223

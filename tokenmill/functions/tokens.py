@@ -181,5 +181,18 @@ def ones_mask(length: int) -> Column:
 
 
 def ids_text(ids, sep: str = " ") -> Column:
-    """Render an id array as text (report columns)."""
-    return F.array_join(F.transform(_c(ids), lambda x: x.cast("string")), sep)
+    """Render an id array as text (report columns); an array cast, no lambda."""
+    return F.array_join(_c(ids).cast("array<string>"), sep)
+
+
+def char_symbols(text) -> Column:
+    """One symbol per character token: the normalised character whose code
+    point minus 89 is the token id (see ``symbol_id``). Grouping or counting
+    symbols is grouping or counting tokens, without building int arrays."""
+    t = F.replace(F.lower(_c(text)), F.lit(EOS_CHAR), F.lit(""))
+    n = _normalised_chars(t)
+    return F.when(F.coalesce(F.length(t), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(F.split(n, ""))
+
+
+def symbol_id(sym) -> Column:
+    return (F.ascii(_c(sym)) - _CHAR_OFFSET).cast("int")

@@ -116,7 +116,8 @@ e as (select doc_id, sum(c)::BIGINT n, ln(sum(c)) - sum(c * ln(c)) / sum(c) entr
 
 
 def _doc_entropy(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.explode(T.char_ids("text")).alias("tok"))
+    # one row per token; the character symbol stands for the token id (1:1)
+    d = table(spark, sf, "documents").select("doc_id", F.explode(T.char_symbols("text")).alias("tok"))
     return M.token_entropy(d, ["doc_id"], "tok")
 
 
@@ -128,8 +129,9 @@ def q_agg_token_entropy(spark, sf):
 
 @query("distinct_tokens", f"""select tok::INTEGER token, count(*)::BIGINT n from (select unnest({char_ids_sql()}) tok from documents) group by 1""")
 def q_distinct_tokens(spark, sf):
-    d = table(spark, sf, "documents").select(F.explode(T.char_ids("text")).alias("token"))
-    return d.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    d = table(spark, sf, "documents").select(F.explode(T.char_symbols("text")).alias("sym"))
+    counts = d.groupBy("sym").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(T.symbol_id("sym").alias("token"), "n")
 
 
 # --------------------------------------------------------------------- A8 --
