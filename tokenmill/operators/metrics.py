@@ -124,6 +124,31 @@ def length_quantiles(df: DataFrame, length_col: str, qs: Sequence[float] = QUANT
     return df.agg(*cols)
 
 
+def length_stats(df: DataFrame, length_col: str, qs: Sequence[float] = QUANTILES, bins: int = 50):
+    """A11 + A12 + A13 in two passes: one aggregate for count / mean / std /
+    min / max / all quantiles (one ``percentile`` with an array of
+    percentages), then the histogram with the known bounds. Returns
+    (summary row, histogram DataFrame)."""
+    from pyspark import StorageLevel
+    x = F.col(length_col).cast("double")
+    # the lengths (one number per row) are kept between the two passes, so the
+    # tokeniser runs once; a lost cached block is simply recomputed
+    lengths = df.select(x.alias("_x")).persist(StorageLevel.MEMORY_AND_DISK)
+    v = F.col("_x")
+    pct = [0.25, 0.5, 0.75] + list(qs)
+    row = lengths.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                      F.min(v).alias("min"), F.max(v).alias("max"),
+                      F.percentile(v, F.array(*[F.lit(float(p)) for p in pct])).alias("pct")).first()
+    if row["count"] == 0:
+        lengths.unpersist()
+        return row, df.sparkSession.createDataFrame([], "bin int, count long")
+    mn, mx = row["min"], row["max"]
+    width = (mx - mn) / bins if mx > mn else 1.0
+    b = F.least(F.floor((v - F.lit(mn)) / F.lit(width)) + 1, F.lit(bins)).cast("int")
+    hist = lengths.where(v.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    return row, hist
+
+
 def length_histogram(df: DataFrame, length_col: str, bins: int = 50) -> DataFrame:
     """``bins`` equal-width bins over [min, max], the last bin closed.
     min and max are two scalars read first; every bin is reported, empty ones
