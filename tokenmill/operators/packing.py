@@ -95,18 +95,20 @@ def pack_chars(df: DataFrame, text_col: str, order_cols: Sequence[str], block_si
     lengths = df.select(*keys, F.char_length(t).cast("long").alias("_n"))
     offs = running_offset(lengths, "_n", order_cols, group_cols, "_off")
     wide = df.join(offs, on=keys, how="inner").where(F.col("_n") > 0)
-    off, n = F.col("_off"), F.col("_n")
-
-    def piece(b):
-        ps = F.greatest(off, b * chunk)
-        pe = F.least(off + n, (b + 1) * chunk)
-        return F.struct(b.alias("block_id"), ps.alias("s"),
-                        F.substring(F.col("_t"), (ps - off + 1).cast("int"), (pe - ps).cast("int")).alias("t"))
-
-    pieces = (wide.select(*group_cols, "_off", "_n", t.alias("_t"))
-              .select(*group_cols, F.explode(F.transform(F.sequence(F.floor(off / chunk), F.floor((off + n - 1) / chunk)),
-                                                          piece)).alias("p"))
-              .select(*group_cols, "p.block_id", "p.s", "p.t"))
+    off = F.col("_off")
+    # one linear pass cuts the document at the global block boundaries: pad
+    # the front to the block phase, take chunk-sized runs, drop the padding
+    lead = (off % chunk).cast("int")
+    runs = F.regexp_extract_all(F.concat(F.repeat(F.lit("\u0002"), lead), F.col("_t")),
+                                F.lit("(?s).{1,%d}" % chunk), 0)
+    pieces = (wide.select(*group_cols, "_off", t.alias("_t"))
+              .select(*group_cols, "_off", F.posexplode(runs).alias("_i", "_r"))
+              .select(*group_cols,
+                      (F.floor(off / chunk) + F.col("_i")).cast("long").alias("block_id"),
+                      F.when(F.col("_i") == 0, off).otherwise((F.floor(off / chunk) + F.col("_i")) * chunk)
+                      .cast("long").alias("s"),
+                      F.when(F.col("_i") == 0, F.substring("_r", (off % chunk + 1).cast("int"), chunk))
+                      .otherwise(F.col("_r")).alias("t")))
     blocks = pieces.groupBy(*group_cols, "block_id").agg(F.collect_list(F.struct("s", "t")).alias("_p"))
     text = F.array_join(F.transform(F.array_sort(F.col("_p")), lambda x: x["t"]), "")
     full = blocks.select(*group_cols, "block_id", text.alias("_body")).where(F.char_length("_body") == chunk)
