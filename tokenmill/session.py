@@ -48,6 +48,24 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20) -> dict:
+    """Partition sizing for a given input size and cluster: about
+    ``partition_bytes`` per shuffle partition (never fewer than 2 per core),
+    scans split at the same size, AQE coalescing to it and splitting skewed
+    partitions above four times it. The two-pass scans use the shuffle
+    partition count as their number of range partitions, so their per-task
+    tables stay one row per partition (tens of thousands of rows at 100 TB)."""
+    n = max(-(-input_bytes // partition_bytes), 2 * total_cores)
+    mb = f"{partition_bytes >> 20}m"
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.files.maxPartitionBytes": mb,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": mb,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{(partition_bytes * 4) >> 20}m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
