@@ -150,3 +150,27 @@ def test_fixture_numbers_sf001(spark):
     got = {r["phase"]: r for r in loss_metrics(losses(spark, sf), ["phase"]).collect()}
     assert round(got["train"]["nll"], 9) == 0.538731827 and round(got["val"]["nll"], 9) == 0.535614167
     assert round(got["train"]["ppl"], 9) == 1.713832047 and round(got["val"]["ppl"], 9) == 1.708497223
+
+
+def test_detok_rules_match_python_semantics(spark):
+    """Every rule table gives in Spark what Python's str.replace / re.sub give."""
+    import re as pyre
+
+    def py_apply(s, rules):
+        for kind, a, b in rules:
+            s = s.replace(a, b) if kind == "lit" else pyre.sub(a, b, s)
+        return s
+
+    samples = [
+        "a ( b c ) [ d ] { e } \" f \" ' g ' = = = = h = = = i = = j @-@ k @,@ l @.@ m N o 's p",
+        "Hello , world . foo ? bar ! baz : qux ; end .\n",
+        "x 'tis y . z \n w s ' v ° u /' 3/",
+        "été ( ça ) , déjà vu .",
+        "http : / / x.com / y https : / / z \" quoted words \" ( par ) [ br ]",
+        "$ 5 £ 3 <unk> \\/ don n't a N N N b # 1 $ 1 s ' x",
+        "tail ?", "tail !", "word .",
+    ]
+    df = spark.createDataFrame([(s,) for s in samples], "v string")
+    for fn, rules in [(X.detok_wikitext, X.WIKITEXT_RULES), (X.detok_ptb, X.PTB_RULES), (X.detok_lm1b, X.LM1B_RULES)]:
+        got = [r["r"] for r in df.select(fn(F.col("v")).alias("r")).collect()]
+        assert got == [py_apply(s, rules) for s in samples], fn.__name__

@@ -1,13 +1,17 @@
 """Text normalisation as Column expressions.
 
-All rules are built-in ``replace`` / ``regexp_replace`` calls, applied in
-order. Python's ``\\w``/``\\s`` are Unicode-aware and its ``$`` also matches
-before one trailing newline; the Java patterns below carry ``(?U)`` (Unicode
-classes) and ``(?d)`` (only ``\\n`` ends a line) to behave the same.
+The detokenisers are tables of rules applied in order; each rule becomes one
+built-in ``replace`` or ``regexp_replace``, so the whole chain runs inside
+code generation. The rules are written in Python regex syntax (Unicode
+``\\w``/``\\s``, ``$`` = end of text or before one final newline, ``\\1`` in
+replacements); ``java_rule`` translates them for Spark (``(?U)``, ``(?d)``,
+``$1``) and ``plans.sqltext`` for DuckDB's RE2.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,97 +20,121 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _rep(s: Column, a: str, b: str) -> Column:
-    return F.replace(s, F.lit(a), F.lit(b))
+# ---------------------------------------------------------------------------
+# FIXED VALUES: detokenisation rules, in the order they apply.
+# ("lit", a, b): replace every a by b.   ("re", pattern, replacement): regex.
+WIKITEXT_RULES = [
+    ("lit", "s '", "s'"),
+    ("re", r"/' [0-9]/", r"/'[0-9]/"),
+    ("lit", " @-@ ", "-"),
+    ("lit", " @,@ ", ","),
+    ("lit", " @.@ ", "."),
+    ("lit", " : ", ": "),
+    ("lit", " ; ", "; "),
+    ("lit", " . ", ". "),
+    ("lit", " ! ", "! "),
+    ("lit", " ? ", "? "),
+    ("lit", " , ", ", "),
+    ("re", r"\(\s*([^\)]*?)\s*\)", r"(\1)"),
+    ("re", r"\[\s*([^\]]*?)\s*\]", r"[\1]"),
+    ("re", r"{\s*([^}]*?)\s*}", r"{\1}"),
+    ("re", r"\"\s*([^\"]*?)\s*\"", r'"\1"'),
+    ("re", r"'\s*([^']*?)\s*'", r"'\1'"),
+    ("lit", "= = = =", "===="),
+    ("lit", "= = =", "==="),
+    ("lit", "= =", "=="),
+    ("lit", " " + chr(176) + " ", chr(176)),
+    ("lit", " \n", "\n"),
+    ("lit", "\n ", "\n"),
+    ("lit", " N ", " 1 "),
+    ("lit", " 's", "'s"),
+]
+
+PTB_RULES = [
+    ("lit", " 's", "'s"),
+    ("lit", "s ' ", "s' "),
+    ("lit", " n't", "n't"),
+    ("lit", " \n ", "\n"),
+    ("lit", "\\/", "/"),
+    *[("lit", " N ", " 1 ")] * 10,  # ten passes: overlapping " N N N "
+    ("lit", "$ 1", "$1"),
+    ("lit", "# 1", "#1"),
+    ("lit", "<unk>", "?"),
+]
+
+LM1B_RULES = [
+    ("lit", "http : / / ", "http://"),
+    ("lit", "https : / / ", "https://"),
+    ("re", r" \'(\w+)", r"'\1"),
+    ("re", r" (\w+) \. ", r" \1. "),
+    ("re", r" (\w+) \.$", r" \1."),
+    ("lit", " ? ", "? "),
+    ("re", r" \?$", "?"),
+    ("lit", " ! ", "! "),
+    ("re", r" \!$", "!"),
+    ("lit", " , ", ", "),
+    ("lit", " : ", ": "),
+    ("lit", " ; ", "; "),
+    ("lit", " / ", "/"),
+    ("re", r"\" ([^\"]+) \"", r'"\1"'),
+    ("re", r"\' ([^\']+) \'", r"'\1'"),
+    ("re", r"\( ([^\(\)]+) \)", r"(\1)"),
+    ("re", r"\[ ([^\[\]]+) \]", r"[\1]"),
+    ("lit", "$ ", "$"),
+    ("lit", "£ ", "£"),
+]
+
+LAMBADA_QUOTES = [("lit", "“", '"'), ("lit", "”", '"')]
+# ---------------------------------------------------------------------------
+
+
+def java_rule(pattern: str, repl: str) -> tuple[str, str]:
+    """Python-syntax rule -> Java regex with the same meaning."""
+    flags = ""
+    if "\\w" in pattern or "\\s" in pattern:
+        flags += "U"  # Unicode classes, as Python's str patterns
+    if pattern.endswith("$"):
+        flags += "d"  # only \n ends a line, as Python's $
+    if pattern.startswith("{"):
+        pattern = "\\" + pattern  # Java needs a literal brace escaped
+    java_repl = re.sub(r"\\(\d)", r"$\1", repl.replace("$", "\\$"))
+    return (f"(?{flags})" if flags else "") + pattern, java_repl
+
+
+def apply_rules(text, rules) -> Column:
+    s = _c(text)
+    for kind, a, b in rules:
+        if kind == "lit":
+            s = F.replace(s, F.lit(a), F.lit(b))
+        else:
+            p, r = java_rule(a, b)
+            s = F.regexp_replace(s, F.lit(p), F.lit(r))
+    return s
 
 
-def _re(s: Column, pattern: str, repl: str) -> Column:
-    return F.regexp_replace(s, F.lit(pattern), F.lit(repl))
+def strip(s: Column) -> Column:
+    """Python ``str.strip()``: Unicode whitespace at both ends (``trim`` only takes spaces)."""
+    return F.regexp_replace(F.regexp_replace(s, F.lit(r"(?U)^\s+"), F.lit("")), F.lit(r"(?U)\s+$"), F.lit(""))
 
 
-# --------------------------------------------------------------------- P1 --
+# --------------------------------------------------------------- P1 - P5 --
 def detok_wikitext(text) -> Column:
-    s = _c(text)
-    # contractions
-    s = _rep(s, "s '", "s'")
-    s = _re(s, "/' [0-9]/", "/'[0-9]/")
-    # number separators
-    s = _rep(s, " @-@ ", "-")
-    s = _rep(s, " @,@ ", ",")
-    s = _rep(s, " @.@ ", ".")
-    # punctuation
-    for p in [":", ";", ".", "!", "?", ","]:
-        s = _rep(s, f" {p} ", f"{p} ")
-    # brackets and quotes: strip spaces just inside
-    s = _re(s, r"(?U)\(\s*([^\)]*?)\s*\)", "($1)")
-    s = _re(s, r"(?U)\[\s*([^\]]*?)\s*\]", "[$1]")
-    s = _re(s, r"(?U)\{\s*([^}]*?)\s*\}", "{$1}")
-    s = _re(s, r'(?U)"\s*([^"]*?)\s*"', '"$1"')
-    s = _re(s, r"(?U)'\s*([^']*?)\s*'", "'$1'")
-    # miscellaneous
-    s = _rep(s, "= = = =", "====")
-    s = _rep(s, "= = =", "===")
-    s = _rep(s, "= =", "==")
-    s = _rep(s, " ° ", "°")
-    s = _rep(s, " \n", "\n")
-    s = _rep(s, "\n ", "\n")
-    s = _rep(s, " N ", " 1 ")
-    s = _rep(s, " 's", "'s")
-    return s
+    return apply_rules(text, WIKITEXT_RULES)
 
 
-# --------------------------------------------------------------------- P2 --
 def detok_ptb(text) -> Column:
-    s = _c(text)
-    s = _rep(s, " 's", "'s")
-    s = _rep(s, "s ' ", "s' ")
-    s = _rep(s, " n't", "n't")
-    s = _rep(s, " \n ", "\n")
-    s = _rep(s, "\\/", "/")
-    for _ in range(10):  # overlapping " N N N " needs repeated passes
-        s = _rep(s, " N ", " 1 ")
-    s = _rep(s, "$ 1", "$1")
-    s = _rep(s, "# 1", "#1")
-    s = _rep(s, "<unk>", "?")
-    return s
+    return apply_rules(text, PTB_RULES)
 
 
-# --------------------------------------------------------------------- P3 --
 def detok_lm1b(text) -> Column:
-    s = _c(text)
-    s = _rep(s, "http : / / ", "http://")
-    s = _rep(s, "https : / / ", "https://")
-    s = _re(s, r"(?U) '(\w+)", "'$1")
-    s = _re(s, r"(?U) (\w+) \. ", " $1. ")
-    s = _re(s, r"(?Ud) (\w+) \.$", " $1.")
-    s = _rep(s, " ? ", "? ")
-    s = _re(s, r"(?d) \?$", "?")
-    s = _rep(s, " ! ", "! ")
-    s = _re(s, r"(?d) !$", "!")
-    s = _rep(s, " , ", ", ")
-    s = _rep(s, " : ", ": ")
-    s = _rep(s, " ; ", "; ")
-    s = _rep(s, " / ", "/")
-    s = _re(s, r'" ([^"]+) "', '"$1"')
-    s = _re(s, r"' ([^']+) '", "'$1'")
-    s = _re(s, r"\( ([^\(\)]+) \)", "($1)")
-    s = _re(s, r"\[ ([^\[\]]+) \]", "[$1]")
-    s = _rep(s, "$ ", "$")
-    s = _rep(s, "£ ", "£")
-    return s
+    return apply_rules(text, LM1B_RULES)
 
 
-# --------------------------------------------------------------------- P4 --
 def detok_lambada(text) -> Column:
-    s = _c(text)
-    s = _rep(s, "“", '"')
-    s = _rep(s, "”", '"')
-    s = _re(s, r"(?U)^\s+", "")
-    s = _re(s, r"(?U)\s+$", "")
-    return F.concat(F.lit("\n"), s)
+    """Straight quotes, stripped, a newline in front."""
+    return F.concat(F.lit("\n"), strip(apply_rules(text, LAMBADA_QUOTES)))
 
 
-# --------------------------------------------------------------------- P5 --
 def detok_scientific(text) -> Column:
     return detok_lm1b(detok_wikitext(text))
 
@@ -133,7 +161,7 @@ def detokenizer_for(corpus: str):
 
 def detok_dispatch(text, corpus_col) -> Column:
     """Per-row choice of detokenizer by a corpus-name column, so several
-    corpora are normalised in one job."""
+    corpora are normalised in one job (CASE evaluates only the chosen branch)."""
     t, name = _c(text), _c(corpus_col)
     return (F.when(name.startswith("wikitext"), detok_wikitext(t))
             .when(name.startswith("scientific_papers"), detok_scientific(t))
@@ -144,14 +172,17 @@ def detok_dispatch(text, corpus_col) -> Column:
 
 
 # -------------------------------------------------------------------- P11 --
+# FIXED VALUES: markers removed from generated text.
+GENERATION_MARKERS = ("[BOS]", "[EOS]", "[PAD]")
+
+
 def clean_generated_text(text) -> Column:
-    """NULL -> ''; keep only what precedes the first [EOS]; drop [BOS]/[EOS]/[PAD];
+    """NULL -> ''; keep only what precedes the first [EOS]; drop the markers;
     remove all whitespace."""
-    s = F.coalesce(_c(text), F.lit(""))
-    s = F.substring_index(s, "[EOS]", 1)
-    for tok in ("[BOS]", "[EOS]", "[PAD]"):
-        s = _rep(s, tok, "")
-    return _re(s, r"(?U)\s+", "")
+    s = F.substring_index(F.coalesce(_c(text), F.lit("")), "[EOS]", 1)
+    for tok in GENERATION_MARKERS:
+        s = F.replace(s, F.lit(tok), F.lit(""))
+    return F.regexp_replace(s, F.lit(r"(?U)\s+"), F.lit(""))
 
 
 # -------------------------------------------------------------------- P13 --
@@ -161,7 +192,7 @@ def preview_list(arr, max_len: int = 32) -> Column:
     a = _c(arr)
 
     def show(x):
-        return F.concat(F.lit("["), F.array_join(F.transform(x, lambda v: v.cast("string")), ", "), F.lit("]"))
+        return F.concat(F.lit("["), F.array_join(x.cast("array<string>"), ", "), F.lit("]"))
 
     return F.when(F.size(a) <= max_len, show(a)).otherwise(
         F.concat(show(F.slice(a, 1, max_len)), F.lit(" ... (len="), F.size(a).cast("string"), F.lit(")")))

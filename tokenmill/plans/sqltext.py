@@ -1,94 +1,58 @@
 """DuckDB spellings of the normalisation rules, for the oracles.
 
-RE2 (DuckDB) has ASCII ``\\w``/``\\s`` and an end-only ``$``; the rules use
-``[\\p{L}\\p{N}_]`` for word characters and ``(\\n?)$`` for Python's
-end-of-string-or-before-final-newline.
+The rule tables are the ones in ``functions.text``; only the translation
+differs. RE2 (DuckDB) has ASCII ``\\w``/``\\s`` and an end-only ``$``: word
+characters become ``[\\p{L}\\p{N}_]`` and a final ``$`` becomes ``(\\n?)$``
+(Python's end-of-text-or-before-a-final-newline), re-emitted in the
+replacement.
 """
 
 from __future__ import annotations
 
+import re
 
-def _q(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
+from ..functions import text as X
 
 
-def rep(e: str, a: str, b: str) -> str:
-    return f"replace({e}, {_q(a)}, {_q(b)})"
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
 
 
-def rex(e: str, pat: str, repl: str) -> str:
-    return f"regexp_replace({e}, {_q(pat)}, {_q(repl)}, 'g')"
+def re2_rule(pattern: str, repl: str) -> tuple[str, str]:
+    p = pattern.replace("\\w", r"[\p{L}\p{N}_]")
+    r = repl
+    if p.endswith("$"):
+        n_groups = len(re.findall(r"(?<!\\)\((?!\?)", p))
+        p = p[:-1] + r"(\n?)$"
+        r = r + "\\" + str(n_groups + 1)
+    return p, r
 
 
-W = r"[\p{L}\p{N}_]"
+def apply_rules(e: str, rules) -> str:
+    for kind, a, b in rules:
+        if kind == "lit":
+            e = f"replace({e}, {_q(a)}, {_q(b)})"
+        else:
+            p, r = re2_rule(a, b)
+            e = f"regexp_replace({e}, {_q(p)}, {_q(r)}, 'g')"
+    return e
 
 
 def wikitext(e: str) -> str:
-    e = rep(e, "s '", "s'")
-    e = rex(e, r"/' [0-9]/", "/'[0-9]/")
-    e = rep(e, " @-@ ", "-")
-    e = rep(e, " @,@ ", ",")
-    e = rep(e, " @.@ ", ".")
-    for p in [":", ";", ".", "!", "?", ","]:
-        e = rep(e, f" {p} ", f"{p} ")
-    e = rex(e, r"\(\s*([^\)]*?)\s*\)", r"(\1)")
-    e = rex(e, r"\[\s*([^\]]*?)\s*\]", r"[\1]")
-    e = rex(e, r"\{\s*([^}]*?)\s*\}", r"{\1}")
-    e = rex(e, r'"\s*([^"]*?)\s*"', r'"\1"')
-    e = rex(e, r"'\s*([^']*?)\s*'", r"'\1'")
-    e = rep(e, "= = = =", "====")
-    e = rep(e, "= = =", "===")
-    e = rep(e, "= =", "==")
-    e = rep(e, " ° ", "°")
-    e = rep(e, " \n", "\n")
-    e = rep(e, "\n ", "\n")
-    e = rep(e, " N ", " 1 ")
-    e = rep(e, " 's", "'s")
-    return e
+    return apply_rules(e, X.WIKITEXT_RULES)
 
 
 def ptb(e: str) -> str:
-    e = rep(e, " 's", "'s")
-    e = rep(e, "s ' ", "s' ")
-    e = rep(e, " n't", "n't")
-    e = rep(e, " \n ", "\n")
-    e = rep(e, "\\/", "/")
-    for _ in range(10):
-        e = rep(e, " N ", " 1 ")
-    e = rep(e, "$ 1", "$1")
-    e = rep(e, "# 1", "#1")
-    e = rep(e, "<unk>", "?")
-    return e
+    return apply_rules(e, X.PTB_RULES)
 
 
 def lm1b(e: str) -> str:
-    e = rep(e, "http : / / ", "http://")
-    e = rep(e, "https : / / ", "https://")
-    e = rex(e, rf" '({W}+)", r"'\1")
-    e = rex(e, rf" ({W}+) \. ", r" \1. ")
-    e = rex(e, rf" ({W}+) \.(\n?)$", r" \1.\2")
-    e = rep(e, " ? ", "? ")
-    e = rex(e, r" \?(\n?)$", r"?\1")
-    e = rep(e, " ! ", "! ")
-    e = rex(e, r" !(\n?)$", r"!\1")
-    e = rep(e, " , ", ", ")
-    e = rep(e, " : ", ": ")
-    e = rep(e, " ; ", "; ")
-    e = rep(e, " / ", "/")
-    e = rex(e, r'" ([^"]+) "', r'"\1"')
-    e = rex(e, r"' ([^']+) '", r"'\1'")
-    e = rex(e, r"\( ([^\(\)]+) \)", r"(\1)")
-    e = rex(e, r"\[ ([^\[\]]+) \]", r"[\1]")
-    e = rep(e, "$ ", "$")
-    e = rep(e, "£ ", "£")
-    return e
+    return apply_rules(e, X.LM1B_RULES)
 
 
 def lambada(e: str) -> str:
-    e = rep(e, "“", '"')
-    e = rep(e, "”", '"')
-    e = rex(e, r"^\s+", "")
-    e = rex(e, r"\s+$", "")
+    e = apply_rules(e, X.LAMBADA_QUOTES)
+    e = f"regexp_replace(regexp_replace({e}, '^\\s+', '', 'g'), '\\s+$', '', 'g')"
     return f"concat(chr(10), {e})"
 
 
@@ -97,8 +61,7 @@ def scientific(e: str) -> str:
 
 
 def clean_generated(e: str) -> str:
-    e = f"coalesce({e}, '')"
-    e = f"split_part({e}, '[EOS]', 1)"
-    for tok in ("[BOS]", "[EOS]", "[PAD]"):
-        e = rep(e, tok, "")
-    return rex(e, r"\s+", "")
+    e = f"split_part(coalesce({e}, ''), '[EOS]', 1)"
+    for tok in X.GENERATION_MARKERS:
+        e = f"replace({e}, {_q(tok)}, '')"
+    return f"regexp_replace({e}, '\\s+', '', 'g')"
