@@ -90,8 +90,9 @@ def categorical_draw(cands: DataFrame, seed, key_cols: Sequence[str] = ("seq_id"
     (seed, keys, token)."""
     u = uniform(seed, *key_cols, token_col)
     score = F.col(prob_col) / (F.lit(1e-10) - F.log(u + F.lit(1e-10)))
-    best = cands.groupBy(*key_cols).agg(F.max(F.struct(score.alias("s"), F.col(token_col).alias("t"))).alias("b"))
-    return best.select(*key_cols, F.col("b.t").alias(token_col))
+    # exact ties go to the lowest token id, like an argmax over the vocabulary
+    best = cands.groupBy(*key_cols).agg(F.max(F.struct(score.alias("s"), (-F.col(token_col)).alias("t"))).alias("b"))
+    return best.select(*key_cols, (-F.col("b.t")).cast("int").alias(token_col))
 
 
 # --------------------------------------------------------------------- W7 --

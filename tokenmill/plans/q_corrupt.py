@@ -174,7 +174,7 @@ def q_anchored_prompt_rows(spark, sf):
 
 # ------------------------------------------------------------------ C9 --
 @query("draw_from_mixture", f"""with c as (select *, case when token_id = 63 then 0.5 / 0.8 else prob * (1 - 0.5 / 0.8) end q from ({CANDIDATES_SQL}))
-select seq_id, arg_max(token_id, struct_pack(s := q / (1e-10 - ln({uniform_sql(19, 'seq_id', 'pos', 'token_id')} + 1e-10)), t := token_id)) token_id
+select seq_id, arg_max(token_id, struct_pack(s := q / (1e-10 - ln({uniform_sql(19, 'seq_id', 'pos', 'token_id')} + 1e-10)), t := -token_id)) token_id
 from c group by seq_id, pos""")
 def q_draw_from_mixture(spark, sf):
     c = candidates(spark, sf).withColumn("prob", C.mixture_probs("prob", "token_id", F.lit(0.5), F.lit(0.8), 63))

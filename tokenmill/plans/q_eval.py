@@ -57,7 +57,7 @@ def q_soft_top_k(spark, sf):
 
 
 # --------------------------------------------------------------------- W6 --
-DRAW_SQL = f"""select seq_id, arg_max(token_id, struct_pack(s := prob / (1e-10 - ln({uniform_sql(3, 'seq_id', 'pos', 'token_id')} + 1e-10)), t := token_id)) token_id
+DRAW_SQL = f"""select seq_id, arg_max(token_id, struct_pack(s := prob / (1e-10 - ln({uniform_sql(3, 'seq_id', 'pos', 'token_id')} + 1e-10)), t := -token_id)) token_id
 from ({CANDIDATES_SQL}) group by seq_id, pos"""
 
 

@@ -15,7 +15,6 @@ from ..session import scratch_path, table
 from ..streaming import jobs as J
 from .catalog import query
 from .fixtures import char_ids_sql
-from .q_packing import q_build_fixed_rows  # noqa: F401  (same oracle)
 from .q_tokens import MOL_TOKS_SQL
 
 N_FILES = 4
