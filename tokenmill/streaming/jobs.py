@@ -92,14 +92,13 @@ def stream_pack(sdf: DataFrame, key_col: str, order_col: str, ids_col: str, bloc
         else:
             toks = np.asarray(rest, dtype=np.int64)
         n_full = len(toks) // chunk
-        rows = []
-        for b in range(n_full):
-            body = toks[b * chunk:(b + 1) * chunk].tolist()
-            rows.append((key[0], next_block + b, [bos] + body + [eos] if insert_special else body))
+        body = toks[:n_full * chunk].reshape(n_full, chunk).astype(np.int32)
+        if insert_special:
+            body = np.hstack([np.full((n_full, 1), bos, np.int32), body, np.full((n_full, 1), eos, np.int32)])
         state.update((toks[n_full * chunk:].tolist(), next_block + n_full))
-        yield pd.DataFrame(rows, columns=[key_col, "block_id", "input_ids"]) if rows else \
-            pd.DataFrame({key_col: pd.Series(dtype=object), "block_id": pd.Series(dtype="int64"),
-                          "input_ids": pd.Series(dtype=object)})
+        yield pd.DataFrame({key_col: [key[0]] * n_full,
+                            "block_id": np.arange(next_block, next_block + n_full, dtype=np.int64),
+                            "input_ids": list(body)})
 
     key_type = dict(sdf.dtypes)[key_col]
     return sdf.groupBy(key_col).applyInPandasWithState(
