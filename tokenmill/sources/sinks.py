@@ -87,20 +87,19 @@ def write_arrow_shards(df: DataFrame, path: str, stream_every: int = 0) -> int:
         import pyarrow.ipc as ipc
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
-        batches = list(it)
         fp = os.path.join(path, f"data-{pid:05d}-of-{n:05d}.arrow")
-        schema = batches[0].schema if batches else None
-        if schema is None:
-            yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([0], pa.int64())], ["shard", "rows"])
-            return
         use_stream = stream_every and pid % stream_every == stream_every - 1
-        with pa.OSFile(fp, "wb") as sink:
-            w = ipc.new_stream(sink, schema) if use_stream else ipc.new_file(sink, schema)
-            rows = 0
-            for b in batches:
-                w.write_batch(b)
-                rows += b.num_rows
+        sink = w = None
+        rows = 0
+        for b in it:  # batches are written as they arrive, never held together
+            if w is None:
+                sink = pa.OSFile(fp, "wb")
+                w = ipc.new_stream(sink, b.schema) if use_stream else ipc.new_file(sink, b.schema)
+            w.write_batch(b)
+            rows += b.num_rows
+        if w is not None:
             w.close()
+            sink.close()
         yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([rows], pa.int64())], ["shard", "rows"])
 
     df.mapInArrow(write, "shard int, rows long").collect()
