@@ -1,0 +1,8 @@
+"""tokenmill: corpus preparation and sequence evaluation as Spark jobs.
+
+Subpackages: ``functions`` (Column expressions), ``sources`` (readers and
+sinks), ``operators`` (DataFrame -> DataFrame jobs), ``plans`` (registered
+queries with their SQL oracles), ``streaming`` (Structured Streaming jobs).
+"""
+
+__version__ = "0.1.0"
