@@ -11,40 +11,61 @@ storage order available for order-sensitive operators.
 
 from __future__ import annotations
 
-import glob
-import os
+import re
 
 import pyarrow as pa
 import pyarrow.ipc as ipc
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import fs
+
 
 def find_shards(path: str) -> list[str]:
-    """Shard files in name order; a single .arrow file is accepted as is."""
-    if os.path.isfile(path):
+    """Shard files in name order; a single .arrow file is accepted as is.
+    Plain paths and URIs (shared storage) both work."""
+    if fs.is_file(path):
         if not path.endswith(".arrow"):
             raise ValueError(f"not an .arrow file: {path}")
         return [path]
-    if not os.path.isdir(path):
+    if not fs.exists(path):
         raise FileNotFoundError(path)
-    files = sorted(glob.glob(os.path.join(path, "data-*-of-*.arrow")))
-    if not files:
-        files = sorted(glob.glob(os.path.join(path, "*.arrow")))
+    names = [f for f in fs.list_files(path) if f.endswith(".arrow")]
+    shards = [f for f in names if re.search(r"data-\d+-of-\d+\.arrow$", f)]
+    files = shards or names
     if not files:
         raise FileNotFoundError(f"no .arrow shards under {path}")
     return files
 
 
+def iter_batches(fp: str):
+    """Record batches of one shard, one at a time: IPC file format first,
+    then stream format."""
+    with fs.open_input(fp) as f:
+        try:
+            reader = ipc.open_file(f)
+        except pa.ArrowInvalid:
+            reader = None
+        if reader is not None:
+            for i in range(reader.num_record_batches):
+                yield reader.get_batch(i)
+            return
+    with fs.open_input(fp) as f:
+        yield from ipc.open_stream(f)
+
+
+def shard_schema(fp: str) -> pa.Schema:
+    with fs.open_input(fp) as f:
+        try:
+            return ipc.open_file(f).schema
+        except pa.ArrowInvalid:
+            pass
+    with fs.open_input(fp) as f:
+        return ipc.open_stream(f).schema
+
+
 def open_batches(fp: str):
-    """Record batches of one shard: IPC file format first, then stream format."""
-    try:
-        reader = ipc.open_file(fp)
-        return [reader.get_batch(i) for i in range(reader.num_record_batches)], reader.schema
-    except pa.ArrowInvalid:
-        with open(fp, "rb") as f:
-            r = ipc.open_stream(f)
-            batches = list(r)
-            return batches, r.schema
+    """All record batches of one shard and its schema (small shards, tests)."""
+    return list(iter_batches(fp)), shard_schema(fp)
 
 
 def _spark_type(t: pa.DataType) -> str:
@@ -84,9 +105,8 @@ class ArrowShardReader(DataSourceReader):
         return [_Shard(i, p) for i, p in enumerate(find_shards(self.path))]
 
     def read(self, partition):
-        batches, _ = open_batches(partition.path)
         row0 = 0
-        for b in batches:
+        for b in iter_batches(partition.path):  # one batch in memory at a time
             n = b.num_rows
             cols = list(b.columns) + [pa.array([partition.value] * n, pa.int32()),
                                       pa.array(range(row0, row0 + n), pa.int64())]
@@ -102,7 +122,7 @@ class ArrowShardSource(DataSource):
 
     def schema(self):
         path = self.options.get("path")
-        _, sch = open_batches(find_shards(path)[0])
+        sch = shard_schema(find_shards(path)[0])
         fields = [f"`{f.name}` {_spark_type(f.type)}" for f in sch]
         return ", ".join(fields + ["_shard int", "_row bigint"])
 

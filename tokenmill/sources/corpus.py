@@ -3,7 +3,6 @@ tail hold-outs, vocabulary files, sample logs and capped scans."""
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -124,13 +123,14 @@ def read_byte_chunks(spark: SparkSession, path: str, start: int, end: int | None
     """Scalable S5+K6 for one huge single-byte-encoded file: ``spark.range``
     over chunk numbers and one positioned read per chunk inside the tasks, so
     the file never becomes one row. Returns (chunk_idx, text)."""
-    size = os.path.getsize(path)
+    from . import fs
+    size = fs.size(path)
     stop = size if end is None else min(end, size)
     n = max((stop - start + chunk - 1) // chunk, 0)
 
     def read(batches):
         import pandas as pd
-        with open(path, "rb") as f:
+        with fs.open_input(path) as f:  # positioned reads on shared storage
             for b in batches:
                 out = []
                 for i in b["id"].tolist():
@@ -155,7 +155,8 @@ def tail_holdout(df: DataFrame, order_cols, holdout: int = 100_000) -> tuple[Dat
 def scan_vocab(spark: SparkSession, path: str) -> DataFrame:
     """One token per line; id = line number; a token on several lines keeps
     its last line. A vocabulary file is small and read as one text value."""
-    if not os.path.exists(path):
+    from . import fs
+    if not fs.exists(path):
         raise FileNotFoundError(path)
     whole = spark.read.text(path, wholetext=True)
     # a trailing newline leaves one empty last element that is not a line

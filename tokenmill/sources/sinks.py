@@ -79,21 +79,24 @@ def write_arrow_shards(df: DataFrame, path: str, stream_every: int = 0) -> int:
     """Write every partition as one Arrow IPC shard ``data-NNNNN-of-MMMMM.arrow``
     (IPC file format; with ``stream_every = k`` every k-th shard uses the IPC
     stream format). Runs inside the tasks; returns the shard count."""
+    from . import fs
     n = df.rdd.getNumPartitions()
-    os.makedirs(path, exist_ok=True)
+    fs.makedirs(path)
 
     def write(it):
         import pyarrow as pa
         import pyarrow.ipc as ipc
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
-        fp = os.path.join(path, f"data-{pid:05d}-of-{n:05d}.arrow")
+        fp = path.rstrip("/") + f"/data-{pid:05d}-of-{n:05d}.arrow"
         use_stream = stream_every and pid % stream_every == stream_every - 1
         sink = w = None
         rows = 0
-        for b in it:  # batches are written as they arrive, never held together
+        # batches are written as they arrive, never held together; a retried
+        # task rewrites its own shard
+        for b in it:
             if w is None:
-                sink = pa.OSFile(fp, "wb")
+                sink = fs.open_output(fp)
                 w = ipc.new_stream(sink, b.schema) if use_stream else ipc.new_file(sink, b.schema)
             w.write_batch(b)
             rows += b.num_rows
