@@ -50,6 +50,15 @@ def test_offset_strategies_agree(spark):
     assert a == b
 
 
+def test_fixed_rows_observed_accounting(spark, tmp_path):
+    df = spark.createDataFrame([(i, "C" * (i % 20)) for i in range(100)], "k long, s string")
+    rows, accounting = K.build_fixed_rows_observed(df, T.smiles_ids("s"), 16, 1, 2, 0)
+    rows.write.parquet(str(tmp_path / "out"))  # the one pass that produces the rows
+    acc = accounting()
+    kept = sum(1 for i in range(100) if i % 20 <= 14)
+    assert acc == {"original": 100, "kept": kept, "dropped": 100 - kept, "ratio_pct": (100 - kept) * 1.0}
+
+
 def test_chunk_text_matches_python(spark):
     texts = ["", "a", "abcdefghij" * 7 + "é😀z", "x" * 64]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")

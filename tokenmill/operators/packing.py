@@ -165,6 +165,27 @@ def build_fixed_rows(df: DataFrame, ids: Column, block_size: int, bos: int, eos:
             .drop("_ids"))
 
 
+def build_fixed_rows_observed(df: DataFrame, ids: Column, block_size: int, bos: int, eos: int, pad: int,
+                              insert_special: bool = True):
+    """K5 + P10 in the same pass: the input and output row counts are
+    collected as Spark observations while the rows are produced (no second
+    scan). Returns (rows, accounting()); call accounting() after an action
+    on the rows: {original, kept, dropped, ratio_pct}."""
+    from pyspark.sql import Observation
+    seen, kept = Observation("fixed_rows_in"), Observation("fixed_rows_out")
+    src = df.observe(seen, F.count(F.lit(1)).alias("n"))
+    out = build_fixed_rows(src, ids, block_size, bos, eos, pad, insert_special).observe(
+        kept, F.count(F.lit(1)).alias("n"))
+
+    def accounting() -> dict:
+        n_in, n_out = seen.get["n"], kept.get["n"]
+        dropped = max(n_in - n_out, 0)
+        return {"original": n_in, "kept": n_out, "dropped": dropped,
+                "ratio_pct": (dropped / n_in * 100.0) if n_in else 0.0}
+
+    return out, accounting
+
+
 # ---------------------------------------------------------------------- K6 --
 def chunk_text(df: DataFrame, text_col: str, size: int, drop_last: bool = False,
                keep: Sequence[str] = ()) -> DataFrame:

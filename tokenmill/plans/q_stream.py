@@ -94,7 +94,14 @@ def q_stream_metrics(spark, sf):
 def q_stream_throughput(spark, sf):
     sdf, _, _ = _staged(spark, sf, "events", "event_id")
     out, ck = J.fresh(spark, "st5")
-    progress = J.run_to_parquet(sdf.select("event_id"), out, ck)
+    live = J.ThroughputListener(every_rows=100_000, log=lambda s: None)
+    spark.streams.addListener(live.listener)
+    try:
+        progress = J.run_to_parquet(sdf.select("event_id"), out, ck)
+    finally:
+        spark.streams.removeListener(live.listener)
+    # listener events arrive asynchronously (live log); the totals come from
+    # the query's own progress records, complete once it has terminated
     rows = J.throughput(progress)
     prog = spark.createDataFrame(rows, "batch_id long, input_rows long, rows_per_sec double")
     return prog.agg(F.sum("input_rows").cast("long").alias("total_rows"))

@@ -119,6 +119,41 @@ def stream_metrics(sdf: DataFrame, group_cols: Sequence[str], value="nll", weigh
 
 
 # -------------------------------------------------------------------- ST5 --
+class ThroughputListener:
+    """Live progress of streaming queries: rows and rate per micro-batch, and
+    a line every ``every_rows`` rows (the reference prints every 100k rows).
+    Register with ``spark.streams.addListener(ThroughputListener(...).listener)``."""
+
+    def __init__(self, every_rows: int = 100_000, log=print):
+        from pyspark.sql.streaming import StreamingQueryListener
+
+        outer = self
+        self.batches: list[tuple] = []
+        self.total = 0
+        self._next = every_rows
+        self.every_rows = every_rows
+
+        class _L(StreamingQueryListener):
+            def onQueryStarted(self, event):
+                pass
+
+            def onQueryProgress(self, event):
+                p = event.progress
+                outer.batches.append((int(p.batchId), int(p.numInputRows), float(p.processedRowsPerSecond or 0.0)))
+                outer.total += int(p.numInputRows)
+                while outer.total >= outer._next:
+                    log(f"{outer.total} rows, {p.processedRowsPerSecond or 0.0:.0f} rows/s")
+                    outer._next += outer.every_rows
+
+            def onQueryIdle(self, event):
+                pass
+
+            def onQueryTerminated(self, event):
+                pass
+
+        self.listener = _L()
+
+
 def throughput(progress: list) -> list[tuple]:
     """(batch id, input rows, rows per second) from streaming progress records."""
     out = []
