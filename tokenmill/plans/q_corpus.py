@@ -103,11 +103,12 @@ lines as (select token, row_number() over (order by token) - 1 id from v
 select token, max(id)::INTEGER id from lines group by token""")
 def q_scan_vocab(spark, sf):
     path = scratch_path(spark, "vocab")
-    toks = mol_ids(spark, sf).select(F.explode("toks").alias("token")).distinct()
-    # the vocabulary file: sorted distinct tokens, then '[UNK]' twice (last wins)
-    lines = toks.agg(F.array_sort(F.collect_list("token")).alias("t"))
-    text = lines.select(F.concat(F.array_join(F.col("t"), "\n"), F.lit("\n[UNK]\n[UNK]\n")).alias("value"))
-    text.coalesce(1).write.text(path)
+    toks = mol_ids(spark, sf).select(F.explode("toks").alias("value")).distinct().withColumn("_g", F.lit(0))
+    # the vocabulary file: sorted distinct tokens, then '[UNK]' twice (last
+    # wins); one sorted file, written without gathering the tokens in a row
+    unk = spark.createDataFrame([("[UNK]", 1), ("[UNK]", 2)], "value string, _g int")
+    lines = toks.unionByName(unk).orderBy("_g", "value").coalesce(1).select("value")
+    lines.write.text(path)
     return C.scan_vocab(spark, path)
 
 
