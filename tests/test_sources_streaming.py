@@ -39,7 +39,7 @@ def test_sample_log_scan_nan_and_bad_nfes(spark, tmp_path):
     p = tmp_path / "logs"
     p.mkdir()
     (p / "run_a.csv").write_text("12.5,3,1.5,10,x,1\n[nan],4,2.5,20,y,1\n14.5,5,3.5,30,z,1\n")
-    (p / "run_b.csv").write_text("2.0,,1.0,5,x,2\n")
+    (p / "run_b.csv").write_text("2.0,,1.0,5,x,2\n3.0,7,1.0,5,x,2\n")  # one bad NFE cell zeroes the file
     from tokenmill.operators.metrics import sample_log_summary
     out = {r["file_name"]: r for r in sample_log_summary(C.sample_log_scan(spark, str(p))).collect()}
     a = out["run_a.csv"]

@@ -172,12 +172,13 @@ def length_histogram(df: DataFrame, length_col: str, bins: int = 50) -> DataFram
 # -------------------------------------------------------------------- A18 --
 def sample_log_summary(log: DataFrame, file_col: str = "file_name") -> DataFrame:
     """A18 per log file: samples with a numeric perplexity, mean gen ppl, mean
-    NFE (missing -> 0), mean entropy, median and max sample length."""
+    NFE (if any NFE cell of the file is not a number, all of the file's NFEs
+    count as 0), mean entropy, median and max sample length."""
     ppl_ok = F.col("gen_ppl_raw") != "[nan]"
     return log.groupBy(file_col).agg(
         F.count_if(ppl_ok).alias("n_samples"),
         F.avg(F.when(ppl_ok, F.col("gen_ppl"))).alias("mean_gen_ppl"),
-        F.avg(F.coalesce("nfes", F.lit(0.0))).alias("mean_nfes"),
+        F.when(F.count_if(F.col("nfes").isNull()) > 0, F.lit(0.0)).otherwise(F.avg("nfes")).alias("mean_nfes"),
         F.avg("entropy").alias("mean_entropy"),
         F.percentile("gen_lengths", 0.5).alias("median_length"),
         F.max("gen_lengths").alias("max_length"))
