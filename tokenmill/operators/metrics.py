@@ -239,15 +239,3 @@ def elbo_reportable(eps_min, eps_max, block_size: int, eval_nll: bool = False) -
     nll_b1 = F.lit(block_size == 1) & (lo >= 1)
     return elbo | nll_b1
 
-
-# -------------------------------------------------------------- helpers --
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (report projection for cross-engine checks)."""
-    out = []
-    for f in df.schema.fields:
-        if f.dataType.simpleString() in ("double", "float"):
-            out.append(F.round(F.col(f.name), digits).alias(f.name))
-        else:
-            out.append(F.col(f.name))
-    return df.select(*out)
-

@@ -121,9 +121,6 @@ def q_chunk_text_drop_last(spark, sf):
 
 
 # --------------------------------------------------------------------- K7 --
-CROP_N = 31
-
-
 @query("crop_subsequence", PACK_SQL + f""",
 b as (select gpos // {2 * BLOCK - 2} block_id, list(id order by gpos) ids from g group by 1),
 r as (select block_id, list_concat([{V.CHAR_BOS}], ids, [{V.CHAR_EOS}]) x, block_id // 4 batch_id from b where len(ids) = {2 * BLOCK - 2}),
