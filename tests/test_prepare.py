@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from tokenmill.functions import tokens as T
 from tokenmill.operators import packing as K
 from tokenmill.plans.prepare import epoch_batches, prepare_corpus
 
@@ -19,6 +20,17 @@ def test_prepare_corpus_wrapped_and_cached(spark, sf_small, tmp_path):
     assert any("openwebtext-train_train_bs64_wrapped" in p for p in os.listdir(tmp_path))
 
 
+def test_prepare_corpus_flags(spark, sf_small):
+    path = os.path.join(sf_small, "documents.parquet")
+    docs = spark.read.parquet(path)
+    raw = prepare_corpus(spark, "x", path, block_size=32, order_cols=["doc_id"], insert_special=False)
+    want = K.pack_wrapped(docs, T.append_eos(T.char_ids("text"), 3), ["doc_id"], 32, 2, 3, insert_special=False)
+    assert sorted(map(list, (r["input_ids"] for r in raw.collect()))) == \
+        sorted(map(list, (r["input_ids"] for r in want.collect())))
+    no_eos = prepare_corpus(spark, "x", path, block_size=32, order_cols=["doc_id"], insert_eos=False)
+    assert all(3 not in list(r["input_ids"])[1:-1] for r in no_eos.collect())
+
+
 def test_prepare_corpus_unwrapped_text(spark, sf_small):
     path = os.path.join(sf_small, "documents.parquet")
     out = prepare_corpus(spark, "wikitext2", path, wrap=False, block_size=32, order_cols=["doc_id"])

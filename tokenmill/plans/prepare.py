@@ -49,16 +49,17 @@ def prepare_corpus(spark: SparkSession, name: str, path: str, mode: str = "train
         def ids_of(col):
             return pluggable_ids(F.col(col) if isinstance(col, str) else col, encoder)
         sp = special_ids
-    if not insert_special:
-        insert_eos = False  # no special tokens at all, as in the reference flags
+    # without specials the blocks carry no [BOS]/[EOS] wrap; EOS after each item
+    # still follows ``insert_eos`` (only the cache key's tag changes)
     if name == "text8-crop" and mode == "train":
         block_size *= 2
 
     def build() -> DataFrame:
         df = C.scan_corpus(spark, name, path)
         if wrap:
-            if tokenizer == "char" and insert_eos:
-                return K.pack_chars(df, "text", order_cols, block_size, sp["bos"], sp["eos"], insert_special)
+            if tokenizer == "char":
+                return K.pack_chars(df, "text", order_cols, block_size, sp["bos"], sp["eos"], insert_special,
+                                    insert_eos)
             ids = ids_of("text")
             if insert_eos:
                 ids = T.append_eos(ids, sp["eos"])
