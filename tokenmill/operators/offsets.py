@@ -74,21 +74,23 @@ _AGG = {"min": (F.min, F.least), "max": (F.max, F.greatest), "sum": (F.sum, lamb
 
 def running_agg(df: DataFrame, value_col: str, order_cols: Sequence[str], group_cols: Sequence[str] = (),
                 fn: str = "min", out_col: str = "running", partitions: int | None = None,
-                exclusive_col: str | None = None) -> DataFrame:
+                exclusive_col: str | None = None, count_col: str | None = None) -> DataFrame:
     """Inclusive running min / max / sum in ``order_cols`` order per group, by
     the same two passes as ``running_offset`` (per-task totals, then the
     carry from earlier tasks combined with the in-task running value), so a
     group that holds a third of the rows is still spread over many tasks.
-    ``exclusive_col`` also gives the value over the earlier rows only."""
+    ``exclusive_col`` also gives the value over the earlier rows only, and
+    ``count_col`` the 1-based position of the row in its group (same pass)."""
     agg, combine = _AGG[fn]
     group_cols, order_cols = list(group_cols), list(order_cols)
     p = _n_parts(df, partitions)
     v = F.col(value_col)
     ranged = cut_lineage(df.repartitionByRange(p, *group_cols, *order_cols)
                          .withColumn("_pid", F.spark_partition_id()))
-    totals = ranged.groupBy(*group_cols, "_pid").agg(agg(v).alias("_tot"))
+    totals = ranged.groupBy(*group_cols, "_pid").agg(agg(v).alias("_tot"), F.count(F.lit(1)).alias("_cnt"))
     wb = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(*group_cols, "_pid", agg("_tot").over(wb).alias("_carry"))
+    base = totals.select(*group_cols, "_pid", agg("_tot").over(wb).alias("_carry"),
+                         F.coalesce(F.sum("_cnt").over(wb), F.lit(0)).alias("_cnt_base"))
     if not group_cols:
         base = F.broadcast(base)
     joined = ranged.join(base, on=[*group_cols, "_pid"], how="inner")
@@ -103,7 +105,9 @@ def running_agg(df: DataFrame, value_col: str, order_cols: Sequence[str], group_
     if exclusive_col:
         we = Window.partitionBy(*group_cols, "_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
         out = out.withColumn(exclusive_col, merge(agg(v).over(we)))
-    return out.drop("_pid", "_carry")
+    if count_col:
+        out = out.withColumn(count_col, (F.col("_cnt_base") + F.count(F.lit(1)).over(wr)).cast("long"))
+    return out.drop("_pid", "_carry", "_cnt_base")
 
 
 def row_index(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
