@@ -62,6 +62,54 @@ def pluggable_scores(col: Column, factory: Callable[[], Callable[[list], list[fl
     return score(col)
 
 
+def map_batches(df, fn: Callable[[pd.DataFrame], pd.DataFrame], schema):
+    """A user batch function (pandas frame in, frame out) over every
+    Arrow batch of every partition. Built-in expressions are preferred."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield fn(b)
+    return df.mapInPandas(run, schema)
+
+
+def pluggable_predicate(col: Column, factory: Callable[[], Callable[[list], list[bool]]]) -> Column:
+    """A user batch predicate; use as ``df.where(pluggable_predicate(...))``."""
+    from pyspark.sql.types import BooleanType
+
+    @F.pandas_udf(BooleanType())
+    def keep(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fn = factory()
+        for s in batches:
+            yield pd.Series(fn(s.tolist()), dtype=bool)
+
+    return keep(col)
+
+
+def chunk_udtf():
+    """The n-in/m-out chunker as a Python UDTF (an API alias; the
+    operator itself is ``packing.chunk_text``, which stays in the JVM).
+    Register with ``spark.udtf.register("chunks", chunk_udtf())``."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="chunk_idx int, chunk string")
+    class Chunks:
+        def eval(self, text: str, size: int):
+            t = text or ""
+            for i, s in enumerate(range(0, len(t), size)):
+                yield i, t[s:s + size]
+
+    return Chunks
+
+
+def user_metric(col: Column, fn: Callable[[pd.Series], float]) -> Column:
+    """A user-defined grouped metric (grouped-aggregate pandas UDF); the
+    shipped metrics (nll, bpd, ppl, ...) are built-in aggregate expressions."""
+    @F.pandas_udf(DoubleType())
+    def agg(values: pd.Series) -> float:
+        return float(fn(values))
+
+    return agg(col)
+
+
 def model_log_probs(ids: Column, factory: Callable[[], Callable[[list], list[list[float]]]]) -> Column:
     """U4: per-token log-probs of a user model for each id sequence."""
 
