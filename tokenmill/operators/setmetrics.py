@@ -42,20 +42,22 @@ def well_formed(smiles) -> Column:
     return (F.length(s) > 0) & covered & parens & rings_closed
 
 
-def set_metrics(items: DataFrame, item_col: str, valid_col: str, n_target: int,
+def set_metrics(items: DataFrame, item_col: str, valid_col: str, n_target: int | None = None,
                 qed_col: str | None = None, sa_col: str | None = None) -> DataFrame:
     """A14, A15, A17 in one pass: validity = valid / n_target (n_target >= 1),
     uniqueness = distinct valid / valid (0 when none), quality = valid with
-    qed >= 0.6 and sa <= 4.0 over n_target."""
-    nt = max(int(n_target), 1)
+    qed >= 0.6 and sa <= 4.0 over n_target. Without ``n_target`` the number
+    of items is the target, counted in the same aggregate."""
     v = F.col(valid_col)
     aggs = [F.count_if(v).alias("n_valid"),
-            F.count_distinct(F.when(v, F.col(item_col))).alias("n_unique")]
+            F.count_distinct(F.when(v, F.col(item_col))).alias("n_unique"),
+            F.count(F.lit(1)).alias("n_items")]
     if qed_col and sa_col:
         aggs.append(F.count_if(v & (F.col(qed_col) >= 0.6) & (F.col(sa_col) <= 4.0)).alias("n_quality"))
     else:
         aggs.append(F.lit(0).cast("long").alias("n_quality"))
     a = items.agg(*aggs)
+    nt = F.lit(max(int(n_target), 1)) if n_target is not None else F.greatest(F.col("n_items"), F.lit(1))
     return a.select(
         (F.col("n_valid") / nt).alias("validity"),
         F.when(F.col("n_valid") > 0, F.col("n_unique") / F.col("n_valid")).otherwise(0.0).alias("uniqueness"),
