@@ -25,3 +25,13 @@ def test_map_predicate_udtf_metric(spark):
     # U6
     m = df.groupBy().agg(P.user_metric(F.length("t").cast("double"), lambda s: float(pd.Series(s).median())).alias("m"))
     assert m.first()["m"] == 2.0
+
+
+def test_scorer_and_model_plugins(spark):
+    df = spark.createDataFrame([(1, "CCO", [1, 2, 3]), (2, "c1ccccc1", [4, 5])], "k long, s string, ids array<int>")
+    # A row scorer loaded once per worker
+    scored = df.select("k", P.pluggable_scores(F.col("s"), lambda: (lambda xs: [len(x) / 10 for x in xs])).alias("q"))
+    assert {r["k"]: r["q"] for r in scored.collect()} == {1: 0.3, 2: 0.8}
+    # U4: per-token log-probs from a user model
+    lp = df.select("k", P.model_log_probs(F.col("ids"), lambda: (lambda seqs: [[-float(t) for t in s] for s in seqs])).alias("lp"))
+    assert {r["k"]: list(r["lp"]) for r in lp.collect()} == {1: [-1.0, -2.0, -3.0], 2: [-4.0, -5.0]}
