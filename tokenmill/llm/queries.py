@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact, packing, wavelet
-from .common import documents
+from . import bpe, exact, lm, packing, setjoin, suffix, topk, toxicity, urls, wavelet
+from .common import documents, table
 
 #: Folder of the public vocabulary files.
 TOKENIZERS = "/opt/tokenizers"
@@ -57,3 +58,57 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=2)
+
+
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document that a 50-byte string shared with a smaller id covers."""
+    return suffix.digests(documents(spark, sf_dir))
+
+
+@query("op6_jaccard_join")
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under Jaccard similarity of 4-word shingles, 0.85 or more."""
+    return setjoin.jaccard_components(documents(spark, sf_dir), n=4, per_cent=85).drop("node")
+
+
+@query("op1_topk", """
+with v as (select vec_id, [cast(floor(1024 * cast(x as double)) as bigint) for x in embedding] e from embeddings
+           where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+q as (select * from v where vec_id % 100 = 0),
+s as (select q.vec_id query_id, v.vec_id, cast(list_sum([p[1] * p[2] for p in list_zip(q.e, v.e)]) as bigint) score
+      from q join v on q.vec_id <> v.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
+select query_id, cast(rank as int) rank, vec_id, score from r where rank <= 10""")
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector against all others."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op2_lm_score")
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by the backoff automaton of six sevenths of them."""
+    return lm.score(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+
+
+#: (verdict, host, path) of the query's rules.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query("op10_url_filter")
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all pages: by the longest rule, else by the page's aliases."""
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document, learnt from the labels table."""
+    return toxicity.severity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py at the repository top."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
