@@ -14,8 +14,8 @@ each document under the links.
    a probe reads its own and the two neighbouring blocks only; within them the
    positions bound the largest possible overlap, and entries that can't reach
    the threshold are skipped.
-4. A few sets of each list are probed at a time (four times as many each
-   round), and a list is done once its sets are in one component. Answers are
+4. A few sets of each list are probed at a time (one, then sixteen times as
+   many each round), and a list is done once its sets are in one component. Answers are
    derived where a highly similar set has them: Jaccard distance is a metric,
    so if y is linked to pivot p and z is too far from p, the pair (y, z) is
    out without looking at the sets.
@@ -204,12 +204,14 @@ def links(sets: DataFrame, per_cent: int) -> DataFrame:
     lists = cut_lineage(lists.join(many, "h"))
     shared = sets.filter("prefix is not null").select("node", F.col("n").alias("size"), "shared")
     tested = None  # a, b, same (overlap): every pair looked at so far
-    linked, probes = None, 4
+    linked, probes = None, 1
     while not lists.isEmpty():
-        # pivots: the least set of each of ``probes`` salts of a list's block
+        # pivots: one set of each of ``probes`` salts of a list's block, by a hash of the set alone,
+        # so that lists over the same sets have the same pivots and repeat the same pairs
         least = (lists.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(probes)), F.lit(probes)))
-                 .groupBy("h", "block", "salt").agg(F.min(F.struct("n", "node", "pos", "comp")).alias("p")))
-        pivots = least.select("h", "p.*", F.explode(F.array(*[F.col("block") + d for d in (-1, 0, 1)])).alias("block"))
+                 .groupBy("h", "block", "salt")
+                 .agg(F.min(F.struct(F.xxhash64("node").alias("o"), "n", "node", "pos", "comp")).alias("p")))
+        pivots = least.select("h", "p.n", "p.node", "p.pos", "p.comp", F.explode(F.array(*[F.col("block") + d for d in (-1, 0, 1)])).alias("block"))
         other = lists.select("h", "block", F.col("node").alias("node2"), F.col("n").alias("n2"),
                              F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
         most = 1 + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) - 1
@@ -224,16 +226,16 @@ def links(sets: DataFrame, per_cent: int) -> DataFrame:
                 .join(shared.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("shared").alias("sb")), "b"))
         found = cut_lineage(both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("same"),
                                         (F.col("na") + F.col("nb")).alias("sum")))
-        tested = found if tested is None else cut_lineage(tested.unionByName(found))
+        tested = found if tested is None else tested.unionByName(found)
         linked = tested.filter(_is_link(per_cent)).select("a", "b")
         lists = lists.join(least.select("h", F.col("p.node").alias("node")), ["h", "node"], "left_anti")
         comp = components(linked)
         lists = (lists.drop("comp").join(comp.withColumnRenamed("component", "comp"), "node", "left")
                  .withColumn("comp", F.coalesce("comp", "node")))
-        lists = cut_lineage(lists.select("h", "node", "n", "pos", "block", "comp"))
+        lists = lists.select("h", "node", "n", "pos", "block", "comp")
         open_ = lists.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
         lists = cut_lineage(lists.join(open_, "h"))
-        probes *= 4
+        probes *= 16
     return linked
 
 
