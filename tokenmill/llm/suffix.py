@@ -19,8 +19,9 @@ which bounds the depth of the suffix sort.
    shift that the difference cover promises. Adjacent equal prefixes are one
    string, and all but its smallest document lose it.
 
-Copies inside a chunk are sent once. No task holds more than its chunk or its
-share of the names.
+Whole texts that a smaller id repeats byte for byte lose everything at once and
+take no part in the sort; equal samples of a chunk are sent once. No task holds
+more than its chunk or its share of the names.
 
 Edge cases: null text is empty; texts shorter than ``length`` lose nothing;
 equal ids are no reason to remove (only a smaller id is); null ids sort after
@@ -132,6 +133,29 @@ def _frame(rows: list[tuple], names: str) -> pa.Table:
     return pa.table([pa.array(c, t) for c, (_, t) in zip(cols, fields)], [f for f, _ in fields])
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """Mail (kind 4): id and MD5 of every text of LENGTH bytes or more that a smaller id has too."""
+    rows = docs.filter(F.octet_length("body") >= LENGTH).select("chunk", "doc_id", F.unhex(F.md5("body")).alias("md5"))
+    least = rows.groupBy("md5").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    gone = rows.join(least, "md5").filter("least is not null and (doc_id is null or doc_id > least)")
+    none = F.lit(None).cast("binary")
+    return gone.select((F.col("chunk") + 0).alias("chunk"), F.lit(4).alias("kind"), F.lit(0).alias("part"), "md5",
+                       F.coalesce("doc_id", F.lit(NO_ID)).cast("string").cast("binary").alias("b"), none.alias("c"), none.alias("d")) \
+        .withColumnRenamed("md5", "a")
+
+
+def _whole_copies(ids: list, texts: list[bytes], mail: pa.Table) -> set[int]:
+    """Places of the chunk's texts that are copies."""
+    told = {(b, a) for kind, a, b in zip(*(mail.column(c).to_pylist() for c in ("kind", "a", "b"))) if kind == 4}
+    wanted = {b for b, _ in told}
+    key = [b"%d" % (NO_ID if d is None else d) for d in ids]
+    return {i for i, k in enumerate(key) if k in wanted and (k, hashlib.md5(texts[i]).digest()) in told}
+
+
+def _without(texts: list[bytes], copies: set[int]) -> list[bytes]:
+    return [b"" if i in copies else t for i, t in enumerate(texts)] if copies else texts
+
+
 def _chunk_marks(ids: list, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct marks of a chunk, sorted, and whether two of its documents hold them."""
     marks, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -151,9 +175,12 @@ def _chunk_marks(ids: list, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]
 
 
 def _ask_marks(parts: int):
-    def ask(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py()
-        keys, several = _chunk_marks(*chunk_rows(table))
+    def ask(docs: pa.Table, mail: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _frame([], ASK)
+        chunk = docs.column("chunk")[0].as_py()
+        ids, texts = chunk_rows(docs)
+        keys, several = _chunk_marks(ids, _without(texts, _whole_copies(ids, texts, mail)))
         return _frame([(p, chunk, key_bytes(keys[o], 5), np.packbits(several[o]).tobytes(), None, None)
                        for p, o in _split_by_part(part_of(keys, parts), parts)], ASK)
     return ask
@@ -230,9 +257,10 @@ def _ask_names(mark_parts: int, parts: int):
             return _frame([], ASK)
         chunk = docs.column("chunk")[0].as_py()
         ids, texts = chunk_rows(docs)
+        texts = _without(texts, _whole_copies(ids, texts, mail))
         keys, _ = _chunk_marks(ids, texts)
         repeated = np.zeros(len(keys), bool)
-        got = dict(zip(mail.column("part").to_pylist(), mail.column("a").to_pylist()))
+        got = {p: a for kind, p, a in zip(*(mail.column(c).to_pylist() for c in ("kind", "part", "a"))) if kind == 0}
         for p, o in _split_by_part(part_of(keys, mark_parts), mark_parts):
             repeated[o] = np.unpackbits(np.frombuffer(got[p], np.uint8), count=len(o))
         doc, place, name, context, bits = _chunk_samples(ids, texts, keys[repeated])
@@ -329,10 +357,11 @@ def _masks(docs: DataFrame, finish, schema: str, id_col: str, text_col: str) ->
     rows, _, total = chunked(bodies(docs, id_col, text_col))
     mark_parts = max(1, min(60_000, -(-(total // 10) // PART_KEYS)))
     name_parts = max(1, min(60_000, -(-(total // 12) // PART_KEYS)))
-    asks = rows.groupBy("chunk").applyInArrow(_ask_marks(mark_parts), ASK)
-    marks = asks.groupBy("part").applyInArrow(_answer_marks, MAIL)
+    copies = _copies(rows)
+    asks = rows.groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInArrow(_ask_marks(mark_parts), ASK)
+    marks = asks.groupBy("part").applyInArrow(_answer_marks, MAIL).unionByName(copies)
     sent = rows.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(_ask_names(mark_parts, name_parts), ASK)
-    names = sent.groupBy("part").applyInArrow(_answer_names, MAIL)
+    names = sent.groupBy("part").applyInArrow(_answer_names, MAIL).unionByName(copies)
     return rows.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(finish, schema)
 
 
@@ -342,10 +371,13 @@ def _mail_rows(mail: pa.Table) -> list[tuple]:
 
 def _cuts(docs: pa.Table, mail: pa.Table):
     ids, texts = chunk_rows(docs)
-    masks = removed_masks(texts, _mail_rows(mail))
+    copies = _whole_copies(ids, texts, mail)
+    masks = removed_masks(_without(texts, copies), _mail_rows(mail))
     for i, (d, t) in enumerate(zip(ids, texts)):
         mask = masks.get(i)
-        if mask is None:
+        if i in copies:
+            yield d, len(t), len(t), 1, b""
+        elif mask is None:
             yield d, len(t), 0, 0, t
         else:
             kept = np.frombuffer(t, np.uint8)[~mask].tobytes()
