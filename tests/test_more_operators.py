@@ -30,16 +30,20 @@ def test_block_context_ranges_equal_pair_masks(spark):
     assert got == want
 
 
-def test_join_vocab_both_paths(spark, monkeypatch):
-    rows = spark.createDataFrame([(1, "CC(=O)O[UNK]X"), (2, "c1ccccc1Cl")], "k long, s string")
+def test_join_vocab_both_paths(spark):
+    rows = spark.createDataFrame([(1, "CC(=O)O[UNK]X"), (2, "c1ccccc1Cl"), (3, ""), (4, None)], "k long, s string")
     toks = rows.select("k", T.smiles_tokens("s").alias("toks"))
     vocab = spark.createDataFrame(sorted(V.SMILES_VOCAB.items(), key=lambda kv: kv[1]), "token string, id int")
     want = {r["k"]: list(r["ids"]) for r in rows.select("k", T.smiles_ids("s").alias("ids")).collect()}
     got = {r["k"]: list(r["ids"]) for r in J.join_vocab(toks, ["k"], "toks", vocab, V.SMILES_UNK).collect()}
     assert got == want
-    monkeypatch.setattr(J, "MAX_BROADCAST_VOCAB_ROWS", 0)  # shuffle-join path
-    got2 = {r["k"]: list(r["ids"]) for r in J.join_vocab(toks, ["k"], "toks", vocab, V.SMILES_UNK).collect()}
-    assert got2 == want
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # shuffle-join path
+    try:
+        got2 = {r["k"]: list(r["ids"]) for r in J.join_vocab(toks, ["k"], "toks", vocab, V.SMILES_UNK).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got2 == want and want[3] == want[4] == []
 
 
 def test_offset_strategies_agree(spark):

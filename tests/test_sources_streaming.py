@@ -60,10 +60,9 @@ def test_jsonl_and_cache(spark, tmp_path):
         return df.select(T.char_ids("text").alias("ids"))
 
     root = str(tmp_path / "cache")
-    key = S.cache_key("x", "train", True, 64)
-    assert "bs64" in key
-    S.sink_cache(spark, build, root, key).count()
-    S.sink_cache(spark, build, root, key).count()
+    assert S.cache_key("x", block_size=64, insert_eos=True) != S.cache_key("x", block_size=64, insert_eos=False)
+    S.sink_cache(spark, build, root, "x", block_size=64).count()
+    S.sink_cache(spark, build, root, "x", block_size=64).count()
     assert len(calls) == 1
 
 

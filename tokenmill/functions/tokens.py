@@ -75,9 +75,9 @@ def char_tokens(text) -> Column:
 
 
 # --------------------------------------------------------------------- T2 --
-def smiles_tokens(text, max_tokens: int | None = V.SMILES_MAX_TOKENS) -> Column:
-    """Regex tokens of a molecule string; unmatched characters are dropped and
-    only the first ``max_tokens`` are kept (None = no cap)."""
+def smiles_tokens(text, max_tokens: int | None = None) -> Column:
+    """Regex tokens of a molecule string; unmatched characters are dropped. Every
+    token is kept unless the caller passes ``max_tokens``."""
     toks = F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(V.SMILES_PATTERN), 1)
     if max_tokens is None:
         return toks
@@ -108,7 +108,7 @@ def ids_to_tokens(ids, vocab: Mapping[str, int], unk_token: str = "[UNK]") -> Co
 
 
 def smiles_ids(text, vocab: Mapping[str, int] = V.SMILES_VOCAB, unk_id: int = V.SMILES_UNK,
-               max_tokens: int | None = V.SMILES_MAX_TOKENS) -> Column:
+               max_tokens: int | None = None) -> Column:
     return tokens_to_ids(smiles_tokens(text, max_tokens), vocab, unk_id)
 
 

@@ -20,7 +20,7 @@ CHAR_VOCAB_SIZE = len(CHAR_VOCAB)  # 35
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: SMILES token pattern (one capture group; characters that
-# match no alternative are dropped), and the per-call token cap (512 - 2).
+# match no alternative are dropped), and the cap (512 - 2) for callers that ask for one.
 SMILES_PATTERN = (
     r"(\[[^\]]+]|Br?|Cl?|N|O|S|P|F|I|b|c|n|o|s|p|\(|\)|\.|=|#|-|\+|\\|\/|:|~|@|\?|>>?|\*|\$|\%[0-9]{2}|[0-9])"
 )
@@ -30,7 +30,7 @@ SMILES_MAX_TOKENS = 510
 # ---------------------------------------------------------------------------
 # FIXED VALUES: head of the molecule vocabulary, line number = id. A full
 # vocabulary file is read with ``sources.corpus.scan_vocab``; this head is
-# the default when no file is given. '[UNK]' appears on three lines and the
+# what the small query fixtures use; whole corpora pass ``vocab_path``. '[UNK]' appears on three lines and the
 # last one wins (id 13).
 SMILES_VOCAB_HEAD = [
     "[PAD]", "[BOS]", "[EOS]", "[ANS]", "[RB]", "[HD]", "[HA]", "[AR]", "[logp]", "[tpsa]",

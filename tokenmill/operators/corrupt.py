@@ -70,12 +70,13 @@ def _bounds_check(share: Column, eps_min: float, eps_max: float) -> Column:
 
 
 def resample_bounds(blocks: DataFrame, ids_col: str, p_col: str, seed, seq_col: str, offset_col: str,
-                    mask_id: int, eps_min: float, eps_max: float, attempts_per_round: int = 16,
-                    max_rounds: int = 64) -> DataFrame:
+                    mask_id: int, eps_min: float, eps_max: float, attempts_per_round: int = 16) -> DataFrame:
     """C4: per block, the first attempt whose masked share is inside the
     bounds (a bound at 1e-3 / 1 is not checked; both open -> attempt 0).
     Adds ``attempt`` and ``xt``. Rounds of ``attempts_per_round`` attempts
-    run only on blocks still unsettled; each round is checkpointed."""
+    run only on blocks still unsettled, for as long as there are any; each
+    round is checkpointed. A block of a size for which no whole number of
+    masked tokens lies inside the bounds gets a null ``attempt`` and ``xt``."""
     if eps_min == EPS and eps_max == 1.0:
         return blocks.withColumn("attempt", F.lit(0)).withColumn(
             "xt", mask_array(ids_col, p_col, seed, seq_col, F.col(offset_col), 0, mask_id))
@@ -89,19 +90,18 @@ def resample_bounds(blocks: DataFrame, ids_col: str, p_col: str, seed, seq_col:
         pos = F.array_position(F.transform(shares, lambda s: _bounds_check(s, eps_min, eps_max)), True)
         return F.when(pos > 0, pos - 1 + base).otherwise(F.lit(None)).cast("int")
 
-    settled, pending = None, blocks
-    for r in range(max_rounds):
-        tagged = pending.withColumn("attempt", first_ok(r * attempts_per_round))
-        if r == 0 and max_rounds > 1:
-            tagged = cut_lineage(tagged)
-        done = tagged.where(F.col("attempt").isNotNull())
-        settled = done if settled is None else settled.unionByName(done)
+    lo = eps_min if eps_min != EPS else 0.0
+    hi = eps_max if eps_max != 1.0 else 1.0
+    possible = F.ceil(bs * lo - 1e-12) <= F.floor(bs * hi + 1e-12)
+    settled = blocks.where(~F.coalesce(possible, F.lit(False))).withColumn("attempt", F.lit(None).cast("int"))
+    pending, r = blocks.where(possible), 0
+    while True:
+        tagged = cut_lineage(pending.withColumn("attempt", first_ok(r * attempts_per_round)))
+        settled = settled.unionByName(tagged.where(F.col("attempt").isNotNull()))
         pending = tagged.where(F.col("attempt").isNull()).drop("attempt")
-        if pending.limit(1).count() == 0:
+        if pending.isEmpty():
             break
-        pending = cut_lineage(pending)
-    else:
-        raise RuntimeError("blocks left outside the masking bounds after all rounds")
+        r += 1
     return settled.withColumn("xt", mask_array(ids_col, p_col, seed, seq_col, F.col(offset_col), F.col("attempt"), mask_id))
 
 

@@ -13,31 +13,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A vocabulary is broadcast only after its row count was checked against this bound.
-MAX_BROADCAST_VOCAB_ROWS = 2_000_000
-# Above it the token side is salted over this many sub-keys.
-VOCAB_JOIN_SALTS = 32
-
 
 def join_vocab(rows: DataFrame, key_cols: Sequence[str], tokens_col: str, vocab: DataFrame,
                unk_id: int, out_col: str = "ids") -> DataFrame:
     """J1 / T3 for vocabularies too large for a map literal: explode tokens
-    with their position, left-join the vocabulary (broadcast only when its
-    checked row count is small), default UNK, and re-assemble in position
-    order. ``vocab`` is (token, id) with one row per token."""
-    n_vocab = vocab.count()
-    exploded = rows.select(*key_cols, F.posexplode(tokens_col).alias("_pos", "token"))
-    if n_vocab <= MAX_BROADCAST_VOCAB_ROWS:
-        joined = exploded.join(F.broadcast(vocab), on="token", how="left")
-    else:
-        # a few tokens carry a large share of all token rows: salt the token
-        # side and replicate each vocabulary row once per salt value
-        salts = VOCAB_JOIN_SALTS
-        exploded = exploded.withColumn("_salt", F.pmod(F.xxhash64(*key_cols, "_pos"), F.lit(salts)))
-        v = vocab.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        joined = exploded.join(v, on=["token", "_salt"], how="left").drop("_salt")
-    grouped = joined.groupBy(*key_cols).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("id", F.lit(unk_id)).cast("int").alias("id")))).alias("_p"))
+    with their position, left-join the vocabulary, default UNK, and
+    re-assemble in position order. ``vocab`` is (token, id) with one row per
+    token. One plan for every size: Spark broadcasts the vocabulary below its
+    size threshold, and splits the few hot tokens of a shuffled join at run
+    time. Rows without tokens keep an empty array."""
+    exploded = rows.select(*key_cols, F.posexplode_outer(tokens_col).alias("_pos", "token"))
+    joined = exploded.join(vocab, on="token", how="left")
+    found = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("id", F.lit(unk_id)).cast("int").alias("id")))
+    grouped = joined.groupBy(*key_cols).agg(F.array_sort(F.collect_list(found)).alias("_p"))
     return grouped.select(*key_cols, F.transform("_p", lambda s: s["id"]).alias(out_col))
 
 

@@ -185,8 +185,8 @@ def sample_log_summary(log: DataFrame, file_col: str = "file_name") -> DataFrame
 
 
 # ---------------------------------------------------------------- A19, A20 --
-def clip_interval_variance(block_losses: DataFrame, max_batches: int | None = 100) -> DataFrame:
-    """Per interval, sum over (at most ``max_batches``) batches of the
+def clip_interval_variance(block_losses: DataFrame, max_batches: int | None = None) -> DataFrame:
+    """Per interval, sum over all batches (the first ``max_batches`` if given) of the
     unbiased variance of the per-block mean losses of the batch (all ranks
     pooled), and that sum divided by the number of batches."""
     bl = block_losses

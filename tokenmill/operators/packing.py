@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
@@ -45,6 +45,26 @@ def _pieces(df: DataFrame, ids: Column, keep: Sequence[str], chunk: int) -> Data
             .select(*keep, "p.block_id", "p.s", "p.t"))
 
 
+def _with_offsets(df: DataFrame, n: Column, tie: Column, order_cols: Sequence[str], group_cols: Sequence[str],
+                  strategy: str = "two_pass") -> DataFrame:
+    """``df`` with ``_n`` (length) and ``_off`` (start in the concatenated corpus).
+
+    Offsets are computed for distinct keys and joined back null-safely, so rows
+    that share an order key, or have none, keep their tokens: inside a key they
+    follow each other by ``tie``."""
+    keys = [*group_cols, *order_cols]
+    lengths = df.select(*keys, n.alias("_n")).groupBy(*keys).agg(F.sum("_n").alias("_n"))
+    offs = running_offset(lengths, "_n", order_cols, group_cols, "_off", strategy=strategy)
+    offs = offs.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_n").alias("_all"), "_off")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    wide = df.withColumn("_n", n).join(offs, same, "inner")
+    before = Window.partitionBy(*keys).orderBy(tie).rowsBetween(Window.unboundedPreceding, -1)
+    inner = F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long")
+    return wide.withColumn("_off", F.col("_off") + inner).drop("_all", *[f"_k{i}" for i in range(len(keys))])
+
+
 def _assemble(pieces: DataFrame, keys: Sequence[str], chunk: int) -> DataFrame:
     agg = pieces.groupBy(*keys, "block_id").agg(F.collect_list(F.struct("s", "t")).alias("_p"))
     body = F.flatten(F.transform(F.array_sort(F.col("_p")), lambda x: x["t"]))
@@ -64,10 +84,7 @@ def pack_wrapped(df: DataFrame, ids: Column, order_cols: Sequence[str], block_si
     """
     group_cols, order_cols = list(group_cols), list(order_cols)
     chunk = block_size - 2 if insert_special else block_size
-    keys = [*group_cols, *order_cols]
-    lengths = df.select(*keys, F.size(ids).cast("long").alias("_n"))
-    offs = running_offset(lengths, "_n", order_cols, group_cols, "_off", strategy=offset_strategy)
-    wide = df.join(offs, on=keys, how="inner")
+    wide = _with_offsets(df, F.size(ids).cast("long"), F.hash(ids), order_cols, group_cols, offset_strategy)
     blocks = _assemble(_pieces(wide, ids, group_cols, chunk), group_cols, chunk)
     body = F.col("_body")
     input_ids = F.concat(F.array(F.lit(bos)), body, F.array(F.lit(eos))) if insert_special else body
@@ -88,13 +105,10 @@ def pack_chars(df: DataFrame, text_col: str, order_cols: Sequence[str], block_si
     ``char_ids`` + EOS."""
     group_cols, order_cols = list(group_cols), list(order_cols)
     chunk = block_size - 2 if insert_special else block_size
-    keys = [*group_cols, *order_cols]
     t = F.replace(F.coalesce(F.lower(F.col(text_col)), F.lit("")), F.lit(T.EOS_CHAR), F.lit(""))
     if insert_eos:
         t = F.concat(t, F.lit(T.EOS_CHAR))
-    lengths = df.select(*keys, F.char_length(t).cast("long").alias("_n"))
-    offs = running_offset(lengths, "_n", order_cols, group_cols, "_off")
-    wide = df.join(offs, on=keys, how="inner").where(F.col("_n") > 0)
+    wide = _with_offsets(df, F.char_length(t).cast("long"), t, order_cols, group_cols).where(F.col("_n") > 0)
     off = F.col("_off")
     # one linear pass cuts the document at the global block boundaries: pad
     # the front to the block phase, take chunk-sized runs, drop the padding

@@ -22,11 +22,12 @@ def prepare_corpus(spark: SparkSession, name: str, path: str, mode: str = "train
                    block_size: int = 1024, tokenizer: str = "char", insert_eos: bool = True,
                    insert_special: bool = True, order_cols: Sequence[str] = ("id",),
                    cache_root: str | None = None, encoder: Callable | None = None,
-                   special_ids: dict | None = None) -> DataFrame:
+                   special_ids: dict | None = None, vocab_path: str | None = None) -> DataFrame:
     """Read corpus ``name`` at ``path``, detokenise, tokenise and pack/pad it.
 
     ``tokenizer``: 'char' (27-character vocabulary), 'smiles' (molecule
-    regex + vocabulary head) or 'custom' (``encoder`` factory for the
+    regex + the vocabulary file ``vocab_path``, a token a line; without one the
+    built-in first lines) or 'custom' (``encoder`` factory for the
     plug-in UDF, ``special_ids`` = {bos, eos, cls, sep, pad}).
     Wrapped: concatenate, EOS after each item (``insert_eos``), cut into
     ``block_size`` rows with [BOS]/[EOS] (``insert_special``); the training
@@ -36,11 +37,16 @@ def prepare_corpus(spark: SparkSession, name: str, path: str, mode: str = "train
     With ``cache_root`` the result is materialised under a key of every
     parameter that changes the rows and reused when present.
     """
+    vocab = None
     if tokenizer == "char":
         ids_of = T.char_ids
         sp = {"bos": V.CHAR_BOS, "eos": V.CHAR_EOS, "cls": V.CHAR_CLS, "sep": V.CHAR_SEP, "pad": V.CHAR_PAD}
     elif tokenizer == "smiles":
-        ids_of = T.smiles_ids
+        if vocab_path:  # a vocabulary file is a parameter, read whole
+            vocab = {r["token"]: r["id"] for r in C.scan_vocab(spark, vocab_path).collect()}
+
+        def ids_of(col):
+            return T.smiles_ids(col, vocab or V.SMILES_VOCAB)
         sp = {"bos": V.SMILES_BOS, "eos": V.SMILES_EOS, "cls": V.SMILES_CLS, "sep": V.SMILES_SEP, "pad": V.SMILES_PAD}
     else:
         if encoder is None or special_ids is None:
@@ -50,7 +56,7 @@ def prepare_corpus(spark: SparkSession, name: str, path: str, mode: str = "train
             return pluggable_ids(F.col(col) if isinstance(col, str) else col, encoder)
         sp = special_ids
     # without specials the blocks carry no [BOS]/[EOS] wrap; EOS after each item
-    # still follows ``insert_eos`` (only the cache key's tag changes)
+    # still follows ``insert_eos`` (only the cache key changes)
     if name == "text8-crop" and mode == "train":
         block_size *= 2
 
@@ -75,9 +81,10 @@ def prepare_corpus(spark: SparkSession, name: str, path: str, mode: str = "train
 
     if cache_root is None:
         return build()
-    style = "_bosEOS" if (tokenizer == "smiles" and not wrap and insert_special) else ""
-    key = S.cache_key(name, mode, wrap, block_size, insert_eos, insert_special, style)
-    return S.sink_cache(spark, build, cache_root, key)
+    return S.sink_cache(spark, build, cache_root, name, path=path, mode=mode, wrap=wrap, block_size=block_size,
+                        tokenizer=tokenizer, insert_eos=insert_eos, insert_special=insert_special,
+                        order_cols=list(order_cols), special_ids=sp, vocab=vocab,
+                        encoder=getattr(encoder, "__qualname__", None) and f"{encoder.__module__}.{encoder.__qualname__}")
 
 
 def epoch_batches(df: DataFrame, id_col: str, seed: int, epoch: int, replicas: int, rank: int,

@@ -184,17 +184,17 @@ def q_scan_limited(spark, sf):
 
 
 # ------------------------------------------------------------------ S10 --
-@query("sink_cache")
+@query("sink_cache", f"""with d as (select sum(len({char_ids_sql()}) + 1) n from documents)
+select unnest(range((n // 62)::BIGINT)) block_id, 64::BIGINT n from d""")
 def q_sink_cache(spark, sf):
     from ..operators.packing import pack_chars
     root = scratch_path(spark, "cache")
-    key = S.cache_key("documents", "train", True, 64)
-
     def build():
         return pack_chars(_docs(spark, sf), "text", ["doc_id"], 64, V.CHAR_BOS, V.CHAR_EOS)
 
-    S.sink_cache(spark, build, root, key)
-    again = S.sink_cache(spark, build, root, key)  # second call reads the cache
+    S.sink_cache(spark, build, root, "documents", mode="train", wrap=True, block_size=64)
+    # the second call reads the cache
+    again = S.sink_cache(spark, build, root, "documents", mode="train", wrap=True, block_size=64)
     return again.select("block_id", F.size("input_ids").cast("long").alias("n"))
 
 

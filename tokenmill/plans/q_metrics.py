@@ -233,14 +233,14 @@ def q_join_interval_grid(spark, sf):
 
 
 VAR_SQL = f"""with bl as ({BLOCK_LOSSES_SQL}),
-pb as (select interval_id, eps_min, eps_max, batch_id, var_samp(mean_nll) v from bl where batch_id < 100 group by all)
+pb as (select interval_id, eps_min, eps_max, batch_id, var_samp(mean_nll) v from bl group by all)
 select interval_id, eps_min, eps_max, sum(v) var_sum, count(*)::BIGINT n_batches, sum(v) / count(*) var_mean from pb group by all"""
 
 
 @query("clip_interval_variance", f"""select interval_id, round(eps_min, 6) eps_min, round(eps_max, 6) eps_max,
   round(var_sum, {R}) var_sum, n_batches, round(var_mean, {R}) var_mean from ({VAR_SQL})""")
 def q_clip_interval_variance(spark, sf):
-    v = M.clip_interval_variance(block_losses(spark, sf), 100)
+    v = M.clip_interval_variance(block_losses(spark, sf))
     return v.select(F.col("interval_id").cast("int").alias("interval_id"), F.round("eps_min", 6).alias("eps_min"),
                     F.round("eps_max", 6).alias("eps_max"), _r("var_sum"), "n_batches", _r("var_mean"))
 
@@ -248,7 +248,7 @@ def q_clip_interval_variance(spark, sf):
 @query("clip_interval_best", f"""select interval_id, round(eps_min, 6) eps_min, round(eps_max, 6) eps_max,
   round(var_sum, {R}) var_sum from ({VAR_SQL}) order by var_sum, interval_id limit 1""")
 def q_clip_interval_best(spark, sf):
-    v = M.clip_interval_variance(block_losses(spark, sf), 100)
+    v = M.clip_interval_variance(block_losses(spark, sf))
     b = M.clip_interval_best(v)
     return b.select(F.col("interval_id").cast("int").alias("interval_id"), F.round("eps_min", 6).alias("eps_min"),
                     F.round("eps_max", 6).alias("eps_max"), _r("var_sum"))

@@ -34,7 +34,7 @@ def _inv_map_sql() -> str:
 INV_MAP_SQL = _inv_map_sql()
 
 MOL_TOKS_SQL = f"""with m as ({MOLECULES_SQL}),
-t as (select mol_id, smiles, qed, sa, list_slice(regexp_extract_all(smiles, '{PAT}', 1), 1, {V.SMILES_MAX_TOKENS}) toks from m),
+t as (select mol_id, smiles, qed, sa, regexp_extract_all(smiles, '{PAT}', 1) toks from m),
 i as (select *, list_transform(toks, lambda x: coalesce({VOCAB_MAP_SQL}[x], {V.SMILES_UNK}))::INTEGER[] ids from t)"""
 
 
@@ -163,7 +163,7 @@ select mol_id, array_to_string(ids, ' ') ids from i""")
 def q_tokenize_pluggable(spark, sf):
     from ..functions.pluggable import pluggable_ids, regex_tokenizer_factory
     m = molecules(spark, sf)
-    ids = pluggable_ids(F.col("smiles"), regex_tokenizer_factory(PAT, V.SMILES_VOCAB, V.SMILES_UNK, V.SMILES_MAX_TOKENS))
+    ids = pluggable_ids(F.col("smiles"), regex_tokenizer_factory(PAT, V.SMILES_VOCAB, V.SMILES_UNK, None))
     return m.select("mol_id", T.ids_text(ids).alias("ids"))
 
 
@@ -198,7 +198,7 @@ def q_token_budget(spark, sf):
 
 # --------------------------------------------------------------------- J1 --
 @query("join_vocab", MOL_TOKS_SQL + """
-select mol_id, array_to_string(ids, ' ') ids from i where len(toks) > 0""")
+select mol_id, array_to_string(ids, ' ') ids from i""")
 def q_join_vocab(spark, sf):
     m = molecules(spark, sf).select("mol_id", T.smiles_tokens("smiles").alias("toks"))
     vocab = spark.createDataFrame(sorted(V.SMILES_VOCAB.items(), key=lambda kv: kv[1]), "token string, id int")

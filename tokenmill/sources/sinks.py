@@ -14,13 +14,11 @@ from ..functions.text import preview_list
 
 
 # ------------------------------------------------------------------ S10 --
-def cache_key(corpus: str, split: str, wrapped: bool, block_size: int, insert_eos: bool = True,
-              insert_special: bool = True, style: str = "") -> str:
-    """Cache folder name from every parameter that changes the rows; the block
-    size is always part of it (no stale cache across block sizes)."""
-    tag = "_specialFalse" if not insert_special else ("_eosFalse" if not insert_eos else "")
-    mode = "wrapped" if wrapped else "unwrapped"
-    return f"{corpus}_{split}_bs{block_size}_{mode}{tag}{style}"
+def cache_key(corpus: str, **parameters) -> str:
+    """Folder name: the corpus and a digest of every parameter that changes the rows."""
+    import hashlib
+    text = json.dumps({"corpus": corpus, **parameters}, sort_keys=True, default=repr)
+    return f"{corpus}-{hashlib.sha256(text.encode()).hexdigest()[:24]}"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -30,18 +28,22 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def sink_cache(spark: SparkSession, build, root: str, key: str, streaming: bool = False) -> DataFrame:
-    """Materialise ``build()`` under ``root/key`` (parquet + manifest) unless it
-    is already there; a streaming corpus is never cached."""
+def sink_cache(spark: SparkSession, build, root: str, corpus: str, streaming: bool = False, **parameters) -> DataFrame:
+    """Materialise ``build()`` under ``root/cache_key(...)`` (parquet + manifest)
+    unless it is already there; a folder whose manifest names other parameters
+    is an error, and a streaming corpus is never cached."""
     if streaming:
         return build()
+    key = cache_key(corpus, **parameters)
+    said = json.dumps({"corpus": corpus, **parameters}, sort_keys=True, default=repr)
     path = os.path.join(root, key)
     manifest = os.path.join(path, "_manifest.json")
     if not _exists(spark, manifest):
         df = build()
         df.write.mode("overwrite").parquet(os.path.join(path, "data"))
-        spark.createDataFrame([(json.dumps({"key": key, "columns": df.columns}),)], "value string") \
-            .coalesce(1).write.mode("overwrite").text(manifest)
+        spark.createDataFrame([(said,)], "value string").coalesce(1).write.mode("overwrite").text(manifest)
+    elif spark.read.text(manifest).first()[0] != said:
+        raise ValueError(f"the cache in {path} was made with other parameters")
     return spark.read.parquet(os.path.join(path, "data"))
 
 
@@ -69,7 +71,7 @@ def sink_text(samples: DataFrame, metrics: dict, folder: str, text_col: str = "t
     """Samples one per line, and ``key: value`` metric lines."""
     samples.select(F.col(text_col).alias("value")).write.mode("overwrite").text(os.path.join(folder, "samples"))
     spark = samples.sparkSession
-    lines = ["SMILES Metrics:"] + [f"{k}: {v}" for k, v in metrics.items()]
+    lines = [f"{k}: {v}" for k, v in metrics.items()]
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(
         os.path.join(folder, "metrics"))
 

@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import tokens as T
@@ -43,6 +44,28 @@ def stage_as_files(df: DataFrame, path: str, order_col: str, n_files: int) -> st
     return path
 
 
+class _ProgressLog(StreamingQueryListener):
+    """Keeps the progress records of all runs, by run."""
+
+    def __init__(self):
+        self.records: list = []
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        self.records.append(event.progress)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+    def of(self, run_id) -> list:
+        return [p for p in self.records if str(p.runId) == str(run_id)]
+
+
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
             .parquet(path))
@@ -51,7 +74,11 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
 def run_to_parquet(sdf: DataFrame, out: str, checkpoint: str, mode: str = "append",
                    max_batches: int | None = None) -> list:
     """Run a streaming query until the input is drained (availableNow), write
-    parquet; returns the progress records."""
+    parquet; returns every progress record of the run (the query object
+    itself only remembers the last hundred)."""
+    spark = sdf.sparkSession
+    log = _ProgressLog()
+    spark.streams.addListener(log)
     if mode == "append":
         q = (sdf.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
              .outputMode("append").trigger(availableNow=True).start())
@@ -60,8 +87,12 @@ def run_to_parquet(sdf: DataFrame, out: str, checkpoint: str, mode: str = "appen
             bdf.write.mode("overwrite").parquet(out)
         q = (sdf.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
              .outputMode(mode).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return list(q.recentProgress)
+    try:
+        q.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(log)
+    return log.of(q.runId)
 
 
 # -------------------------------------------------------------------- ST1 --
