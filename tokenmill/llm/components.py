@@ -34,8 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``node``, ``component`` (its least node) for every node of the edges (columns a, b).
 
     Self-loops, repeated edges and both directions are fine; rows with a null end are ignored."""
-    e = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                    .filter("a is not null and b is not null").distinct())
+    e = cut_lineage(edges.filter("a is not null and b is not null")
+                    .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     nodes = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
     e = e.filter("a <> b")
     while True:

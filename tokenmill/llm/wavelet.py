@@ -64,7 +64,7 @@ class WaveletMatrix:
             raw = np.packbits(bit.astype(np.uint8), bitorder="little")
             wide = np.zeros(blocks * BLOCK // 8, np.uint8)
             wide[:len(raw)] = raw
-            ones = np.bitwise_count(wide.view(np.uint64)).reshape(blocks, -1).sum(axis=1, dtype=np.uint32)
+            ones = np.bitwise_count(wide.view(np.uint64)).reshape(blocks, BLOCK // 64).sum(axis=1, dtype=np.uint32)
             planes.append(_zip(wide.tobytes()))
             ranks.append(_zip((np.cumsum(ones, dtype=np.uint32) - ones).astype("<u4").tobytes()))
             mask = bit.astype(bool)
