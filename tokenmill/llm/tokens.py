@@ -70,7 +70,7 @@ def _library_table(path: str) -> PieceTable:
     tok = Tokenizer.from_file(path)
 
     def encode(pieces):
-        return [x.ids for x in tok.encode_batch([p.decode("utf-8") for p in pieces], add_special_tokens=False)]
+        return [x.ids for x in tok.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)]
 
     return PieceTable(encode)
 
