@@ -44,6 +44,6 @@ def test_query_matches_oracle(spark, duck, name):
     assert got[3] == want[3], "values"
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - set(ORACLES) if not n.startswith("op")))
 def test_rows_only_queries_run(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    assert QUERIES[name](spark, SF).count() > 0
