@@ -46,6 +46,13 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame,
     return docs.withColumn("chunk", chunk), n, total
 
 
+def settled(df: DataFrame, rows_each: int = 50_000) -> DataFrame:
+    """Checkpoint of a table that a loop has shrunk, in as many partitions as its rows fill:
+    what reads it next then starts no task, and writes no shuffle file, for empty ones."""
+    out = cut_lineage(df)
+    return out.coalesce(max(1, -(-out.count() // rows_each)))
+
+
 def key_bytes(h: np.ndarray, width: int = 6) -> bytes:
     """The low ``width`` bytes of each 64-bit hash."""
     return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import settled
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -34,12 +34,12 @@ def components(edges: DataFrame) -> DataFrame:
     """``node``, ``component`` (its least node) for every node of the edges (columns a, b).
 
     Self-loops, repeated edges and both directions are fine; rows with a null end are ignored."""
-    e = cut_lineage(edges.filter("a is not null and b is not null")
+    e = settled(edges.filter("a is not null and b is not null")
                     .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     nodes = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
     e = e.filter("a <> b")
     while True:
-        e = cut_lineage(_small(_large(e)))
+        e = settled(_small(_large(e)))
         # done when the edges are stars: each node has one edge, and no root has one
         ends = e.select(F.col("b").alias("a")).distinct().withColumn("is_root", F.lit(True))
         once = e.groupBy("a").agg(F.count(F.lit(1)).alias("edges"))

@@ -14,7 +14,7 @@ each document under the links.
    a probe reads its own and the two neighbouring blocks only; within them the
    positions bound the largest possible overlap, and entries that can't reach
    the threshold are skipped.
-4. A few sets of each list are probed at a time (one, then sixteen times as
+4. A few sets of each list are probed at a time (one, then four times as
    many each round), and a list is done once its sets are in one component. Answers are
    derived where a highly similar set has them: Jaccard distance is a metric,
    so if y is linked to pivot p and z is too far from p, the pair (y, z) is
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bodies, chunked, cut_lineage, key_array, key_bytes, segments, word_slots
+from .common import bodies, chunked, cut_lineage, key_array, key_bytes, segments, settled, word_slots
 from .components import components
 
 #: Distinct n-grams in one part: bounds the memory of a counting task.
@@ -201,7 +201,7 @@ def links(sets: DataFrame, per_cent: int) -> DataFrame:
              .select("h", "node", "n", (F.col("last") - F.col("k") + 1 + F.col("i")).alias("pos"), block.alias("block"))
              .withColumn("comp", F.col("node")))
     many = lists.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    lists = cut_lineage(lists.join(many, "h"))
+    lists = settled(lists.join(many, "h"))
     shared = sets.filter("prefix is not null").select("node", F.col("n").alias("size"), "shared")
     tested = None  # a, b, same (overlap): every pair looked at so far
     linked, probes = None, 1
@@ -224,7 +224,7 @@ def links(sets: DataFrame, per_cent: int) -> DataFrame:
             pairs = _underived(pairs, tested, per_cent)
         both = (pairs.join(shared.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("shared").alias("sa")), "a")
                 .join(shared.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("shared").alias("sb")), "b"))
-        found = cut_lineage(both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("same"),
+        found = settled(both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("same"),
                                         (F.col("na") + F.col("nb")).alias("sum")))
         tested = found if tested is None else tested.unionByName(found)
         linked = tested.filter(_is_link(per_cent)).select("a", "b")
@@ -234,8 +234,8 @@ def links(sets: DataFrame, per_cent: int) -> DataFrame:
                  .withColumn("comp", F.coalesce("comp", "node")))
         lists = lists.select("h", "node", "n", "pos", "block", "comp")
         open_ = lists.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
-        lists = cut_lineage(lists.join(open_, "h"))
-        probes *= 16
+        lists = settled(lists.join(open_, "h"))
+        probes *= 4
     return linked
 
 
@@ -264,7 +264,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, per_cent: int = 80, id_col:
     and, for callers that need it, node (the row's own key)."""
     sets = sets_of(docs, n, per_cent, id_col, text_col)
     first = F.min(F.struct(F.col("prefix").isNull().alias("bare"), "node")).alias("f")
-    reps = cut_lineage(sets.filter("sig is not null").groupBy("sig").agg(first).select("sig", F.col("f.node").alias("rep")))
+    reps = settled(sets.filter("sig is not null").groupBy("sig").agg(first).select("sig", F.col("f.node").alias("rep")))
     chosen = sets.join(reps.select(F.col("rep").alias("node")), "node", "left_semi")
     found = links(chosen, per_cent)
     rows = sets.select("node", "doc_id", "n", "sig").join(reps, "sig", "left")
@@ -273,6 +273,6 @@ def jaccard_components(docs: DataFrame, n: int = 5, per_cent: int = 80, id_col:
         rows = rows.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     else:
         rows = rows.withColumn("component", F.lit(None).cast("long"))
-    rows = cut_lineage(rows.select("node", "doc_id", "n", F.coalesce("component", "rep", "node").alias("root")))
+    rows = settled(rows.select("node", "doc_id", "n", F.coalesce("component", "rep", "node").alias("root")))
     least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "root").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "node")
