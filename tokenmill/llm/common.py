@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from tokenmill.session import checkpoint_dir, cut_lineage, table
 CHUNK_BYTES = 24 << 20
 
 __all__ = ["CHUNK_BYTES", "bodies", "chunked", "checkpoint_dir", "cut_lineage", "documents",
-           "key_bytes", "key_array", "segments", "table", "worker_state", "word_slots"]
+           "key_bytes", "key_array", "segments", "settled", "table", "worker_state", "word_slots"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +47,14 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame,
     return docs.withColumn("chunk", chunk), n, total
 
 
-def settled(df: DataFrame, rows_each: int = 50_000) -> DataFrame:
-    """Checkpoint of a table that a loop has shrunk, in as many partitions as its rows fill:
-    what reads it next then starts no task, and writes no shuffle file, for empty ones."""
-    out = cut_lineage(df)
-    return out.coalesce(max(1, -(-out.count() // rows_each)))
+def settled(df: DataFrame) -> DataFrame:
+    """A table that a loop makes, written in the shared checkpoint folder and read back.
+
+    Like a checkpoint it cuts lineage. Small files are read by few tasks, and the
+    files' size tells Spark whether a join may broadcast the table."""
+    path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def key_bytes(h: np.ndarray, width: int = 6) -> bytes:

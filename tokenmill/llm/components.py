@@ -20,7 +20,7 @@ def _large(e: DataFrame) -> DataFrame:
     both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
     return (both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .filter("a <> b").distinct())
+            .filter("a <> b"))
 
 
 def _small(e: DataFrame) -> DataFrame:
@@ -35,15 +35,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Self-loops, repeated edges and both directions are fine; rows with a null end are ignored."""
     e = settled(edges.filter("a is not null and b is not null")
-                    .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+                    .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     nodes = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
     e = e.filter("a <> b")
     while True:
         e = settled(_small(_large(e)))
-        # done when the edges are stars: each node has one edge, and no root has one
-        ends = e.select(F.col("b").alias("a")).distinct().withColumn("is_root", F.lit(True))
-        once = e.groupBy("a").agg(F.count(F.lit(1)).alias("edges"))
-        if once.join(ends, "a", "left").filter("edges > 1 or is_root").isEmpty():
+        # done when the edges are stars: no root has an edge, and each other node has one
+        held = e.join(e.select(F.col("b").alias("a")), "a", "left_semi")
+        if held.isEmpty() and e.groupBy("a").agg(F.count(F.lit(1)).alias("edges")).filter("edges > 1").isEmpty():
             break
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -14,11 +14,13 @@ each document under the links.
    a probe reads its own and the two neighbouring blocks only; within them the
    positions bound the largest possible overlap, and entries that can't reach
    the threshold are skipped.
-4. A few sets of each list are probed at a time (one, then four times as
-   many each round), and a list is done once its sets are in one component. Answers are
-   derived where a highly similar set has them: Jaccard distance is a metric,
-   so if y is linked to pivot p and z is too far from p, the pair (y, z) is
-   out without looking at the sets.
+4. A few sets of each list are probed at a time (one, then sixteen times as
+   many each round), and a list is done once its sets are in one component.
+   When the pairs left are few for the size of the lists, one last round
+   probes all of them. Answers are derived where a highly similar set has them:
+   Jaccard distance is a metric, so where y and z were both compared with the
+   same set and their distances to it differ by more than the limit, the pair
+   (y, z) is out without looking at the sets.
 
 Edge cases: null or empty text has no n-grams, is linked with nothing and is
 its own component; fewer than n words give one n-gram, the whole sequence; a
@@ -40,6 +42,9 @@ from .components import components
 
 #: Distinct n-grams in one part: bounds the memory of a counting task.
 PART_KEYS = 2_000_000
+#: All pairs left are looked at once they are at most so many for each entry of the lists,
+#: or once so many sets of a list would be probed at a time. Which pairs link is the same either way.
+LINEAR, MOST_PROBES = 16, 4096
 ASK = "part int, chunk int, keys binary, counts binary"
 ANSWER = "chunk int, part int, data binary"
 SETS = "node long, doc_id long, n int, sig binary, prefix array<long>, shared array<long>"
@@ -190,72 +195,88 @@ def sets_of(docs: DataFrame, n: int, per_cent: int, id_col: str, text_col: str)
                        .applyInArrow(_prefixes(n, parts, per_cent), SETS))
 
 
-def links(sets: DataFrame, per_cent: int) -> DataFrame:
+def links(sets: DataFrame, per_cent: int) -> DataFrame | None:
     """``sets``: node, n, prefix, shared of different sets. Links (a, b) whose components are
     those of all links: pairs inside a component that is already known may be left out."""
     size = per_cent / 100
     last = F.col("n") - F.ceil(F.lit(size) * F.col("n") - 1e-9).cast("int")  # the prefix's last position
     block = F.floor(F.log("n") / math.log(1 / size)).cast("int")
-    lists = (sets.filter("prefix is not null")
-             .select("node", "n", last.alias("last"), F.size("prefix").alias("k"), F.posexplode("prefix").alias("i", "h"))
-             .select("h", "node", "n", (F.col("last") - F.col("k") + 1 + F.col("i")).alias("pos"), block.alias("block"))
-             .withColumn("comp", F.col("node")))
+    met = sets.filter("prefix is not null")
+    lists = (met.select("node", "n", last.alias("last"), F.size("prefix").alias("k"), F.posexplode("prefix").alias("i", "h"))
+             .select("h", "node", "n", (F.col("last") - F.col("k") + 1 + F.col("i")).alias("pos"), block.alias("block")))
     many = lists.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    lists = settled(lists.join(many, "h"))
-    shared = sets.filter("prefix is not null").select("node", F.col("n").alias("size"), "shared")
-    tested = None  # a, b, same (overlap): every pair looked at so far
-    linked, probes = None, 1
-    while not lists.isEmpty():
-        # pivots: one set of each of ``probes`` salts of a list's block, by a hash of the set alone,
-        # so that lists over the same sets have the same pivots and repeat the same pairs
-        least = (lists.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(probes)), F.lit(probes)))
-                 .groupBy("h", "block", "salt")
-                 .agg(F.min(F.struct(F.xxhash64("node").alias("o"), "n", "node", "pos", "comp")).alias("p")))
-        pivots = least.select("h", "p.n", "p.node", "p.pos", "p.comp", F.explode(F.array(*[F.col("block") + d for d in (-1, 0, 1)])).alias("block"))
-        other = lists.select("h", "block", F.col("node").alias("node2"), F.col("n").alias("n2"),
-                             F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
-        most = 1 + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) - 1
-        pairs = (pivots.join(other, ["h", "block"]).filter(F.col("comp") != F.col("comp2"))
-                 .filter(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * per_cent)
-                 .filter(most * (100 + per_cent) >= (F.col("n") + F.col("n2")) * per_cent)
-                 .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct())
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-            pairs = _underived(pairs, tested, per_cent)
+    lists = settled(lists.join(many, "h").withColumns(
+        {"comp": F.col("node"), "ref": F.lit(None).cast("long"), "dist": F.lit(None).cast("double")}))
+    entries = lists.count()
+    if not entries:
+        return None
+    # dealt by node once: later joins move only the pairs
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = cut_lineage(met.select("node", F.col("n").alias("size"), "shared").repartition(parts, "node"))
+    tested, probes, whole = None, 1, False  # tested: a, b, same (overlap), sum (of the sizes)
+    while True:
+        pairs = _candidates(lists, None if whole else probes, per_cent)
+        if tested is None:
+            pairs = pairs.distinct()
+        else:
+            seen = pairs.withColumn("same", F.lit(None).cast("int")).unionByName(tested.select("a", "b", "same"))
+            pairs = seen.groupBy("a", "b").agg(F.max("same").alias("same")).filter("same is null").select("a", "b")
         both = (pairs.join(shared.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("shared").alias("sa")), "a")
                 .join(shared.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("shared").alias("sb")), "b"))
         found = settled(both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("same"),
-                                        (F.col("na") + F.col("nb")).alias("sum")))
+                                    (F.col("na") + F.col("nb")).alias("sum")))
         tested = found if tested is None else tested.unionByName(found)
-        linked = tested.filter(_is_link(per_cent)).select("a", "b")
-        lists = lists.join(least.select("h", F.col("p.node").alias("node")), ["h", "node"], "left_anti")
-        comp = components(linked)
-        lists = (lists.drop("comp").join(comp.withColumnRenamed("component", "comp"), "node", "left")
+        linked = tested.filter(100 * F.col("same") >= per_cent * (F.col("sum") - F.col("same"))).select("a", "b")
+        if whole:
+            return linked
+        lists = (lists.select("h", "node", "n", "pos", "block").join(_learned(tested, linked), "node", "left")
                  .withColumn("comp", F.coalesce("comp", "node")))
-        lists = lists.select("h", "node", "n", "pos", "block", "comp")
-        open_ = lists.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
-        lists = settled(lists.join(open_, "h"))
-        probes *= 4
-    return linked
-
-
-def _is_link(per_cent: int):
-    return 100 * F.col("same") >= per_cent * (F.col("sum") - F.col("same"))
-
-
-def _underived(pairs: DataFrame, tested: DataFrame, per_cent: int) -> DataFrame:
-    """Drops pairs whose answer follows from a linked set's: distance(p, z) over twice the
-    limit and y linked to p leave y and z too far apart."""
-    ends = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"), "same", "sum"))
-    near = ends.filter(_is_link(per_cent)).groupBy(F.col("a").alias("y")).agg(F.min("b").alias("p"))
-    limit = max(0, 2 * per_cent - 100)
-    far = ends.filter(100 * F.col("same") < limit * (F.col("sum") - F.col("same"))).select(
-        F.col("a").alias("p"), F.col("b").alias("z")).distinct()
-    for y, z in (("a", "b"), ("b", "a")):
-        known = (pairs.join(near.withColumnRenamed("y", y), y).withColumnRenamed(z, "z").join(far, ["p", "z"], "left_semi")
-                 .withColumnRenamed("z", z).select("a", "b"))
-        pairs = pairs.join(known, ["a", "b"], "left_anti")
-    return pairs
+        open_ = settled(lists.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"))
+                        .filter("lo <> hi").select("h", "c"))
+        left = open_.agg(F.sum(F.col("c") * F.col("c"))).first()[0]
+        if not left:
+            return linked
+        lists = settled(lists.join(open_.select("h"), "h"))
+        probes *= 16
+        whole = left <= LINEAR * entries or probes > MOST_PROBES
+
+
+def _candidates(lists: DataFrame, probes: int | None, per_cent: int) -> DataFrame:
+    """Pairs (a, b), perhaps repeated, of probed sets and those of their list that the block, the
+    positions, the components and the distances to a common set leave open. Probed are one set
+    of each of ``probes`` salts of a list's block, by a hash of the set alone, so that lists over
+    the same sets probe the same and repeat the same pairs; None: all sets."""
+    if probes is None:
+        probed, near = lists, (0, 1)  # a pair is met from its lower block
+    else:
+        fields = ["n", "node", "pos", "comp", "ref", "dist"]
+        salt = F.pmod(F.xxhash64("node", F.lit(probes)), F.lit(probes))
+        probed = (lists.groupBy("h", "block", salt.alias("salt"))
+                  .agg(F.min(F.struct(F.xxhash64("node", F.lit(-probes)).alias("o"), *fields)).alias("p"))
+                  .select("h", "block", *[f"p.{f}" for f in fields]))
+        near = (-1, 0, 1)
+    probed = (probed.withColumn("step", F.explode(F.array(*map(F.lit, near))))
+              .withColumn("block", F.col("block") + F.col("step")))
+    other = lists.select("h", "block", *[F.col(c).alias(c + "2") for c in ("node", "n", "pos", "comp", "ref", "dist")])
+    most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+    apart = (F.col("ref") == F.col("ref2")) & (F.abs(F.col("dist") - F.col("dist2")) > 1 - per_cent / 100 + 1e-9)
+    pairs = (probed.join(other, ["h", "block"]).filter(F.col("comp") != F.col("comp2"))
+             .filter(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * per_cent)
+             .filter(most * (100 + per_cent) >= (F.col("n") + F.col("n2")) * per_cent)
+             .filter(~F.coalesce(apart, F.lit(False))))
+    if probes is None:
+        pairs = pairs.filter("step = 1 or node < node2")
+    return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+
+
+def _learned(tested: DataFrame, linked: DataFrame) -> DataFrame:
+    """Per set compared so far: node, comp, and the most similar set (ref) at its distance (dist)."""
+    dist = 1 - F.col("same") / (F.col("sum") - F.col("same"))
+    ends = tested.select(F.col("a").alias("node"), F.col("b").alias("ref"), dist.alias("dist"))
+    ends = ends.unionByName(tested.select(F.col("b").alias("node"), F.col("a").alias("ref"), dist.alias("dist")))
+    nearest = ends.groupBy("node").agg(F.min(F.struct("dist", "ref")).alias("r"))
+    comp = components(linked).withColumnRenamed("component", "comp")
+    return settled(nearest.join(comp, "node", "left").select("node", "comp", "r.ref", "r.dist"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, per_cent: int = 80, id_col: str = "doc_id",
