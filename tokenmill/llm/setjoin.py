@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bodies, chunked, cut_lineage, key_array, key_bytes, segments, settled, word_slots
-from .components import components
+from .components import contracted, stars
 
 #: Distinct n-grams in one part: bounds the memory of a counting task.
 PART_KEYS = 2_000_000
@@ -275,7 +275,7 @@ def _learned(tested: DataFrame, linked: DataFrame) -> DataFrame:
     ends = tested.select(F.col("a").alias("node"), F.col("b").alias("ref"), dist.alias("dist"))
     ends = ends.unionByName(tested.select(F.col("b").alias("node"), F.col("a").alias("ref"), dist.alias("dist")))
     nearest = ends.groupBy("node").agg(F.min(F.struct("dist", "ref")).alias("r"))
-    comp = components(linked).withColumnRenamed("component", "comp")
+    comp = stars(contracted(linked)).withColumnRenamed("component", "comp")
     return settled(nearest.join(comp, "node", "left").select("node", "comp", "r.ref", "r.dist"))
 
 
@@ -290,7 +290,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, per_cent: int = 80, id_col:
     found = links(chosen, per_cent)
     rows = sets.select("node", "doc_id", "n", "sig").join(reps, "sig", "left")
     if found is not None:
-        comp = components(found)
+        comp = stars(contracted(found))
         rows = rows.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     else:
         rows = rows.withColumn("component", F.lit(None).cast("long"))
