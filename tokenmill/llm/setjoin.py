@@ -13,7 +13,7 @@ each document under the links.
 3. The prefixes form index lists. A list is cut into blocks by set size, and
    a probe reads its own and the two neighbouring blocks only; within them the
    positions bound the largest possible overlap, and entries that can't reach
-   the threshold are skipped.
+   the threshold are skipped, as are pairs that meet in a list shortly before.
 4. A few sets of each list are probed at a time (one, then sixteen times as
    many each round), and a list is done once its sets are in one component.
    When the pairs left are few for the size of the lists, one last round
@@ -45,6 +45,9 @@ PART_KEYS = 2_000_000
 #: All pairs left are looked at once they are at most so many for each entry of the lists,
 #: or once so many sets of a list would be probed at a time. Which pairs link is the same either way.
 LINEAR, MOST_PROBES = 16, 4096
+#: A list's entry carries so many n-grams that come before in its prefix: two sets that share one
+#: of them meet in that list, so they needn't meet in this one.
+BACK = 4
 ASK = "part int, chunk int, keys binary, counts binary"
 ANSWER = "chunk int, part int, data binary"
 SETS = "node long, doc_id long, n int, sig binary, prefix array<long>, shared array<long>"
@@ -202,8 +205,9 @@ def links(sets: DataFrame, per_cent: int) -> DataFrame | None:
     last = F.col("n") - F.ceil(F.lit(size) * F.col("n") - 1e-9).cast("int")  # the prefix's last position
     block = F.floor(F.log("n") / math.log(1 / size)).cast("int")
     met = sets.filter("prefix is not null")
-    lists = (met.select("node", "n", last.alias("last"), F.size("prefix").alias("k"), F.posexplode("prefix").alias("i", "h"))
-             .select("h", "node", "n", (F.col("last") - F.col("k") + 1 + F.col("i")).alias("pos"), block.alias("block")))
+    lists = (met.select("node", "n", last.alias("last"), "prefix", F.size("prefix").alias("k"), F.posexplode("prefix").alias("i", "h"))
+             .select("h", "node", "n", (F.col("last") - F.col("k") + 1 + F.col("i")).alias("pos"), block.alias("block"),
+                     F.slice("prefix", F.greatest(F.col("i") - BACK, F.lit(0)) + 1, F.least("i", F.lit(BACK))).alias("back")))
     many = lists.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
     lists = settled(lists.join(many, "h").withColumns(
         {"comp": F.col("node"), "ref": F.lit(None).cast("long"), "dist": F.lit(None).cast("double")}))
@@ -229,7 +233,7 @@ def links(sets: DataFrame, per_cent: int) -> DataFrame | None:
         linked = tested.filter(100 * F.col("same") >= per_cent * (F.col("sum") - F.col("same"))).select("a", "b")
         if whole:
             return linked
-        lists = (lists.select("h", "node", "n", "pos", "block").join(_learned(tested, linked), "node", "left")
+        lists = (lists.select("h", "node", "n", "pos", "block", "back").join(_learned(tested, linked), "node", "left")
                  .withColumn("comp", F.coalesce("comp", "node")))
         open_ = settled(lists.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"))
                         .filter("lo <> hi").select("h", "c"))
@@ -243,13 +247,13 @@ def links(sets: DataFrame, per_cent: int) -> DataFrame | None:
 
 def _candidates(lists: DataFrame, probes: int | None, per_cent: int) -> DataFrame:
     """Pairs (a, b), perhaps repeated, of probed sets and those of their list that the block, the
-    positions, the components and the distances to a common set leave open. Probed are one set
+    positions, the components, the distances to a common set and the lists before leave open. Probed are one set
     of each of ``probes`` salts of a list's block, by a hash of the set alone, so that lists over
     the same sets probe the same and repeat the same pairs; None: all sets."""
     if probes is None:
         probed, near = lists, (0, 1)  # a pair is met from its lower block
     else:
-        fields = ["n", "node", "pos", "comp", "ref", "dist"]
+        fields = ["n", "node", "pos", "comp", "ref", "dist", "back"]
         salt = F.pmod(F.xxhash64("node", F.lit(probes)), F.lit(probes))
         probed = (lists.groupBy("h", "block", salt.alias("salt"))
                   .agg(F.min(F.struct(F.xxhash64("node", F.lit(-probes)).alias("o"), *fields)).alias("p"))
@@ -257,13 +261,13 @@ def _candidates(lists: DataFrame, probes: int | None, per_cent: int) -> DataFram
         near = (-1, 0, 1)
     probed = (probed.withColumn("step", F.explode(F.array(*map(F.lit, near))))
               .withColumn("block", F.col("block") + F.col("step")))
-    other = lists.select("h", "block", *[F.col(c).alias(c + "2") for c in ("node", "n", "pos", "comp", "ref", "dist")])
+    other = lists.select("h", "block", *[F.col(c).alias(c + "2") for c in ("node", "n", "pos", "comp", "ref", "dist", "back")])
     most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
     apart = (F.col("ref") == F.col("ref2")) & (F.abs(F.col("dist") - F.col("dist2")) > 1 - per_cent / 100 + 1e-9)
     pairs = (probed.join(other, ["h", "block"]).filter(F.col("comp") != F.col("comp2"))
              .filter(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * per_cent)
              .filter(most * (100 + per_cent) >= (F.col("n") + F.col("n2")) * per_cent)
-             .filter(~F.coalesce(apart, F.lit(False))))
+             .filter(~F.coalesce(apart, F.lit(False))).filter(~F.arrays_overlap("back", "back2")))
     if probes is None:
         pairs = pairs.filter("step = 1 or node < node2")
     return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
