@@ -148,3 +148,13 @@ def test_pipeline_stages(spark, tmp_path, rows):
         old = dict(seen[2])[d]
         assert (t == old) if not cuts[d] else len((t or "").encode()) <= len(old.encode()) - cuts[d]
     assert {r["doc_id"] for r in seen[4]} == {d for d, _ in seen[3]}
+
+
+@pytest.mark.parametrize("most", [3, 100_000])
+def test_contracted_edges_keep_components(spark, monkeypatch, most):
+    monkeypatch.setattr(C, "TASK_EDGES", most)
+    pairs = [(i, i + 1) for i in range(40, 60)] + [(7, 100 + i) for i in range(30)] + [(5, 3), (3, 5), (9, 9)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(4)
+    got = {r["node"]: r["component"] for r in C.stars(C.contracted(edges)).collect()}
+    assert got == {**{i: 40 for i in range(41, 61)}, **{100 + i: 7 for i in range(30)}, 5: 3}
+    assert C.stars(C.contracted(edges.limit(0))).count() == 0
