@@ -12,24 +12,21 @@ from __future__ import annotations
 import os
 import sys
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tokenmill.llm import exact, packing, setjoin, suffix, toxicity  # noqa: E402
-from tokenmill.llm.common import table  # noqa: E402
+from tokenmill.llm.common import settled, table  # noqa: E402
 from tokenmill.llm.queries import vocabulary  # noqa: E402
 from tokenmill.session import scratch_path  # noqa: E402
 
 
-def _first_rows(docs: DataFrame) -> DataFrame:
-    """One row of each id: of rows that repeat an id, the first by text."""
-    several = docs.groupBy("doc_id").count().filter("count > 1")
-    if several.isEmpty():
-        return docs
-    w = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    return docs.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number ``_row`` for each row, written once so that all passes see the same
+    numbers: ids may be null or repeat."""
+    return settled(docs.withColumn("_row", F.monotonically_increasing_id()))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +34,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact.dedup(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return _first_rows(docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi"))
+    rows = _numbered(docs)
+    gone = exact.dedup_rows(rows, "_row").filter("not kept").select(F.col("row").alias("_gone"))
+    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = setjoin.jaccard_components(docs, n=5, per_cent=80)
-    kept = groups.filter("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """Of each group the row with the smallest id stays (null last, then the first row)."""
+    rows = _numbered(docs)
+    groups = setjoin.jaccard_components(rows, n=5, per_cent=80, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    ids = rows.select("_row", F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"))
+    first = F.min(F.struct("none", "id", "_row")).alias("first")
+    kept = groups.join(ids, "_row").groupBy("component_id").agg(first).select(F.col("first._row").alias("_kept"))
+    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -146,11 +146,6 @@ def screen(groups: DataFrame, filters: DataFrame, n_buckets: int) -> DataFrame:
     return asked.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(ask, "digest binary, maybe boolean")
 
 
-def _smallest(col: str):
-    """Least id, nulls last."""
-    return F.min(F.struct(F.col(col).isNull().alias("none"), F.col(col).alias("id")))
-
-
 def dedup(docs: DataFrame, in_snapshot=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, known
     (a row of the new batch whose text the snapshot holds).
@@ -158,10 +153,20 @@ def dedup(docs: DataFrame, in_snapshot=None, id_col: str = "doc_id", text_col: s
     ``in_snapshot`` is a condition on ``doc_id``: rows for which it holds are the
     snapshot, the rest the new batch; by default the lower half of the id range.
     """
+    return _flagged(docs, None, in_snapshot, id_col, text_col).drop("row")
+
+
+def dedup_rows(docs: DataFrame, row_col: str, in_snapshot=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``dedup`` with ``row``, the value of ``row_col`` (a long that differs for every row of
+    ``docs``): it says which of an id's rows is kept."""
+    return _flagged(docs, row_col, in_snapshot, id_col, text_col)
+
+
+def _flagged(docs: DataFrame, row_col: str | None, in_snapshot, id_col: str, text_col: str) -> DataFrame:
     text = normalised(F.col(text_col))
     rows = cut_lineage(docs.select(F.col(id_col).cast("long").alias("doc_id"),
                                    F.unhex(F.sha2(text, 256)).alias("digest"),
-                                   F.monotonically_increasing_id().alias("row")))
+                                   (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row")))
     rows = rows.withColumn("key", F.xxhash64("digest"))
     lo, hi, total = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     if in_snapshot is None:
@@ -183,30 +188,32 @@ def dedup(docs: DataFrame, in_snapshot=None, id_col: str = "doc_id", text_col: s
 
     # byte check: rows of shared digests are grouped by the text itself
     wanted = rows.join(shared, "digest").select("doc_id", "digest", "known")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("body"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("body"),
+                         (F.col(row_col) if row_col else F.lit(None).cast("long")).alias("row"))
     source = source.withColumn("digest", F.unhex(F.sha2("body", 256)))
     # an id may be null or repeat: the digest decides which of an id's rows is meant
     ids = wanted.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d")).distinct()
     texts = source.join(ids, source["doc_id"].eqNullSafe(ids["_id"]) & (source["digest"] == ids["_d"]), "left_semi")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row"))
     exact = cut_lineage(texts.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("group_size"),
-                                                            _smallest("doc_id").alias("least"))
+                                                            first.alias("least"))
                         .withColumn("body_key", F.sha2(F.concat(F.lit("\x00check"), "body"), 512))
                         .select("digest", "body_key", "group_size", "least"))
     clash = exact.groupBy("digest").count().filter("count > 1").select("digest")
     if clash.isEmpty():  # one text for each shared digest: the digest names the group, the first row stays
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row"))
         groups = (rows.join(shared, "digest", "left_semi").groupBy("digest")
                   .agg(F.count(F.lit(1)).alias("group_size"), first.alias("least")))
         marked = rows.join(groups, "digest", "left")
         kept = F.col("least").isNull() | (F.col("row") == F.col("least.row"))
     else:  # different texts share a digest: their rows are told apart by a second digest of the bytes
-        second = source.select("doc_id", "digest",
+        second = source.select("doc_id", "digest", "row",
                                F.sha2(F.concat(F.lit("\x00check"), "body"), 512).alias("body_key"))
         marked = second.join(exact, ["digest", "body_key"], "left")
-        kept = F.col("least").isNull() | F.col("doc_id").eqNullSafe(F.col("least.id"))
+        own = F.col("row") == F.col("least.row") if row_col else F.col("doc_id").eqNullSafe(F.col("least.id"))
+        kept = F.col("least").isNull() | own
     marked = marked.join(shared, "digest", "left")
     keep = F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.id"))
     return marked.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
-        (F.coalesce("known", F.lit(False)) & ~in_snapshot).alias("known"))
+        (F.coalesce("known", F.lit(False)) & ~in_snapshot).alias("known"), "row")
