@@ -1,11 +1,15 @@
 """Rows, links and aliases that earlier versions left out."""
 
 import collections
+import random
 import re
 
+import pytest
+
 import corpus_pipeline as P
+from tokenmill.llm import setjoin
 
-from .fixtures import frame, texts
+from .fixtures import frame, key, shingle_sets, texts
 
 
 def _kept(df):
@@ -31,3 +35,34 @@ def test_drop_near_copies_keeps_one_row_of_each_group(spark):
             (None, "a lone text that has no id at all"), (None, None), (None, ""), (5, "short"), (5, "brief")]
     got = _kept(P.drop_near_copies(spark, frame(spark, rows), ""))
     assert got == collections.Counter(r for r in rows if r[1] is None or not r[1].startswith(near) or r == (3, near))
+
+
+def _near_rows():
+    """A group of near copies with different texts (and some equal ones), and looser ones."""
+    rng, base = random.Random(9), [f"w{i}" for i in range(150)]
+    rows = texts()
+    for i in range(45):
+        w = list(base)
+        for _ in range(rng.randint(0, 3) if i % 3 else rng.randint(4, 12)):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(99)}"
+        rows.append((100 + i if i % 9 else None, " ".join(w)))
+    return rows + [(200, rows[-1][1]), (200, rows[-1][1]), (None, rows[-2][1])]
+
+
+@pytest.mark.parametrize("n, per_cent", [(4, 85), (5, 80), (1, 50)])
+def test_join_returns_every_link(spark, n, per_cent):
+    rows = _near_rows()
+    sets = shingle_sets(rows, n)
+    like = lambda a, b: bool(a) and 100 * len(a & b) >= per_cent * len(a | b)
+    want = [(d, sum(like(a, b) for j, b in enumerate(sets) if j != i)) for i, ((d, _), a) in enumerate(zip(rows, sets))]
+    docs = frame(spark, rows)
+    join = setjoin.jaccard_join(docs, n, per_cent)
+    assert sorted((tuple(r) for r in join.select("doc_id", "n_links").collect()), key=key) == sorted(want, key=key)
+    same = sorted(map(tuple, setjoin.jaccard_components(docs, n, per_cent).drop("node").collect()), key=key)
+    assert sorted(map(tuple, join.drop("node", "n_links").collect()), key=key) == same
+    # links() itself: each pair of different sets once
+    table = setjoin.sets_of(docs, n, per_cent, "doc_id", "text").filter("prefix is not null").dropDuplicates(["sig"])
+    found = [tuple(r) for r in setjoin.links(table, per_cent).select("a", "b").collect()]
+    different = list(dict.fromkeys(sets))
+    pairs = sum(like(a, b) for i, a in enumerate(different) for b in different[:i])
+    assert len(found) == len(set(found)) == pairs

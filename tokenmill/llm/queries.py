@@ -68,8 +68,9 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_jaccard_join")
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of all documents under Jaccard similarity of 4-word shingles, 0.85 or more."""
-    return setjoin.jaccard_components(documents(spark, sf_dir), n=4, per_cent=85).drop("node")
+    """Components and numbers of links of all documents under Jaccard similarity of 4-word shingles,
+    0.85 or more."""
+    return setjoin.jaccard_join(documents(spark, sf_dir), n=4, per_cent=85).drop("node")
 
 
 @query("op1_topk", """

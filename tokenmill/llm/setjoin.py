@@ -2,7 +2,7 @@
 
 A document's set is its distinct word n-grams. Pairs with
 100 * |A & B| >= per_cent * |A | B| are links; the result is the component of
-each document under the links.
+each document under the links and, in ``jaccard_join``, the number of its links.
 
 1. Every chunk asks how many documents hold each of its n-grams. The answers
    give one corpus-wide order, rare first, and each set keeps a *prefix* in
@@ -14,13 +14,15 @@ each document under the links.
    a probe reads its own and the two neighbouring blocks only; within them the
    positions bound the largest possible overlap, and entries that can't reach
    the threshold are skipped, as are pairs that meet in a list shortly before.
-4. A few sets of each list are probed at a time (one, then sixteen times as
-   many each round), and a list is done once its sets are in one component.
-   When the pairs left are few for the size of the lists, one last round
-   probes all of them. Answers are derived where a highly similar set has them:
-   Jaccard distance is a metric, so where y and z were both compared with the
-   same set and their distances to it differ by more than the limit, the pair
-   (y, z) is out without looking at the sets.
+4. One set of each list is probed first, then all. Answers are derived where a
+   highly similar set has them: Jaccard distance is a metric, so where y and z
+   were both compared with the same set and their distances to it differ by more
+   than the limit, the pair (y, z) is out without looking at the sets. All other
+   pairs are compared, so no link is left out.
+5. ``jaccard_components`` needs no link inside a known component: it probes a few
+   sets of each list at a time (one, then sixteen times as many each round), and a
+   list is done once its sets are in one component. When the pairs left are few
+   for the size of the lists, one last round probes all of them.
 
 Edge cases: null or empty text has no n-grams, is linked with nothing and is
 its own component; fewer than n words give one n-gram, the whole sequence; a
@@ -42,8 +44,8 @@ from .components import contracted, stars
 
 #: Distinct n-grams in one part: bounds the memory of a counting task.
 PART_KEYS = 2_000_000
-#: All pairs left are looked at once they are at most so many for each entry of the lists,
-#: or once so many sets of a list would be probed at a time. Which pairs link is the same either way.
+#: For components alone, all pairs left are looked at once they are at most so many for each entry of
+#: the lists, or once so many sets of a list would be probed at a time. Components are the same either way.
 LINEAR, MOST_PROBES = 16, 4096
 #: A list's entry carries so many n-grams that come before in its prefix: two sets that share one
 #: of them meet in that list, so they needn't meet in this one.
@@ -198,9 +200,9 @@ def sets_of(docs: DataFrame, n: int, per_cent: int, id_col: str, text_col: str)
                        .applyInArrow(_prefixes(n, parts, per_cent), SETS))
 
 
-def links(sets: DataFrame, per_cent: int) -> DataFrame | None:
-    """``sets``: node, n, prefix, shared of different sets. Links (a, b) whose components are
-    those of all links: pairs inside a component that is already known may be left out."""
+def links(sets: DataFrame, per_cent: int, components_only: bool = False) -> DataFrame | None:
+    """``sets``: node, n, prefix, shared of different sets. All links (a, b), a < b, of them; with
+    ``components_only``, pairs inside a component that is already known may be left out."""
     size = per_cent / 100
     last = F.col("n") - F.ceil(F.lit(size) * F.col("n") - 1e-9).cast("int")  # the prefix's last position
     block = F.floor(F.log("n") / math.log(1 / size)).cast("int")
@@ -219,7 +221,7 @@ def links(sets: DataFrame, per_cent: int) -> DataFrame | None:
     shared = cut_lineage(met.select("node", F.col("n").alias("size"), "shared").repartition(parts, "node"))
     tested, probes, whole = None, 1, False  # tested: a, b, same (overlap), sum (of the sizes)
     while True:
-        pairs = _candidates(lists, None if whole else probes, per_cent)
+        pairs = _candidates(lists, None if whole else probes, per_cent, components_only)
         if tested is None:
             pairs = pairs.distinct()
         else:
@@ -233,8 +235,12 @@ def links(sets: DataFrame, per_cent: int) -> DataFrame | None:
         linked = tested.filter(100 * F.col("same") >= per_cent * (F.col("sum") - F.col("same"))).select("a", "b")
         if whole:
             return linked
-        lists = (lists.select("h", "node", "n", "pos", "block", "back").join(_learned(tested, linked), "node", "left")
+        learned = _learned(tested, linked if components_only else None)
+        lists = (lists.select("h", "node", "n", "pos", "block", "back").join(learned, "node", "left")
                  .withColumn("comp", F.coalesce("comp", "node")))
+        if not components_only:
+            lists, whole = settled(lists), True
+            continue
         open_ = settled(lists.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"))
                         .filter("lo <> hi").select("h", "c"))
         left = open_.agg(F.sum(F.col("c") * F.col("c"))).first()[0]
@@ -245,9 +251,10 @@ def links(sets: DataFrame, per_cent: int) -> DataFrame | None:
         whole = left <= LINEAR * entries or probes > MOST_PROBES
 
 
-def _candidates(lists: DataFrame, probes: int | None, per_cent: int) -> DataFrame:
+def _candidates(lists: DataFrame, probes: int | None, per_cent: int, components_only: bool) -> DataFrame:
     """Pairs (a, b), perhaps repeated, of probed sets and those of their list that the block, the
-    positions, the components, the distances to a common set and the lists before leave open. Probed are one set
+    positions, the distances to a common set, the lists before and, with ``components_only``, the
+    components leave open. Probed are one set
     of each of ``probes`` salts of a list's block, by a hash of the set alone, so that lists over
     the same sets probe the same and repeat the same pairs; None: all sets."""
     if probes is None:
@@ -264,7 +271,8 @@ def _candidates(lists: DataFrame, probes: int | None, per_cent: int) -> DataFram
     other = lists.select("h", "block", *[F.col(c).alias(c + "2") for c in ("node", "n", "pos", "comp", "ref", "dist", "back")])
     most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
     apart = (F.col("ref") == F.col("ref2")) & (F.abs(F.col("dist") - F.col("dist2")) > 1 - per_cent / 100 + 1e-9)
-    pairs = (probed.join(other, ["h", "block"]).filter(F.col("comp") != F.col("comp2"))
+    differ = "comp" if components_only else "node"
+    pairs = (probed.join(other, ["h", "block"]).filter(F.col(differ) != F.col(differ + "2"))
              .filter(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * per_cent)
              .filter(most * (100 + per_cent) >= (F.col("n") + F.col("n2")) * per_cent)
              .filter(~F.coalesce(apart, F.lit(False))).filter(~F.arrays_overlap("back", "back2")))
@@ -273,12 +281,15 @@ def _candidates(lists: DataFrame, probes: int | None, per_cent: int) -> DataFram
     return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
 
 
-def _learned(tested: DataFrame, linked: DataFrame) -> DataFrame:
-    """Per set compared so far: node, comp, and the most similar set (ref) at its distance (dist)."""
+def _learned(tested: DataFrame, linked: DataFrame | None) -> DataFrame:
+    """Per set compared so far: node, comp (null without ``linked``), and the most similar set (ref)
+    at its distance (dist)."""
     dist = 1 - F.col("same") / (F.col("sum") - F.col("same"))
     ends = tested.select(F.col("a").alias("node"), F.col("b").alias("ref"), dist.alias("dist"))
     ends = ends.unionByName(tested.select(F.col("b").alias("node"), F.col("a").alias("ref"), dist.alias("dist")))
     nearest = ends.groupBy("node").agg(F.min(F.struct("dist", "ref")).alias("r"))
+    if linked is None:
+        return settled(nearest.select("node", F.lit(None).cast("long").alias("comp"), "r.ref", "r.dist"))
     comp = stars(contracted(linked)).withColumnRenamed("component", "comp")
     return settled(nearest.join(comp, "node", "left").select("node", "comp", "r.ref", "r.dist"))
 
@@ -287,17 +298,33 @@ def jaccard_components(docs: DataFrame, n: int = 5, per_cent: int = 80, id_col:
                        text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least id reachable by links)
     and, for callers that need it, node (the row's own key)."""
+    return _joined(docs, n, per_cent, id_col, text_col, True).drop("n_links")
+
+
+def jaccard_join(docs: DataFrame, n: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``jaccard_components`` and n_links: how many other rows a row is linked with, rows of an
+    equal set among them."""
+    return _joined(docs, n, per_cent, id_col, text_col, False)
+
+
+def _joined(docs: DataFrame, n: int, per_cent: int, id_col: str, text_col: str, components_only: bool) -> DataFrame:
     sets = sets_of(docs, n, per_cent, id_col, text_col)
     first = F.min(F.struct(F.col("prefix").isNull().alias("bare"), "node")).alias("f")
-    reps = settled(sets.filter("sig is not null").groupBy("sig").agg(first).select("sig", F.col("f.node").alias("rep")))
+    reps = settled(sets.filter("sig is not null").groupBy("sig").agg(first, F.count(F.lit(1)).alias("copies"))
+                   .select("sig", F.col("f.node").alias("rep"), "copies"))
     chosen = sets.join(reps.select(F.col("rep").alias("node")), "node", "left_semi")
-    found = links(chosen, per_cent)
-    rows = sets.select("node", "doc_id", "n", "sig").join(reps, "sig", "left")
+    found = links(chosen, per_cent, components_only)
+    known = reps.withColumns({"component": F.lit(None).cast("long"), "others": F.lit(0).cast("long")})
     if found is not None:
+        found = settled(found)
         comp = stars(contracted(found))
-        rows = rows.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    else:
-        rows = rows.withColumn("component", F.lit(None).cast("long"))
-    rows = settled(rows.select("node", "doc_id", "n", F.coalesce("component", "rep", "node").alias("root")))
+        ends = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        others = (ends.join(reps.select(F.col("rep").alias("b"), "copies"), "b")
+                  .groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others")))
+        known = reps.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        known = known.withColumn("others", F.lit(0).cast("long")) if components_only else known.join(others, "rep", "left")
+    rows = sets.select("node", "doc_id", "n", "sig").join(known, "sig", "left")
+    n_links = F.coalesce(F.col("copies") - 1 + F.coalesce("others", F.lit(0)), F.lit(0))
+    rows = settled(rows.select("node", "doc_id", "n", F.coalesce("component", "rep", "node").alias("root"), n_links.alias("n_links")))
     least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "node")
+    return rows.join(least, "root").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links", "node")
