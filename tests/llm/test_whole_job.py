@@ -3,11 +3,14 @@
 import collections
 import random
 import re
+from urllib.parse import urljoin
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
-from tokenmill.llm import setjoin
+from tokenmill.llm import setjoin, urls
 
 from .fixtures import frame, key, shingle_sets, texts
 
@@ -66,3 +69,31 @@ def test_join_returns_every_link(spark, n, per_cent):
     different = list(dict.fromkeys(sets))
     pairs = sum(like(a, b) for i, a in enumerate(different) for b in different[:i])
     assert len(found) == len(set(found)) == pairs
+
+
+def test_references_are_resolved(spark):
+    bases = ["http://a.org", "https://a.org/", "http://a.org/x", "http://a.org/b/c/d;p?q=1/2#f", "http://a.org/b/c/?q"]
+    refs = ["g", "./g", "g/", "/g", "//h.net/g", "?y", "g?y=/../z", "g#s/../x", ";x", ".", "./", "..", "../", "../g", "../..", "../../../g", "/./g",
+            "/../g", "g.", "..g", "./../g", "g/./h", "g/../h", "https://b.net/p", "x:y/z", "#f", "index.html?u=http://z.org/", "/"]
+    df = spark.createDataFrame([(b, r) for b in bases for r in refs], "url string, to string")
+    out = df.select("url", "to", urls.address(urls.resolved(F.col("to"), F.col("url"))).alias("got")).collect()
+    for url, to, got in out:
+        if to == "x:y/z":
+            assert got is None
+            continue
+        want = urljoin(url, to).split("#")[0].split("://", 1)[1]
+        assert got == want, (url, to)
+
+
+def test_relative_and_later_targets_are_aliases(spark):
+    move = "<meta http-equiv=refresh content='0; url={}'>"
+    wait, canon = "<META content='30' http-equiv='refresh'>", '<link rel="canonical" href="{}">'
+    rows = [(1, "http://example.com/x", move.format("de/home")), (2, "http://a.org/p", canon.format("http://example.com/x")),
+            (3, "http://b.org/p", wait + move.format("http://example.com/de/y")),
+            (4, "http://c.org/p", '<link rel="canonical">' + canon.format("http://c.org/q") + canon.format("http://example.com/de/z")),
+            (5, "http://example.com/en/f/x", move.format("../../de/a")), (6, "http://example.com/de/../ok", wait),
+            (7, "http://d.org/p", move.format("?page=2")), (8, "http://d.org/p?page=2", canon.format("//example.com/de/q")),
+            (9, "http://e.org/p", wait + canon.format("mailto:x"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(df, [("block", "example.com", "/de/")]).collect()}
+    assert got == {i: "block" if i != 9 else "allow" for i, _, _ in rows}

@@ -6,7 +6,8 @@ their aliases: redirects (``meta refresh``) and canonical links found in the
 pages make URLs equivalent, components of those edges are the alias classes,
 and a class that holds a blocked URL is blocked, unless it also holds an
 explicitly allowed one (allow has precedence). URLs outside the table that
-are only linked to take part as members. Everything else is allowed.
+are only linked to take part as members. A page may hold several such tags, and
+relative targets are resolved against the page's URL. Everything else is allowed.
 
 DataFrame functions only; the rules are a list of the caller and become one
 literal array.
@@ -55,19 +56,50 @@ def decision(rules: list[tuple[str, str, str]], host: Column, path: Column) -> C
     return F.array_max(F.transform(fits, lambda r: r["what"]))
 
 
+def without_dots(path: Column) -> Column:
+    """An absolute path (from ``/``) with its ``.`` and ``..`` segments carried out."""
+    steps = F.slice(F.split(path, "/", -1), 2, F.greatest(F.size(F.split(path, "/", -1)) - 1, F.lit(0)))
+    dots = lambda s: s.isin(".", "..")
+    done = F.aggregate(
+        steps, F.array().cast("array<string>"),
+        lambda out, s: F.when(s == ".", out).when(s == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))))
+        .otherwise(F.concat(out, F.array(s))))
+    end = F.when(dots(F.element_at(steps, -1)) & (F.size(done) > 0), "/").otherwise("")  # a last dot segment names a folder
+    return F.when(F.size(steps) > 0, F.concat(F.lit("/"), F.array_join(done, "/"), end)).otherwise(path)
+
+
+def resolved(to: Column, url: Column) -> Column:
+    """The absolute URL that reference ``to`` names on the page at ``url`` (RFC 3986, 5.2); null
+    where ``to`` has a scheme that names no page (``mailto:``) or ``url`` has no ``://``."""
+    scheme = F.regexp_extract(url, r"(?s)\A(.*?:)//", 1)
+    root = F.regexp_extract(url, r"(?s)\A(.*?://[^/?#]*)", 1)
+    path = path_of(url)
+    query = F.regexp_extract(url, r"(?s)\A.*?://[^?#]*(\?[^#]*)?", 1)
+    own = F.regexp_extract(to, r"(?s)\A([^?#]*)", 1)  # the reference's path
+    rest = F.regexp_extract(to, r"(?s)\A[^?#]*(.*)\z", 1)
+    folder = F.regexp_extract(F.when(path == "", "/").otherwise(path), r"(?s)\A(.*/)", 1)
+    full = (F.when(F.rlike(to, F.lit(r"\A[A-Za-z][A-Za-z0-9+.-]*://")), to)
+            .when(F.startswith(to, F.lit("//")), F.concat(scheme, to))
+            .when(F.rlike(to, F.lit(r"\A[A-Za-z][A-Za-z0-9+.-]*:")), F.lit(None).cast("string"))
+            .when(F.startswith(to, F.lit("/")), F.concat(root, without_dots(own), rest))
+            .when(F.startswith(to, F.lit("?")), F.concat(root, path, to))
+            .when((to == "") | F.startswith(to, F.lit("#")), F.concat(root, path, query, to))
+            .otherwise(F.concat(root, without_dots(F.concat(folder, own)), rest)))
+    return F.when(root != "", full)
+
+
 def alias_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(a, b) addresses joined by a canonical link or a redirect of page a."""
-    html = F.col(html_col)
-    link = F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    href = F.regexp_extract(link, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    meta = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    goes = F.regexp_extract(meta, r"(?is)\burl\s*=\s*['\"]?([^\"'\s>;]+)", 1)
+    """(a, b) addresses joined by a canonical link or a redirect of page a; every such tag counts,
+    and relative targets are resolved against the page's URL."""
+    html, name = F.col(html_col), F.col("tag")
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link\b[^>]*\brel\s*=\s*[\"']?canonical"
+                                            r"|meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh)\b[^>]*>)"), F.lit(1))
+    href = F.regexp_extract(name, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    goes = F.regexp_extract(name, r"(?is)\burl\s*=\s*['\"]?([^\"'\s>;]+)", 1)
     both = pages.filter(F.contains(F.lower(html), F.lit("canonical")) | F.contains(F.lower(html), F.lit("refresh"))) \
-        .select(F.col(url_col).alias("url"), F.explode(F.array(href, goes)).alias("to")).filter("to <> ''")
-    scheme = F.regexp_extract("url", r"(?s)\A(.*?://)", 1)
-    to = F.replace("to", F.lit("&amp;"), F.lit("&"))
-    full = (F.when(F.startswith(to, F.lit("//")), F.concat(F.lit("http:"), to))
-            .when(F.startswith(to, F.lit("/")), F.concat(scheme, host_of(F.col("url")), to)).otherwise(to))
+        .select(F.col(url_col).alias("url"), F.explode(tags).alias("tag")) \
+        .select("url", F.when(F.rlike(name, F.lit(r"(?i)\A<link")), href).otherwise(goes).alias("to")).filter("to <> ''")
+    full = resolved(F.replace("to", F.lit("&amp;"), F.lit("&")), F.col("url"))
     return both.select(address(F.col("url")).alias("a"), address(full).alias("b")).filter("a is not null and b is not null")
 
 
