@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from tokenmill.llm import setjoin, urls
+from tokenmill.llm import setjoin, topk, urls
 
 from .fixtures import frame, key, shingle_sets, texts
 
@@ -97,3 +97,27 @@ def test_relative_and_later_targets_are_aliases(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r["verdict"] for r in urls.judge(df, [("block", "example.com", "/de/")]).collect()}
     assert got == {i: "block" if i != 9 else "allow" for i, _, _ in rows}
+
+
+def test_topk_with_large_components(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1) * 10 ** rng.choice([0, 0, 3, 6]) for _ in range(6)]) for i in range(300)]
+    rows[100] = (100, [70000.0, *rows[100][1][1:]])
+    rows += [(i, [rng.choice([-1, 1]) * (65536.0 + i), 0.5, 2.0 ** 20, -1e5, 0.0, 1.0]) for i in range(300, 310)]
+    rows = [(i, [*v[:-1], -abs(v[-1])]) for i, v in rows]
+    # scores beyond 64 bits that are never among the best
+    rows += [(400, [0.0, 0.0, 0.0, 0.0, 0.0, 2.0 ** 50]), (401, [1.0] * 5 + [2.0 ** 52])] + [(410 + i, [0.0] * 5 + [-i / 64]) for i in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = [(i, [int(x * 1024 // 1) for x in v]) for i, v in rows]
+    want = []
+    for i, a in q:
+        if i in (0, 100, 200, 300, 303, 411):
+            best = sorted((-sum(x * y for x, y in zip(a, b)), j) for j, b in q if j != i)[:10]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    for block_rows in (64, 1000):
+        out = topk.search(df, F.col("vec_id").isin(0, 100, 200, 300, 303, 411), block_rows=block_rows)
+        assert sorted(map(tuple, out.select("query_id", "rank", "vec_id", "score").collect())) == sorted(want)
+    for bad in ([2.0 ** 60], [2.0 ** 45]):  # no 64-bit value, no 64-bit score: an error, no lost row
+        both = spark.createDataFrame([(0, bad), (1, bad)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="beyond 64 bits"):
+            topk.search(both, F.col("vec_id") == 0).collect()

@@ -9,9 +9,10 @@ quantised score; what quantising can have hidden bounds how far below it a
 top row can be, and all rows down to there (the boundary) are scored exactly.
 Nothing is approximate in the result.
 
-Edge cases: vectors that are null, hold a null or non-finite component, or one
-whose quantised value is beyond +-2**26 (scores would leave 64 bits) take no
-part; a shorter vector is padded with zeros; ties go to the smaller id;
+Edge cases: vectors that are null or hold a null or non-finite component take
+no part; where a block's scores could leave 64 bits its boundary is scored in
+wider integers; a quantised value or a returned score beyond 64 bits is an
+error; a shorter vector is padded with zeros; ties go to the smaller id;
 repeated ids are rows of their own, and a query never meets its own row; fewer
 than k candidates are all returned; an empty table gives an empty result.
 """
@@ -27,13 +28,17 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 4_096
 BITS = 5
+#: The largest score that is returned lies below; scores of this size stand for all beyond.
+MOST = (1 << 63) - 1
 HITS = "query_row long, query_id long, vec_row long, vec_id long, score long"
 
 
 def quantised(vector: Column) -> Column:
     """floor(1024 * x) of each component as long; null if the vector takes no part."""
-    x = F.transform(vector, lambda v: F.floor(v.cast("double") * 1024))
-    fine = F.forall(vector, lambda v: F.coalesce(F.abs(v.cast("double")) < (1 << 16), F.lit(False)) & ~F.isnan(v))
+    fits = lambda v: (v.cast("double") >= -(2.0 ** 53)) & (v.cast("double") < 2.0 ** 53)
+    far = F.raise_error(F.lit("a component times 1024 is beyond 64 bits")).cast("long")
+    x = F.transform(vector, lambda v: F.when(fits(v), F.floor(v.cast("double") * 1024)).otherwise(far))
+    fine = F.forall(vector, lambda v: F.coalesce(F.abs(v.cast("double")) < float("inf"), F.lit(False)) & ~F.isnan(v))
     return F.when(vector.isNotNull() & fine, x)
 
 
@@ -42,11 +47,14 @@ class SliceIndex:
 
     def __init__(self, values: np.ndarray, bits: int = BITS):
         self.values, self.n = values, len(values)
-        low = values.min(axis=0)
-        spread = int((values.max(axis=0) - low).max(initial=0))
+        low, high = values.min(axis=0), values.max(axis=0)
+        self.widest = max((max(-int(a), int(b)) for a, b in zip(low, high)), default=0)
+        # differences of longs fit 64 bits without a sign
+        above = values.astype(np.uint64) - low.astype(np.uint64)
+        spread = int(above.max(initial=0))
         self.drop = max(0, spread.bit_length() - bits)  # low bits that the slices leave out
         self.bits = max(1, spread.bit_length() - self.drop)
-        small = (values - low >> self.drop).astype(np.uint32)
+        small = (above >> np.uint64(self.drop)).astype(np.uint32)
         words = -(-self.n // 64)
         self.alive = np.zeros(words * 8, np.uint8)
         self.alive[: -(-self.n // 8)] = np.packbits(np.ones(self.n, np.uint8), bitorder="little")
@@ -61,11 +69,11 @@ class SliceIndex:
     def add(self, weights: np.ndarray) -> list[np.ndarray]:
         """Score slices of sum |w_d| * u_d, least significant first; u_d is the sliced value, or
         its complement where w_d is negative."""
-        size = np.abs(weights)
+        size = np.abs(weights).astype(np.uint64)  # -2**63 too
         piles: list[list[np.ndarray]] = [[] for _ in range(self.bits + int(size.max(initial=0)).bit_length() + 1)]
         turned = np.where((weights < 0)[:, None, None], ~self.slices & self.alive, self.slices)
         for level in range(int(size.max(initial=0)).bit_length()):
-            used = np.flatnonzero(size >> level & 1)
+            used = np.flatnonzero(size >> np.uint64(level) & np.uint64(1))
             for j in range(self.bits):
                 if len(used):
                     piles[level + j].append(turned[used, j])
@@ -120,18 +128,23 @@ class SliceIndex:
 
     def top(self, query: np.ndarray, ids: np.ndarray, k: int, own: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and exact scores of the k best rows but ``own``; ties to the smaller id."""
-        alive = self.alive.copy()
+        alive, weight = self.alive.copy(), sum(map(abs, query.tolist()))
         if own >= 0:
             alive[own >> 6] &= ~(np.uint64(1) << np.uint64(own & 63))
         if self._count(alive) > k:
             score = self.add(query)
             # a dropped part adds 0 .. 2 ** drop - 1 of each |w|, to one side or the other
-            slack = -(-((1 << self.drop) - 1) * int(np.abs(query).sum()) // (1 << self.drop))
+            slack = -(-((1 << self.drop) - 1) * weight // (1 << self.drop))
             alive = self.at_least(score, self.kth(score, k, alive) - slack, alive)
         rows = np.flatnonzero(np.unpackbits(alive.view(np.uint8), bitorder="little"))
-        exact = self.values[rows] @ query
-        best = np.lexsort((ids[rows], -exact))[:k]
-        return rows[best], exact[best]
+        if self.widest * weight < MOST:
+            exact = self.values[rows] @ query
+            best = np.lexsort((ids[rows], -exact))[:k]
+            return rows[best], exact[best]
+        wide = [sum(a * b for a, b in zip(v, query.tolist())) for v in self.values[rows].tolist()]
+        best = sorted(range(len(rows)), key=lambda i: (-wide[i], ids[rows[i]]))[:k]
+        # a score beyond 64 bits is MOST or -MOST, an error where it is among the k best of all blocks
+        return rows[best], np.array([max(-MOST, min(MOST, wide[i])) for i in best], np.int64)
 
 
 def _matrix(column: list, width: int) -> np.ndarray:
@@ -185,4 +198,5 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
     best = hits.groupBy("query_row", "query_id").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("i", "b")).select(
         "query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"),
-        (-F.col("b.worse")).alias("score"))
+        F.when(F.abs("b.worse") < MOST, -F.col("b.worse"))
+        .otherwise(F.raise_error(F.lit("a score is beyond 64 bits")).cast("long")).alias("score"))
