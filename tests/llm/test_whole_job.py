@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from tokenmill.llm import setjoin, topk, urls
+from tokenmill.llm.common import bodies, chunked
 
 from .fixtures import frame, key, shingle_sets, texts
 
@@ -121,3 +122,10 @@ def test_topk_with_large_components(spark):
         both = spark.createDataFrame([(0, bad), (1, bad)], "vec_id long, embedding array<double>")
         with pytest.raises(Exception, match="beyond 64 bits"):
             topk.search(both, F.col("vec_id") == 0).collect()
+
+
+def test_rows_without_an_id_are_dealt_over_all_chunks(spark):
+    rows = [(None if i % 3 else 7, f"text {i} " + "x" * 90) for i in range(600)]
+    df, n, _ = chunked(bodies(frame(spark, rows)), 6000)
+    sizes = [r["count"] for r in df.groupBy("chunk").count().collect()]
+    assert n == 10 and len(sizes) == n and sum(sizes) == 600 and max(sizes) < 120

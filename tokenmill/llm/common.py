@@ -1,7 +1,7 @@
 """Helpers shared by the operators of this subpackage.
 
-Two ideas recur. *Chunks*: documents are dealt by a hash of their id over
-``n`` chunks of about ``CHUNK_BYTES`` of text, so a task holds one chunk.
+Two ideas recur. *Chunks*: documents are dealt by a hash of their id and text
+(ids may be null or repeat) over ``n`` chunks of about ``CHUNK_BYTES`` of text, so a task holds one chunk.
 *Question and answer*: a chunk asks something about its keys (how often does
 this n-gram occur in the corpus?). Keys go, packed as byte arrays, to the
 *part* that their hash names; the part answers in the order asked, and the
@@ -43,7 +43,7 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame,
     """``bodies`` rows with a ``chunk`` number; (frame, number of chunks, bytes of text)."""
     total = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n = max(1, -(-total // chunk_bytes))
-    chunk = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(17)), F.lit(n)).cast("int")
+    chunk = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.xxhash64("body"), F.lit(17)), F.lit(n)).cast("int")
     return docs.withColumn("chunk", chunk), n, total
 
 
