@@ -10,14 +10,15 @@ which bounds the depth of the suffix sort.
 2. *Sample.* Of what is left, positions p with p mod 13 in the difference
    cover {0, 1, 3, 9} are sampled: for any two positions i, j there is a shift
    d < 13 with i + d and j + d both sampled. The sampled triples (three symbols
-   of 13, 13 and 12 bytes) are dealt by hash and sorted there; their order
-   gives the names. The depth is bounded, so one level of names is deep enough
+   of 13, 13 and 12 bytes) are dealt by hash, and the hash is the name: equal
+   triples are wanted, not their lexicographic order. The depth is bounded, so one level of names is deep enough
    and the recursion ends here: name + 12 bytes of either side is all of
    every window that the sampled position serves.
-3. *Merge.* Window i is ordered by (bytes up to i + d, name of i + d, bytes
+3. *Group.* Window i is hashed from (bytes up to i + d, name of i + d, bytes
    after), once for each of the thirteen shifts; two equal windows meet at the
-   shift that the difference cover promises. Adjacent equal prefixes are one
-   string, and all but its smallest document lose it.
+   shift that the difference cover promises. Windows of equal hashes are taken
+   for one string (the bytes are not compared), and all but its smallest
+   document lose it.
 
 Whole texts that a smaller id repeats byte for byte lose everything at once and
 take no part in the sort; equal samples of a chunk are sent once. No task holds
