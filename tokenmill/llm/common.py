@@ -25,7 +25,7 @@ from tokenmill.session import checkpoint_dir, cut_lineage, table
 CHUNK_BYTES = 24 << 20
 
 __all__ = ["CHUNK_BYTES", "bodies", "chunked", "checkpoint_dir", "cut_lineage", "documents",
-           "key_bytes", "key_array", "segments", "settled", "table", "worker_state", "word_slots"]
+           "forget", "key_bytes", "key_array", "segments", "settled", "table", "worker_state", "word_slots"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,15 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``settled`` wrote, once no plan that still runs reads them."""
+    for t in tables:
+        folder = t.inputFiles()[0].rpartition("/")[0]
+        assert folder.rpartition("/")[0].endswith("/tables"), folder
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def key_bytes(h: np.ndarray, width: int = 6) -> bytes:
     """The low ``width`` bytes of each 64-bit hash."""
     return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()

@@ -7,12 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, lm, packing, setjoin, suffix, topk, toxicity, urls, wavelet
+from . import bpe, exact, lm, packing, phrases, rankbpe, setjoin, spelling, suffix, topk, toxicity, urls, wavelet
 from .common import documents, table
 
-#: Folder of the public vocabulary files.
-TOKENIZERS = "/opt/tokenizers"
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,8 +24,9 @@ def query(name: str, sql: str | None = None):
 
 
 def vocabulary(name: str) -> str:
-    import os
-    return os.path.join(TOKENIZERS, name)
+    """Place of a public vocabulary file (of the installed package, so it is there on every executor too)."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
 
 
 @query("op3_wavelet")
@@ -108,6 +106,78 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+@query("op11_spelling", r"""
+with recursive crc as (
+  select list(list_reduce(list_concat([i::bigint], range(8)), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) t
+  from range(256) r(i)),
+runs as (
+  select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{6,}')),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') run from documents),
+counted as (select doc_id, run, count(*) k from runs group by all),
+hashed as (
+  select run, k, xor(list_reduce(list_concat([4294967295::bigint], flatten([case when u < 128 then [u] else [192 + (u >> 6), 128 + (u & 63)] end
+    for u in [unicode(ch)::bigint for ch in string_split(coalesce(doc_id::varchar, '') || ':' || run, '')]])),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) h from counted, crc),
+words as (
+  select word, sum(k)::bigint n from (
+    select case when h % 199 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end word, k from hashed)
+  where length(word) >= 6 group by word having sum(k) >= 5),
+cut as (select word, i, left(word, i::int) || substr(word, i::int + 2) rest from (select word, unnest(range(length(word))) i from words)),
+near as (
+  select a.word, b.word near from cut a join cut b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select c.word, w.word from cut c join words w on c.rest = w.word
+  union select w.word, c.word from cut c join words w on c.rest = w.word),
+best as (
+  select near.word, count(*) n_near, arg_min(near.near, (-w.n, near.near)) near, max(w.n) near_n from near join words w on near.near = w.word group by 1),
+forms as (
+  select words.word, n, coalesce(n_near, 0) n_near, case when near_n >= 5 * n then near end form, case when near_n >= 5 * n then near_n end form_n
+  from words left join best using (word)),
+steps as (
+  select word, word at, 0 depth from forms
+  union all select s.word, f.form, depth + 1 from steps s join forms f on s.at = f.word where f.form is not null)
+select f.word, form, (select arg_max(s.at, s.depth) from steps s where s.word = f.word) root, n, n_near, form_n from forms f""")
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words one edit apart, each word's form and the root of its chain of forms."""
+    return spelling.variants(documents(spark, sf_dir))
+
+
+@query("op12_phrases", r"""
+with pieces as (
+  select coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) piece from documents),
+tokens as (select lang, regexp_extract_all(piece, '[^ 	]+') w from pieces),
+grams as (
+  select lang, w[i:i + k - 1] p, count(*) f from (select lang, w, k, unnest(range(1, len(w) - k + 2)) i
+    from tokens, (select unnest(range(1, 6)) k) where len(w) >= k) group by all),
+totals as (select lang, sum(f)::bigint n from grams where len(p) = 1 group by lang),
+candidates as (select lang, p, f a from grams where len(p) > 1 and f >= 100),
+inner_parts as (
+  select lang, p[s:s + k - 1] p, max(a) longer from (
+    select lang, p, a, k, unnest(range(1, len(p) - k + 2)) s from (select lang, p, a, unnest(range(2, len(p))) k from candidates where len(p) > 2))
+  group by all),
+kept as (select c.* from candidates c left join inner_parts i using (lang, p) where longer is null or longer * 100 < a * 100),
+cuts as (
+  select c.lang, c.p, a, n, k, x.f l, y.f r, (1000::hugeint * a * n) // (x.f::hugeint * y.f) score
+  from (select *, unnest(range(1, len(p))) k from kept) c join totals using (lang)
+  join grams x on x.lang = c.lang and x.p = c.p[1:k] join grams y on y.lang = c.lang and y.p = c.p[k + 1:]),
+weakest as (select * from cuts qualify row_number() over (partition by lang, p order by score, k) = 1),
+ranked as (
+  select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(p, ' ')) rank,
+         array_to_string(p, ' ') phrase, a, l, r, n, score::bigint score from weakest)
+select * from ranked where rank <= 2000""")
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 best collocations of two to five words."""
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+@query("op13_rank_bpe")
+def op13_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all texts by a rank file, and the texts decoded from them."""
+    import public_tokenizers
+    return rankbpe.encode_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py at the repository top."""
