@@ -133,9 +133,9 @@ forms as (
   select words.word, n, coalesce(n_near, 0) n_near, case when near_n >= 5 * n then near end form, case when near_n >= 5 * n then near_n end form_n
   from words left join best using (word)),
 steps as (
-  select word, word at, 0 depth from forms
-  union all select s.word, f.form, depth + 1 from steps s join forms f on s.at = f.word where f.form is not null)
-select f.word, form, (select arg_max(s.at, s.depth) from steps s where s.word = f.word) root, n, n_near, form_n from forms f""")
+  select word, word cur, 0 depth from forms
+  union all select s.word, f.form, depth + 1 from steps s join forms f on s.cur = f.word where f.form is not null)
+select f.word, form, (select arg_max(s.cur, s.depth) from steps s where s.word = f.word) root, n, n_near, form_n from forms f""")
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words one edit apart, each word's form and the root of its chain of forms."""
     return spelling.variants(documents(spark, sf_dir))
