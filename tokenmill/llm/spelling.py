@@ -3,12 +3,12 @@
 The words form a trie twice, spelled forwards and backwards. Its chains are
 compressed: nodes stay where words branch, end or start to be searched, and an
 edge carries the letters between two of them. Edges are a distributed table
-(parent, label, child, the word that ends at the child). The frontier holds
-states (word, position, node, edits). Each level joins it with the edges of its
+(node, label, child, the word that ends at the child). The frontier holds
+states (word, position as the letters left, node, edits). Each level joins it with the edges of its
 nodes: the word's own edge moves on with no edit; a state without an edit takes
 every other edge with one (the letter is replaced, inserted or deleted); a
-state with its edit follows the one edge that spells the rest of the word. A
-state with one edit at the end of its word, on a node where a word ends, is a
+state with its edit follows the one edge that spells the rest of the word, and
+is kept only if its node has an edge with the next letter. A state with one edit at the end of its word, on a node where a word ends, is a
 pair of neighbours. As the edit is placed where the two words first differ, a
 pair is met once in each direction.
 
@@ -98,24 +98,29 @@ def _paths(batches):
 
 
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, starts) of the two tries. edges: parent, label, child, ends (the word that ends at the child,
-    spelled in the trie's direction; none or one, but where hashes collide); starts: states of all words at the nodes of their halves."""
+    """(edges, starts) of the two tries.
+
+    edges: node, label, child, opens (a bit for each first letter of the child's own edges), ends (the words
+    that end at the child: none or one, but where hashes collide). starts: the states of all words at their halves."""
     paths = words.select("wid", "word").mapInArrow(_paths, "wid long, back boolean, at int, node long, next int, stop boolean")
-    nodes = (paths.groupBy("node").agg(F.min("next").alias("a"), F.max("next").alias("b"), F.max("stop").alias("s"))
-             .where("s or a <> b").select("node"))
-    stops = (paths.join(nodes, "node", "left_semi").groupBy("wid", "back")
-             .agg(F.sort_array(F.collect_list(F.struct("at", "node"))).alias("stops")))  # at most one a letter
+    nodes = (paths.groupBy("node").agg(
+        F.min("next").alias("a"), F.max("next").alias("b"), F.max("stop").alias("s"),
+        F.bit_or(F.expr("if(next < 0, 0L, shiftleft(1L, next & 63))")).alias("opens")).where("s or a <> b").select("node", "opens"))
+    stops = (paths.join(nodes, "node").groupBy("wid", "back")
+             .agg(F.sort_array(F.collect_list(F.struct("at", "node", "opens"))).alias("stops")))  # at most one a letter
     walks = settled(stops.join(words.select("wid", "word"), "wid")
-                    .select(F.when(F.col("back"), F.reverse("word")).otherwise(F.col("word")).alias("spelled"), "back", "stops"))
-    steps = walks.select("spelled", F.size("stops").alias("last"), F.posexplode(
+                    .select("wid", F.when(F.col("back"), F.reverse("word")).otherwise(F.col("word")).alias("spelled"), "back", "stops"))
+    steps = walks.select("wid", "spelled", F.posexplode(
         F.arrays_zip(F.expr("slice(stops, 1, size(stops) - 1)").alias("a"), F.expr("slice(stops, 2, size(stops) - 1)").alias("b"))))
     steps = steps.select(
-        F.col("col.a.node").alias("parent"), F.expr("substring(spelled, col.a.at + 1, col.b.at - col.a.at)").alias("label"),
-        F.col("col.b.node").alias("child"), F.expr("if(col.b.at = char_length(spelled), spelled, null)").alias("ends"))
-    edges = settled(steps.groupBy("parent", "label", "child").agg(F.collect_set("ends").alias("ends")))
-    starts = walks.select("spelled", "back", F.explode("stops").alias("stop")).where("stop.at = char_length(spelled) div 2")
-    starts = settled(starts.select("spelled", "back", F.col("stop.at").alias("at"), F.col("stop.node").alias("node"),
-                                   F.lit(0).alias("edits"), F.array().cast("array<string>").alias("ends")))
+        F.col("col.a.node").alias("node"), F.expr("substring(spelled, col.a.at + 1, col.b.at - col.a.at)").alias("label"),
+        F.col("col.b.node").alias("child"), F.col("col.b.opens").alias("opens"),
+        F.expr("if(col.b.at = char_length(spelled), wid, null)").alias("ends"))
+    edges = steps.groupBy("node", "label", "child").agg(F.first("opens").alias("opens"), F.collect_set("ends").alias("ends"))
+    edges = settled(edges.select("*", F.expr("substring(label, 2)").alias("tail"), F.char_length("label").alias("size")))
+    starts = walks.select("wid", "spelled", F.explode("stops").alias("stop")).where("stop.at = char_length(spelled) div 2")
+    starts = settled(starts.select("wid", F.expr("substring(spelled, stop.at + 1)").alias("rest"), F.col("stop.node").alias("node"),
+                                   F.lit(0).alias("edits"), F.array().cast("array<long>").alias("ends")))
     forget(walks)
     return edges, starts
 
@@ -123,38 +128,41 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
 #: The states that a state and an edge of its node give: edits, letters of the word passed.
 _STEP = """filter(array(
   if(startswith(rest, label), named_struct('edits', edits, 'by', size), null),
-  if(edits = 0 and other and at < char_length(spelled) and startswith(substring(rest, 2), substring(label, 2)), named_struct('edits', 1, 'by', size), null),
-  if(edits = 0 and other and startswith(rest, substring(label, 2)), named_struct('edits', 1, 'by', size - 1), null),
-  if(edits = 0 and other and at < char_length(spelled) and startswith(substring(rest, 2), label), named_struct('edits', 1, 'by', size + 1), null)
+  if(other and rest <> '' and startswith(rest2, tail), named_struct('edits', 1, 'by', size), null),
+  if(other and startswith(rest, tail), named_struct('edits', 1, 'by', size - 1), null),
+  if(other and rest <> '' and startswith(rest2, label), named_struct('edits', 1, 'by', size + 1), null)
 ), x -> x is not null)"""
 
+#: A state that may go on: without an edit, or where its node has an edge with the next letter.
+_GOES_ON = "(edits = 0 or (rest <> '' and opens & shiftleft(1L, ascii(rest) & 63) <> 0))"
+#: Neighbours: at the end with one edit, or with none and one letter left, which is then the one deleted.
+_ENDS = "(size(ends) > 0 and char_length(rest) + edits = 1)"
+
 
 def neighbours(words: DataFrame) -> DataFrame:
     """word, near: all ordered pairs of words that are exactly one edit apart. ``words``: wid (unique), word,
     of three letters or more."""
-    edges, frontier = trie(words)
-    levels = []
+    edges, starts = trie(words)
+    frontier, levels = starts, []
     while frontier.limit(1).count():
-        met = frontier.drop("ends").join(edges.withColumnRenamed("parent", "node"), "node")
-        met = (met.withColumn("rest", F.expr("substring(spelled, at + 1)")).withColumn("size", F.char_length("label"))
-               .withColumn("other", F.expr("substring(rest, 1, 1) <> substring(label, 1, 1)")))
+        f = frontier.select("wid", "rest", F.expr("substring(rest, 2)").alias("rest2"), "node", "edits").alias("f")
+        on = F.expr("f.node = e.node and (edits = 0 or startswith(rest, label))")  # with its edit, only the edge that spells on
+        met = f.join(edges.alias("e"), on).withColumn("other", F.expr("edits = 0 and substring(rest, 1, 1) <> substring(label, 1, 1)"))
         moved = met.withColumn("to", F.explode(F.expr(_STEP))).select(
-            "spelled", "back", (F.col("at") + F.col("to.by")).alias("at"), F.col("child").alias("node"),
-            F.col("to.edits").alias("edits"), "ends")
-        level = settled(moved.where("edits = 0 or at < char_length(spelled) or size(ends) > 0"))
+            "wid", F.expr("substring(rest, to.by + 1)").alias("rest"), F.col("child").alias("node"),
+            F.col("to.edits").alias("edits"), "ends", "opens")
+        level = settled(moved.where(f"{_GOES_ON} or {_ENDS}"))
         levels.append(level)
-        frontier = level.where("edits = 0 or at < char_length(spelled)")
-    found = None
+        frontier = level.where(_GOES_ON)
+    pairs = words.select("wid", F.col("wid").alias("near")).where(F.lit(False))
     for level in levels:
-        # at its end with one edit, or with none and one letter left, which is then the one deleted
-        some = level.where("at + 1 - edits = char_length(spelled)").select("spelled", "back", F.explode("ends").alias("ends"))
-        some = some.select(*[F.expr(f"if(back, reverse({c}), {c})").alias(a) for c, a in (("spelled", "word"), ("ends", "near"))])
-        found = some if found is None else found.union(some)
-    if found is None:
-        return words.select("word", F.col("word").alias("near")).where(F.lit(False))
-    pairs = settled(found.distinct().where(F.expr("levenshtein(word, near, 1) = 1")))
-    forget(edges, *levels)
-    return pairs
+        pairs = pairs.union(level.where(_ENDS).select("wid", F.explode("ends").alias("near")))
+    names = words.select("wid", "word")
+    named = (pairs.distinct().join(names, "wid").join(names.select(F.col("wid").alias("near"), F.col("word").alias("_near")), "near")
+             .select("word", F.col("_near").alias("near")))
+    named = settled(named.where(F.expr("levenshtein(word, near, 1) = 1")))
+    forget(edges, starts, *levels)
+    return named
 
 
 def roots(forms: DataFrame) -> DataFrame:
