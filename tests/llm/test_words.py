@@ -131,6 +131,7 @@ def docs_of(spark, rows):
 def test_collocations(spark, monkeypatch, kw):
     monkeypatch.setattr(phrases, "BURST", 30)
     monkeypatch.setattr(phrases, "MOST_ENTRIES", 200)
+    monkeypatch.setattr(phrases, "PREFIXES", 3)
     rows = sentences()
     own = {("absorb_per_cent" if k == "per_cent" else k): v for k, v in kw.items()}
     out = phrases.collocations(docs_of(spark, rows).repartition(3), chunk_bytes=1500, **own)
@@ -159,12 +160,15 @@ def test_scores_beyond_64_bits(spark):
 
 
 def test_trie_leaves_whole_subtrees_in_order():
-    trie = phrases.HatTrie(1, 10)
-    trie.add(np.array([5, 5, 5, 9]), np.full(4, 10), np.array([[3], [2], [3], [1]]))
+    trie = phrases.HatTrie(1, 10, 1000)
+    trie.add(np.array([5, 5, 5, 9]), np.full(4, 1), np.array([[3], [2], [3], [1]]))
     assert trie.entries == 3 and not trie.full()
-    (p, b, rests, counts), = trie.leave(0.5)
-    assert (p, b) == (5, 0) and np.frombuffer(rests, ">u4").tolist() == [2, 3] and np.frombuffer(counts, "<u4").tolist() == [1, 2]
-    assert trie.entries == 1 and [r[0] for r in trie.leave()] == [9] and trie.entries == 0
+    (_, bucket, heads, rests, counts), = trie.leave(0.5)
+    assert bucket == 0 and np.frombuffer(heads, "<i8").tolist() == [5, 2]
+    assert np.frombuffer(rests, ">u4").tolist() == [2, 3] and np.frombuffer(counts, "<u4").tolist() == [1, 2]
+    assert trie.entries == 1 and [np.frombuffer(r[2], "<i8").tolist() for r in trie.leave()] == [[9, 1]] and trie.entries == 0
+    trie.add(np.full(50, 7), np.full(50, 4), np.arange(1, 51)[:, None])  # a prefix that is burst into four buckets
+    assert [r[:2] for r in trie.leave()] == [(-8, 0), (-8, 1), (-8, 2), (-8, 3)]
 
 
 # encoding by ranks

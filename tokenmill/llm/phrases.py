@@ -9,18 +9,19 @@
 3. *Pairs, then phrases of three to five words* inside runs of frequent pairs,
    both by ``HatTrie``: a shallow trie over word ids (one word deep for pairs,
    two for longer phrases) with hash containers of the phrases' remaining words
-   below. The container of a prefix that is frequent in the corpus is burst
-   into buckets by the hash of what remains; how many is told by the prefix'
-   count, so all tasks burst alike. When a trie holds too many entries, its
-   largest subtrees leave whole, as sorted runs. Spark deals the runs by
-   (prefix, bucket), and each partition merges the runs of its prefixes.
+   below. Prefixes share prefix partitions of some ``PREFIXES``; one that is
+   frequent in the corpus has its own, and its container is burst into buckets
+   by the hash of what remains. How many is told by the prefix' count, so all
+   tasks burst alike. When a trie holds too many entries, its largest subtrees
+   leave whole, as sorted runs. Spark deals the runs by (prefix partition,
+   bucket), and a task merges the runs of each.
 4. *Scores.* Counts of both parts of every cut are joined to the phrases.
 
 No count is approximate: word ids are unique numbers, not hashes, and products
 are decimal. A task holds a chunk, a trie of ``MOST_ENTRIES`` and the runs of one
-(prefix, bucket): about ``BURST`` different phrases, or one entry a run.
+(prefix partition, bucket): some ``BURST`` different phrases a prefix, or one entry a run.
 
-Ids are unsigned 32-bit numbers: over 4 billion different frequent words end with an error.
+Ids are 31-bit numbers: more than 2 billion different frequent words end with an error.
 
 Edge cases: null text is empty, null lang is ``und``; a null id matters to nothing; repeated
 rows count as often as they occur; texts and pieces of any length are read whole; score ties go to
@@ -38,11 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, segments, settled
+from .common import forget, settled
 
 CHUNK_BYTES = 8 << 20
 #: Occurrences of a prefix for each bucket of its container.
 BURST = 1 << 14
+#: Prefixes (that are not burst) of a prefix partition.
+PREFIXES = 64
 #: Entries of a trie before subtrees leave.
 MOST_ENTRIES = 600_000
 MOST_WORDS = 5
@@ -148,27 +151,33 @@ def _hash(columns: np.ndarray) -> np.ndarray:
 
 
 class HatTrie:
-    """Counts of phrases. Prefixes (the shallow trie) lead to buckets, buckets to hash containers of the rest."""
+    """Counts of phrases: prefix partitions, below them prefixes of word ids, below them hash containers of the rest.
 
-    def __init__(self, width: int, most: int):
-        self.width, self.most, self.entries = width, most, 0
-        self.prefixes: dict[int, dict[int, Counter]] = {}
+    A prefix with more than ``BURST`` occurrences in the corpus is a partition of its own and its container is burst
+    into buckets by the rest's hash; the others share ``parts`` partitions by the hash of the prefix."""
 
-    def add(self, prefix: np.ndarray, count: np.ndarray, rest: np.ndarray) -> None:
-        """``prefix``: packed ids; ``count``: occurrences of each prefix in the corpus; ``rest``: (m, width) ids."""
+    def __init__(self, width: int, most: int, parts: int):
+        self.width, self.most, self.parts, self.entries = width, most, parts, 0
+        self.tree: dict[tuple[int, int], dict[int, Counter]] = {}
+
+    def add(self, prefix: np.ndarray, buckets: np.ndarray, rest: np.ndarray) -> None:
+        """``prefix``: packed ids; ``buckets``: of each prefix in the corpus; ``rest``: (m, width) ids."""
         if not len(prefix):
             return
-        buckets = count // BURST + 1
         bucket = (_hash(rest) % buckets.astype(np.uint64)).astype(np.int64)
+        part = np.where(buckets > 1, -1 - prefix, (_hash(prefix[:, None]) % np.uint64(self.parts)).astype(np.int64))
         order = np.lexsort((bucket, prefix))
-        prefix, bucket, rest = prefix[order], bucket[order], rest[order]
+        prefix, bucket, part, rest = prefix[order], bucket[order], part[order], rest[order]
         begin = np.flatnonzero(np.r_[True, (np.diff(prefix) != 0) | (np.diff(bucket) != 0)])
         keys = np.ascontiguousarray(rest.astype(">u4")).view(f"V{4 * self.width}").ravel().tolist()
-        for s, e, p, b in zip(begin.tolist(), np.r_[begin[1:], len(keys)].tolist(), prefix[begin].tolist(), bucket[begin].tolist()):
-            node = self.prefixes.setdefault(p, {})
-            container = node.get(b)
+        for s, e, at, p in zip(begin.tolist(), np.r_[begin[1:], len(keys)].tolist(),
+                               zip(part[begin].tolist(), bucket[begin].tolist()), prefix[begin].tolist()):
+            node = self.tree.get(at)
+            if node is None:
+                node = self.tree[at] = {}
+            container = node.get(p)
             if container is None:
-                container = node[b] = Counter()
+                container = node[p] = Counter()
             before = len(container)
             container.update(keys[s:e])
             self.entries += len(container) - before
@@ -177,138 +186,216 @@ class HatTrie:
         return self.entries > self.most
 
     def leave(self, share: float = 1.0):
-        """The largest subtrees, until ``share`` of the entries has left: (prefix, bucket, sorted rests, counts)."""
-        size = {p: sum(map(len, node.values())) for p, node in self.prefixes.items()}
+        """The largest subtrees, until ``share`` of the entries has left, as sorted runs:
+        (part, bucket, (prefix, entries) of each prefix, rests, counts)."""
+        size = {at: sum(map(len, node.values())) for at, node in self.tree.items()}
         going, gone = [], 0
-        for p in sorted(size, key=size.get, reverse=True):
+        for at in sorted(size, key=size.get, reverse=True):
             if gone >= share * self.entries:
                 break
-            going.append(p)
-            gone += size[p]
+            going.append(at)
+            gone += size[at]
         self.entries -= gone
-        for p in sorted(going):
-            for b, container in sorted(self.prefixes.pop(p).items()):
+        for at in sorted(going):
+            heads, rests, counts = [], [], []
+            for p, container in sorted(self.tree.pop(at).items()):
                 keys = sorted(container)
-                yield p, b, b"".join(keys), np.array([container[k] for k in keys], "<u4").tobytes()
+                heads += [p, len(keys)]
+                rests += keys
+                counts += map(container.__getitem__, keys)
+            yield *at, np.array(heads, "<i8").tobytes(), b"".join(rests), np.array(counts, "<u4").tobytes()
 
 
-_RUNS = "prefix long, bucket long, chunk long, rests binary, counts binary"
+_RUNS = "part long, bucket long, chunk long, heads binary, rests binary, counts binary"
 
 
 def _run_batches(rows, chunk: int):
-    """Arrow batches of (prefix, bucket, rests, counts) rows."""
-    rows = list(rows)
-    for s in range(0, len(rows), _ROWS):
-        p, b, r, c = zip(*rows[s:s + _ROWS])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(p, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(p), chunk, np.int64)), pa.array(r, pa.binary()), pa.array(c, pa.binary())],
-            ["prefix", "bucket", "chunk", "rests", "counts"])
+    """Arrow batches of what leaves a trie, a few megabytes each."""
+    held, size = [], 0
+
+    def batch():
+        p, b, h, r, c = zip(*held)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(p, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(p), chunk, np.int64)), pa.array(h, pa.binary()),
+             pa.array(r, pa.binary()), pa.array(c, pa.binary())], ["part", "bucket", "chunk", "heads", "rests", "counts"])
+
+    for row in rows:
+        held.append(row)
+        size += sum(map(len, row[2:])) + 60
+        if size > 4 << 20:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
 
+def _packed(a: np.ndarray) -> bytes:
+    return pa.Codec("zstd").compress(np.ascontiguousarray(a).tobytes(), asbytes=True)
 
-def _sequence(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """(id, corpus count of the word) of each place of a chunk; 0 where a run of frequent words ends."""
-    n = b.column("n")[i].as_py()
-    raw = pa.Codec("zstd").decompress(b.column("seq")[i].as_buffer(), 4 * n)
-    seq = np.frombuffer(raw, np.int32)
-    words = b.column("words")[i].values
-    top = int(seq.max(initial=-1)) + 2
-    ids, count = np.zeros(top, np.int64), np.zeros(top, np.int64)
-    slot = words.field("slot").to_numpy()
-    ids[slot], count[slot] = words.field("id").to_numpy(), words.field("n").to_numpy()
-    return ids[seq], count[seq]  # -1 is the last place, which no word has
 
+def _unpacked(b: pa.RecordBatch, i: int) -> np.ndarray:
+    """The sequence of row ``i``: ``n`` numbers of 32 bits."""
+    return np.frombuffer(pa.Codec("zstd").decompress(b.column("seq")[i].as_buffer(), 4 * b.column("n")[i].as_py()), np.int32)
 
-def _pairs(batches):
+
+def _coded(batches):
+    """Chunks with corpus ids in place of their own numbers (0 ends a run of frequent words), and the buckets of
+    their words that have several."""
     for b in batches:
         for i in range(b.num_rows):
-            ids, count = _sequence(b, i)
-            at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-            trie = HatTrie(1, MOST_ENTRIES)
-            chunk = b.column("chunk")[i].as_py()
-            step = 4 * MOST_ENTRIES
-            for s in range(0, len(at), step):
-                p = at[s:s + step]
-                trie.add(ids[p], count[p], ids[p + 1][:, None])
-            # a chunk's trie leaves at its end, so that a frequent pair's chunks are known
-            yield from _run_batches(trie.leave(), chunk)
-
-
-def _phrases(batches):
-    trie = HatTrie(MOST_WORDS - 2, MOST_ENTRIES)
+            seq, words = _unpacked(b, i), b.column("words")[i].values
+            ids = np.zeros(int(seq.max(initial=-1)) + 2, np.int32)  # -1 is the last place, which no word has
+            slot, own, n = (words.field(c).to_numpy() for c in ("slot", "id", "n"))
+            ids[slot] = own
+            hot = n >= BURST
+            hot = [{"id": x, "buckets": k} for x, k in zip(own[hot].tolist(), (n[hot] // BURST + 1).tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("chunk").slice(i, 1), b.column("n").slice(i, 1), pa.array([_packed(ids[seq])], pa.binary()),
+                 pa.array([hot], pa.list_(pa.struct([("id", pa.int64()), ("buckets", pa.int64())])))], ["chunk", "n", "seq", "hot"])
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values of the wanted keys, 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    order = np.argsort(keys)
+    at = np.minimum(np.searchsorted(keys, wanted, sorter=order), len(keys) - 1)
+    at = order[at]
+    return np.where(keys[at] == wanted, values[at], 0)
+
+
+def _pairs(parts: int):
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, hot = _unpacked(b, i).astype(np.int64), b.column("hot")[i].values
+                buckets = np.maximum(1, _looked_up(hot.field("id").to_numpy(), hot.field("buckets").to_numpy(), ids))
+                at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+                trie = HatTrie(1, MOST_ENTRIES, parts)
+                chunk = b.column("chunk")[i].as_py()
+                for s in range(0, len(at), 1 << 18):
+                    p = at[s:s + (1 << 18)]
+                    trie.add(ids[p], buckets[p], ids[p + 1][:, None])
+                # a chunk's trie leaves at its end, so that a frequent pair's chunks are known
+                yield from _run_batches(trie.leave(), chunk)
+
+    return run
+
+
+def _long_runs(batches):
+    """Sequences with 0 for all words outside runs of three frequent words or more: no longer phrase has them."""
     for b in batches:
         for i in range(b.num_rows):
-            ids, _ = _sequence(b, i)
-            pairs = b.column("pairs")[i].values
-            key, f = pairs.field("pair").to_numpy(), pairs.field("n").to_numpy()
-            order = np.argsort(key)
-            key, f = key[order], f[order]
-            own = np.r_[ids[:-1] << 32 | ids[1:], 0]
-            at = np.minimum(np.searchsorted(key, own), len(key) - 1)
-            linked = key[at] == own
-            for start in range(0, len(ids), 1 << 18):
-                p = np.arange(start, min(len(ids), start + (1 << 18)))
-                p = p[linked[p]]
-                for length in range(3, MOST_WORDS + 1):
-                    p = p[p + length - 2 < len(ids)]
-                    p = p[linked[p + length - 2]]
-                    rest = np.zeros((len(p), trie.width), np.int64)
-                    for j in range(2, length):
-                        rest[:, j - 2] = ids[p + j]
-                    trie.add(own[p], f[at[p]], rest)
-                if trie.full():
-                    yield from _run_batches(trie.leave(0.5), -1)
-    yield from _run_batches(trie.leave(), -1)
-
-
-def _merge(width: int, min_count: int, by_chunk: bool):
-    """Merges the sorted runs of each (prefix, bucket) of a partition; rows come in that order."""
+            ids = _unpacked(b, i)
+            some = np.r_[False, False, ids > 0, False, False]
+            three = some[:-2] & some[1:-1] & some[2:]  # of the places p, p + 1, p + 2
+            keep = three[2:] | three[1:-1] | three[:-2]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("chunk").slice(i, 1), b.column("n").slice(i, 1), pa.array([_packed(np.where(keep, ids, 0).astype(np.int32))], pa.binary())],
+                ["chunk", "n", "seq"])
+
+
+def _phrases(parts: int):
+    def run(batches):
+        trie = HatTrie(MOST_WORDS - 2, MOST_ENTRIES, parts)
+        for b in batches:
+            for i in range(b.num_rows):
+                ids = _unpacked(b, i).astype(np.int64)
+                got = b.column("pairs")[i].as_py()
+                key = np.frombuffer(b"".join(x["pairs"] for x in got), np.int64)
+                buckets = np.frombuffer(b"".join(x["buckets"] for x in got), np.int32).astype(np.int64)
+                own = np.r_[np.where((ids[:-1] > 0) & (ids[1:] > 0), ids[:-1] << 32 | ids[1:], 0), 0]
+                own_buckets = _looked_up(key, buckets, own)
+                linked = own_buckets > 0
+                for start in range(0, len(ids), 1 << 18):
+                    p = np.arange(start, min(len(ids), start + (1 << 18)))
+                    p = p[linked[p]]
+                    for length in range(3, MOST_WORDS + 1):
+                        p = p[p + length - 2 < len(ids)]
+                        p = p[linked[p + length - 2]]
+                        rest = np.zeros((len(p), trie.width), np.int64)
+                        for j in range(2, length):
+                            rest[:, j - 2] = ids[p + j]
+                        trie.add(own[p], own_buckets[p], rest)
+                    if trie.full():
+                        yield from _run_batches(trie.leave(0.5), -1)
+        yield from _run_batches(trie.leave(), -1)
+
+    return run
+
+
+def _merge(width: int, min_count: int, answer):
+    """Merges the sorted runs of each (part, bucket); rows come in that order. ``answer`` makes batches of
+    (row, prefix, rest, total) entries of the frequent phrases, a row for each run that has one."""
 
     def merged(rows: list[tuple]):
-        prefix, bucket, chunk, rests, counts = zip(*rows)
+        _, _, chunk, heads, rests, counts = zip(*rows)
+        head = [np.frombuffer(h, "<i8").reshape(-1, 2) for h in heads]
         sizes = np.array([len(c) // 4 for c in counts], np.int64)
-        row = np.repeat(np.arange(len(rows)), sizes)
+        head_all = np.concatenate(head)
+        p = np.repeat(head_all[:, 0], head_all[:, 1])
         rest = np.frombuffer(b"".join(rests), ">u4").reshape(-1, width).astype(np.int64)
         count = np.frombuffer(b"".join(counts), "<u4").astype(np.int64)
-        p = np.array(prefix, np.int64)[row]
+        row = np.repeat(np.array(chunk, np.int64), sizes)
         order = np.lexsort((*rest.T[::-1], p))
         p, rest, count, row = p[order], rest[order], count[order], row[order]
         begin = np.flatnonzero(np.r_[True, (np.diff(p) != 0) | (np.diff(rest, axis=0) != 0).any(1)])
         total = np.add.reduceat(count, begin)
-        if by_chunk:
-            keep = np.repeat(total >= min_count, np.diff(np.r_[begin, len(p)]))
-            n, which = np.repeat(total, np.diff(np.r_[begin, len(p)]))[keep], np.array(chunk, np.int64)[row[keep]]
-            p, rest = p[keep], rest[keep]
-        else:
-            keep = begin[total >= min_count]
-            n, which = total[total >= min_count], np.full(len(keep), -1, np.int64)
-            p, rest = p[keep], rest[keep]
-        for s in range(0, len(p), _ROWS):
-            e = s + _ROWS
-            flat = rest[s:e]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(p[s:e]), pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * width), pa.array(flat.ravel())),
-                 pa.array(which[s:e]), pa.array(n[s:e])], ["prefix", "rest", "chunk", "n"])
+        each = np.diff(np.r_[begin, len(p)])
+        keep = np.repeat(total >= min_count, each)
+        if keep.any():
+            yield from answer(row[keep], p[keep], rest[keep], np.repeat(total, each)[keep], np.repeat(np.arange(len(begin)), each)[keep])
 
     def run(batches):
         held: list[tuple] = []
         size = 0
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("prefix", "bucket", "chunk", "rests", "counts"))):
+            for r in zip(*(b.column(c).to_pylist() for c in ("part", "bucket", "chunk", "heads", "rests", "counts"))):
                 if size > 8 << 20 and held[-1][:2] != r[:2]:
                     yield from merged(held)
                     held, size = [], 0
                 held.append(r)
-                size += len(r[3]) + len(r[4])
+                size += sum(map(len, r[3:]))
         if held:
             yield from merged(held)
 
     return run
 
 
-def _merged(runs: DataFrame, width: int, min_count: int, by_chunk: bool = False) -> DataFrame:
-    """prefix, rest, chunk, n: phrases of ``min_count`` occurrences or more (and the chunks that have them)."""
-    dealt = runs.repartition("prefix", "bucket").sortWithinPartitions("prefix", "bucket")
-    return dealt.mapInArrow(_merge(width, min_count, by_chunk), "prefix long, rest array<long>, chunk long, n long")
+def _phrase_rows(row, prefix, rest, total, phrase):
+    """Each phrase once: ids (the prefix unpacked, zeros are no ids), n."""
+    first = np.flatnonzero(np.r_[True, np.diff(phrase) != 0])
+    ids = np.concatenate([(prefix[first] >> 32)[:, None], (prefix[first] & 0xFFFFFFFF)[:, None], rest[first]], 1)
+    for s in range(0, len(ids), _ROWS):
+        part = ids[s:s + _ROWS]
+        ends = np.r_[0, np.cumsum((part > 0).sum(1))].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(part[part > 0])), pa.array(total[first][s:s + _ROWS])], ["ids", "n"])
+
+
+def _pair_rows(row, prefix, rest, total, phrase):
+    """A row with all frequent pairs (chunk -1), and one for each chunk with those that it has."""
+    pair, buckets = prefix << 32 | rest[:, 0], (total // BURST + 1).astype(np.int32)
+    first = np.r_[True, np.diff(phrase) != 0]
+    order = np.argsort(row, kind="stable")
+    begin = np.flatnonzero(np.r_[True, np.diff(row[order]) != 0])
+    rows = [(-1, pair[first].tobytes(), total[first].astype("<i8").tobytes())]
+    rows += [(int(row[x[0]]), pair[x].tobytes(), buckets[x].tobytes()) for x in np.split(order, begin[1:])]
+    for s in range(0, len(rows), 1000):
+        c, p, n = zip(*rows[s:s + 1000])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(p, pa.binary()), pa.array(n, pa.binary())], ["chunk", "pairs", "buckets"])
+
+
+def _unpack_pairs(batches):
+    for b in batches:
+        for p, n in zip(b.column("pairs").to_pylist(), b.column("buckets").to_pylist()):
+            pair = np.frombuffer(p, "<i8")
+            ids = np.stack([pair >> 32, pair & 0xFFFFFFFF], 1)
+            ends = np.arange(0, 2 * len(ids) + 1, 2, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.ravel())), pa.array(np.frombuffer(n, "<i8"))], ["ids", "n"])
+
+
+def _merged(runs: DataFrame, run, schema: str) -> DataFrame:
+    return runs.repartition("part", "bucket").sortWithinPartitions("part", "bucket").mapInArrow(run, schema)
 
 
 def phrase_counts(docs: DataFrame, min_count: int = 100, text_col: str = "text", lang_col: str = "lang",
@@ -317,22 +404,23 @@ def phrase_counts(docs: DataFrame, min_count: int = 100, text_col: str = "text",
     or more; lang, word, n, id of the words; lang, total of all word occurrences."""
     table = chunks(docs, text_col, lang_col, chunk_bytes)
     words = settled(frequent_words(table, min_count))
-    if (words.agg(F.max("id")).first()[0] or 0) >= 1 << 32:
-        raise ValueError("more than 2^32 - 1 frequent words")
+    if (words.agg(F.max("id")).first()[0] or 0) >= 1 << 31:
+        raise ValueError("more than 2^31 - 1 frequent words")
     totals = settled(table.where("seq is null").groupBy("lang").agg(F.sum("n").alias("total")))
     slots = (table.where("seq is null").select("chunk", "lang", "word", "slot").join(words, ["lang", "word"])
              .groupBy("chunk").agg(F.collect_list(F.struct("slot", "id", "n")).alias("words")))  # one chunk's vocabulary
-    coded = settled(table.where("seq is not null").select("chunk", "n", "seq").join(slots, "chunk"))
-    pairs = settled(_merged(coded.mapInArrow(_pairs, _RUNS), 1, min_count, by_chunk=True)
-                    .select(F.shiftleft("prefix", 32).bitwiseOR(F.col("rest")[0]).alias("pair"), "chunk", "n"))
-    with_pairs = coded.join(pairs.groupBy("chunk").agg(F.collect_list(F.struct("pair", "n")).alias("pairs")), "chunk")
-    longer = _merged(with_pairs.mapInArrow(_phrases, _RUNS), MOST_WORDS - 2, min_count)
-    two = F.array(F.shiftright("prefix", 32), F.col("prefix").bitwiseAND(F.lit((1 << 32) - 1)))
-    phrases = settled(
-        words.select(F.array("id").alias("ids"), "n")
-        .union(pairs.select(F.col("pair").alias("prefix"), "n").distinct().select(two.alias("ids"), "n"))
-        .union(longer.select(F.concat(two, F.expr("filter(rest, x -> x > 0)")).alias("ids"), "n")))
-    forget(table, coded, pairs)
+    coded = settled(table.where("seq is not null").select("chunk", "n", "seq").join(slots, "chunk").mapInArrow(
+        _coded, "chunk long, n long, seq binary, hot array<struct<id: long, buckets: long>>"))
+    forget(table)
+    parts = 1 + words.count() // PREFIXES
+    pairs = settled(_merged(coded.mapInArrow(_pairs(parts), _RUNS), _merge(1, min_count, _pair_rows), "chunk long, pairs binary, buckets binary"))
+    two = settled(pairs.where("chunk = -1").mapInArrow(_unpack_pairs, "ids array<long>, n long"))
+    by_chunk = pairs.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("pairs", "buckets")).alias("pairs"))
+    runs = coded.select("chunk", "n", "seq").mapInArrow(_long_runs, "chunk long, n long, seq binary").join(by_chunk, "chunk")
+    parts = 1 + two.count() // PREFIXES
+    longer = _merged(runs.mapInArrow(_phrases(parts), _RUNS), _merge(MOST_WORDS - 2, min_count, _phrase_rows), "ids array<long>, n long")
+    phrases = settled(words.select(F.array("id").alias("ids"), "n").union(two).union(longer))
+    forget(coded, pairs, two)
     return phrases, words, totals
 
 
