@@ -171,7 +171,7 @@ def test_top_p_sums_to_one(spark):
 def test_resample_bounds_inside(spark):
     rows = [(i, b, [20, 20, 21, 22], 0.2 + 0.6 * ((i * 7 + b) % 10) / 10) for i in range(50) for b in range(3)]
     df = spark.createDataFrame(rows, "s long, b long, ids array<int>, p double").withColumn("off", F.col("b") * 4)
-    out = C.resample_bounds(df, "ids", "p", 1, "s", "off", 18, 0.25, 0.75, attempts_per_round=2)
+    out = C.resample_bounds(df, "ids", "p", 1, "s", "off", 18, 0.25, 0.75, attempts=2)
     shares = [r["share"] for r in out.select(
         (F.size(F.filter("xt", lambda x: x == 18)) / 4).alias("share")).collect()]
     assert len(shares) == 150 and all(0.25 <= x <= 0.75 for x in shares)

@@ -3,10 +3,9 @@
 Randomness is the hashed uniform of ``functions.rand`` keyed by
 (seed, purpose, sequence, block/position, attempt), so a rebuilt or retried
 partition draws exactly the same masks. Re-drawing blocks whose masked
-share is out of bounds (C4) is the *first in-bounds attempt* per block;
-blocks not settled in one round of attempts go to the next round, only
-those rows are recomputed, and the loop stops when none is left, so the
-result is the same as an unbounded redraw loop.
+share is out of bounds (C4) is the *first in-bounds attempt* of a block,
+found by a fold inside its row; a block whose attempts all fail gets what
+endless redrawing would converge to, drawn directly.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rand import uniform
-from ..session import cut_lineage
 
 EPS = 1e-3
 
@@ -69,40 +67,57 @@ def _bounds_check(share: Column, eps_min: float, eps_max: float) -> Column:
     return ok
 
 
+def _drawn_count(free: Column, p: Column, lo: Column, hi: Column, keys: list) -> Column:
+    """A binomial(free, p) count given that it is in lo..hi. Each count k gets log weight + Gumbel noise in one fold,
+    and the largest wins; log weights follow from k to k + 1. p = 0 and p = 1 give the count nearest to theirs."""
+    start = F.struct(F.lit(0.0).alias("w"), F.lit(float("-inf")).alias("best"), lo.cast("int").alias("k"))
+    odds = F.log(p) - F.log(1.0 - p)
+
+    def step(s, k):
+        score = s["w"] - F.log(-F.log(F.greatest(uniform(*keys, k), F.lit(1e-12))))
+        better = score > s["best"]
+        following = s["w"] + F.log(F.greatest(free - k, F.lit(1)) / (k + 1)) + odds
+        return F.struct(following.alias("w"), F.when(better, score).otherwise(s["best"]).alias("best"),
+                        F.when(better, k).otherwise(s["k"]).alias("k"))
+
+    return F.when(p <= 0, lo.cast("int")).when(p >= 1, hi.cast("int")).otherwise(
+        F.aggregate(F.sequence(lo.cast("int"), hi.cast("int")), start, step, lambda s: s["k"]))
+
+
 def resample_bounds(blocks: DataFrame, ids_col: str, p_col: str, seed, seq_col: str, offset_col: str,
-                    mask_id: int, eps_min: float, eps_max: float, attempts_per_round: int = 16) -> DataFrame:
-    """C4: per block, the first attempt whose masked share is inside the
-    bounds (a bound at 1e-3 / 1 is not checked; both open -> attempt 0).
-    Adds ``attempt`` and ``xt``. Rounds of ``attempts_per_round`` attempts
-    run only on blocks still unsettled, for as long as there are any; each
-    round is checkpointed. A block of a size for which no whole number of
-    masked tokens lies inside the bounds gets a null ``attempt`` and ``xt``."""
+                    mask_id: int, eps_min: float, eps_max: float, attempts: int = 64) -> DataFrame:
+    """C4: per block, the first attempt whose masked share is inside the bounds (a bound at 1e-3 / 1 is not
+    checked; both open -> attempt 0). Adds ``attempt`` and ``xt``.
+
+    All in the block's own row: a fold over at most ``attempts`` attempts stops at the first good one. If none is
+    good, the masked count is drawn from its distribution given the bounds and its places by hash; ``attempt`` is
+    then -1. So any level ends, 0 and 1 too (the count in the bounds nearest to theirs). ``attempt`` and ``xt`` are
+    null where the level or the block is null and where no whole number of masked tokens lies inside the bounds."""
     if eps_min == EPS and eps_max == 1.0:
         return blocks.withColumn("attempt", F.lit(0)).withColumn(
             "xt", mask_array(ids_col, p_col, seed, seq_col, F.col(offset_col), 0, mask_id))
-    a = F.col(ids_col)
+    a, p, off = F.col(ids_col), F.col(p_col).cast("double"), F.col(offset_col)
     bs = F.size(a)
 
-    def first_ok(base: int) -> Column:
-        tries = F.sequence(F.lit(base), F.lit(base + attempts_per_round - 1))
-        shares = F.transform(tries, lambda t: F.size(F.filter(
-            mask_array(a, p_col, seed, seq_col, F.col(offset_col), t, mask_id), lambda x: x == mask_id)) / bs)
-        pos = F.array_position(F.transform(shares, lambda s: _bounds_check(s, eps_min, eps_max)), True)
-        return F.when(pos > 0, pos - 1 + base).otherwise(F.lit(None)).cast("int")
-
-    lo = eps_min if eps_min != EPS else 0.0
-    hi = eps_max if eps_max != 1.0 else 1.0
-    possible = F.ceil(bs * lo - 1e-12) <= F.floor(bs * hi + 1e-12)
-    settled = blocks.where(~F.coalesce(possible, F.lit(False))).withColumn("attempt", F.lit(None).cast("int"))
-    pending, r = blocks.where(possible), 0
-    while True:
-        tagged = cut_lineage(pending.withColumn("attempt", first_ok(r * attempts_per_round)))
-        settled = settled.unionByName(tagged.where(F.col("attempt").isNotNull()))
-        pending = tagged.where(F.col("attempt").isNull()).drop("attempt")
-        if pending.isEmpty():
-            break
-        r += 1
-    return settled.withColumn("xt", mask_array(ids_col, p_col, seed, seq_col, F.col(offset_col), F.col("attempt"), mask_id))
+    def share(t):
+        return F.size(F.filter(mask_array(a, p, seed, seq_col, off, t, mask_id), lambda x: x == mask_id)) / bs
+
+    first = F.aggregate(F.sequence(F.lit(0), F.lit(attempts - 1)), F.lit(None).cast("int"),
+                        lambda got, t: F.when(got.isNotNull(), got).when(_bounds_check(share(t), eps_min, eps_max), t))
+    already = F.size(F.filter(a, lambda x: x == mask_id))
+    free = bs - already
+    lo = F.ceil(bs * (eps_min if eps_min != EPS else 0.0) - 1e-12) - already
+    hi = F.floor(bs * (eps_max if eps_max != 1.0 else 1.0) + 1e-12) - already
+    lo, hi = F.greatest(lo, F.lit(0)), F.least(hi, free)
+    possible = F.coalesce((bs > 0) & (lo <= hi) & p.isNotNull(), F.lit(False))
+    out = blocks.withColumn("attempt", F.when(possible, F.coalesce(first, F.lit(-1))))
+    count = _drawn_count(free, p, lo, hi, [seed, F.lit("count"), seq_col, off])
+    places = F.transform(a, lambda x, i: F.struct(uniform(seed, F.lit("place"), seq_col, off + i).alias("u"), i.alias("i"), x.alias("x")))
+    order = F.array_sort(F.filter(places, lambda z: z["x"] != mask_id))
+    chosen = F.transform(F.slice(order, F.lit(1), F.greatest(count, F.lit(0))), lambda z: z["i"])
+    drawn = F.transform(a, lambda x, i: F.when(F.array_contains(chosen, i), F.lit(mask_id)).otherwise(x))
+    attempt = F.col("attempt")
+    return out.withColumn("xt", F.when(attempt >= 0, mask_array(a, p, seed, seq_col, off, attempt, mask_id)).when(attempt == -1, drawn))
 
 
 # --------------------------------------------------------------------- C5 --

@@ -2,134 +2,83 @@
 
     s_n = s_{n-1} - (1 - d_n) (s_{n-1} - x_n),   d_n = min(decay, (1 + n) / (10 + n))
 
-where n counts the updates of the series (1, 2, ...). The recurrence is
-sequential, so it runs as a segmented scan over range partitions instead of
-collecting a series into one task:
-
-1. rows are range-partitioned by (key, order) and written once (shared
-   checkpoint folder): every task holds a contiguous piece of the ordered
-   rows, and a hot series simply spans many tasks;
-2. each task reports its first key, last key and the length of the piece
-   of its last key (one row per task);
-3. with the update counts carried in known, each task summarises that last
-   piece as an affine map s -> A s + B (one row per task);
-4. the per-task rows are folded in partition order into the state each task
-   starts from, and every task replays its rows from that state.
-
-Steps 2-4 move one small row per task to the driver: bounded by the number
-of partitions, never by the data.
+where n counts the updates of the series (1, 2, ...). An update is the affine
+map s -> d_n s + (1 - d_n) x_n, and affine maps compose, so the recurrence is
+an associative scan, here in built-in expressions:
+
+1. the two-pass running sum gives every row its place and update number, so a
+   hot series spans many tasks;
+2. ``fan`` consecutive rows of a series form a group and fold into one map,
+   ``fan`` groups into one, until each series is one group;
+3. on the way down, a group's entering state gives those of its members, and
+   at last the average after every row.
+
+Groups are bounded by ``fan``. Each level is ``fan`` times smaller than the one
+below. The driver sees one number: the longest series, for the number of levels.
+
+A row whose value is null is no update: it carries the average before it.
+Null keys are a series like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..session import cut_lineage
+from .offsets import running_agg
 
 
-def _decay(n: int, decay: float) -> float:
-    return min(decay, (1.0 + n) / (10.0 + n))
+def _in_order(items: Column) -> Column:
+    """Structs by their field ``i``; other fields need not be comparable."""
+    return F.array_sort(items, lambda x, y: F.when(x["i"] < y["i"], -1).when(x["i"] > y["i"], 1).otherwise(0))
 
 
-def _whole_task(fn):
-    """Give ``fn`` one task's rows as one pandas frame (the scan state runs
-    across Arrow batches). A task holds one range partition, which is
-    bounded by the partition count chosen for the data size."""
-    def run(batches):
-        frames = [b for b in batches if not b.empty]
-        if frames:
-            yield from fn(pd.concat(frames, ignore_index=True))
-    return run
+def _folded(items: Column) -> Column:
+    """The one map of maps (a, b) in order."""
+    one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    return F.aggregate(items, one, lambda s, x: F.struct((x["a"] * s["a"]).alias("a"), (x["a"] * s["b"] + x["b"]).alias("b")))
+
+
+def _states(items: Column, entering: Column) -> Column:
+    """The states before each map and after the last one."""
+    return F.aggregate(items, F.array(entering), lambda s, x: F.concat(s, F.array(x["a"] * F.element_at(s, -1) + x["b"])))
+
+
+def _grouped(maps: DataFrame, fan: int) -> DataFrame:
+    """Groups of ``fan`` rows (_key, i, a, b, ...) of a series: _key, i, items, a, b."""
+    rest = [c for c in maps.columns if c != "_key"]
+    g = maps.groupBy("_key", F.floor(F.col("i") / fan).cast("long").alias("_i")).agg(F.collect_list(F.struct(*rest)).alias("items"))
+    g = g.select("_key", F.col("_i").alias("i"), _in_order(F.col("items")).alias("items")).withColumn("_m", _folded(F.col("items")))
+    return g.select("_key", "i", "items", F.col("_m.a").alias("a"), F.col("_m.b").alias("b"))
 
 
 def ema(df: DataFrame, value_col: str, order_cols: Sequence[str], key_cols: Sequence[str],
-        decay: float = 0.9999, init: float = 0.0, out_col: str = "ema", partitions: int | None = None) -> DataFrame:
+        decay: float = 0.9999, init: float = 0.0, out_col: str = "ema", partitions: int | None = None,
+        fan: int = 256) -> DataFrame:
     """EMA of ``value_col`` per ``key_cols`` in ``order_cols`` order; adds
     ``out_col`` (the average after each update)."""
-    key_cols, order_cols = list(key_cols), list(order_cols)
-    spark = df.sparkSession
-    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(df.repartitionByRange(p, *key_cols, *order_cols)
-                         .withColumn("_pid", F.spark_partition_id())
-                         .withColumn("_key", F.to_json(F.struct(*key_cols)))
-                         .sortWithinPartitions(*key_cols, *order_cols))
-
-    def tail_of(keys):
-        last, start = keys[-1], len(keys) - 1
-        while start > 0 and keys[start - 1] == last:
-            start -= 1
-        return start
-
-    # (2) first key, last key, length of the last key's piece
-    def shape(pdf):
-        keys = pdf["_key"].tolist()
-        start = tail_of(keys)
-        yield pd.DataFrame({"_pid": [int(pdf["_pid"].iloc[0])], "first_key": [keys[0]], "last_key": [keys[-1]],
-                            "n_rows": [len(keys)], "tail_n": [len(keys) - start]})
-
-    shapes = sorted(ranged.mapInPandas(_whole_task(shape), "_pid int, first_key string, last_key string, "
-                                                           "n_rows long, tail_n long").collect(),
-                    key=lambda r: r["_pid"])
-    # update count of each task's last key at the end of the task
-    start_n, end_n = {}, {}
-    prev_key, prev_n = None, 0
-    for r in shapes:
-        single = r["first_key"] == r["last_key"]
-        carried = prev_n if r["first_key"] == prev_key else 0
-        start_n[r["_pid"]] = carried  # count already seen for the task's first key
-        tail_start = carried if single else 0
-        end_n[r["_pid"]] = tail_start + r["tail_n"]
-        prev_key, prev_n = r["last_key"], end_n[r["_pid"]]
-    counts_b = spark.sparkContext.broadcast(start_n)
-
-    # (3) the last key's piece as an affine map, with the true update numbers
-    def affine(pdf):
-        pid = int(pdf["_pid"].iloc[0])
-        keys = pdf["_key"].tolist()
-        vals = pdf[value_col].astype(float).tolist()
-        start = tail_of(keys)
-        n = counts_b.value[pid] if start == 0 else 0
-        a, b = 1.0, 0.0
-        for x in vals[start:]:
-            n += 1
-            d = _decay(n, decay)
-            a, b = d * a, d * b + (1.0 - d) * x
-        yield pd.DataFrame({"_pid": [pid], "a": [a], "b": [b]})
-
-    maps = {r["_pid"]: (r["a"], r["b"]) for r in
-            ranged.mapInPandas(_whole_task(affine), "_pid int, a double, b double").collect()}
-    # (4) fold: state entering each task for its first key
-    start_state = {}
-    prev_key, prev_s = None, init
-    for r in shapes:
-        pid = r["_pid"]
-        entering = prev_s if r["first_key"] == prev_key else init
-        start_state[pid] = (start_n[pid], entering)
-        a, b = maps[pid]
-        base = entering if r["first_key"] == r["last_key"] else init
-        prev_key, prev_s = r["last_key"], a * base + b
-    state_b = spark.sparkContext.broadcast(start_state)
-
-    def replay(pdf):
-        pid = int(pdf["_pid"].iloc[0])
-        keys = pdf["_key"].tolist()
-        vals = pdf[value_col].astype(float).tolist()
-        out, cur = [], None
-        n, s = 0, init
-        for k, x in zip(keys, vals):
-            if k != cur:
-                n, s = state_b.value[pid] if cur is None else (0, init)
-                cur = k
-            n += 1
-            d = _decay(n, decay)
-            s = s - (1.0 - d) * (s - x)
-            out.append(s)
-        yield pdf.assign(**{out_col: out})
-
-    schema = StructType(list(ranged.schema.fields) + [StructField(out_col, DoubleType())])
-    return ranged.mapInPandas(_whole_task(replay), schema).drop("_pid", "_key")
+    x = F.col(value_col).cast("double")
+    rows = running_agg(df.withColumn("_key", F.struct(*key_cols)).withColumn("_u", x.isNotNull().cast("long")),
+                       "_u", order_cols, ["_key"], "sum", "_n", partitions, count_col="_at")
+    d = F.least(F.lit(float(decay)), (F.col("_n") + 1.0) / (F.col("_n") + 10.0))
+    maps = rows.select("_key", (F.col("_at") - 1).alias("i"), F.when(x.isNull(), 1.0).otherwise(d).alias("a"),
+                       F.when(x.isNull(), 0.0).otherwise((1.0 - d) * x).alias("b"), F.struct(*df.columns).alias("row"))
+    levels = [cut_lineage(_grouped(maps, fan))]
+    longest = levels[0].agg(F.max("i")).first()[0] or 0
+    while longest > 0:
+        levels.append(cut_lineage(_grouped(levels[-1].select("_key", "i", "a", "b"), fan)))
+        longest //= fan
+    state = None  # (_key, i, s): the state that enters each group of the level below
+    for k, level in reversed(list(enumerate(levels))):
+        entered = level.withColumn("s", F.lit(float(init))) if state is None else level.join(state, ["_key", "i"])
+        moved = entered.select("_key", "items", _states(F.col("items"), F.col("s")).alias("s"))
+        if k:
+            state = moved.select("_key", F.explode(F.arrays_zip(F.transform("items", lambda m: m["i"]).alias("i"), F.expr(
+                "slice(s, 1, size(items))").alias("s"))).alias("m")).select("_key", "m.i", "m.s")
+        else:
+            out = moved.select(F.explode(F.arrays_zip(F.transform("items", lambda m: m["row"]).alias("row"), F.expr(
+                "slice(s, 2, size(items))").alias("s"))).alias("m"))
+    return out.select("m.row.*", F.col("m.s").alias(out_col))

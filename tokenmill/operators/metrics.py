@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 LN2 = math.log(2.0)
 
 
@@ -103,85 +105,62 @@ QUANTILES = [0.5, 0.75, 0.9, 0.95, 0.99, 0.999]
 
 
 def length_describe(df: DataFrame, length_col: str, group_cols: Sequence[str] = ()) -> DataFrame:
-    """Count / mean / sample std / min / 25-50-75 % / max. ``percentile``
-    keeps one (value, count) map per task, bounded by distinct lengths."""
-    x = F.col(length_col).cast("double")
-    return df.groupBy(*group_cols).agg(
-        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"), F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.5).alias("p50"),
-        F.percentile(x, 0.75).alias("p75"), F.max(x).alias("max"))
+    """Count / mean / sample std / min / 25-50-75 % / max, from one counted table."""
+    out = quantiles.summary(quantiles.value_counts(df, length_col, group_cols), [0.25, 0.5, 0.75])
+    keys = [F.col("_g")[c].alias(c) for c in group_cols]
+    return out.select(*keys, "count", "mean", "std", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))], "max")
+
+
+def quantile_name(q: float) -> str:
+    return "q" + str(q).replace("0.", "").ljust(2, "0")
 
 
 def length_quantiles(df: DataFrame, length_col: str, qs: Sequence[float] = QUANTILES,
                      exact: bool = True, accuracy: int = 100000) -> DataFrame:
-    """Quantiles with linear interpolation (exact), or ``percentile_approx``
-    for very many distinct values."""
-    x = F.col(length_col).cast("double")
-    cols = []
-    for q in qs:
-        name = "q" + str(q).replace("0.", "").ljust(2, "0")
-        cols.append((F.percentile(x, q) if exact else F.percentile_approx(x, q, accuracy)).alias(name))
-    return df.agg(*cols)
+    """Quantiles with linear interpolation, by distributed order statistics whatever the number of distinct
+    values; or ``percentile_approx``. One row, null without values."""
+    names = [quantile_name(q) for q in qs]
+    if not exact:
+        x = F.col(length_col).cast("double")
+        return df.agg(*[F.percentile_approx(x, q, accuracy).alias(n) for q, n in zip(qs, names)])
+    out = quantiles.summary(quantiles.value_counts(df, length_col), qs)
+    return out.agg(*[F.max(F.col("q")[i]).alias(n) for i, n in enumerate(names)])
 
 
 def length_stats(df: DataFrame, length_col: str, qs: Sequence[float] = QUANTILES, bins: int = 50):
-    """A11 + A12 + A13 in two passes: one aggregate for count / mean / std /
-    min / max / all quantiles (one ``percentile`` with an array of
-    percentages), then the histogram with the known bounds. Returns
-    (summary row, histogram DataFrame)."""
-    from pyspark import StorageLevel
-    x = F.col(length_col).cast("double")
-    # the lengths (one number per row) are kept between the two passes, so the
-    # tokeniser runs once; a lost cached block is simply recomputed
-    lengths = df.select(x.alias("_x")).persist(StorageLevel.MEMORY_AND_DISK)
-    v = F.col("_x")
+    """A11 + A12 + A13 in one pass over the data: the lengths are counted once, all figures come from the counts.
+    Returns (summary row, histogram DataFrame)."""
+    counts = quantiles.value_counts(df, length_col)
     pct = [0.25, 0.5, 0.75] + list(qs)
-    row = lengths.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-                      F.min(v).alias("min"), F.max(v).alias("max"),
-                      F.percentile(v, F.array(*[F.lit(float(p)) for p in pct])).alias("pct")).first()
-    if row["count"] == 0:
-        lengths.unpersist()
-        return row, df.sparkSession.createDataFrame([], "bin int, count long")
-    mn, mx = row["min"], row["max"]
-    width = (mx - mn) / bins if mx > mn else 1.0
-    b = F.least(F.floor((v - F.lit(mn)) / F.lit(width)) + 1, F.lit(bins)).cast("int")
-    hist = lengths.where(v.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    return row, hist
+    row = quantiles.summary(counts, pct).agg(
+        F.coalesce(F.max("count"), F.lit(0)).alias("count"), F.max("mean").alias("mean"), F.max("std").alias("std"), F.max("min").alias("min"),
+        F.max("max").alias("max"), F.max("q").alias("pct")).first()
+    return row, quantiles.histogram(counts, bins).where("count > 0").select("bin", "count")
 
 
 def length_histogram(df: DataFrame, length_col: str, bins: int = 50) -> DataFrame:
-    """``bins`` equal-width bins over [min, max], the last bin closed.
-    min and max are two scalars read first; every bin is reported, empty ones
-    with count 0."""
-    mm = df.agg(F.min(length_col).cast("double").alias("mn"), F.max(length_col).cast("double").alias("mx")).first()
-    mn, mx = mm["mn"], mm["mx"]
-    spark = df.sparkSession
-    if mn is None:
-        return spark.createDataFrame([], "bin int, lo double, hi double, count long")
-    width = (mx - mn) / bins if mx > mn else 1.0
-    x = F.col(length_col).cast("double")
-    b = F.least(F.floor((x - F.lit(mn)) / F.lit(width)) + 1, F.lit(bins)).cast("int")
-    counts = df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    grid = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
-    return (grid.join(counts, "bin", "left")
-            .select("bin", (F.lit(mn) + (F.col("bin") - 1) * F.lit(width)).alias("lo"),
-                    (F.lit(mn) + F.col("bin") * F.lit(width)).alias("hi"),
-                    F.coalesce("count", F.lit(0)).cast("long").alias("count")))
+    """``bins`` equal-width bins over [min, max], the last bin closed; every bin is reported, empty ones
+    with count 0. The data are read once; without values there are no bins."""
+    return quantiles.histogram(quantiles.value_counts(df, length_col), bins).drop("_g")
 
 
 # -------------------------------------------------------------------- A18 --
 def sample_log_summary(log: DataFrame, file_col: str = "file_name") -> DataFrame:
     """A18 per log file: samples with a numeric perplexity, mean gen ppl, mean
     NFE (if any NFE cell of the file is not a number, all of the file's NFEs
-    count as 0), mean entropy, median and max sample length."""
+    count as 0), mean entropy, median (exact, by distributed order statistics) and
+    max sample length."""
     ppl_ok = F.col("gen_ppl_raw") != "[nan]"
-    return log.groupBy(file_col).agg(
+    median = quantiles.summary(quantiles.value_counts(log, "gen_lengths", [file_col]), [0.5]).select(
+        F.col("_g")[file_col].alias("_file"), F.col("q")[0].alias("median_length"))
+    out = log.groupBy(file_col).agg(
         F.count_if(ppl_ok).alias("n_samples"),
         F.avg(F.when(ppl_ok, F.col("gen_ppl"))).alias("mean_gen_ppl"),
         F.when(F.count_if(F.col("nfes").isNull()) > 0, F.lit(0.0)).otherwise(F.avg("nfes")).alias("mean_nfes"),
         F.avg("entropy").alias("mean_entropy"),
-        F.percentile("gen_lengths", 0.5).alias("median_length"),
         F.max("gen_lengths").alias("max_length"))
+    return out.join(median, out[file_col].eqNullSafe(median["_file"]), "left").select(
+        *[c for c in out.columns if c != "max_length"], "median_length", "max_length")
 
 
 # ---------------------------------------------------------------- A19, A20 --

@@ -123,9 +123,7 @@ def q_resample_bounds(spark, sf):
     from ..operators.packing import split_into_blocks
     m = mol_ids(spark, sf).select("mol_id", "ids", _p().alias("p"))
     b = split_into_blocks(m, "ids", 4, keep=["mol_id", "p"]).withColumn("off", F.col("block_id") * 4)
-    # rounds of 4 attempts: most blocks settle in the first round, the rest
-    # continue on their own; the first in-bounds attempt is the same
-    out = C.resample_bounds(b, "block_ids", "p", 5, "mol_id", "off", MASK, BLO, BHI, attempts_per_round=4)
+    out = C.resample_bounds(b, "block_ids", "p", 5, "mol_id", "off", MASK, BLO, BHI, attempts=ATT)
     return out.select("mol_id", F.col("block_id").cast("long").alias("block_id"), F.col("attempt").cast("int").alias("attempt"),
                       T.ids_text("xt").alias("xt"))
 

@@ -175,8 +175,7 @@ def q_length_describe(spark, sf):
 QS = M.QUANTILES
 
 
-def _qname(q):
-    return "q" + str(q).replace("0.", "").ljust(2, "0")
+_qname = M.quantile_name
 
 
 @query("length_quantiles", "select " + ", ".join(
