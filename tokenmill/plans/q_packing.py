@@ -8,6 +8,7 @@ from ..functions import tokens as T
 from ..functions import vocab as V
 from ..functions.rand import uniform, uniform_sql
 from ..operators import packing as K
+from ..operators import similarity as S
 from ..operators.offsets import row_index, running_offset
 from ..session import table
 from .catalog import query
@@ -243,16 +244,41 @@ def q_pack_by_cluster(spark, sf):
                       F.md5(T.ids_text("input_ids")).alias("ids_md5"))
 
 
-@query("pack_by_similarity", MOL_TOKS_SQL + f""",
-c as (select array_to_string(list_slice(toks, 1, 3), '') cluster, mol_id, list_append(ids, {V.SMILES_EOS}) x from i),
+BANDS, BAND_ROWS, GRAM, SIMILAR = 24, 2, 3, 50
+
+# distinct molecules, their minhash bands, links to the least molecule of a bucket, components (fixpoint of least labels)
+CLUSTER_SQL = MOL_TOKS_SQL + f""",
+it as (select smiles, list_distinct([array_to_string(list_slice(toks, p, p + {GRAM - 1}), chr(1))
+    for p in range(1, greatest(len(toks) - {GRAM - 1}, 1) + 1)]) gr from (select distinct smiles, toks from i) where len(toks) > 0),
+hs as (select smiles, [('0x' || substr(md5(g), 1, 8))::BIGINT for g in gr] h from it),
+sg as (select smiles, [{', '.join(f"list_min([(x * {a} + {b}) % {S.PRIME} for x in h])" for a, b in S.hash_family(BANDS * BAND_ROWS))}] sig from hs),
+bd as (select smiles, band, array_to_string(list_slice(sig, band * {BAND_ROWS} + 1, band * {BAND_ROWS} + {BAND_ROWS}), '|') bucket
+  from (select smiles, sig, unnest(range({BANDS})) band from sg)),
+met as (select distinct smiles u, min(smiles) over (partition by band, bucket) v from bd),
+ln as (select u, v from met join it a on a.smiles = u join it b on b.smiles = v
+  where u <> v and 100 * len(list_intersect(a.gr, b.gr)) >= {SIMILAR} * (len(a.gr) + len(b.gr) - len(list_intersect(a.gr, b.gr)))),
+li as (select u, v from ln union select v, u from ln),
+rc as (select smiles u, smiles v from (select distinct smiles from i) union select rc.u, li.v from rc join li on rc.v = li.u),
+cl as (select u smiles, min(v) cluster from rc group by u)"""
+
+
+@query("similarity_clusters", CLUSTER_SQL.replace("with ", "with recursive ", 1) + """
+select mol_id, smiles, cluster from i join cl using (smiles)""")
+def q_similarity_clusters(spark, sf):
+    m = S.similarity_clusters(molecules(spark, sf), "smiles", T.smiles_tokens("smiles"), "cluster", GRAM, SIMILAR, BANDS, BAND_ROWS)
+    return m.select("mol_id", "smiles", "cluster")
+
+
+@query("pack_by_similarity", CLUSTER_SQL.replace("with ", "with recursive ", 1) + f""",
+c as (select cluster, mol_id, list_append(ids, {V.SMILES_EOS}) x from i join cl using (smiles)),
 u as (select cluster, mol_id, unnest(x) id, generate_subscripts(x, 1) p from c),
 g as (select cluster, (row_number() over (partition by cluster order by mol_id, p) - 1) gpos, id from u),
 b as (select cluster, gpos // 64 block_id, list(id order by gpos) ids from g group by all)
 select cluster, block_id::BIGINT block_id, array_to_string(ids, ' ') input_ids from b where len(ids) = 64""")
 def q_pack_by_similarity(spark, sf):
-    """K12 with a structural fingerprint as the cluster key (the first three
-    molecule tokens); items of a cluster are packed together, EOS between."""
-    m = molecules(spark, sf).withColumn("cluster", F.array_join(F.slice(T.smiles_tokens("smiles"), 1, 3), ""))
+    """Molecules clustered by the similarity of their whole token sequences; items of a cluster are packed
+    together, EOS between."""
+    m = S.similarity_clusters(molecules(spark, sf), "smiles", T.smiles_tokens("smiles"), "cluster", GRAM, SIMILAR, BANDS, BAND_ROWS)
     out = K.pack_by_cluster(m, T.smiles_ids("smiles"), "cluster", ["mol_id"], 64, V.SMILES_EOS)
     return out.select("cluster", "block_id", T.ids_text("input_ids").alias("input_ids"))
 

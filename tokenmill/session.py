@@ -108,6 +108,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back: cuts lineage like ``cut_lineage``, and the
+    planner sees the real size, where a checkpoint keeps the estimate of the plan that made it (which a loop of
+    joins multiplies in every round)."""
+    import uuid
+    path = f"{checkpoint_dir(df.sparkSession)}/scratch/settled-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unsettle(*tables: DataFrame) -> None:
+    """Removes tables that ``settle`` wrote, once nothing reads them any more."""
+    for t in tables:
+        folder = t.inputFiles()[0].rpartition("/")[0]
+        if "/scratch/settled-" not in folder:
+            raise ValueError(f"not a settled table: {folder}")
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the given parquet tables."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
