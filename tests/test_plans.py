@@ -50,5 +50,5 @@ def test_subset_uses_group_limit(spark):
 def test_no_row_at_a_time_python(spark, name):
     p = plan(QUERIES[name](spark, SF))
     assert "BatchEvalPython" not in p
-    if name != "tokenize_pluggable":
+    if name not in ("tokenize_pluggable", "sliding_window_stitch", "windowed_generative_ppl"):  # user code: tokeniser, model
         assert "ArrowEvalPython" not in p

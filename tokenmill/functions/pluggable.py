@@ -120,3 +120,27 @@ def model_log_probs(ids: Column, factory: Callable[[], Callable[[list], list[lis
             yield pd.Series(model([list(x) for x in s.tolist()]))
 
     return run(ids)
+
+
+def adaptive_unigram_factory(vocab_size: int):
+    """A model for U4 without parameters: each token's log-probability from the counts of the tokens before it in
+    the same sequence, (count + 1) / (tokens before + vocabulary). So a score depends on its context, as with a
+    trained model: windows that overlap more give other scores."""
+
+    def factory():
+        import numpy as np
+
+        def score(seqs):
+            out = []
+            for ids in seqs:
+                a = np.asarray(ids, np.int64)
+                order = np.argsort(a, kind="stable")
+                at, before = np.arange(len(a)), np.zeros(len(a), np.int64)
+                first = np.flatnonzero(np.diff(a[order], prepend=-1))  # where each token's run begins
+                before[order] = at - np.repeat(first, np.diff(np.r_[first, len(a)]))
+                out.append(np.log((before + 1.0) / (at + vocab_size)).tolist())
+            return out
+
+        return score
+
+    return factory

@@ -48,6 +48,26 @@ def scoring_window(pos, ctx: int, stride: int) -> Column:
         F.floor((p - ctx) / stride) + 1).cast("long")
 
 
+def window_ids(seqs: DataFrame, ids_col: str, ctx: int, stride: int, keep: Sequence[str] = (), out_col: str = "win_ids") -> DataFrame:
+    """W1 for a model: the scoring windows of each sequence with the ids that they cover. Empty sequences have
+    one window without positions; a null sequence has none."""
+    w = sliding_windows(seqs.where(F.col(ids_col).isNotNull()).withColumn("_len", F.size(ids_col)), "_len", ctx, stride, [*keep, ids_col])
+    return w.withColumn(out_col, F.slice(ids_col, (F.col("win_start") + 1).cast("int"), (F.col("win_end") - F.col("win_start")).cast("int"))).drop(ids_col)
+
+
+def stitch_windows(windows: DataFrame, cols: Sequence[str], keep: Sequence[str], windows_per_range: int = 64) -> DataFrame:
+    """W1 stitched: per-position arrays of overlapping windows (``cols``: as long as the window) put together so that
+    each position 1..L-1 comes from the one window that owns it.
+
+    One row per (``keep``, ``range_id``) with the arrays of ``windows_per_range`` windows and the position of their first
+    element, so a sequence of any length never is one row; a range is one shuffle group of bounded size."""
+    own = lambda c: F.slice(c, (F.col("score_from") - F.col("win_start") + 1).cast("int"), F.col("n_scored").cast("int"))
+    part = F.struct("score_from", *[own(c).alias(c) for c in cols])
+    g = (windows.where("n_scored > 0").groupBy(*keep, F.floor(F.col("window_id") / windows_per_range).cast("long").alias("range_id"))
+         .agg(F.min("score_from").alias("pos_from"), F.array_sort(F.collect_list(part)).alias("_p")))
+    return g.select(*keep, "range_id", "pos_from", *[F.flatten(F.col("_p")[c]).alias(c) for c in cols])
+
+
 # --------------------------------------------------------------------- W3 --
 def top_p_filter(cands: DataFrame, p: float, key_cols: Sequence[str] = ("seq_id", "pos"),
                  token_col: str = "token_id", prob_col: str = "prob") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import tokens as T
 from ..functions.rand import uniform, uniform_sql
 from ..operators import seqeval as E
-from ..operators.offsets import running_agg
+from ..operators.offsets import row_index, running_agg
 from ..operators.ema import ema
 from ..session import table
 from .catalog import query
@@ -19,18 +19,66 @@ MASK = 63  # the last candidate index plays the mask token
 
 
 # --------------------------------------------------------------------- W1 --
-@query("sliding_window_stitch", f"""with d as (select doc_id, len({char_ids_sql()})::BIGINT L from documents),
+@query("sliding_window_bounds", f"""with d as (select doc_id, len({char_ids_sql()})::BIGINT L from documents),
 w as (select doc_id, L, unnest(range(0, greatest(ceil((L - 1024 + 512) / 512.0), 1)::BIGINT)) window_id from d)
 select doc_id, window_id::INTEGER window_id, (window_id * 512)::BIGINT win_start, least(window_id * 512 + 1024, L)::BIGINT win_end,
   (case when window_id = 0 then 1 else window_id * 512 + 512 end)::BIGINT score_from,
   greatest(least(window_id * 512 + 1024, L) - (case when window_id = 0 then 1 else window_id * 512 + 512 end), 0)::BIGINT n_scored
 from w""")
-def q_sliding_window_stitch(spark, sf):
+def q_sliding_window_bounds(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", T.char_count("text").alias("L"))
     w = E.sliding_windows(d, "L", 1024, 512, keep=["doc_id"])
     return w.select("doc_id", F.col("window_id").cast("int").alias("window_id"), "win_start", "win_end", "score_from", "n_scored")
 
 
+# overlapped windows scored by a model that sees the window alone, each position taken from its owner
+CTX, STRIDE, VOCAB, RANGE = 1024, 512, 35, 4
+STITCH_SQL = f"""with d as (select doc_id, {char_ids_sql()} ids from documents),
+w as (select doc_id, ids, unnest(range(0, greatest(ceil((len(ids) - {CTX} + {STRIDE}) / {STRIDE}.0), 1)::BIGINT)) window_id from d),
+b as (select *, window_id * {STRIDE} s, least(window_id * {STRIDE} + {CTX}, len(ids)) e,
+   case when window_id = 0 then 1 else window_id * {STRIDE} + {CTX} - {STRIDE} end f from w),
+t as (select doc_id, window_id, s, f, p, ids[p + 1] tok from (select *, unnest(range(s, e)) p from b)),
+x as (select *, ln((row_number() over (partition by doc_id, window_id, tok order by p)) / (p - s + {VOCAB}.0)) lp from t),
+st as (select doc_id, window_id // {RANGE} range_id, p, tok, -lp nll from x where p >= f)"""
+
+
+def _stitched(spark, sf):
+    from ..functions.pluggable import adaptive_unigram_factory, model_log_probs
+    d = table(spark, sf, "documents").select("doc_id", T.char_ids("text").alias("ids"))
+    w = E.window_ids(d, "ids", CTX, STRIDE, ["doc_id"])
+    w = w.withColumn("log_p", model_log_probs(F.col("win_ids"), adaptive_unigram_factory(VOCAB)))
+    return E.stitch_windows(w, ["win_ids", "log_p"], ["doc_id"], RANGE)
+
+
+@query("sliding_window_stitch", STITCH_SQL + f"""
+select doc_id, range_id::BIGINT range_id, min(p)::BIGINT pos_from, count(*)::BIGINT n_scored, round(sum(nll), 6) sum_nll,
+  round(arg_max(nll, p), {R}) last_nll, sum(tok * (p % 7))::BIGINT id_check from st group by all""")
+def q_sliding_window_stitch(spark, sf):
+    s = _stitched(spark, sf)
+    check = F.aggregate(F.transform("win_ids", lambda x, i: x * ((F.col("pos_from") + i) % 7)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return s.select("doc_id", "range_id", "pos_from", F.size("log_p").cast("long").alias("n_scored"),
+                    F.round(F.aggregate("log_p", F.lit(0.0), lambda a, x: a - x), 6).alias("sum_nll"),
+                    F.round(-F.element_at("log_p", -1), R).alias("last_nll"), check.alias("id_check"))
+
+
+@query("windowed_generative_ppl", STITCH_SQL + """,
+o as (select doc_id, row_number() over (order by doc_id) - 1 i, count(*) over () n from d),
+v as (select i // 8 batch_id, nll, (tok <> 34)::INTEGER valid from st join o using (doc_id) where i < (n // 8) * 8)
+select batch_id::BIGINT batch_id, sum(valid)::BIGINT gen_length, round(exp(sum(nll * valid) / sum(valid)), 6) gen_ppl
+from v group by batch_id having sum(valid) > 0""")
+def q_windowed_generative_ppl(spark, sf):
+    """T14 -> W1 -> A6: stitched scores to the perplexity of batches of eight documents, the end token left out."""
+    s = _stitched(spark, sf)
+    idx = row_index(table(spark, sf, "documents").select("doc_id"), ["doc_id"], out_col="i")
+    n = idx.count() // 8 * 8
+    valid = F.transform("win_ids", lambda x: (x != 34).cast("int"))
+    sums = s.select("doc_id", F.aggregate(F.zip_with("log_p", valid, lambda a, b: -a * b), F.lit(0.0), lambda a, x: a + x).alias("nll"),
+                    F.aggregate(valid, F.lit(0), lambda a, x: a + x).alias("valid"))
+    b = sums.join(idx.where(F.col("i") < n), "doc_id").groupBy(F.floor(F.col("i") / 8).cast("long").alias("batch_id")).agg(
+        F.sum("valid").alias("gen_length"), F.sum("nll").alias("nll"))
+    return b.where("gen_length > 0").select("batch_id", "gen_length", F.round(F.exp(F.col("nll") / F.col("gen_length")), 6).alias("gen_ppl"))
+
+
 # --------------------------------------------------------------------- W3 --
 @query("top_p_filter", f"""with c as ({CANDIDATES_SQL}),
 r as (select *, sum(prob) over (partition by seq_id, pos order by prob desc, token_id rows between unbounded preceding and current row) cum,
