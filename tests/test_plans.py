@@ -30,15 +30,20 @@ def test_scan_reads_only_needed_columns(spark):
     assert "partial_sum" in p
 
 
-def test_packing_plan(spark):
-    p = plan(QUERIES["pack_wrapped"](spark, SF))
-    # the payload is grouped by block once; the only single-partition exchange
-    # is over the per-task totals of the prefix sum
-    assert p.count("hashpartitioning(block_id") == 1
-    for m in re.finditer(r"Exchange SinglePartition", p):
-        tail = p[m.end():m.end() + 400]
-        assert "_pid" in tail
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in p
+def test_packing_moves_its_payload_once(spark, monkeypatch):
+    """One range exchange carries the text; after it only pieces of blocks that straddle ranges are shuffled."""
+    from tokenmill.operators import rangepack
+    seen = []
+    real = rangepack.cut_lineage
+    monkeypatch.setattr(rangepack, "cut_lineage", lambda df: seen.append(plan(df)) or real(df))
+    out = plan(QUERIES["pack_wrapped"](spark, SF))
+    ordered, cut = seen
+    assert ordered.count("Exchange") == ordered.count("rangepartitioning") == 1 and "SinglePartition" not in ordered
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in ordered
+    # the second step reads that table; its only exchange is that of the ranges' totals and their broadcast
+    assert all("_t#" not in cut[m.end():m.end() + 60] for m in re.finditer(r"Exchange hashpartitioning", cut)) and "MapInArrow" in cut
+    assert "SinglePartition" not in cut
+    assert out.count("hashpartitioning(_g") == 1 and "NOT whole" in out[out.index("hashpartitioning(_g"):]
 
 
 def test_subset_uses_group_limit(spark):

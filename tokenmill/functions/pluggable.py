@@ -111,13 +111,13 @@ def user_metric(col: Column, fn: Callable[[pd.Series], float]) -> Column:
 
 
 def model_log_probs(ids: Column, factory: Callable[[], Callable[[list], list[list[float]]]]) -> Column:
-    """U4: per-token log-probs of a user model for each id sequence."""
+    """U4: per-token log-probs of a user model for each id sequence (the model gets and may return numpy arrays)."""
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()
         for s in batches:
-            yield pd.Series(model([list(x) for x in s.tolist()]))
+            yield pd.Series(list(model(s.tolist())), dtype=object)
 
     return run(ids)
 
@@ -133,12 +133,12 @@ def adaptive_unigram_factory(vocab_size: int):
         def score(seqs):
             out = []
             for ids in seqs:
-                a = np.asarray(ids, np.int64)
+                a = np.asarray(ids, np.int32)
                 order = np.argsort(a, kind="stable")
                 at, before = np.arange(len(a)), np.zeros(len(a), np.int64)
                 first = np.flatnonzero(np.diff(a[order], prepend=-1))  # where each token's run begins
                 before[order] = at - np.repeat(first, np.diff(np.r_[first, len(a)]))
-                out.append(np.log((before + 1.0) / (at + vocab_size)).tolist())
+                out.append(np.log((before + 1.0) / (at + vocab_size)))
             return out
 
         return score

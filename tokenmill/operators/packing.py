@@ -1,92 +1,43 @@
 """Packing and sequence shaping.
 
-The wrapped packer (K1) never explodes to one row per token:
-
-* a narrow pass computes each document's token count and its start offset
-  in the concatenated corpus (``offsets.running_offset``, two-pass prefix
-  sum, no single-partition window);
-* each document is cut into the pieces that fall into each block it
-  touches (``transform(sequence(first_block, last_block), ...)`` so a long
-  document is split across many blocks and no row is copied per block);
-* one shuffle groups the pieces by block id and orders them by offset.
-
-A block holds at most ``block_size`` tokens, so no group is unbounded, and a
-document longer than a whole partition is spread over as many block groups
-as it touches.
+The wrapped packer (K1) never explodes to one row per token: rows are put in
+order by one range exchange, each task cuts its range at the block boundaries,
+and only the pieces of blocks that straddle ranges are shuffled again
+(``rangepack``). A document longer than a block fills as many as it touches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
-from .offsets import row_index, running_offset
-
-
-def _pieces(df: DataFrame, ids: Column, keep: Sequence[str], chunk: int) -> DataFrame:
-    """Cut each row's ``ids`` into (block_id, piece_start, piece) rows.
-    ``df`` must carry ``_off`` (start offset) and ``_n`` (length)."""
-    off, n = F.col("_off"), F.col("_n")
-    first = F.floor(off / chunk)
-    last = F.floor((off + n - 1) / chunk)
-
-    def piece(b):
-        ps = F.greatest(off, b * chunk)
-        pe = F.least(off + n, (b + 1) * chunk)
-        return F.struct(b.alias("block_id"), ps.alias("s"),
-                        F.slice(F.col("_ids"), (ps - off + 1).cast("int"), (pe - ps).cast("int")).alias("t"))
-
-    return (df.where(n > 0)
-            .select(*keep, "_off", "_n", ids.alias("_ids"))
-            .select(*keep, F.explode(F.transform(F.sequence(first, last), piece)).alias("p"))
-            .select(*keep, "p.block_id", "p.s", "p.t"))
-
-
-def _with_offsets(df: DataFrame, n: Column, tie: Column, order_cols: Sequence[str], group_cols: Sequence[str],
-                  strategy: str = "two_pass") -> DataFrame:
-    """``df`` with ``_n`` (length) and ``_off`` (start in the concatenated corpus).
-
-    Offsets are computed for distinct keys and joined back null-safely, so rows
-    that share an order key, or have none, keep their tokens: inside a key they
-    follow each other by ``tie``."""
-    keys = [*group_cols, *order_cols]
-    lengths = df.select(*keys, n.alias("_n")).groupBy(*keys).agg(F.sum("_n").alias("_n"))
-    offs = running_offset(lengths, "_n", order_cols, group_cols, "_off", strategy=strategy)
-    offs = offs.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_n").alias("_all"), "_off")
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    wide = df.withColumn("_n", n).join(offs, same, "inner")
-    before = Window.partitionBy(*keys).orderBy(tie).rowsBetween(Window.unboundedPreceding, -1)
-    inner = F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long")
-    return wide.withColumn("_off", F.col("_off") + inner).drop("_all", *[f"_k{i}" for i in range(len(keys))])
-
-
-def _assemble(pieces: DataFrame, keys: Sequence[str], chunk: int) -> DataFrame:
-    agg = pieces.groupBy(*keys, "block_id").agg(F.collect_list(F.struct("s", "t")).alias("_p"))
-    body = F.flatten(F.transform(F.array_sort(F.col("_p")), lambda x: x["t"]))
-    return agg.select(*keys, "block_id", body.alias("_body")).where(F.size("_body") == chunk)
+from .offsets import row_index
+from .rangepack import pack_ranges
 
 
 def pack_wrapped(df: DataFrame, ids: Column, order_cols: Sequence[str], block_size: int,
                  bos: int, eos: int, insert_special: bool = True,
-                 group_cols: Sequence[str] = (), offset_strategy: str = "two_pass") -> DataFrame:
+                 group_cols: Sequence[str] = ()) -> DataFrame:
     """K1/K2: concatenate ``ids`` in ``order_cols`` order (per ``group_cols``),
     cut into chunks of ``block_size-2`` (or ``block_size`` without specials),
     drop the incomplete remainder, wrap ``[BOS] chunk [EOS]``.
 
-    ``ids`` is a Column expression over ``df``; it is evaluated after the
-    offsets are joined back, so the shuffle carries the source columns, not
-    token arrays. Returns ``(*group_cols, block_id, input_ids, attention_mask)``.
+    ``ids`` is evaluated once, before the one exchange that carries it (``rangepack``). Rows that share an order
+    key, or have none, keep their tokens: they follow each other by the hash of their ids.
+    Returns ``(*group_cols, block_id, input_ids, attention_mask)``.
     """
     group_cols, order_cols = list(group_cols), list(order_cols)
     chunk = block_size - 2 if insert_special else block_size
-    wide = _with_offsets(df, F.size(ids).cast("long"), F.hash(ids), order_cols, group_cols, offset_strategy)
-    blocks = _assemble(_pieces(wide, ids, group_cols, chunk), group_cols, chunk)
-    body = F.col("_body")
+    rows = df.select(*dict.fromkeys([*group_cols, *order_cols]), ids.cast("array<int>").alias("_t"))
+    blocks = pack_ranges(rows, group_cols, order_cols, chunk, text=False)
+    return _wrapped(blocks, F.col("_body"), group_cols, block_size, bos, eos, insert_special)
+
+
+def _wrapped(blocks: DataFrame, body: Column, group_cols: Sequence[str], block_size: int, bos: int, eos: int,
+             insert_special: bool) -> DataFrame:
     input_ids = F.concat(F.array(F.lit(bos)), body, F.array(F.lit(eos))) if insert_special else body
     return blocks.select(*group_cols, F.col("block_id").cast("long").alias("block_id"),
                          input_ids.alias("input_ids"), T.ones_mask(block_size).alias("attention_mask"))
@@ -99,37 +50,20 @@ def pack_chars(df: DataFrame, text_col: str, order_cols: Sequence[str], block_si
 
     Character tokens are the code points of the lower-cased text, so the
     corpus can be concatenated and cut as *strings* (EOS is one sentinel code
-    point): lengths come from ``char_length`` without tokenising, the shuffle
-    carries substrings (about a byte per token instead of an int array), and
+    point): lengths come from ``char_length`` without tokenising, the one
+    exchange carries about a byte per token instead of an int array, and
     each finished block is tokenised once. Same rows as ``pack_wrapped`` with
     ``char_ids`` + EOS."""
     group_cols, order_cols = list(group_cols), list(order_cols)
     chunk = block_size - 2 if insert_special else block_size
-    t = F.replace(F.coalesce(F.lower(F.col(text_col)), F.lit("")), F.lit(T.EOS_CHAR), F.lit(""))
-    if insert_eos:
-        t = F.concat(t, F.lit(T.EOS_CHAR))
-    wide = _with_offsets(df, F.char_length(t).cast("long"), t, order_cols, group_cols).where(F.col("_n") > 0)
-    off = F.col("_off")
-    # one linear pass cuts the document at the global block boundaries: pad
-    # the front to the block phase, take chunk-sized runs, drop the padding
-    lead = (off % chunk).cast("int")
-    runs = F.regexp_extract_all(F.concat(F.repeat(F.lit("\u0002"), lead), F.col("_t")),
-                                F.lit("(?s).{1,%d}" % chunk), 0)
-    pieces = (wide.select(*group_cols, "_off", t.alias("_t"))
-              .select(*group_cols, "_off", F.posexplode(runs).alias("_i", "_r"))
-              .select(*group_cols,
-                      (F.floor(off / chunk) + F.col("_i")).cast("long").alias("block_id"),
-                      F.when(F.col("_i") == 0, off).otherwise((F.floor(off / chunk) + F.col("_i")) * chunk)
-                      .cast("long").alias("s"),
-                      F.when(F.col("_i") == 0, F.substring("_r", (off % chunk + 1).cast("int"), chunk))
-                      .otherwise(F.col("_r")).alias("t")))
-    blocks = pieces.groupBy(*group_cols, "block_id").agg(F.collect_list(F.struct("s", "t")).alias("_p"))
-    text = F.array_join(F.transform(F.array_sort(F.col("_p")), lambda x: x["t"]), "")
-    full = blocks.select(*group_cols, "block_id", text.alias("_body")).where(F.char_length("_body") == chunk)
-    body = T.char_ids_of_lowered(F.col("_body"))
-    input_ids = F.concat(F.array(F.lit(bos)), body, F.array(F.lit(eos))) if insert_special else body
-    return full.select(*group_cols, F.col("block_id").cast("long").alias("block_id"), input_ids.alias("input_ids"),
-                       T.ones_mask(block_size).alias("attention_mask"))
+
+    def prepare(raw: Column) -> Column:
+        t = F.replace(F.coalesce(F.lower(raw), F.lit("")), F.lit(T.EOS_CHAR), F.lit(""))
+        return F.concat(t, F.lit(T.EOS_CHAR)) if insert_eos else t
+
+    rows = df.select(*dict.fromkeys([*group_cols, *order_cols]), F.col(text_col).alias("_t"))
+    blocks = pack_ranges(rows, group_cols, order_cols, chunk, text=True, prepare=prepare)
+    return _wrapped(blocks, T.char_ids_of_lowered(F.col("_body")), group_cols, block_size, bos, eos, insert_special)
 
 
 def contiguous_shards(df: DataFrame, idx_col: str, n_rows: int, num_shards: int,
@@ -159,9 +93,7 @@ def pack_wrapped_batched(df: DataFrame, ids: Column, order_cols: Sequence[str],
     n_rows = idx.count()  # one scalar to size the shards
     sb = contiguous_shards(idx, "_idx", n_rows, num_shards, batch_rows).drop("_idx")
     tagged = df.join(sb, on=order_cols, how="inner")
-    # every (shard, batch) group holds at most batch_rows rows -> plain window
-    return pack_wrapped(tagged, ids, order_cols, block_size, bos, eos, insert_special,
-                        group_cols=["shard", "batch"], offset_strategy="window")
+    return pack_wrapped(tagged, ids, order_cols, block_size, bos, eos, insert_special, group_cols=["shard", "batch"])
 
 
 # ---------------------------------------------------------------------- K5 --
