@@ -2,12 +2,16 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
+import public_tokenizers
+
 WS = "[^\\x20\\x09-\\x0d]+"
-TOK = "/opt/tokenizers/"
-SCHEMA = "doc_id long, text string, lang string, chunk string, node string, kind string, body string, row string"
+TOK = os.path.join(os.path.dirname(public_tokenizers.__file__), "")
+SCHEMA = ("doc_id long, text string, lang string, chunk string, node string, kind string, body string, row string, "
+          "_row string, _id string, _was string, _new string")
 
 
 def texts() -> list[tuple]:
@@ -27,7 +31,7 @@ def texts() -> list[tuple]:
 
 def frame(spark, rows):
     """A documents table with columns whose names clash with inner ones."""
-    return spark.createDataFrame([(d, t, "en", "c", "n", "k", "b", "r") for d, t in rows], SCHEMA)
+    return spark.createDataFrame([(d, t, "en", *"cnkbrRIWN") for d, t in rows], SCHEMA)
 
 
 def words(text):
@@ -82,5 +86,14 @@ def substring_cuts(rows, length=50):
     return out
 
 
+def kept_bytes(rows, doc, text, length=50):
+    """The bytes of one row that no string of a smaller id covers."""
+    before = {b[i:i + length] for d, t in rows if d is not None and (doc is None or d < doc)
+              for b in [(t or "").encode()] for i in range(len(b) - length + 1)}
+    b = (text or "").encode()
+    gone = {j for i in range(len(b) - length + 1) if b[i:i + length] in before for j in range(i, i + length)}
+    return bytes(x for j, x in enumerate(b) if j not in gone)
+
+
 def key(row):
     return tuple((x is None, x) for x in row)

@@ -114,6 +114,25 @@ def test_wavelet_files(spark, docs):
         at, last = s + n, (d is not None, d or 0)
 
 
+def test_shards_that_hold_the_same_ids(spark, tmp_path):
+    """Null and repeated ids fill several small shards: every row comes back once, starts follow the ids."""
+    from tokenmill.llm.tokens import encode_texts
+    tok = TOK + "word_bpe_49k.json"
+    for number, ids in enumerate([[None] * 6, [5, 5, 5, 5, 6], [5] * 6 + [6], [None, 3, None, 3, 1, 2, 2, 1]]):
+        rows = [(d, f"one two word {i}") for i, d in enumerate(ids)]
+        path = str(tmp_path / str(number))
+        wavelet.write(frame(spark, rows).repartition(3), path, tok, 16, shard_tokens=4)
+        out = [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in wavelet.documents_of(spark, path).collect()]
+        want = []
+        for d, t in rows:
+            flat, n = encode_texts(tok, [t.encode()])
+            want.append((d, int(n[0]) + 1, zlib.crc32(np.r_[flat, 1].astype("<u4").tobytes())))
+        assert sorted(((d, n, c) for d, _, n, c in out), key=key) == sorted(want, key=key)
+        out.sort(key=lambda r: r[1])
+        assert [r[1] for r in out] == [sum(r[2] for r in out[:i]) for i in range(len(out))]
+        assert [r[0] for r in out] == sorted(ids, key=lambda d: (d is not None, d))
+
+
 def test_wavelet_matrix_queries():
     rng = np.random.default_rng(2)
     for n, width in ((0, 5), (1, 1), (511, 7), (512, 16), (3000, 17)):

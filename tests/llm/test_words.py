@@ -124,7 +124,7 @@ def sentences():
 
 
 def docs_of(spark, rows):
-    return spark.createDataFrame([(i, t, g, "c", "n", "k", "b", "r") for i, (g, t) in enumerate(rows)], SCHEMA)
+    return spark.createDataFrame([(i, t, g, *"cnkbrRIWN") for i, (g, t) in enumerate(rows)], SCHEMA)
 
 
 @pytest.mark.parametrize("kw", [{"min_count": 3}, {"min_count": 2, "top": 7}, {"min_count": 3, "per_cent": 50}])

@@ -417,12 +417,14 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         ["_id", "_was", "_new"])
 
     changed = _masks(docs, finish, "_id long, _was binary, _new string", id_col, text_col).distinct()
+    # the documents travel as one struct, so that no column of theirs can be taken for one of ours
+    row = docs.select(F.struct(*docs.columns).alias("doc"))
+    text = F.col("doc")[text_col]
     # the id says which rows change; of rows that share an id, the old text tells them apart
-    old = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    both = docs.join(changed, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (old == F.col("_was")), "left")
-    new = F.coalesce("_new", F.col(text_col))
-    columns = {text_col: new.alias(text_col)}
+    old = F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+    both = row.join(changed, F.col("doc")[id_col].cast("long").eqNullSafe(F.col("_id")) & (old == F.col("_was")), "left")
+    columns = {text_col: F.coalesce("_new", text).alias(text_col)}
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        columns["n_chars"] = F.when(F.col("_new").isNull(), F.col("n_chars")).otherwise(F.length("_new")).cast(kind).alias("n_chars")
-    return both.select([columns.get(c, F.col(c)) for c in docs.columns])
+        columns["n_chars"] = F.when(F.col("_new").isNull(), F.col("doc")["n_chars"]).otherwise(F.length("_new")).cast(kind).alias("n_chars")
+    return both.select([columns.get(c, F.col("doc")[c].alias(c)) for c in docs.columns])

@@ -35,7 +35,7 @@ from .tokens import encode_texts, groups_of_bytes, with_end
 #: Ids after which a shard is closed.
 SHARD_TOKENS = 1 << 20
 BLOCK = 512
-SHARD = ("first_id long, n_tokens long, n_docs int, width int, zeros array<int>, doc_ids binary, "
+SHARD = ("part int, number int, n_tokens long, n_docs int, width int, zeros array<int>, doc_ids binary, "
          "doc_tokens binary, planes array<binary>, ranks array<binary>")
 
 
@@ -146,29 +146,34 @@ class WaveletMatrix:
         return x
 
 
-def _shard_row(doc_ids: list, n: np.ndarray, ids: np.ndarray, width: int) -> dict:
+def _shard_row(part: int, number: int, doc_ids: list, n: np.ndarray, ids: np.ndarray, width: int) -> dict:
     m = WaveletMatrix.build(ids, width)
     none = [d is None for d in doc_ids]
     known = [0 if d is None else d for d in doc_ids]
-    return {"first_id": None if none[0] else doc_ids[0], "n_tokens": len(ids), "n_docs": len(n), "width": width,
+    return {"part": part, "number": number, "n_tokens": len(ids), "n_docs": len(n), "width": width,
             "zeros": m.zeros, "doc_ids": _zip(np.array([known, none], "<i8").tobytes()),
             "doc_tokens": _zip(n.astype("<i8").tobytes()), "planes": m._planes, "ranks": m._ranks}
 
 
-_ARROW = pa.schema([("first_id", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int32()), ("width", pa.int32()),
+_ARROW = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("n_tokens", pa.int64()), ("n_docs", pa.int32()), ("width", pa.int32()),
                     ("zeros", pa.list_(pa.int32())), ("doc_ids", pa.binary()), ("doc_tokens", pa.binary()),
                     ("planes", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary()))])
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, width: int, end_id: int = 1, shard_tokens: int = SHARD_TOKENS,
           id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes all texts and writes their ids, in ascending id order, as wavelet-matrix shards."""
+    """Encodes all texts and writes their ids, in ascending id order, as wavelet-matrix shards.
+
+    Rows that share an id, or have none, are in the order of their texts' hashes, and may fill several ranges. A
+    shard is known by its range and its number in it, whatever its ids are."""
 
     def build(batches):
+        from pyspark import TaskContext
+        part, number = TaskContext.get().partitionId(), 0
         held, n_held = [], 0  # (doc_id, ids) until a shard is full
 
         def close():
-            row = _shard_row([d for d, _ in held], np.array([len(x) for _, x in held]),
+            row = _shard_row(part, number, [d for d, _ in held], np.array([len(x) for _, x in held]),
                              np.concatenate([x for _, x in held]), width)
             return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
@@ -182,26 +187,28 @@ def write(docs: DataFrame, path: str, tokenizer: str, width: int, end_id: int =
                     n_held += len(x)
                     if n_held >= shard_tokens:
                         yield close()
-                        held, n_held = [], 0
+                        held, n_held, number = [], 0, number + 1
         if held:
             yield close()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = bodies(docs, id_col, text_col).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    rows = bodies(docs, id_col, text_col).withColumn("_h", F.xxhash64("body"))
+    rows = rows.repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h").drop("_h")
     rows.mapInArrow(build, SHARD).write.option("compression", "uncompressed").parquet(path)
 
 
 def shards(spark: SparkSession, path: str) -> DataFrame:
-    """The shard rows with ``base``: ids in all shards before, by ascending id."""
+    """The shard rows with ``base``: ids in all shards before, by range and number."""
     rows = spark.read.schema(SHARD).parquet(path)
-    # one small row per shard; the order needs ids and counts only
-    heads = rows.select("first_id", "n_tokens", "n_docs", "doc_ids", F.input_file_name().alias("file"))
-    key = F.struct(F.col("first_id").isNotNull().alias("known"), "first_id", "file", "part")
-    heads = heads.withColumn("part", F.xxhash64("doc_ids")).drop("doc_ids")
-    w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    base = heads.select("file", "part", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)).alias("base"))
-    return (rows.withColumn("file", F.input_file_name()).withColumn("part", F.xxhash64("doc_ids"))
-            .join(base, ["file", "part"]))
+    heads = rows.select("part", "number", "n_tokens")  # one small row per shard
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each range of the writing job
+    parts = heads.groupBy("part").agg(F.sum("n_tokens").alias("all")).select(
+        "part", F.coalesce(F.sum("all").over(before("part")), F.lit(0)).alias("_part_base"))
+    inner = F.coalesce(F.sum("n_tokens").over(before("part", "number")), F.lit(0))
+    base = heads.select("part", "number", inner.alias("_inner")).join(parts, "part").select(
+        "part", "number", (F.col("_part_base") + F.col("_inner")).alias("base"))
+    return rows.join(base, ["part", "number"])
 
 
 def open_shard(row) -> WaveletMatrix:
