@@ -137,8 +137,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches):
         for b in batches:
             doc, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            bpe, table = worker_state(f"bpe_{path}", lambda: _table(path))
-            strings = worker_state(f"strings_{path}", lambda: _strings(bpe))
+            bpe, table = worker_state(f"bpe_{path}", lambda: _table(path), "bpe")
+            strings = worker_state(f"strings_{path}", lambda: _strings(bpe), "bpe")
             for lo, hi in groups_of_bytes([len(t) for t in texts], 6 << 20):
                 flat, n = table.rows([units(t) for t in texts[lo:hi]])
                 ends = np.cumsum(n)

@@ -85,15 +85,19 @@ def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(lengths) - lengths, np.repeat(np.arange(len(lengths)), lengths)
 
 
-def worker_state(name: str, make):
-    """A value kept for the life of a Python worker, for its later tasks.
+def worker_state(name: str, make, group: str | None = None):
+    """A value kept in a Python worker for its later tasks, until one of another ``group`` (``name``, if not
+    given) is asked for: a worker that goes from stage to stage holds the tables of one.
 
     The package's functions reach workers by value, so their own module
     globals would not outlive one task."""
     mod = sys.modules.setdefault("tokenmill_worker_state", types.ModuleType("tokenmill_worker_state"))
-    if not hasattr(mod, name):
-        setattr(mod, name, make())
-    return getattr(mod, name)
+    group = group or name
+    if getattr(mod, "_group", None) != group:
+        mod._held, mod._group = {}, group
+    if name not in mod._held:
+        mod._held[name] = make()
+    return mod._held[name]
 
 
 class _Slots(dict):

@@ -15,8 +15,10 @@ import numpy as np
 
 from .common import worker_state
 
-#: Distinct pieces that a worker keeps; past it the table starts anew (memory only, not results).
-KEEP = 1_500_000
+#: Bytes that a worker's table may hold; past it the table starts anew (memory only, not results).
+KEEP_BYTES = 160 << 20
+#: Bytes of a piece in the table besides its own (objects, the dictionary's place, ids).
+_OVERHEAD = 140
 
 
 class _Pieces(dict):
@@ -38,15 +40,16 @@ class PieceTable:
 
     def _clear(self):
         self.slots, self.flat, self.size = _Pieces(), array("I"), array("I")
-        self.view = None
+        self.view, self.held = None, 0
 
     def rows(self, split: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts given as lists of pieces: (all ids, ids in each text)."""
-        if len(self.slots) > KEEP:
+        if self.held > KEEP_BYTES:
             self._clear()
         get = self.slots.__getitem__
         each = [np.fromiter(map(get, x), np.int32, len(x)) for x in split]
         if self.slots.new:
+            self.held += sum(map(len, self.slots.new)) + _OVERHEAD * len(self.slots.new)
             for ids in self.encode(self.slots.new):
                 self.flat.extend(ids)
                 self.size.append(len(ids))
