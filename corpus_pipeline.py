@@ -24,9 +24,9 @@ from tokenmill.session import scratch_path  # noqa: E402
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number ``_row`` for each row, written once so that all passes see the same
-    numbers: ids may be null or repeat."""
-    return settled(docs.withColumn("_row", F.monotonically_increasing_id()))
+    """(_row, doc_id, text, doc): a number for each row and the row itself, written once so that all passes see the
+    same numbers: ids may be null or repeat. The row is one struct, so any column names of its own are safe."""
+    return settled(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text", F.struct(*docs.columns).alias("doc")))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _numbered(docs)
     gone = exact.dedup_rows(rows, "_row").filter("not kept").select(F.col("row").alias("_gone"))
-    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").select("doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     ids = rows.select("_row", F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"))
     first = F.min(F.struct("none", "id", "_row")).alias("first")
     kept = groups.join(ids, "_row").groupBy("component_id").agg(first).select(F.col("first._row").alias("_kept"))
-    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
+    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select("doc.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
