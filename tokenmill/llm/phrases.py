@@ -3,9 +3,10 @@
 1. *Chunks.* Each task tokenises its texts into chunks of about ``CHUNK_BYTES``
    and writes, once, a chunk's words as numbers of its own vocabulary and that
    vocabulary with counts. Everything later reads this table.
-2. *Words.* Counts are summed over chunks; words of ``min_count`` occurrences get
-   dense ids, which return to the chunks that hold them. A phrase that is
-   frequent has only frequent parts, so all else ends a run of words.
+2. *Words.* One exchange brings a word's counts of all chunks together (one row
+   a chunk); words of ``min_count`` occurrences get dense ids, which return,
+   packed, to the chunks that hold them. A phrase that is frequent has only
+   frequent parts, so all else ends a run of words.
 3. *Pairs, then phrases of three to five words* inside runs of frequent pairs,
    both by ``HatTrie``: a shallow trie over word ids (one word deep for pairs,
    two for longer phrases) with hash containers of the phrases' remaining words
@@ -36,18 +37,19 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, settled
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 #: Occurrences of a prefix for each bucket of its container.
 BURST = 1 << 14
 #: Prefixes (that are not burst) of a prefix partition.
 PREFIXES = 64
 #: Entries of a trie before subtrees leave.
-MOST_ENTRIES = 600_000
+MOST_ENTRIES = 400_000
 MOST_WORDS = 5
 #: Rows of a batch that leaves a task.
 _ROWS = 50_000
@@ -130,15 +132,80 @@ def chunks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", chun
     return settled(rows.mapInArrow(run, "chunk long, lang string, word string, slot int, n long, seq binary"))
 
 
-def frequent_words(table: DataFrame, min_count: int) -> DataFrame:
-    """lang, word, n, id (dense, from 1) of the words with ``min_count`` occurrences or more."""
-    words = settled(table.where("seq is null").groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-                    .withColumn("at", F.monotonically_increasing_id()))
-    share = words.groupBy((F.col("at") / F.lit(1 << 33)).cast("long").alias("part")).agg(F.count("*").alias("k"))
-    # one row for each partition of the table
-    base = share.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("base"))
-    return words.withColumn("part", (F.col("at") / F.lit(1 << 33)).cast("long")).join(F.broadcast(base), "part").select(
-        "lang", "word", "n", (F.col("base") + F.col("at") - F.col("part") * F.lit(1 << 33) + 1).alias("id"))
+_ANSWERS = "part int, lang string, word string, n long, number int, chunk long, slots binary, numbers binary, buckets binary"
+
+
+def _answers(min_count: int):
+    """Rows (lang, word, chunk, slot, n) ordered by word -> the frequent words, numbered in this task (``part``), and for
+    each chunk its frequent words' numbers. A word has one row for each chunk that holds it."""
+
+    def words(rows, part):
+        lang, word, n, number = zip(*rows)
+        k = len(rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part] * k, pa.int32()), pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64()),
+             pa.array(number, pa.int32()), pa.nulls(k, pa.int64()), *[pa.nulls(k, pa.binary())] * 3], schema=schema)
+
+    def answers(held, part):
+        chunk, slot, number, buckets = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(chunk, kind="stable")
+        chunk, slot, number, buckets = chunk[order], slot[order], number[order], buckets[order]
+        begin = np.flatnonzero(np.r_[True, np.diff(chunk) != 0])
+        cuts = [[x.tobytes() for x in np.split(a.astype("<i4"), begin[1:])] for a in (slot, number, buckets)]
+        k = len(begin)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part] * k, pa.int32()), pa.nulls(k, pa.string()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()),
+             pa.nulls(k, pa.int32()), pa.array(chunk[begin]), *[pa.array(c, pa.binary()) for c in cuts]], schema=schema)
+
+    schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("number", pa.int32()),
+                        ("chunk", pa.int64()), ("slots", pa.binary()), ("numbers", pa.binary()), ("buckets", pa.binary())])
+
+    def run(batches):
+        from pyspark import TaskContext
+        part, number = TaskContext.get().partitionId(), 0
+        key, total, chunks_, slots = None, 0, [], []  # of the word at hand
+        out, held, size = [], [], 0
+
+        def close():
+            nonlocal number, size
+            if key is not None and total >= min_count:
+                out.append((*key, total, number))
+                chunk, slot = np.concatenate(chunks_), np.concatenate(slots)
+                held.append((chunk, slot, np.full(len(chunk), number), np.full(len(chunk), total // BURST + 1)))
+                number, size = number + 1, size + len(chunk)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lang, word = b.column("lang"), b.column("word")
+            chunk, slot, n = (b.column(c).to_numpy() for c in ("chunk", "slot", "n"))
+            new = [pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy(zero_copy_only=False) for x in (lang, word)]
+            begin = np.r_[0, np.flatnonzero(new[0] | new[1]) + 1]
+            sums = np.add.reduceat(n, begin)
+            ends = np.r_[begin[1:], b.num_rows]
+            # a word inside the batch that is too rare needs no look; the first and last may go on in other batches
+            for i in np.flatnonzero((sums >= min_count) | (begin == 0) | (ends == b.num_rows)).tolist():
+                s, e = int(begin[i]), int(ends[i])
+                own = (lang[s].as_py(), word[s].as_py())
+                if own != key:
+                    close()
+                    key, total, chunks_, slots = own, 0, [], []
+                total += int(sums[i])
+                chunks_.append(chunk[s:e])
+                slots.append(slot[s:e])
+            if len(out) > _ROWS:
+                yield words(out, part)
+                out = []
+            if size > MOST_ENTRIES:
+                yield answers(held, part)
+                held, size = [], 0
+        close()
+        if out:
+            yield words(out, part)
+        if held:
+            yield answers(held, part)
+
+    return run
 
 
 def _hash(columns: np.ndarray) -> np.ndarray:
@@ -238,20 +305,26 @@ def _unpacked(b: pa.RecordBatch, i: int) -> np.ndarray:
     return np.frombuffer(pa.Codec("zstd").decompress(b.column("seq")[i].as_buffer(), 4 * b.column("n")[i].as_py()), np.int32)
 
 
-def _coded(batches):
+def _coded(base: dict[int, int]):
     """Chunks with corpus ids in place of their own numbers (0 ends a run of frequent words), and the buckets of
-    their words that have several."""
-    for b in batches:
-        for i in range(b.num_rows):
-            seq, words = _unpacked(b, i), b.column("words")[i].values
-            ids = np.zeros(int(seq.max(initial=-1)) + 2, np.int32)  # -1 is the last place, which no word has
-            slot, own, n = (words.field(c).to_numpy() for c in ("slot", "id", "n"))
-            ids[slot] = own
-            hot = n >= BURST
-            hot = [{"id": x, "buckets": k} for x, k in zip(own[hot].tolist(), (n[hot] // BURST + 1).tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("chunk").slice(i, 1), b.column("n").slice(i, 1), pa.array([_packed(ids[seq])], pa.binary()),
-                 pa.array([hot], pa.list_(pa.struct([("id", pa.int64()), ("buckets", pa.int64())])))], ["chunk", "n", "seq", "hot"])
+    their words that have several. ``base``: ids before those of each part."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                seq, got = _unpacked(b, i), b.column("words")[i].as_py()
+                ids = np.zeros(int(seq.max(initial=-1)) + 2, np.int32)  # -1 is the last place, which no word has
+                hot = []
+                for x in got:
+                    slot, number, buckets = (np.frombuffer(x[c], "<i4") for c in ("slots", "numbers", "buckets"))
+                    own = base[x["part"]] + number + 1
+                    ids[slot] = own
+                    hot += [{"id": k, "buckets": m} for k, m in zip(own[buckets > 1].tolist(), buckets[buckets > 1].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("chunk").slice(i, 1), b.column("n").slice(i, 1), pa.array([_packed(ids[seq])], pa.binary()),
+                     pa.array([hot], pa.list_(pa.struct([("id", pa.int64()), ("buckets", pa.int64())])))], ["chunk", "n", "seq", "hot"])
+
+    return run
 
 
 def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -403,14 +476,22 @@ def phrase_counts(docs: DataFrame, min_count: int = 100, text_col: str = "text",
     """(phrases, words, totals): ids, n of the phrases of one to five words with ``min_count`` occurrences
     or more; lang, word, n, id of the words; lang, total of all word occurrences."""
     table = chunks(docs, text_col, lang_col, chunk_bytes)
-    words = settled(frequent_words(table, min_count))
-    if (words.agg(F.max("id")).first()[0] or 0) >= 1 << 31:
-        raise ValueError("more than 2^31 - 1 frequent words")
     totals = settled(table.where("seq is null").groupBy("lang").agg(F.sum("n").alias("total")))
-    slots = (table.where("seq is null").select("chunk", "lang", "word", "slot").join(words, ["lang", "word"])
-             .groupBy("chunk").agg(F.collect_list(F.struct("slot", "id", "n")).alias("words")))  # one chunk's vocabulary
+    rows = table.where("seq is null").select("lang", "word", "chunk", "slot", "n")
+    got = settled(rows.repartition("lang", "word").sortWithinPartitions("lang", "word").mapInArrow(_answers(min_count), _ANSWERS))
+    base, count = {}, 0
+    for part, k in sorted(got.where("chunk is null").groupBy("part").count().collect()):  # a row for each task
+        base[part], count = count, count + k
+    if count >= 1 << 31:
+        raise ValueError("more than 2^31 - 1 frequent words")
+    shift = F.broadcast(table.sparkSession.createDataFrame(list(base.items()), "part int, base long"))
+    words = settled(got.where("chunk is null").join(shift, "part").select(
+        "lang", "word", "n", (F.col("base") + F.col("number") + 1).alias("id")))
+    slots = got.where("chunk is not null").groupBy("chunk").agg(
+        F.collect_list(F.struct("part", "slots", "numbers", "buckets")).alias("words"))  # one chunk's vocabulary
     coded = settled(table.where("seq is not null").select("chunk", "n", "seq").join(slots, "chunk").mapInArrow(
-        _coded, "chunk long, n long, seq binary, hot array<struct<id: long, buckets: long>>"))
+        _coded(base), "chunk long, n long, seq binary, hot array<struct<id: long, buckets: long>>"))
+    forget(got)
     forget(table)
     parts = 1 + words.count() // PREFIXES
     pairs = settled(_merged(coded.mapInArrow(_pairs(parts), _RUNS), _merge(1, min_count, _pair_rows), "chunk long, pairs binary, buckets binary"))
