@@ -124,3 +124,38 @@ def test_stream_resume_exactly_once(spark, tmp_path):
     J.run_to_parquet(J.read_stream(spark, path, df.schema), out, ck)
     got = sorted(r["event_id"] for r in spark.read.parquet(out).collect())
     assert got == list(range(100))
+
+
+def test_scan_limited_takes_the_cap_partition_by_partition(spark, tmp_path):
+    df = spark.range(0, 1000, 1, 7).select("id", F.when(F.col("id") % 5 > 0, F.col("id")).alias("x"))
+    df.write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    for cap in (0, 1, 10, 799, 800, 801, 10**6):
+        out = C.scan_limited(t, "x", cap)
+        rows = [r["id"] for r in out.collect()]
+        assert out.columns == ["id", "x"] and len(rows) == len(set(rows)) == min(cap, 800) and all(i % 5 for i in rows)
+        assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    seen = C.scan_progress(t, "x").collect()
+    assert sum(r["n_rows"] for r in seen) == 1000 and sum(r["n_null"] for r in seen) == 200 and len(seen) == 7
+
+
+def test_the_corpus_own_column_is_read(spark):
+    df = spark.createDataFrame([("t", "a", "s", "x")], "text string, article string, abstract string, other string")
+    spec = C.corpus_spec("scientific_papers_arxiv")
+    out = C.drop_source_columns(C.adapt_text(df, spec, detokenize=False), spec)
+    assert out.columns == ["text", "other", "corpus"] and out.first()["text"] == "a"
+    both = spark.createDataFrame([("t", "i")], "text string, input string")
+    assert C.text_column(both, "input") == "input" and C.text_column(both) == "text" and C.text_column(both, "sentence") == "input"
+
+
+def test_stop_state_is_bounded(spark, tmp_path):
+    """A sample of 20,000 tokens over ten micro-batches, one that stops early and goes on, and one with an EOS in each of two batches."""
+    rows = [(1, i, i % 97) for i in range(20_000)] + [(2, i, 5 if i in (3, 7) else 200 + i % 90) for i in range(4000)]
+    rows += [(3, i, 5 if i in (10, 900) else 100 + i % 90) for i in range(2000)]
+    df = spark.createDataFrame([(*r, r[1]) for r in rows], "sample_id long, step int, token int, _o long")
+    path, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    J.stage_as_files(df, path, "_o", 10)
+    stops = J.stream_stop_rules(J.read_stream(spark, path, df.schema), "sample_id", "step", "token", eos=5, threshold=1.0)
+    J.run_to_parquet(stops.where("sample_id <> 1 or reason <> 'eos'"), out, ck)
+    got = {r["sample_id"]: (r["stop_len"], r["reason"], r["out_len"]) for r in spark.read.parquet(out).collect()}
+    assert got == {2: (16, "eos", 8), 3: (912, "eos", 901)}

@@ -183,6 +183,12 @@ def q_scan_limited(spark, sf):
     return C.scan_limited(ev, "props", 5000).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query("scan_limited_rows", """select event_id, props from events where props is not null""")
+def q_scan_limited_rows(spark, sf):
+    """The rows themselves, under a cap above the table."""
+    return C.scan_limited(table(spark, sf, "events"), "props", 1 << 40).select("event_id", "props")
+
+
 # ------------------------------------------------------------------ S10 --
 @query("sink_cache", f"""with d as (select sum(len({char_ids_sql()}) + 1) n from documents)
 select unnest(range((n // 62)::BIGINT)) block_id, 64::BIGINT n from d""")
@@ -199,12 +205,20 @@ def q_sink_cache(spark, sf):
 
 
 # ------------------------------------------------------------------ S12 --
-@query("sink_text")
+@query("sink_text", f"""with s as (select smiles t from ({MOLECULES_SQL}))
+select 'sample' kind, t line from s
+union all select 'metric', 'n_samples: ' || count(*) from s
+union all select 'metric', 'n_distinct: ' || count(distinct t) from s
+union all select 'metric', 'max_length: ' || max(length(t)) from s""")
 def q_sink_text(spark, sf):
+    """Samples and the metrics of these samples, written as text and read back."""
     folder = scratch_path(spark, "samples_txt")
     m = molecules(spark, sf).select(X.clean_generated_text("smiles").alias("text"))
-    S.sink_text(m, {"validity": 1.0}, folder)
-    return spark.read.text(os.path.join(folder, "samples")).select(F.length("value").alias("len"))
+    figures = m.agg(F.count(F.lit(1)).alias("n_samples"), F.count_distinct("text").alias("n_distinct"),
+                    F.max(F.char_length("text")).alias("max_length")).first().asDict()
+    S.sink_text(m, figures, folder)
+    read = lambda part, kind: spark.read.text(os.path.join(folder, part)).select(F.lit(kind).alias("kind"), F.col("value").alias("line"))
+    return read("samples", "sample").union(read("metrics", "metric"))
 
 
 # ------------------------------------------------------------------ S13 --

@@ -125,16 +125,32 @@ def q_stream_resume(spark, sf):
 
 
 # -------------------------------------------------------------------- ST7 --
-@query("stream_stop_rules")
+STOP_EOS, STOP_ENTROPY = V.CHAR_VOCAB["f"], 2.8
+
+# every check point of every message: two EOS so far, or a low entropy of the last 256 tokens
+STOP_SQL = f"""with d as (select conv_id || '-' || turn || '-' || row_number() over (partition by conv_id, turn order by role, text) sample_id,
+   {char_ids_sql()} ids from conversations),
+c as (select sample_id, n, ids[1:n] h from (select sample_id, ids, unnest(range(16, len(ids) + 1, 16)) n from d)),
+k as (select sample_id, n, [i for i in range(1, n + 1) if h[i] = {STOP_EOS}] eos,
+   case when n > 256 then list_aggregate(h[n - 255:n], 'entropy') * ln(2) else 99 end ent from c),
+s as (select *, case when len(eos) >= 2 then 'eos' when ent < {STOP_ENTROPY} then 'entropy' end reason from k)
+select sample_id, n::BIGINT stop_len, reason, (case when reason = 'eos' then eos[2] else n - 256 end)::BIGINT out_len
+from s where reason is not null qualify row_number() over (partition by sample_id order by n) = 1"""
+
+
+@query("stream_stop_rules", STOP_SQL)
 def q_stream_stop_rules(spark, sf):
+    from pyspark.sql import Window
+    same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")  # rows that share a turn are samples of their own
     d = table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"), T.char_ids("text").alias("ids"))
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.row_number().over(same).cast("string")).alias("sample_id"),
+        T.char_ids("text").alias("ids"))
     toks = d.select("sample_id", F.posexplode("ids").alias("step", "token"))
     path = os.path.join(scratch_path(spark, "st7"), "in")
-    J.stage_as_files(toks.withColumn("_o", F.col("step").cast("long") * 1_000_000_000 + F.col("sample_id")),
-                     path, "_o", N_FILES)
-    sdf = J.read_stream(spark, path, "sample_id long, step int, token int, _o long")
-    stops = J.stream_stop_rules(sdf, "sample_id", "step", "token", eos=V.CHAR_VOCAB[" "])
+    # file order follows the steps, so a sample's tokens arrive over several micro-batches
+    J.stage_as_files(toks.withColumn("_o", F.col("step").cast("long")), path, "_o", N_FILES)
+    sdf = J.read_stream(spark, path, "sample_id string, step int, token int, _o long")
+    stops = J.stream_stop_rules(sdf, "sample_id", "step", "token", eos=STOP_EOS, threshold=STOP_ENTROPY)
     out, ck = J.fresh(spark, "st7")
     J.run_to_parquet(stops, out, ck)
     return spark.read.parquet(out)

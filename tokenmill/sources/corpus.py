@@ -66,10 +66,16 @@ def validation_split_name(name: str) -> str:
 
 def scan_corpus(spark: SparkSession, name: str, path: str, detokenize: bool = True) -> DataFrame:
     """Read a corpus and expose its text as ``text`` (detokenised by the
-    corpus' rule); other columns are kept for the caller to prune."""
+    corpus' rule), without the columns that the corpus drops; others are kept
+    for the caller to prune."""
     spec = corpus_spec(name)
     df = spark.read.format(spec.fmt).options(**spec.options).load(path)
-    return adapt_text(df, spec, detokenize)
+    return drop_source_columns(adapt_text(df, spec, detokenize), spec)
+
+
+def drop_source_columns(df: DataFrame, spec: CorpusSpec) -> DataFrame:
+    """Without the corpus' own columns; ``text``, which holds what is tokenised, stays until ``model_columns``."""
+    return df.drop(*[c for c in spec.drop_cols if c != "text"])
 
 
 def adapt_text(df: DataFrame, spec: CorpusSpec, detokenize: bool = True) -> DataFrame:
@@ -81,9 +87,9 @@ def adapt_text(df: DataFrame, spec: CorpusSpec, detokenize: bool = True) -> Data
 
 # ------------------------------------------------------------------- P7 --
 def text_column(df: DataFrame, preferred: str = "text") -> str:
-    """``input`` if present, else ``text`` (molecule corpora), else the spec's column."""
+    """The corpus' own column if the table has it, else ``input`` (molecules), else ``text``."""
     cols = set(df.columns)
-    for c in ("input", "text", preferred):
+    for c in (preferred, "input", "text"):
         if c in cols:
             return c
     raise ValueError(f"no text column in {df.columns}")
@@ -188,8 +194,27 @@ def sample_log_scan(spark: SparkSession, path: str) -> DataFrame:
 
 # ------------------------------------------------------------------- S9 --
 def scan_limited(df: DataFrame, col: str, max_rows: int) -> DataFrame:
-    """Non-null rows of ``col`` up to ``max_rows`` (a cap is the feature here)."""
-    return df.where(F.col(col).isNotNull()).limit(max_rows)
+    """Non-null rows of ``col`` up to ``max_rows`` (a cap is the feature here), partition after partition.
+
+    The rows are counted per partition first; each partition then keeps its share of the cap, so no task sees
+    more than its own rows. ``df`` must be a scan or another plan that gives the same partitions twice; the
+    driver gets one count a partition."""
+    rows = df.where(F.col(col).isNotNull()).withColumn("_at", F.monotonically_increasing_id())
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    left, shares = max_rows, []
+    for p, n in sorted(rows.groupBy(part.alias("p")).count().collect()):
+        shares.append((p, min(n, left)))
+        left -= shares[-1][1]
+    if not left or sum(n for _, n in shares) == max_rows:
+        keep = df.sparkSession.createDataFrame(shares, "_part long, _share long")
+        return rows.join(F.broadcast(keep), part == F.col("_part")).where(place < F.col("_share")).select(*df.columns)
+    return rows.select(*df.columns)
+
+
+def scan_progress(df: DataFrame, col: str) -> DataFrame:
+    """S9's report: rows and null rows of each input file."""
+    return df.groupBy(F.col("_metadata.file_name").alias("file")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(col).isNull()).alias("n_null"))
 
 
 def union_splits(parts: dict) -> DataFrame:

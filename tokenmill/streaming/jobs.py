@@ -196,49 +196,59 @@ def throughput(progress: list) -> list[tuple]:
 # -------------------------------------------------------------------- ST7 --
 def stream_stop_rules(sdf: DataFrame, sample_col: str, step_col: str, token_col: str, eos: int,
                       check_every: int = 16, tail: int = 256, threshold: float = 4.0,
-                      min_len: int = 256) -> DataFrame:
+                      min_len: int = 256, idle_ms: int | None = None) -> DataFrame:
     """Per growing sample, stop at the first check point (every ``check_every``
     tokens) where the sample has two EOS tokens (cut after the second), or,
     past ``min_len`` tokens, the entropy of its last ``tail`` tokens is below
     ``threshold`` (drop the last ``tail`` tokens). Emits one row per stopped
-    sample: (sample, stop_len, reason, out_len)."""
+    sample: (sample, stop_len, reason, out_len).
+
+    The state of a sample is two counters, the place after its second EOS and its last ``tail`` tokens, however
+    long it grows; once stopped, the flag alone. In a stream that runs on, ``idle_ms`` forgets samples that got no
+    token for so long (processing time; a stream that ends with its input would wait for the timers)."""
 
     def entropy(x):
-        _, c = np.unique(np.asarray(x), return_counts=True)
+        _, c = np.unique(x, return_counts=True)
         p = c / c.sum()
         return float(-(p * np.log(p)).sum())
 
     def step(key, pdfs: Iterator[pd.DataFrame], state):
-        buf, done = [], False
-        if state.exists:
-            buf, done = list(state.get[0]), bool(state.get[1])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, n_eos, cut, last, done = state.get if state.exists else (0, 0, 0, [], False)
         frames = [p for p in pdfs if not p.empty]
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         if done or not frames:
             return
-        pdf = pd.concat(frames).sort_values(step_col)
-        out = []
-        for t in pdf[token_col].tolist():
-            buf.append(int(t))
-            n = len(buf)
-            if n % check_every:
-                continue
-            eos_pos = [i for i, x in enumerate(buf) if x == eos]
-            if len(eos_pos) >= 2:
-                out.append((key[0], n, "eos", eos_pos[1] + 1))
-                done = True
+        fresh = pd.concat(frames).sort_values(step_col)[token_col].to_numpy(dtype=np.int64)
+        seen = np.r_[np.asarray(last, np.int64), fresh]  # the last tokens and the new ones
+        before, stop = n, None
+        places = n + 1 + np.flatnonzero(fresh == eos)  # lengths at which an EOS has just come
+        for at in range(n - n % check_every + check_every, n + len(fresh) + 1, check_every):
+            both = n_eos + np.searchsorted(places, at, side="right")
+            if both >= 2:
+                stop = (key[0], at, "eos", int(cut if n_eos >= 2 else places[1 - n_eos]))
+            elif at > min_len:
+                end = len(last) + at - before
+                if entropy(seen[max(0, end - tail):end]) < threshold:
+                    stop = (key[0], at, "entropy", at - tail)
+            if stop:
                 break
-            if n > min_len and entropy(buf[-tail:]) < threshold:
-                out.append((key[0], n, "entropy", n - tail))
-                done = True
-                break
-        state.update(([] if done else buf, done))
-        if out:
-            yield pd.DataFrame(out, columns=[sample_col, "stop_len", "reason", "out_len"])
+        if stop:
+            state.update((0, 0, 0, [], True))
+            yield pd.DataFrame([stop], columns=[sample_col, "stop_len", "reason", "out_len"])
+        else:
+            if n_eos < 2 <= n_eos + len(places):
+                cut = int(places[1 - n_eos])
+            state.update((n + len(fresh), n_eos + len(places), cut, seen[-tail:].tolist(), False))
 
     key_type = dict(sdf.dtypes)[sample_col]
     return sdf.groupBy(sample_col).applyInPandasWithState(
         step, f"{sample_col} {key_type}, stop_len long, reason string, out_len long",
-        "buf array<bigint>, done boolean", "append", GroupStateTimeout.NoTimeout)
+        "n bigint, n_eos bigint, cut bigint, last array<bigint>, done boolean", "append",
+        GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 # -------------------------------------------------------------------- ST8 --
