@@ -35,6 +35,28 @@ def test_arrow_shards_file_and_stream(spark, tmp_path):
         pass
 
 
+def test_arrow_shard_of_many_batches(spark, tmp_path):
+    """One shard is read by several tasks, in the chosen columns; an empty table and empty shards read as no rows."""
+    d = str(tmp_path / "one")
+    df = spark.range(1000).select("id", F.repeat(F.lit("x"), 100).alias("wide"), (F.col("id") % 7).cast("int").alias("_k"))
+    assert S.write_arrow_shards(df, d, shards=1, batch_rows=10) == 1
+    assert os.listdir(d) == ["data-00000-of-00001.arrow"]
+    back = A.scan_arrow_shards(spark, d, split_bytes=20_000)
+    assert back.rdd.getNumPartitions() >= 5
+    rows = back.collect()
+    assert sorted(r["id"] for r in rows) == list(range(1000)) and {len(r["wide"]) for r in rows} == {100}
+    assert sorted(r["_row"] for r in rows) == list(range(1000))  # numbers go on from task to task
+    order, _ = A.open_batches(os.path.join(d, "data-00000-of-00001.arrow"))
+    stored = [i for b in order for i in b.column("id").to_pylist()]
+    assert [r["id"] for r in sorted(rows, key=lambda r: r["_row"])] == stored
+    few = A.scan_arrow_shards(spark, d, ["_row", "_k"], split_bytes=20_000)
+    assert few.columns == ["_row", "_k"] and few.agg(F.sum("_k")).first()[0] == sum(i % 7 for i in range(1000))
+    assert A.scan_arrow_shards(spark, d, ["_shard"]).count() == 1000
+    none = str(tmp_path / "none")
+    S.write_arrow_shards(df.where("id < 0"), none, shards=2, stream_every=2)
+    assert A.scan_arrow_shards(spark, none).count() == 0
+
+
 def test_sample_log_scan_nan_and_bad_nfes(spark, tmp_path):
     p = tmp_path / "logs"
     p.mkdir()

@@ -29,12 +29,24 @@ def size(path: str) -> int:
     return fs.get_file_info(p).size
 
 
-def list_files(path: str) -> list[str]:
-    """Files directly under a folder, full paths (URI scheme kept), name order."""
+def list_sizes(path: str) -> list[tuple[str, int]]:
+    """(full path, bytes) of the files directly under a folder, URI scheme kept, in name order; a file is itself."""
     fs, p = resolve(path)
+    if is_file(path):
+        return [(path, size(path))]
     infos = fs.get_file_info(pafs.FileSelector(p, recursive=False))
     prefix = path[: len(path) - len(p)] if "://" in path and path.endswith(p) else ""
-    return sorted(prefix + i.path for i in infos if i.type == pafs.FileType.File)
+    return sorted((prefix + i.path, i.size) for i in infos if i.type == pafs.FileType.File)
+
+
+def list_files(path: str) -> list[str]:
+    """Files directly under a folder, full paths (URI scheme kept), name order."""
+    return [f for f, _ in list_sizes(path)]
+
+
+def move(source: str, target: str) -> None:
+    fs, p = resolve(source)
+    fs.move(p, resolve(target)[1])
 
 
 def makedirs(path: str) -> None:

@@ -77,37 +77,39 @@ def sink_text(samples: DataFrame, metrics: dict, folder: str, text_col: str = "t
 
 
 # ---------------------------------------------------------------- S1 sink --
-def write_arrow_shards(df: DataFrame, path: str, stream_every: int = 0) -> int:
-    """Write every partition as one Arrow IPC shard ``data-NNNNN-of-MMMMM.arrow``
-    (IPC file format; with ``stream_every = k`` every k-th shard uses the IPC
-    stream format). Runs inside the tasks; returns the shard count."""
+def write_arrow_shards(df: DataFrame, path: str, stream_every: int = 0, shards: int | None = None,
+                       batch_rows: int | None = None) -> int:
+    """Write ``df`` as ``shards`` Arrow IPC shards ``data-NNNNN-of-MMMMM.arrow`` (by default as many as
+    ``spark.sql.shuffle.partitions``; rows dealt round-robin, a shard without rows is an empty file). IPC file format;
+    with ``stream_every = k`` every k-th shard uses the IPC stream format. ``batch_rows`` bounds a record batch.
+
+    Each attempt of a task writes a file of its own, which takes the shard's name once it is whole, so retried and
+    speculative attempts are safe. Returns the shard count."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     from . import fs
-    n = df.rdd.getNumPartitions()
+    n = shards or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = to_arrow_schema(df.schema)
     fs.makedirs(path)
 
     def write(it):
         import pyarrow as pa
         import pyarrow.ipc as ipc
         from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        fp = path.rstrip("/") + f"/data-{pid:05d}-of-{n:05d}.arrow"
+        task = TaskContext.get()
+        pid = task.partitionId()
+        shard = path.rstrip("/") + f"/data-{pid:05d}-of-{n:05d}.arrow"
+        attempt = path.rstrip("/") + f"/_{pid:05d}-{task.taskAttemptId()}"
         use_stream = stream_every and pid % stream_every == stream_every - 1
-        sink = w = None
         rows = 0
-        # batches are written as they arrive, never held together; a retried
-        # task rewrites its own shard
-        for b in it:
-            if w is None:
-                sink = fs.open_output(fp)
-                w = ipc.new_stream(sink, b.schema) if use_stream else ipc.new_file(sink, b.schema)
-            w.write_batch(b)
-            rows += b.num_rows
-        if w is not None:
-            w.close()
-            sink.close()
+        with fs.open_output(attempt) as sink, (ipc.new_stream if use_stream else ipc.new_file)(sink, schema) as w:
+            for b in it:  # batches are written as they arrive, never held together
+                w.write_table(pa.Table.from_batches([b]).cast(schema), max_chunksize=batch_rows)
+                rows += b.num_rows
+        fs.move(attempt, shard)
         yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([rows], pa.int64())], ["shard", "rows"])
 
-    df.mapInArrow(write, "shard int, rows long").collect()
+    df.repartition(n).mapInArrow(write, "shard int, rows long").count()
     return n
 
 
