@@ -100,6 +100,32 @@ def chunk_udtf():
     return Chunks
 
 
+def join_and_cut_udtf():
+    """U5 on a table argument: the texts of each (conv_id, batch) partition, in its order and each ended by a line
+    break, joined and cut into pieces of ``size`` characters (the last may be short). Rows are read one by one and a
+    piece leaves as soon as it is whole; null keys and texts are kept (a null text is empty)."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="conv_id long, batch long, piece_idx long, piece string")
+    class JoinAndCut:
+        def __init__(self):
+            self.key, self.size, self.n, self.rest = (None, None), 1, 0, ""
+
+        def eval(self, row, size: int):
+            self.key, self.size = (row["conv_id"], row["batch"]), size
+            self.rest += (row["text"] or "") + "\n"
+            whole = len(self.rest) // size
+            for i in range(whole):
+                yield *self.key, self.n + i, self.rest[i * size:(i + 1) * size]
+            self.n, self.rest = self.n + whole, self.rest[whole * size:]
+
+        def terminate(self):
+            if self.rest:
+                yield *self.key, self.n, self.rest
+
+    return JoinAndCut
+
+
 def user_metric(col: Column, fn: Callable[[pd.Series], float]) -> Column:
     """A user-defined grouped metric (grouped-aggregate pandas UDF); the
     shipped metrics (nll, bpd, ppl, ...) are built-in aggregate expressions."""

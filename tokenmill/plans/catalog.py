@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import q_corpus, q_corrupt, q_eval, q_metrics, q_packing, q_sampling, q_sets, q_stream, q_tokens  # noqa: F401
+    from . import q_corpus, q_corrupt, q_eval, q_forms, q_metrics, q_packing, q_sampling, q_sets, q_stream, q_tokens  # noqa: F401

@@ -14,6 +14,7 @@ from ..functions import vocab as V
 from ..functions.pluggable import pluggable_ids
 from ..operators import packing as K
 from ..operators import sampling as L
+from ..operators.offsets import row_index
 from ..sources import corpus as C
 from ..sources import sinks as S
 
@@ -22,7 +23,8 @@ def prepare_corpus(spark: SparkSession, name: str, path: str, mode: str = "train
                    block_size: int = 1024, tokenizer: str = "char", insert_eos: bool = True,
                    insert_special: bool = True, order_cols: Sequence[str] = ("id",),
                    cache_root: str | None = None, encoder: Callable | None = None,
-                   special_ids: dict | None = None, vocab_path: str | None = None) -> DataFrame:
+                   special_ids: dict | None = None, vocab_path: str | None = None, holdout: int | None = None,
+                   splits: Sequence[tuple] | None = None) -> DataFrame:
     """Read corpus ``name`` at ``path``, detokenise, tokenise and pack/pad it.
 
     ``tokenizer``: 'char' (27-character vocabulary), 'smiles' (molecule
@@ -34,6 +36,11 @@ def prepare_corpus(spark: SparkSession, name: str, path: str, mode: str = "train
     split of 'text8-crop' doubles the block. Unwrapped: molecules keep rows
     with at most ``block_size - 2`` tokens and pad; text is truncated and
     padded to ``block_size`` with [CLS]/[SEP] ('lambada': no padding).
+    ``mode`` names the split (``sources.corpus.scan_corpus``): rows of that ``split`` column where the table has one;
+    for 'text8' and 'text8-crop', whose ``path`` is the raw text (a file, or a folder of its parts), the chunks
+    between the offsets ``splits`` (default: the published ones), in which ``id`` is the chunk's number;
+    'openwebtext-train' and 'openwebtext-valid' are all but the last ``holdout`` rows and these alone
+    (``sources.corpus.HOLDOUT_ROWS`` in the published corpus; None: the whole table).
     With ``cache_root`` the result is materialised under a key of every
     parameter that changes the rows and reused when present.
     """
@@ -61,7 +68,12 @@ def prepare_corpus(spark: SparkSession, name: str, path: str, mode: str = "train
         block_size *= 2
 
     def build() -> DataFrame:
-        df = C.scan_corpus(spark, name, path)
+        spec = C.corpus_spec(name)
+        picked = mode if spec.form in ("column", "offsets") or holdout is not None else None
+        # the cropped training text comes in chunks of twice its block
+        chunk = block_size * 2 if name == "text8-crop" and mode == "train" else block_size
+        df = C.scan_corpus(spark, name, path, mode=picked, order_cols=order_cols, chunk=chunk, holdout=holdout or 0,
+                           splits=splits)
         if wrap:
             if tokenizer == "char":
                 return K.pack_chars(df, "text", order_cols, block_size, sp["bos"], sp["eos"], insert_special,
@@ -84,6 +96,7 @@ def prepare_corpus(spark: SparkSession, name: str, path: str, mode: str = "train
     return S.sink_cache(spark, build, cache_root, name, path=path, mode=mode, wrap=wrap, block_size=block_size,
                         tokenizer=tokenizer, insert_eos=insert_eos, insert_special=insert_special,
                         order_cols=list(order_cols), special_ids=sp, vocab=vocab,
+                        holdout=holdout, splits=[list(x) for x in splits] if splits else None,
                         encoder=getattr(encoder, "__qualname__", None) and f"{encoder.__module__}.{encoder.__qualname__}")
 
 
@@ -98,3 +111,11 @@ def epoch_batches(df: DataFrame, id_col: str, seed: int, epoch: int, replicas: i
     padded = L.pad_to_even(order, "epoch_pos", n, replicas, drop_last)
     mine = L.round_robin_shard(padded, "sample_pos", replicas).where(F.col("rank") == rank)
     return L.batch_assign(L.resume_from_counter(mine, "rank_pos", counter), "rank_pos", batch_size)
+
+
+def valid_batches(df: DataFrame, id_col: str, batch_size: int, valid_seed: int | None = None) -> DataFrame:
+    """Validation rows in batches (``epoch_pos``, ``batch_id``): in ``id_col`` order, or, with ``valid_seed``, in the
+    permutation of that seed, the same in every epoch. No row is repeated or left out."""
+    order = (row_index(df, [id_col], out_col="epoch_pos") if valid_seed is None
+             else L.epoch_order(df, valid_seed, 0, id_col))
+    return L.batch_assign(order, "epoch_pos", batch_size)

@@ -78,12 +78,7 @@ SPLITS = (("train", 0, 1000), ("validation", 1000, 1500), ("test", 1500, None))
   union all select doc_id, 'validation', substring(text, 1001, 500) from documents
   union all select doc_id, 'test', substring(text, 1501, greatest(length(text) - 1500, 0)) from documents)""")
 def q_split_by_char_offset(spark, sf):
-    d = _docs(spark, sf)
-    out = d.select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(s).alias("s"),
-                                                            F.lit(-1 if e is None else e).alias("e")) for n, s, e in SPLITS])).alias("sp"), "text")
-    ln = F.when(F.col("sp.e") < 0, F.char_length("text") - F.col("sp.s")).otherwise(F.col("sp.e") - F.col("sp.s"))
-    return out.select("doc_id", F.col("sp.n").alias("split"),
-                      F.substring("text", F.col("sp.s") + 1, F.greatest(ln, F.lit(0))).alias("text"))
+    return C.split_by_char_offset(_docs(spark, sf), "text", SPLITS, keep=["doc_id"])
 
 
 # ------------------------------------------------------------------- S6 --

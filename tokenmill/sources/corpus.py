@@ -3,8 +3,11 @@ tail hold-outs, vocabulary files, sample logs and capped scans."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -29,6 +32,9 @@ class CorpusSpec:
     validation_split: str = "validation"
     fmt: str = "parquet"
     options: dict = field(default_factory=dict)
+    #: What makes a split: 'column' (rows of that ``split``), 'offsets' of one raw text, or the table without its last
+    #: rows ('head') or these alone ('tail').
+    form: str = "column"
 
     def detokenizer(self):
         return X.detokenizer_for(self.name)
@@ -41,10 +47,10 @@ CORPORA = {
     "wikitext2": CorpusSpec("wikitext2"),
     "ptb": CorpusSpec("ptb", text_col="sentence"),
     "lambada": CorpusSpec("lambada"),
-    "text8": CorpusSpec("text8", validation_split="test"),
-    "text8-crop": CorpusSpec("text8-crop"),
-    "openwebtext-train": CorpusSpec("openwebtext-train"),
-    "openwebtext-valid": CorpusSpec("openwebtext-valid"),
+    "text8": CorpusSpec("text8", validation_split="test", fmt="text", form="offsets"),
+    "text8-crop": CorpusSpec("text8-crop", fmt="text", form="offsets"),
+    "openwebtext-train": CorpusSpec("openwebtext-train", form="head"),
+    "openwebtext-valid": CorpusSpec("openwebtext-valid", form="tail"),
     "scientific_papers_arxiv": CorpusSpec("scientific_papers_arxiv", text_col="article",
                                           drop_cols=("article", "abstract", "section_names")),
     "scientific_papers_pubmed": CorpusSpec("scientific_papers_pubmed", text_col="article",
@@ -64,12 +70,29 @@ def validation_split_name(name: str) -> str:
     return corpus_spec(name).validation_split
 
 
-def scan_corpus(spark: SparkSession, name: str, path: str, detokenize: bool = True) -> DataFrame:
+HOLDOUT_ROWS = 100_000  # FIXED VALUE: rows of the hold-out of the 'head' and 'tail' corpora
+
+
+def scan_corpus(spark: SparkSession, name: str, path: str, detokenize: bool = True, mode: str | None = None,
+                order_cols=("id",), chunk: int = 1024, holdout: int = HOLDOUT_ROWS, splits=None) -> DataFrame:
     """Read a corpus and expose its text as ``text`` (detokenised by the
     corpus' rule), without the columns that the corpus drops; others are kept
-    for the caller to prune."""
+    for the caller to prune.
+
+    With ``mode`` (a split's name) only that split is read, in the form of the corpus: rows whose ``split`` column
+    says so (a partition filter, if the table is partitioned by it; a table without that column is one split),
+    chunks of ``chunk`` bytes between the fixed offsets of one raw text (``splits``), or, whatever the mode, all but
+    the last ``holdout`` rows in ``order_cols`` order or these alone."""
     spec = corpus_spec(name)
+    if mode is not None and spec.form == "offsets":
+        df = scan_text8(spark, path, mode, chunk, splits=splits or TEXT8_SPLITS)
+        return adapt_text(df, spec, detokenize)
     df = spark.read.format(spec.fmt).options(**spec.options).load(path)
+    if mode is not None:
+        if spec.form in ("head", "tail"):
+            df = tail_holdout(df, list(order_cols), holdout)[spec.form == "tail"]
+        elif "split" in df.columns:
+            df = df.where(F.col("split") == mode)
     return drop_source_columns(adapt_text(df, spec, detokenize), spec)
 
 
@@ -114,47 +137,114 @@ def scan_jsonl(spark: SparkSession, path: str, schema=None) -> DataFrame:
 TEXT8_SPLITS = (("train", 0, 90_000_000), ("validation", 90_000_000, 95_000_000), ("test", 95_000_000, None))
 
 
-def split_by_char_offset(df: DataFrame, text_col: str, splits=TEXT8_SPLITS) -> DataFrame:
-    """One long text per row -> one row per split, cut at fixed character offsets."""
+def split_by_char_offset(df: DataFrame, text_col: str, splits=TEXT8_SPLITS, keep=()) -> DataFrame:
+    """One long text per row -> one row per split (with the columns ``keep``), cut at fixed character offsets. A text
+    that is too large for a row is read by ``read_byte_chunks``."""
     arr = F.array(*[F.struct(F.lit(n).alias("split"), F.lit(s).alias("s"),
                              F.lit(e if e is not None else -1).alias("e")) for n, s, e in splits])
     t = F.col(text_col)
-    out = df.select(t.alias("_t"), F.explode(arr).alias("_sp"))
+    out = df.select(*keep, t.alias("_t"), F.explode(arr).alias("_sp"))
     ln = F.when(F.col("_sp.e") < 0, F.char_length("_t") - F.col("_sp.s")).otherwise(F.col("_sp.e") - F.col("_sp.s"))
-    return out.select(F.col("_sp.split").alias("split"),
+    return out.select(*keep, F.col("_sp.split").alias("split"),
                       F.substring(F.col("_t"), F.col("_sp.s") + 1, F.greatest(ln, F.lit(0))).alias("text"))
 
 
+#: Bytes that a task reads at once, and about what it reads in all.
+SPAN_BYTES, TASK_BYTES = 8 << 20, 128 << 20
+
+
 def read_byte_chunks(spark: SparkSession, path: str, start: int, end: int | None, chunk: int) -> DataFrame:
-    """Scalable S5+K6 for one huge single-byte-encoded file: ``spark.range``
-    over chunk numbers and one positioned read per chunk inside the tasks, so
-    the file never becomes one row. Returns (chunk_idx, text)."""
+    """S5 + K6 for one huge UTF-8 text: ``path`` is a file, or a folder whose files are the text in name order (files
+    beginning with ``_`` or ``.`` are left out). Bytes ``start`` to ``end`` (None: to the end) in chunks of ``chunk``
+    bytes, by positioned reads inside the tasks: the text never becomes one row.
+
+    Every boundary that falls inside a character moves on to the next one, so chunks hold whole characters and none
+    is lost; in single-byte text offsets are characters. Bytes that are no UTF-8 become U+FFFD. Returns (chunk_idx,
+    text), none for an empty range."""
     from . import fs
-    size = fs.size(path)
+    files, size = [], 0  # (file, its first byte in the text)
+    for f, n in fs.list_sizes(path):
+        if f.rpartition("/")[2][0] not in "_.":
+            files.append((f, size))
+            size += n
     stop = size if end is None else min(end, size)
-    n = max((stop - start + chunk - 1) // chunk, 0)
+    n = max(-(-(stop - start) // chunk), 0)
+    rows_a_span = max(1, SPAN_BYTES // chunk)
+
+    def span(a: int, b: int) -> bytes:
+        """Bytes a to b of the text, which may go on from file to file."""
+        out = []
+        at = bisect_right(files, a, key=lambda x: x[1]) - 1
+        while a < b and at < len(files):
+            until = min(b, files[at + 1][1]) if at + 1 < len(files) else b
+            with fs.open_input(files[at][0]) as f:  # positioned reads on shared storage
+                f.seek(a - files[at][1])
+                out.append(f.read(until - a))
+            a, at = until, at + 1
+        return b"".join(out)
+
+    def boundary(data: bytes, at: int) -> int:
+        """The first character start at or after ``at``; a character has at most three further bytes."""
+        for k in range(at, min(at + 3, len(data))):
+            if data[k] & 0xC0 != 0x80:
+                return k
+        return min(at + 3, len(data))
 
     def read(batches):
-        import pandas as pd
-        with fs.open_input(path) as f:  # positioned reads on shared storage
-            for b in batches:
-                out = []
-                for i in b["id"].tolist():
-                    off = start + i * chunk
-                    f.seek(off)
-                    out.append(f.read(min(chunk, stop - off)).decode("latin-1"))
-                yield pd.DataFrame({"chunk_idx": b["id"], "text": out})
-
-    return spark.range(n).mapInPandas(read, "chunk_idx long, text string")
+        for b in batches:
+            ids = b["id"].to_numpy()
+            breaks = np.flatnonzero(np.diff(ids) != 1) + 1
+            for run in np.split(ids, breaks):
+                for k in range(0, len(run), rows_a_span):
+                    part = run[k:k + rows_a_span]
+                    lo, hi = start + int(part[0]) * chunk, min(start + (int(part[-1]) + 1) * chunk, stop)
+                    data = span(lo, min(hi + 3, size))
+                    cuts = [boundary(data, min(i * chunk, hi - lo)) for i in range(len(part) + 1)]
+                    if lo == 0:
+                        cuts[0] = 0
+                    yield pd.DataFrame({"chunk_idx": part, "text": [data[x:y].decode("utf-8", "replace")
+                                                                    for x, y in zip(cuts, cuts[1:])]})
+
+    tasks = max(1, min(n, -(-n * chunk // TASK_BYTES)), min(n, spark.sparkContext.defaultParallelism))
+    return spark.range(0, n, 1, tasks).mapInPandas(read, "chunk_idx long, text string")
+
+
+def scan_text8(spark: SparkSession, path: str, split: str, chunk: int, drop_last: bool = True, splits=TEXT8_SPLITS) -> DataFrame:
+    """The raw text at ``path``, its split by fixed offsets, in chunks of ``chunk`` bytes as (id, text); a last chunk that
+    is short is left out with ``drop_last``, as in the training corpus of that name."""
+    from . import fs
+    bounds = {name: (s, e) for name, s, e in splits}
+    if split not in bounds:
+        raise ValueError(f"no split {split!r}: one of {sorted(bounds)}")
+    s, e = bounds[split]
+    size = sum(n for f, n in fs.list_sizes(path) if f.rpartition("/")[2][0] not in "_.")
+    stop = size if e is None else min(e, size)
+    if drop_last:
+        stop = s + max(stop - s, 0) // chunk * chunk
+    return read_byte_chunks(spark, path, s, stop, chunk).withColumnRenamed("chunk_idx", "id")
 
 
 # ------------------------------------------------------------------- S6 --
 def tail_holdout(df: DataFrame, order_cols, holdout: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """``train[:-N]`` / ``train[-N:]`` by row order, with a distributed index."""
-    idx = row_index(df, order_cols, out_col="_idx")
-    n = idx.count()
-    cut = max(n - holdout, 0)
-    return (idx.where(F.col("_idx") < cut).drop("_idx"), idx.where(F.col("_idx") >= cut).drop("_idx"))
+    """``train[:-N]`` / ``train[-N:]`` by row order (null keys first). Only the order keys are indexed: the key and the
+    place among its equals of the first row held out come back, and rows are told apart by their key as they are
+    scanned. Rows that share that key are told apart by the hash of the whole row; equal rows are split by number."""
+    order_cols = list(order_cols)
+    key, cols = F.struct(*order_cols), df.columns
+    narrow = row_index(df.select(key.alias("_key")), ["_key"], out_col="_idx")
+    cut = max(narrow.count() - holdout, 0)
+    first = narrow.where(F.col("_idx") == cut).first() if cut else None
+    if first is None:  # nothing on one of the sides
+        return (df, df.limit(0)) if cut else (df.limit(0), df)
+    edge = F.struct(*[F.lit(first["_key"][f.name]).cast(f.dataType).alias(f.name)
+                      for f in narrow.schema["_key"].dataType.fields])
+    equals = narrow.where(F.col("_key") == edge).agg(F.min("_idx").alias("first"), F.count(F.lit(1)).alias("rows")).first()
+    if equals["rows"] == 1:
+        return df.where(key < edge), df.where(key >= edge)
+    tied = row_index(df.where(key == edge).withColumn("_h", F.xxhash64(*cols)), ["_h"], out_col="_at")
+    left = F.col("_at") < cut - equals["first"]
+    return (df.where(key < edge).unionByName(tied.where(left).select(*cols)),
+            df.where(key > edge).unionByName(tied.where(~left).select(*cols)))
 
 
 # ------------------------------------------------------------------- S7 --
