@@ -72,8 +72,8 @@ def _changes(groups: pa.StructArray) -> np.ndarray:
     return np.flatnonzero(out) + 1
 
 
-def _cutter(payload, chunk: int):
-    """Rows of one range, in order -> (_g, block_id, s, t, whole)."""
+def _cutter(payload, chunk: int, tails: bool):
+    """Rows of one range, in order -> (_g, block_id, s, t, whole). With ``tails`` what is left at a group's end leaves too."""
 
     def out(groups, row, block, start, t, whole):
         k = len(t)
@@ -86,12 +86,14 @@ def _cutter(payload, chunk: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            groups, seq, base = (b.column(c) for c in ("_g", "_t", "_base"))
+            groups, seq, base, begin = (b.column(c) for c in ("_g", "_t", "_base", "_begin"))
             starts = [0, *_changes(groups).tolist()]
             for s, e in zip(starts, [*starts[1:], b.num_rows]):
                 if s or not _same(last, groups[0]):
                     # another group: what is left of the one before never fills its block
-                    pos, rest = base[s].as_py() or 0, payload.empty
+                    if tails and len(rest):
+                        yield out(end, 0, pos // chunk, pos, payload.blocks(rest, len(rest), 1), False)
+                    pos, rest = (base[s].as_py() or 0) + (begin[s].as_py() or 0), payload.empty
                 rest = payload.joined(rest, seq.slice(s, e - s))
                 need = -pos % chunk
                 if need and len(rest) >= need:  # the end of a block that began in an earlier range
@@ -113,30 +115,52 @@ def pack_ranges(rows: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     """``rows``: group and order columns, ``_t`` (string or integer array; null is empty), made ready by ``prepare``
     once it is where it is cut. Returns the group columns, block_id and ``_body``, the whole blocks of ``chunk`` tokens
     of each group's sequence."""
+    return _pack(rows, group_cols, order_cols, chunk, text, prepare, partitions, False)[0]
+
+
+def pack_on(rows: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], chunk: int, text: bool,
+            partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``pack_ranges`` for sequences that go on from call to call, as (blocks, left over).
+
+    ``rows`` has a column ``_begin`` too: in the row that comes first of its group, the place (a multiple of ``chunk``)
+    at which its ``_t`` begins, else null or 0. ``left over`` has one row a group: the group columns, ``block_id`` of
+    the block to go on with and ``_body``, its tokens so far (fewer than ``chunk``, maybe none)."""
+    return _pack(rows, group_cols, order_cols, chunk, text, None, partitions, True)
+
+
+def _pack(rows, group_cols, order_cols, chunk, text, prepare, partitions, tails) -> tuple[DataFrame, DataFrame | None]:
     spark = rows.sparkSession
     payload = _Text() if text else _Ids()
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     g = F.struct(*group_cols) if group_cols else F.struct(F.lit(0).alias("_all"))
+    begin = F.coalesce(F.col("_begin") if tails else F.lit(0), F.lit(0)).cast("long").alias("_begin")
     named = rows.select(g.alias("_g"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)],
-                        F.xxhash64("_t").alias("_h"), F.xxhash64("_t", F.lit(1)).alias("_h2"), "_t")
+                        F.xxhash64("_t").alias("_h"), F.xxhash64("_t", F.lit(1)).alias("_h2"), begin, "_t")
     keys = ["_g", *[f"_o{i}" for i in range(len(order_cols))], "_h", "_h2"]
     t = prepare(F.col("_t")) if prepare else F.col("_t")
     ranged = (named.repartitionByRange(p, *keys).sortWithinPartitions(*keys)
-              .select("_g", t.alias("_t"), F.spark_partition_id().alias("_pid")))
+              .select("_g", "_begin", t.alias("_t"), F.spark_partition_id().alias("_pid")))
     n = F.char_length("_t") if text else F.size("_t")
-    ranged = cut_lineage(ranged.withColumn("_n", F.greatest(n, F.lit(0)).cast("long")))
+    ranged = cut_lineage(ranged.withColumn("_n", F.greatest(n, F.lit(0)).cast("long") + F.col("_begin")))
     totals = ranged.groupBy("_g", "_pid").agg(F.sum("_n").alias("_n"))
     before = Window.partitionBy("_g").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     base = totals.select("_g", "_pid", F.sum("_n").over(before).alias("_base")).where("_base > 0")
     # one group at most goes on from range to range: a row for each range
     based = ranged.drop("_n").join(F.broadcast(base), ["_g", "_pid"], "left")
     schema = StructType([ranged.schema["_g"]]).add("block_id", "long").add("s", "long").add("t", payload.kind).add("whole", "boolean")
-    cut = cut_lineage(based.mapInArrow(_cutter(payload, chunk), schema))  # pieces and whole blocks are read apart
+    cut = cut_lineage(based.mapInArrow(_cutter(payload, chunk, tails), schema))  # pieces and whole blocks are read apart
     parts = cut.where("not whole").groupBy("_g", "block_id").agg(F.array_sort(F.collect_list(F.struct("s", "t"))).alias("_p"))
     if text:
         joined, size = F.array_join(F.transform("_p", lambda x: x["t"]), ""), F.char_length("_body")
     else:
         joined, size = F.flatten(F.transform("_p", lambda x: x["t"])), F.size("_body")
     whole = cut.where("whole").select("_g", "block_id", F.col("t").alias("_body"))
-    straddling = parts.select("_g", "block_id", joined.alias("_body")).where(size == chunk)
-    return whole.union(straddling).select(*[F.col("_g")[c].alias(c) for c in group_cols], "block_id", "_body")
+    pieces = parts.select("_g", "block_id", joined.alias("_body"))
+    named_groups = [F.col("_g")[c].alias(c) for c in group_cols]
+    blocks = whole.union(pieces.where(size == chunk)).select(*named_groups, "block_id", "_body")
+    if not tails:
+        return blocks, None
+    ends = totals.groupBy("_g").agg(F.floor(F.sum("_n") / chunk).cast("long").alias("block_id"))
+    none = F.lit("") if text else F.array().cast("array<int>")
+    left = ends.join(pieces.where(size < chunk), ["_g", "block_id"], "left")
+    return blocks, left.select(*named_groups, "block_id", F.coalesce("_body", none).alias("_body"))

@@ -39,17 +39,32 @@ def q_stream_tokenize(spark, sf):
 
 
 # -------------------------------------------------------------------- ST2 --
-@query("stream_pack", f"""with d as (select source, doc_id, list_append({char_ids_sql()}, {V.CHAR_EOS}) ids from documents),
+STREAM_PACK_SQL = f"""with d as (select source, doc_id, list_append({char_ids_sql()}, {V.CHAR_EOS}) ids from documents),
 u as (select source, doc_id, unnest(ids) id, generate_subscripts(ids, 1) p from d),
 g as (select source, (row_number() over (partition by source order by doc_id, p) - 1) gpos, id from u),
 b as (select source, gpos // 62 block_id, list(id order by gpos) ids from g group by all)
 select source, block_id::BIGINT block_id, array_to_string(list_concat([{V.CHAR_BOS}], ids, [{V.CHAR_EOS}]), ' ') input_ids
-from b where len(ids) = 62""")
-def q_stream_pack(spark, sf):
+from b where len(ids) = 62"""
+
+
+def _id_stream(spark, sf):
     sdf, _, _ = _staged(spark, sf, "documents", "doc_id")
-    toks = J.stream_tokenize(sdf, eos=V.CHAR_EOS).select("source", "doc_id", "ids")
-    packed = J.stream_pack(toks, "source", "doc_id", "ids", 64, V.CHAR_BOS, V.CHAR_EOS)
+    return J.stream_tokenize(sdf, eos=V.CHAR_EOS).select("source", "doc_id", "ids")
+
+
+@query("stream_pack", STREAM_PACK_SQL)
+def q_stream_pack(spark, sf):
     out, ck = J.fresh(spark, "st2")
+    J.stream_pack_ranges(_id_stream(spark, sf), "source", "doc_id", "ids", 64, V.CHAR_BOS, V.CHAR_EOS, out, ck)
+    back = spark.read.parquet(out)
+    return back.select("source", "block_id", T.ids_text("input_ids").alias("input_ids"))
+
+
+@query("stream_pack_state", STREAM_PACK_SQL)
+def q_stream_pack_state(spark, sf):
+    """ST2 with the left-overs as streaming state: a source's rows of a micro-batch are one task."""
+    packed = J.stream_pack(_id_stream(spark, sf), "source", "doc_id", "ids", 64, V.CHAR_BOS, V.CHAR_EOS)
+    out, ck = J.fresh(spark, "st2_state")
     J.run_to_parquet(packed, out, ck)
     back = spark.read.parquet(out)
     return back.select("source", "block_id", T.ids_text("input_ids").alias("input_ids"))

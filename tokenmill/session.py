@@ -124,8 +124,13 @@ def unsettle(*tables: DataFrame) -> None:
         folder = t.inputFiles()[0].rpartition("/")[0]
         if "/scratch/settled-" not in folder:
             raise ValueError(f"not a settled table: {folder}")
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folder(t.sparkSession, folder)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Removes a folder that a job wrote for itself, wherever Spark can write."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,7 +6,9 @@ batch column expressions unchanged. Stateful ones keep small bounded state
 per key with ``applyInPandasWithState``:
 
 * packing carries, per stream key, the tokens left over after the last full
-  block (fewer than one block) and the next block number;
+  block (fewer than one block) and the next block number; ``stream_pack`` keeps
+  them as state (a key's rows of a micro-batch are one task), while
+  ``stream_pack_ranges`` packs each micro-batch by ranges, so a hot key is many tasks;
 * the stop rules carry, per sample, the tokens received so far (a sample is
   bounded by the generation length) until the sample stops;
 * metric and best-so-far monitors are plain streaming aggregations (their
@@ -30,7 +32,9 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import tokens as T
 from ..operators import metrics as M
-from ..session import cut_lineage, scratch_path
+from ..operators.packing import _wrapped
+from ..operators.rangepack import pack_on
+from ..session import cut_lineage, remove_folder, scratch_path
 
 
 # ---------------------------------------------------------------- helpers --
@@ -137,6 +141,50 @@ def stream_pack(sdf: DataFrame, key_col: str, order_col: str, ids_col: str, bloc
         "rest array<bigint>, next_block long", "append", GroupStateTimeout.NoTimeout)
 
 
+def stream_pack_ranges(sdf: DataFrame, key_col: str, order_col: str, ids_col: str, block_size: int, bos: int, eos: int,
+                       out: str, checkpoint: str, insert_special: bool = True) -> list:
+    """The rows of ``stream_pack``, with a key's rows of a micro-batch spread over as many tasks as they fill.
+
+    Each micro-batch is packed by the batch operator (one range exchange by key, order and hash of the ids), with what
+    the micro-batch before left over of each key as that key's first row. Block rows go to ``out/epoch=N``, left-overs
+    (one row a key: the next block's number and fewer tokens than a block) to ``checkpoint-rest/epoch=N``. Both are
+    written anew when a micro-batch is run again, from the same input and the left-overs of N - 1, so a restart
+    repeats no row and loses none. Left-overs before N - 1 are removed. Runs until the input is drained; returns the
+    progress records. Null keys are a key, null ids are empty; of equal order keys the hash of the ids decides.
+
+    Left-overs are rewritten in every micro-batch: its cost includes one small row a key seen so far."""
+    chunk = block_size - 2 if insert_special else block_size
+    rest = checkpoint.rstrip("/") + "-rest"
+    spark = sdf.sparkSession
+    schema = f"`{key_col}` {dict(sdf.dtypes)[key_col]}, block_id long, _body array<int>"
+
+    def pack(batch: DataFrame, epoch: int) -> None:
+        rows = batch.select(F.col(key_col), F.lit(True).alias("_new"), F.col(order_col).alias("_order"),
+                            F.lit(0).cast("long").alias("_begin"), F.col(ids_col).cast("array<int>").alias("_t"))
+        if epoch:
+            before = batch.sparkSession.read.schema(schema).parquet(f"{rest}/epoch={epoch - 1}")
+            order_type = rows.schema["_order"].dataType
+            rows = rows.unionByName(before.select(
+                key_col, F.lit(False).alias("_new"), F.lit(None).cast(order_type).alias("_order"),
+                (F.col("block_id") * chunk).alias("_begin"), F.col("_body").alias("_t")))
+        blocks, left = pack_on(rows, [key_col], ["_new", "_order"], chunk, text=False)
+        blocks = _wrapped(blocks, F.col("_body"), [key_col], block_size, bos, eos, insert_special)
+        blocks.drop("attention_mask").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        left.write.mode("overwrite").parquet(f"{rest}/epoch={epoch}")
+        if epoch > 1:
+            remove_folder(batch.sparkSession, f"{rest}/epoch={epoch - 2}")
+
+    log = _ProgressLog()
+    spark.streams.addListener(log)
+    q = (sdf.writeStream.foreachBatch(pack).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    try:
+        q.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(log)
+    return log.of(q.runId)
+
+
 # -------------------------------------------------------------------- ST3 --
 def stream_filter_fixed(sdf: DataFrame, ids, block_size: int, bos: int, eos: int, pad: int) -> DataFrame:
     from ..operators.packing import build_fixed_rows
