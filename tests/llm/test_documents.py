@@ -63,6 +63,24 @@ def test_exact_dedup(docs):
     assert len(kept) == len(set(body)) == len({r["text_sha256"] for r in kept})
 
 
+def test_exact_dedup_tells_texts_of_one_digest_apart(spark):
+    """With a digest of one byte nearly all texts clash; the next digest tells them apart, repeated ids included."""
+    rows = [(i % 40, f"text  {i % 30}") for i in range(120)] + [(None, "text 1"), (None, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    def short(body):
+        return F.unhex(F.substring(F.sha2(body, 256), 1, 2))
+
+    def answer(df):
+        return sorted((tuple(r)[:5] for r in df.drop("row", "known").collect()), key=str)
+
+    got = exact._flagged(docs, None, None, "doc_id", "text", (short, exact._sha_and_more))
+    assert answer(got) == answer(exact.dedup(docs))
+    assert got.where("kept").count() == 31 == got.select("text_sha256").distinct().count()
+    with pytest.raises(RuntimeError):
+        exact._flagged(docs, None, None, "doc_id", "text", (short,))
+
+
 def test_binary_fuse_has_no_false_negative():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 10, 1000, 50_000):

@@ -5,9 +5,10 @@ digests are dealt into buckets by hash; each bucket gets one static 3-wise
 binary-fuse filter (8-bit fingerprints, about 9 bits a digest), built once.
 An incoming batch is first grouped by digest on its own (new-batch
 duplicates), each group then asks the filter of its bucket. A negative is
-certainly new; positives join the snapshot's exact buckets. Every group that
-holds more than one row is then grouped by its bytes, so equality is decided
-on the normalised text itself and never on a digest or filter alone.
+certainly new; positives join the snapshot's exact buckets. The bytes of every group that
+holds more than one row are then compared, so equality is decided
+on the normalised text itself and never on a digest or filter alone. Should
+different texts share a digest, all is done again with a longer one.
 
 Edge cases: null text is empty; rows with a null id count as rows of a group
 (they sort last and keep their null id); repeated ids are rows of their own;
@@ -25,6 +26,9 @@ from .common import cut_lineage
 
 #: Digests in one filter: bounds the memory of a task that builds or asks it.
 FILTER_KEYS = 200_000
+#: Words of the bitmap that says which texts are compared: bounds what is broadcast to 2 MB of marks. A corpus with
+#: many more shared digests than its 16 million bits only sends more texts to the comparison.
+SCREEN_WORDS = 1 << 18
 
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -162,13 +166,36 @@ def dedup_rows(docs: DataFrame, row_col: str, in_snapshot=None, id_col: str = "d
     return _flagged(docs, row_col, in_snapshot, id_col, text_col)
 
 
-def _flagged(docs: DataFrame, row_col: str | None, in_snapshot, id_col: str, text_col: str) -> DataFrame:
+def _screened(source: DataFrame, shared: DataFrame) -> DataFrame:
+    """Rows of ``source`` whose digest may be a shared one: looked up in a bitmap of ``SCREEN_WORDS`` rows of 64 bits,
+    which is all that is broadcast. It lets every shared digest through; others pass as far as the bitmap is full."""
+    h = F.xxhash64("digest", F.lit(29))
+    word = F.pmod(h, F.lit(SCREEN_WORDS)).cast("int")
+    mark = F.expr("shiftleft(1L, cast(shiftrightunsigned(_h, 58) as int))")
+    marks = shared.withColumn("_h", h).select(word.alias("_word"), mark.alias("_mark")).groupBy("_word").agg(
+        F.bit_or("_mark").alias("_marks"))
+    own = source.withColumn("_h", h).withColumn("_word", word).withColumn("_mark", mark)
+    return own.join(F.broadcast(marks), "_word").where("_marks & _mark != 0").select(source.columns)
+
+
+def _sha(body):
+    return F.unhex(F.sha2(body, 256))
+
+
+def _sha_and_more(body):
+    return F.concat(_sha(body), F.unhex(F.sha2(F.concat(F.lit("\x00check"), body), 512)))
+
+
+def _flagged(docs: DataFrame, row_col: str | None, in_snapshot, id_col: str, text_col: str,
+             digests=(_sha, _sha_and_more)) -> DataFrame:
+    """``digests``: of a text, as binary; the second is used for all rows if different texts share one of the first."""
     text = normalised(F.col(text_col))
-    rows = cut_lineage(docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                                   F.unhex(F.sha2(text, 256)).alias("digest"),
+    rows = cut_lineage(docs.select(F.col(id_col).cast("long").alias("doc_id"), digests[0](text).alias("digest"),
+                                   _sha(text).alias("sha"),
                                    (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row")))
     rows = rows.withColumn("key", F.xxhash64("digest"))
     lo, hi, total = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
+    asked = in_snapshot
     if in_snapshot is None:
         mid = 0 if lo is None else (lo + hi) // 2
         in_snapshot = F.coalesce(F.col("doc_id") <= mid, F.lit(False))
@@ -186,34 +213,21 @@ def _flagged(docs: DataFrame, row_col: str | None, in_snapshot, id_col: str, tex
     inside = old.unionByName(new).filter("n > 1").select("digest").withColumn("known", F.lit(False))
     shared = cut_lineage(known.unionByName(inside).groupBy("digest").agg(F.max("known").alias("known")))
 
-    # byte check: rows of shared digests are grouped by the text itself
-    wanted = rows.join(shared, "digest").select("doc_id", "digest", "known")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("body"),
-                         (F.col(row_col) if row_col else F.lit(None).cast("long")).alias("row"))
-    source = source.withColumn("digest", F.unhex(F.sha2("body", 256)))
-    # an id may be null or repeat: the digest decides which of an id's rows is meant
-    ids = wanted.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d")).distinct()
-    texts = source.join(ids, source["doc_id"].eqNullSafe(ids["_id"]) & (source["digest"] == ids["_d"]), "left_semi")
+    # byte check: all texts of a shared digest are one if the least is the greatest; copies meet before they travel
+    source = docs.select(text.alias("body")).withColumn("digest", digests[0](F.col("body")))
+    ends = _screened(source, shared).groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("greatest"))
+    clash = ends.filter("least != greatest").join(shared, "digest", "left_semi")
+    if not clash.isEmpty():
+        if len(digests) == 1:
+            raise RuntimeError("different texts share a digest of 768 bits")
+        return _flagged(docs, row_col, asked, id_col, text_col, digests[1:])
+    # one text for each shared digest: the digest names the group, the first row stays
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row"))
-    exact = cut_lineage(texts.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("group_size"),
-                                                            first.alias("least"))
-                        .withColumn("body_key", F.sha2(F.concat(F.lit("\x00check"), "body"), 512))
-                        .select("digest", "body_key", "group_size", "least"))
-    clash = exact.groupBy("digest").count().filter("count > 1").select("digest")
-    if clash.isEmpty():  # one text for each shared digest: the digest names the group, the first row stays
-        groups = (rows.join(shared, "digest", "left_semi").groupBy("digest")
-                  .agg(F.count(F.lit(1)).alias("group_size"), first.alias("least")))
-        marked = rows.join(groups, "digest", "left")
-        kept = F.col("least").isNull() | (F.col("row") == F.col("least.row"))
-    else:  # different texts share a digest: their rows are told apart by a second digest of the bytes
-        second = source.select("doc_id", "digest", "row",
-                               F.sha2(F.concat(F.lit("\x00check"), "body"), 512).alias("body_key"))
-        marked = second.join(exact, ["digest", "body_key"], "left")
-        own = F.col("row") == F.col("least.row") if row_col else F.col("doc_id").eqNullSafe(F.col("least.id"))
-        kept = F.col("least").isNull() | own
-    marked = marked.join(shared, "digest", "left")
+    groups = (rows.join(shared, "digest").groupBy("digest")
+              .agg(F.count(F.lit(1)).alias("group_size"), first.alias("least"), F.max("known").alias("known")))
+    marked = rows.join(groups, "digest", "left")
     keep = F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.id"))
     return marked.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
+        (F.col("least").isNull() | (F.col("row") == F.col("least.row"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
         (F.coalesce("known", F.lit(False)) & ~in_snapshot).alias("known"), "row")
