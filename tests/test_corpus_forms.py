@@ -95,3 +95,18 @@ def test_valid_batches(spark):
     assert plain == [(i, i, i // 8) for i in range(21)]
     orders = [[r["doc"] for r in valid_batches(df, "doc", 8, s).orderBy("epoch_pos").collect()] for s in (1, 1, 2)]
     assert orders[0] == orders[1] != orders[2] and sorted(orders[0]) == list(range(21))
+
+
+def test_vocabulary_file_with_its_own_special_ids(spark, tmp_path):
+    lines = ["C", "[BOS]", *[f"[X{i}]" for i in range(90)], "[PAD]", "%12", "[UNK]", "[EOS]", "[CLS]", "[SEP]", "[UNK]", "c"]
+    (tmp_path / "vocab.txt").write_text("\n".join(lines) + "\n")
+    spark.createDataFrame([(1, "C[X77]c%12"), (2, "NC"), (3, None)], "id long, input string").write.parquet(str(tmp_path / "mols"))
+    out = prepare_corpus(spark, "smiles", str(tmp_path / "mols"), wrap=False, block_size=7, tokenizer="smiles",
+                         vocab_path=str(tmp_path / "vocab.txt"))
+    at = {t: i for i, t in enumerate(lines)}
+    b, e, p, u = at["[BOS]"], at["[EOS]"], at["[PAD]"], at["[UNK]"]
+    got = {r["id"]: (list(r["input_ids"]), sum(r["attention_mask"])) for r in out.collect()}
+    assert got == {1: ([b, 0, at["[X77]"], at["c"], at["%12"], e, p], 6), 2: ([b, u, 0, e, p, p, p], 4), 3: ([b, e, *[p] * 5], 2)}
+    (tmp_path / "none.txt").write_text("C\n")
+    with pytest.raises(ValueError):
+        prepare_corpus(spark, "smiles", str(tmp_path / "mols"), tokenizer="smiles", vocab_path=str(tmp_path / "none.txt"))

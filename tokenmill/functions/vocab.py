@@ -56,3 +56,19 @@ SMILES_VOCAB = vocab_from_lines(SMILES_VOCAB_HEAD)
 SMILES_PAD, SMILES_BOS, SMILES_EOS = 0, 1, 2
 SMILES_UNK = SMILES_VOCAB["[UNK]"]  # 13
 SMILES_CLS, SMILES_SEP, SMILES_MASK = 16, 17, 18
+
+
+class Vocabulary(dict):
+    """token -> id of a whole vocabulary, with the ids of its special tokens as the file has them."""
+
+    def special(self, token: str) -> int:
+        if token not in self:
+            raise ValueError(f"the vocabulary has no {token}")
+        return self[token]
+
+    @property
+    def unk(self) -> int:
+        return self.special("[UNK]")
+
+    def specials(self) -> dict[str, int]:
+        return {k: self.special(f"[{k.upper()}]") for k in ("bos", "eos", "cls", "sep", "pad")}

@@ -28,8 +28,8 @@ def prepare_corpus(spark: SparkSession, name: str, path: str, mode: str = "train
     """Read corpus ``name`` at ``path``, detokenise, tokenise and pack/pad it.
 
     ``tokenizer``: 'char' (27-character vocabulary), 'smiles' (molecule
-    regex + the vocabulary file ``vocab_path``, a token a line; without one the
-    built-in first lines) or 'custom' (``encoder`` factory for the
+    regex + the vocabulary file ``vocab_path``, a token a line, its special
+    tokens in any place; without one the built-in first lines) or 'custom' (``encoder`` factory for the
     plug-in UDF, ``special_ids`` = {bos, eos, cls, sep, pad}).
     Wrapped: concatenate, EOS after each item (``insert_eos``), cut into
     ``block_size`` rows with [BOS]/[EOS] (``insert_special``); the training
@@ -49,12 +49,12 @@ def prepare_corpus(spark: SparkSession, name: str, path: str, mode: str = "train
         ids_of = T.char_ids
         sp = {"bos": V.CHAR_BOS, "eos": V.CHAR_EOS, "cls": V.CHAR_CLS, "sep": V.CHAR_SEP, "pad": V.CHAR_PAD}
     elif tokenizer == "smiles":
-        if vocab_path:  # a vocabulary file is a parameter, read whole
-            vocab = {r["token"]: r["id"] for r in C.scan_vocab(spark, vocab_path).collect()}
+        # ids of the special tokens, [UNK] among them, are those of the file
+        vocab = C.load_vocab(spark, vocab_path) if vocab_path else V.Vocabulary(V.SMILES_VOCAB)
+        sp = vocab.specials()
 
         def ids_of(col):
-            return T.smiles_ids(col, vocab or V.SMILES_VOCAB)
-        sp = {"bos": V.SMILES_BOS, "eos": V.SMILES_EOS, "cls": V.SMILES_CLS, "sep": V.SMILES_SEP, "pad": V.SMILES_PAD}
+            return T.smiles_ids(col, vocab, vocab.unk)
     else:
         if encoder is None or special_ids is None:
             raise ValueError("a custom tokenizer needs an encoder factory and its special ids")
@@ -95,7 +95,7 @@ def prepare_corpus(spark: SparkSession, name: str, path: str, mode: str = "train
         return build()
     return S.sink_cache(spark, build, cache_root, name, path=path, mode=mode, wrap=wrap, block_size=block_size,
                         tokenizer=tokenizer, insert_eos=insert_eos, insert_special=insert_special,
-                        order_cols=list(order_cols), special_ids=sp, vocab=vocab,
+                        order_cols=list(order_cols), special_ids=sp, vocab=dict(vocab) if vocab_path else None,
                         holdout=holdout, splits=[list(x) for x in splits] if splits else None,
                         encoder=getattr(encoder, "__qualname__", None) and f"{encoder.__module__}.{encoder.__qualname__}")
 

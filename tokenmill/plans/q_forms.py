@@ -13,9 +13,11 @@ from ..functions import vocab as V
 from ..functions.rand import uniform_sql
 from ..session import scratch_path, table
 from ..sources import corpus as C
+from ..sources import fs
 from .catalog import query
 from .fixtures import MOLECULES_SQL, char_ids_sql, molecules
 from .prepare import prepare_corpus, valid_batches
+from .q_tokens import MOL_TOKS_SQL, mol_ids
 
 # ----------------------------------------------- S3, S5: raw text by offsets --
 #: The raw text: letters and single spaces of all documents in doc_id order.
@@ -96,6 +98,45 @@ def q_prepare_split(spark, sf):
     return out.select("mol_id", T.ids_text("input_ids").alias("input_ids"))
 
 
+# ------------------------------------- T3, T6, K5: a whole vocabulary file --
+#: The file: every token of the molecules in code-point order, then the special tokens.
+SPECIALS = ("[UNK]", "[PAD]", "[EOS]", "[BOS]", "[SEP]", "[CLS]", "[MASK]", "[UNK]")
+VOCAB_SQL = MOL_TOKS_SQL + """,
+v as (select token, row_number() over (order by token) - 1 id from (select distinct unnest(toks) token from t)),
+n as (select count(*) n from v),
+w as (select map(list(token), list(id)) at from v),
+e as (select mol_id, toks, list_transform(toks, lambda x: w.at[x])::INTEGER[] ids from t, w)"""
+
+
+def _vocab_file(spark, sf) -> str:
+    path = scratch_path(spark, "whole_vocab")
+    tokens = mol_ids(spark, sf).select(F.explode("toks").alias("token")).distinct()
+    lines = [r["token"] for r in tokens.orderBy("token").collect()]  # a vocabulary, not data
+    fs.makedirs(path)
+    with fs.open_output(f"{path}/vocab.txt") as f:
+        f.write("\n".join([*lines, *SPECIALS, ""]).encode())
+    return f"{path}/vocab.txt"
+
+
+@query("prepare_molecules", VOCAB_SQL + """
+select mol_id, array_to_string(list_concat([(n + 3)::INTEGER], ids, [(n + 2)::INTEGER],
+  list_resize([]::INTEGER[], 18 - len(ids), (n + 1)::INTEGER)), ' ') input_ids from e, n where len(ids) <= 18""")
+def q_prepare_molecules(spark, sf):
+    path = scratch_path(spark, "molecule_table")
+    molecules(spark, sf).select("mol_id", F.col("smiles").alias("input")).write.parquet(path)
+    out = prepare_corpus(spark, "smiles", path, wrap=False, block_size=20, tokenizer="smiles", order_cols=["mol_id"],
+                         vocab_path=_vocab_file(spark, sf))
+    return out.select("mol_id", T.ids_text("input_ids").alias("input_ids"))
+
+
+@query("molecule_round_trip", VOCAB_SQL + """
+select mol_id, array_to_string(ids, ' ') ids, array_to_string(toks, '') text from e""")
+def q_molecule_round_trip(spark, sf):
+    vocab = C.load_vocab(spark, _vocab_file(spark, sf))
+    ids = molecules(spark, sf).select("mol_id", T.smiles_ids("smiles", vocab, vocab.unk).alias("ids"))
+    return ids.select("mol_id", T.ids_text("ids").alias("ids"), T.decode("ids", vocab, "char").alias("text"))
+
+
 # ---------------------------------------------------- validation batches --
 VALID_SEED = 7
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as X
+from ..functions.vocab import Vocabulary
 from ..operators.offsets import row_index
 
 
@@ -262,6 +263,11 @@ def scan_vocab(spark: SparkSession, path: str) -> DataFrame:
     return lines.groupBy("token").agg(F.max("id").cast("int").alias("id"))
 
 
+def load_vocab(spark: SparkSession, path: str) -> Vocabulary:
+    """The vocabulary file at ``path``, whole (a parameter of a job, read by the driver): every line is a token."""
+    return Vocabulary((r["token"], r["id"]) for r in scan_vocab(spark, path).collect())
+
+
 # ------------------------------------------------------------------- S8 --
 SAMPLE_LOG_SCHEMA = StructType([
     StructField("gen_ppl_raw", StringType()), StructField("nfes_raw", StringType()),
