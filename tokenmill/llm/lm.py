@@ -38,6 +38,8 @@ from .suffix import ASK, MAIL, _frame, _split_by_part, _unzip, _zip
 MASS = 3.0
 ORDER = 2
 PART_KEYS = 2_000_000
+#: Text of a chunk: a task holds some twenty eight-byte numbers for each of its tokens.
+CHUNK_BYTES = 8 << 20
 
 _M = np.uint64(0x94D049BB133111EB)
 #: Hashes of the two marks around a text; words are hashed, so no word can spell them.
@@ -204,7 +206,7 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, id_col: str = "
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     The model learns from the documents for which ``held_out`` (a condition on doc_id) fails."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
-    rows, n_chunks, total = chunked(rows.withColumn("train", ~F.coalesce(held_out, F.lit(False))))
+    rows, n_chunks, total = chunked(rows.withColumn("train", ~F.coalesce(held_out, F.lit(False))), CHUNK_BYTES)
     parts = max(1, min(60_000, -(-(total // 8) // PART_KEYS)))
     asks = rows.groupBy("chunk").applyInArrow(_ask(order, parts), ASK)
     answers = asks.groupBy("part").applyInArrow(_answer, MAIL)
