@@ -104,8 +104,8 @@ SPECIALS = ("[UNK]", "[PAD]", "[EOS]", "[BOS]", "[SEP]", "[CLS]", "[MASK]", "[UN
 VOCAB_SQL = MOL_TOKS_SQL + """,
 v as (select token, row_number() over (order by token) - 1 id from (select distinct unnest(toks) token from t)),
 n as (select count(*) n from v),
-w as (select map(list(token), list(id)) at from v),
-e as (select mol_id, toks, list_transform(toks, lambda x: w.at[x])::INTEGER[] ids from t, w)"""
+w as (select map(list(token), list(id)) id_of from v),
+e as (select mol_id, toks, list_transform(toks, lambda x: w.id_of[x])::INTEGER[] ids from t, w)"""
 
 
 def _vocab_file(spark, sf) -> str:
