@@ -106,7 +106,7 @@ def join_and_cut_udtf():
     piece leaves as soon as it is whole; null keys and texts are kept (a null text is empty)."""
     from pyspark.sql.functions import udtf
 
-    @udtf(returnType="conv_id long, batch long, piece_idx long, piece string")
+    @udtf(returnType="conv_id long, batch long, piece_idx long, piece string", useArrow=True)
     class JoinAndCut:
         def __init__(self):
             self.key, self.size, self.n, self.rest = (None, None), 1, 0, ""
