@@ -129,3 +129,35 @@ def test_rows_without_an_id_are_dealt_over_all_chunks(spark):
     df, n, _ = chunked(bodies(frame(spark, rows)), 6000)
     sizes = [r["count"] for r in df.groupBy("chunk").count().collect()]
     assert n == 10 and len(sizes) == n and sum(sizes) == 600 and max(sizes) < 120
+
+
+def test_answers_derived_from_a_reference(spark):
+    """A large group of near copies: most links are counted by distance, others come from differences; none is lost."""
+    rng, base = random.Random(3), [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 8, 9])):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(999)}"
+        rows.append((i, " ".join(w)))
+    rows += [(900 + i, rows[i][1]) for i in range(5)]
+    sets = shingle_sets(rows, 4)
+    like = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    want = {d: sum(like(a, b) for j, b in enumerate(sets) if j != i) for i, ((d, _), a) in enumerate(zip(rows, sets))}
+    docs = frame(spark, rows)
+    assert {r["doc_id"]: r["n_links"] for r in setjoin.jaccard_join(docs, 4, 85).collect()} == want
+    table = setjoin.sets_of(docs, 4, 85, "doc_id", "text").filter("prefix is not null").dropDuplicates(["sig"])
+    first, rest, learned = setjoin._compared(table, 85, True)
+    all_links = sum(like(a, b) for i, a in enumerate(sets[:120]) for b in sets[:i])
+    others = rest.count()
+    assert 0 < others < all_links / 2  # most are never paired
+    both = rest.join(learned.select(F.col("node").alias("a"), F.col("ref").alias("r")), "a").join(learned.withColumnRenamed("node", "b"), "b")
+    assert both.filter("r = ref").count() > others / 2  # most of the rest come from differences
+
+
+@pytest.mark.parametrize("n, per_cent, big, small", [(1, 10, 10_000, 1_000), (1, 50, 4096, 2048), (1, 100, 30, 30)])
+def test_links_at_the_exact_ratio_of_sizes(spark, n, per_cent, big, small):
+    w = [f"w{i}" for i in range(big)]
+    docs = frame(spark, [(1, " ".join(w)), (2, " ".join(w[:small])), (3, "w0 other"), (4, " ".join(reversed(w)))])
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in setjoin.jaccard_join(docs, n, per_cent).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (3, 0), 4: (1, 2)}

@@ -14,11 +14,16 @@ each document under the links and, in ``jaccard_join``, the number of its links.
    a probe reads its own and the two neighbouring blocks only; within them the
    positions bound the largest possible overlap, and entries that can't reach
    the threshold are skipped, as are pairs that meet in a list shortly before.
-4. One set of each list is probed first, then all. Answers are derived where a
-   highly similar set has them: Jaccard distance is a metric, so where y and z
-   were both compared with the same set and their distances to it differ by more
-   than the limit, the pair (y, z) is out without looking at the sets. All other
-   pairs are compared, so no link is left out.
+4. One set of each list is probed first; each set keeps the most similar set it
+   was compared with, its *reference* r, and its difference from it (what it has
+   beyond r, and what it lacks of r). Answers are then derived from the reference's:
+   Jaccard distance is a metric, so sets y and z of one reference whose distances
+   to it differ by more than the limit are no link, and those whose distances add
+   up to the limit at most are one. The first are skipped; the second are counted
+   by distance, all at once, and never paired. For the others the overlap follows
+   from r's size and the four small differences, |y & z| = |r| - |r-y| - |r-z| +
+   |(r-y) & (r-z)| + |(y-r) & (z-r)|. Only sets of different references are
+   intersected as a whole, so no link is left out.
 5. ``jaccard_components`` needs no link inside a known component: it probes a few
    sets of each list at a time (one, then sixteen times as many each round), and a
    list is done once its sets are in one component. When the pairs left are few
@@ -36,7 +41,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bodies, chunked, cut_lineage, key_array, key_bytes, segments, settled, word_slots
@@ -47,6 +52,11 @@ PART_KEYS = 2_000_000
 #: For components alone, all pairs left are looked at once they are at most so many for each entry of
 #: the lists, or once so many sets of a list would be probed at a time. Components are the same either way.
 LINEAR, MOST_PROBES = 16, 4096
+#: Text in one chunk: bounds the memory of a task that makes the sets.
+SET_CHUNK_BYTES = 8 << 20
+#: Distances are kept in steps of 1 / STEPS, rounded both ways, so that a reference has at most so many
+#: different ones and sums of them are exact.
+STEPS = 4096
 #: A list's entry carries so many n-grams that come before in its prefix: two sets that share one
 #: of them meet in that list, so they needn't meet in this one.
 BACK = 4
@@ -102,9 +112,14 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(48)) % np.uint64(parts)).astype(np.uint16)
 
 
+def range_part(h: np.ndarray, parts: int) -> np.ndarray:
+    """Equal ranges of the hash's upper half, so that its lower bytes tell the keys of a part apart."""
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint32)
+
+
 def _key_width(keys: int, parts: int) -> int:
     """Bytes of a key so that chance collisions stay under one in 65,536 keys."""
-    return int(min(6, max(4, math.ceil((math.log2(max(keys, 2)) + 16 - math.log2(parts)) / 8))))
+    return int(min(8, max(4, math.ceil((math.log2(max(keys, 2)) + 16 - math.log2(parts)) / 8))))
 
 
 def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,11 +133,10 @@ def _count_asks(n: int, parts: int, width: int):
         chunk = table.column("chunk")[0].as_py()
         _, texts = chunk_rows(table)
         keys, df = _distinct(shingles(texts, n)[0])
-        part = part_of(keys, parts)
-        order = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[order], np.arange(parts + 1))
-        rows = [(p, chunk, key_bytes(keys[o], width), np.minimum(df[o], 255).astype(np.uint8).tobytes())
-                for p in range(parts) if len(o := order[bounds[p]:bounds[p + 1]])]
+        part = range_part(keys, parts)
+        asked, begin = np.unique(part, return_index=True)  # the keys ascend, so their parts do
+        rows = [(p, chunk, key_bytes(keys[lo:hi], width), np.minimum(df[lo:hi], 255).astype(np.uint8).tobytes())
+                for p, lo, hi in zip(asked.tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)])]
         p, c, k, d = zip(*rows) if rows else ((), (), (), ())
         return pa.table([pa.array(p, pa.int32()), pa.array(c, pa.int32()), pa.array(k, pa.binary()),
                          pa.array(d, pa.binary())], ["part", "chunk", "keys", "counts"])
@@ -157,13 +171,12 @@ def _prefixes(n: int, parts: int, per_cent: int):
         h, doc = shingles(texts, n)
         keys, df = _distinct(h)
         got = dict(zip(answers.column("part").to_pylist(), answers.column("data").to_pylist()))
-        order = np.argsort(part_of(keys, parts), kind="stable")
-        rarity = np.empty(len(keys), np.uint8)
-        rarity[order] = np.frombuffer(b"".join(got[p] for p in sorted(got)), np.uint8)
-        rarity = np.repeat(rarity, df).astype(np.uint64)
-        rank = rarity << np.uint64(56) | h & np.uint64((1 << 56) - 1)
-        order = np.lexsort((rank, doc))
+        rarity = np.repeat(np.frombuffer(b"".join(got[p] for p in sorted(got)), np.uint8), df)
+        del keys, df, texts, answers, got
+        order = np.argsort(rarity, kind="stable")  # the hashes ascend already; then by document
+        order = order[np.argsort(doc[order], kind="stable")]
         h, doc, rarity = h[order].view(np.int64), doc[order], rarity[order]
+        del order
         ends = np.searchsorted(doc, np.arange(len(ids) + 1))
         seen, rows = set(), []
         for i, d in enumerate(ids):
@@ -191,8 +204,8 @@ def sets_of(docs: DataFrame, n: int, per_cent: int, id_col: str, text_col: str)
     prefix (its n-grams of the prefix that other documents hold, rare first; they end the prefix)
     and shared (all its n-grams that other documents hold). Both are null where the prefix meets
     nobody, and for all but one of the equal sets of a chunk."""
-    rows, n_chunks, total = chunked(bodies(docs, id_col, text_col))
-    parts = max(1, min(60_000, -(-(total // 6) // PART_KEYS)))
+    rows, _, total = chunked(bodies(docs, id_col, text_col), SET_CHUNK_BYTES)
+    parts = max(1, -(-(total // 6) // PART_KEYS))
     width = _key_width(total // 4, parts)
     asks = rows.groupBy("chunk").applyInArrow(_count_asks(n, parts, width), ASK)
     answers = asks.groupBy("part").applyInArrow(_count_answers(width), ANSWER)
@@ -200,47 +213,136 @@ def sets_of(docs: DataFrame, n: int, per_cent: int, id_col: str, text_col: str)
                        .applyInArrow(_prefixes(n, parts, per_cent), SETS))
 
 
-def links(sets: DataFrame, per_cent: int, components_only: bool = False) -> DataFrame | None:
-    """``sets``: node, n, prefix, shared of different sets. All links (a, b), a < b, of them; with
-    ``components_only``, pairs inside a component that is already known may be left out."""
+def _limit(per_cent: int) -> int:
+    """The largest distance of a link, in steps."""
+    return STEPS * (100 - per_cent) // 100
+
+
+def _index(sets: DataFrame, per_cent: int) -> tuple[DataFrame, int, DataFrame]:
+    """The lists of n-grams that several of the sets have in their prefix (h, node, n, pos, block, back and what is
+    known of the set so far), the number of their entries, and the sets (node, size, shared), dealt by node."""
     size = per_cent / 100
     last = F.col("n") - F.ceil(F.lit(size) * F.col("n") - 1e-9).cast("int")  # the prefix's last position
-    block = F.floor(F.log("n") / math.log(1 / size)).cast("int")
+    # blocks are a little wider than a link's largest ratio of sizes, so that rounding can't put a link two blocks apart
+    block = (F.floor(F.log("n") / (-math.log(size) * (1 + 1e-9))) if per_cent < 100 else F.col("n")).cast("int")
     met = sets.filter("prefix is not null")
     lists = (met.select("node", "n", last.alias("last"), "prefix", F.size("prefix").alias("k"), F.posexplode("prefix").alias("i", "h"))
              .select("h", "node", "n", (F.col("last") - F.col("k") + 1 + F.col("i")).alias("pos"), block.alias("block"),
                      F.slice("prefix", F.greatest(F.col("i") - BACK, F.lit(0)) + 1, F.least("i", F.lit(BACK))).alias("back")))
     many = lists.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
     lists = settled(lists.join(many, "h").withColumns(
-        {"comp": F.col("node"), "ref": F.lit(None).cast("long"), "dist": F.lit(None).cast("double")}))
-    entries = lists.count()
-    if not entries:
-        return None
+        {"comp": F.col("node"), "ref": F.lit(None).cast("long"), "near": F.lit(None).cast("int"), "far": F.lit(None).cast("int")}))
     # dealt by node once: later joins move only the pairs
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = cut_lineage(met.select("node", F.col("n").alias("size"), "shared").repartition(parts, "node"))
+    return lists, lists.count(), cut_lineage(met.select("node", F.col("n").alias("size"), "shared").repartition(parts, "node"))
+
+
+def _untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """Different pairs (a, b, via) that are not among the tested ones."""
+    if tested is None:
+        return pairs.distinct()
+    seen = pairs.withColumn("same", F.lit(None).cast("int")).unionByName(
+        tested.select("a", "b", F.lit(None).cast("long").alias("via"), "same"))
+    return (seen.groupBy("a", "b").agg(F.max("same").alias("same"), F.max("via").alias("via"))
+            .filter("same is null").select("a", "b", "via"))
+
+
+def _intersected(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """a, b, same (overlap) and sum (of the sizes) from the whole sets."""
+    both = (pairs.join(shared.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("shared").alias("sa")), "a")
+            .join(shared.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("shared").alias("sb")), "b"))
+    return both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("same"), (F.col("na") + F.col("nb")).alias("sum"))
+
+
+def _differences(learned: DataFrame, shared: DataFrame, per_cent: int) -> DataFrame:
+    """Of each set that is close to its reference: node, size, whole (the reference's shared n-grams), more and less."""
+    own = learned.filter(F.col("far") <= _limit(per_cent)).select("node", "ref").join(shared, "node")
+    ref = shared.select(F.col("node").alias("ref"), F.col("shared").alias("r"))
+    parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(own.join(ref, "ref").select(
+        "node", "size", F.size("r").alias("whole"), F.array_except("shared", "r").alias("more"),
+        F.array_except("r", "shared").alias("less")).repartition(parts, "node"))
+
+
+def _derived(pairs: DataFrame, diffs: DataFrame) -> DataFrame:
+    """As ``_intersected``, for pairs of sets of one reference, from their differences alone."""
+    side = lambda x: diffs.select(*[F.col(c).alias(c + "_" + x) for c in ("size", "whole", "more", "less")], F.col("node").alias(x))
+    same = (F.col("whole_a") - F.size("less_a") - F.size("less_b") + F.size(F.array_intersect("less_a", "less_b"))
+            + F.size(F.array_intersect("more_a", "more_b")))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select(
+        "a", "b", same.alias("same"), (F.col("size_a") + F.col("size_b")).alias("sum"))
+
+
+def _linked(tested: DataFrame, per_cent: int) -> DataFrame:
+    return tested.filter(100 * F.col("same") >= per_cent * (F.col("sum") - F.col("same"))).select("a", "b")
+
+
+def _with(lists: DataFrame, learned: DataFrame) -> DataFrame:
+    return (lists.select("h", "node", "n", "pos", "block", "back").join(learned, "node", "left")
+            .withColumn("comp", F.coalesce("comp", "node")))
+
+
+def _compared(sets: DataFrame, per_cent: int, sure: bool) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(first links, other links, what the first round learned). With ``sure``, pairs whose link is known from
+    their distances to one reference are left out of the other links."""
+    lists, entries, shared = _index(sets, per_cent)
+    if not entries:
+        return None
+    tested = settled(_intersected(_untested(_candidates(lists, 1, per_cent, False), None), shared))
+    learned = _learned(tested, None)
+    diffs = _differences(learned, shared, per_cent)
+    pairs = settled(_untested(_candidates(settled(_with(lists, learned)), None, per_cent, False, sure), tested))
+    rest = settled(_intersected(pairs.filter("via is null"), shared).unionByName(_derived(pairs.filter("via is not null"), diffs)))
+    return _linked(tested, per_cent), _linked(rest, per_cent), learned
+
+
+def links(sets: DataFrame, per_cent: int) -> DataFrame | None:
+    """``sets``: node, n, prefix, shared of different sets. All links (a, b), a < b, of them."""
+    found = _compared(sets, per_cent, False)
+    return found and found[0].unionByName(found[1])
+
+
+def link_counts(sets: DataFrame, per_cent: int) -> tuple[DataFrame, DataFrame] | None:
+    """``sets``: as for ``links``, and copies (rows that have the set). (edges, counts): edges (a, b) with the
+    components of all links; node and others, the rows of linked sets, of each set that has a link."""
+    found = _compared(sets, per_cent, True)
+    if found is None:
+        return None
+    first, rest, learned = found
+    copies, limit = sets.select("node", "copies"), _limit(per_cent)
+    close = settled(learned.filter(F.col("far") <= limit).select("node", "ref", "far").join(copies, "node"))
+    # a reference's sets by distance, at most STEPS rows: how many are within the limit less the own distance
+    steps = close.groupBy("ref", "far").agg(F.sum("copies").alias("c"))
+    marks = (steps.select("ref", F.col("far").alias("at"), "c", F.lit(None).cast("int").alias("far"))
+             .unionByName(steps.select("ref", (limit - F.col("far")).alias("at"), F.lit(0).cast("long").alias("c"), "far")))
+    within = Window.partitionBy("ref").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = marks.withColumn("c", F.sum("c").over(within)).filter("far is not null")
+    own = F.when(2 * F.col("far") <= limit, F.col("copies")).otherwise(0)
+    sure = close.join(reach, ["ref", "far"]).select("node", (F.col("c") - own).alias("others"))
+    # the first links that are among the sure ones must not count twice
+    side = lambda x: close.select(F.col("node").alias(x), F.col("ref").alias("ref_" + x), F.col("far").alias("far_" + x))
+    again = F.coalesce((F.col("ref_a") == F.col("ref_b")) & (F.col("far_a") + F.col("far_b") <= limit), F.lit(False))
+    single = first.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(~again).select("a", "b").unionByName(rest)
+    ends = single.select("a", "b").unionByName(single.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    paired = ends.join(copies.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), F.col("copies").alias("others"))
+    return first.unionByName(rest), sure.unionByName(paired).groupBy("node").agg(F.sum("others").alias("others"))
+
+
+def component_links(sets: DataFrame, per_cent: int) -> DataFrame | None:
+    """Links (a, b) of the sets with the components of all links: pairs inside a component that is already
+    known are left out."""
+    lists, entries, shared = _index(sets, per_cent)
+    if not entries:
+        return None
     tested, probes, whole = None, 1, False  # tested: a, b, same (overlap), sum (of the sizes)
     while True:
-        pairs = _candidates(lists, None if whole else probes, per_cent, components_only)
-        if tested is None:
-            pairs = pairs.distinct()
-        else:
-            seen = pairs.withColumn("same", F.lit(None).cast("int")).unionByName(tested.select("a", "b", "same"))
-            pairs = seen.groupBy("a", "b").agg(F.max("same").alias("same")).filter("same is null").select("a", "b")
-        both = (pairs.join(shared.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("shared").alias("sa")), "a")
-                .join(shared.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("shared").alias("sb")), "b"))
-        found = settled(both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("same"),
-                                    (F.col("na") + F.col("nb")).alias("sum")))
+        pairs = _untested(_candidates(lists, None if whole else probes, per_cent, True), tested)
+        found = settled(_intersected(pairs, shared))
         tested = found if tested is None else tested.unionByName(found)
-        linked = tested.filter(100 * F.col("same") >= per_cent * (F.col("sum") - F.col("same"))).select("a", "b")
+        linked = _linked(tested, per_cent)
         if whole:
             return linked
-        learned = _learned(tested, linked if components_only else None)
-        lists = (lists.select("h", "node", "n", "pos", "block", "back").join(learned, "node", "left")
-                 .withColumn("comp", F.coalesce("comp", "node")))
-        if not components_only:
-            lists, whole = settled(lists), True
-            continue
+        lists = _with(lists, _learned(tested, linked))
         open_ = settled(lists.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"))
                         .filter("lo <> hi").select("h", "c"))
         left = open_.agg(F.sum(F.col("c") * F.col("c"))).first()[0]
@@ -251,47 +353,57 @@ def links(sets: DataFrame, per_cent: int, components_only: bool = False) -> Data
         whole = left <= LINEAR * entries or probes > MOST_PROBES
 
 
-def _candidates(lists: DataFrame, probes: int | None, per_cent: int, components_only: bool) -> DataFrame:
+def _candidates(lists: DataFrame, probes: int | None, per_cent: int, components_only: bool, sure: bool = False) -> DataFrame:
     """Pairs (a, b), perhaps repeated, of probed sets and those of their list that the block, the
     positions, the distances to a common set, the lists before and, with ``components_only``, the
-    components leave open. Probed are one set
-    of each of ``probes`` salts of a list's block, by a hash of the set alone, so that lists over
-    the same sets probe the same and repeat the same pairs; None: all sets."""
+    components leave open; via is the reference of both, if both are close to it. Probed are one set
+    of each of ``probes`` salts of a list's block, by a hash of the set alone or the place of the n-gram
+    in it and then a hash, so that lists over the same sets probe the same and repeat the same pairs; None: all sets. With ``sure``, pairs
+    that the distances prove to be links are left out too."""
+    fields = ["n", "node", "pos", "comp", "ref", "near", "far", "back"]
     if probes is None:
         probed, near = lists, (0, 1)  # a pair is met from its lower block
     else:
-        fields = ["n", "node", "pos", "comp", "ref", "dist", "back"]
         salt = F.pmod(F.xxhash64("node", F.lit(probes)), F.lit(probes))
+        # for answers to be derived, the set with the fewest rare n-grams: it is the closest to the others
+        order = [] if components_only else [F.col("pos").alias("rare")]
         probed = (lists.groupBy("h", "block", salt.alias("salt"))
-                  .agg(F.min(F.struct(F.xxhash64("node", F.lit(-probes)).alias("o"), *fields)).alias("p"))
+                  .agg(F.min(F.struct(*order, F.xxhash64("node", F.lit(-probes)).alias("o"), *fields)).alias("p"))
                   .select("h", "block", *[f"p.{f}" for f in fields]))
         near = (-1, 0, 1)
     probed = (probed.withColumn("step", F.explode(F.array(*map(F.lit, near))))
               .withColumn("block", F.col("block") + F.col("step")))
-    other = lists.select("h", "block", *[F.col(c).alias(c + "2") for c in ("node", "n", "pos", "comp", "ref", "dist", "back")])
+    other = lists.select("h", "block", *[F.col(c).alias(c + "2") for c in fields])
     most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
-    apart = (F.col("ref") == F.col("ref2")) & (F.abs(F.col("dist") - F.col("dist2")) > 1 - per_cent / 100 + 1e-9)
+    limit, one = _limit(per_cent), F.col("ref") == F.col("ref2")
+    apart = F.greatest(F.col("near") - F.col("far2"), F.col("near2") - F.col("far")) * 100 > STEPS * (100 - per_cent)
+    known = one & (apart | (F.col("far") + F.col("far2") <= limit)) if sure else one & apart
     differ = "comp" if components_only else "node"
     pairs = (probed.join(other, ["h", "block"]).filter(F.col(differ) != F.col(differ + "2"))
              .filter(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * per_cent)
              .filter(most * (100 + per_cent) >= (F.col("n") + F.col("n2")) * per_cent)
-             .filter(~F.coalesce(apart, F.lit(False))).filter(~F.arrays_overlap("back", "back2")))
+             .filter(~F.coalesce(known, F.lit(False))).filter(~F.arrays_overlap("back", "back2")))
     if probes is None:
         pairs = pairs.filter("step = 1 or node < node2")
-    return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+    via = F.when(one & (F.col("far") <= limit) & (F.col("far2") <= limit), F.col("ref"))
+    return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), via.alias("via"))
 
 
 def _learned(tested: DataFrame, linked: DataFrame | None) -> DataFrame:
     """Per set compared so far: node, comp (null without ``linked``), and the most similar set (ref)
-    at its distance (dist)."""
-    dist = 1 - F.col("same") / (F.col("sum") - F.col("same"))
-    ends = tested.select(F.col("a").alias("node"), F.col("b").alias("ref"), dist.alias("dist"))
-    ends = ends.unionByName(tested.select(F.col("b").alias("node"), F.col("a").alias("ref"), dist.alias("dist")))
-    nearest = ends.groupBy("node").agg(F.min(F.struct("dist", "ref")).alias("r"))
+    at its distance in steps, rounded down (near) and up (far)."""
+    union = F.col("sum") - F.col("same")
+    out = (STEPS * (union - F.col("same")).cast("long")).alias("out")
+    ends = tested.select(F.col("a").alias("node"), F.col("b").alias("ref"), out, union.alias("all"))
+    ends = ends.unionByName(tested.select(F.col("b").alias("node"), F.col("a").alias("ref"), out, union.alias("all")))
+    near = F.floor(F.col("out") / F.col("all"))  # a quotient of integers this small is exact to the step
+    ends = ends.select("node", F.struct((near + F.when(near * F.col("all") < F.col("out"), 1).otherwise(0)).cast("int").alias("far"),
+                                        near.cast("int").alias("near"), "ref").alias("r"))
+    nearest = ends.groupBy("node").agg(F.min("r").alias("r")).select("node", "r.ref", "r.near", "r.far")
     if linked is None:
-        return settled(nearest.select("node", F.lit(None).cast("long").alias("comp"), "r.ref", "r.dist"))
+        return settled(nearest.withColumn("comp", F.lit(None).cast("long")))
     comp = stars(contracted(linked)).withColumnRenamed("component", "comp")
-    return settled(nearest.join(comp, "node", "left").select("node", "comp", "r.ref", "r.dist"))
+    return settled(nearest.join(comp, "node", "left"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, per_cent: int = 80, id_col: str = "doc_id",
@@ -312,17 +424,15 @@ def _joined(docs: DataFrame, n: int, per_cent: int, id_col: str, text_col: str,
     first = F.min(F.struct(F.col("prefix").isNull().alias("bare"), "node")).alias("f")
     reps = settled(sets.filter("sig is not null").groupBy("sig").agg(first, F.count(F.lit(1)).alias("copies"))
                    .select("sig", F.col("f.node").alias("rep"), "copies"))
-    chosen = sets.join(reps.select(F.col("rep").alias("node")), "node", "left_semi")
-    found = links(chosen, per_cent, components_only)
-    known = reps.withColumns({"component": F.lit(None).cast("long"), "others": F.lit(0).cast("long")})
-    if found is not None:
-        found = settled(found)
-        comp = stars(contracted(found))
-        ends = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        others = (ends.join(reps.select(F.col("rep").alias("b"), "copies"), "b")
-                  .groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others")))
+    chosen = sets.join(reps.select(F.col("rep").alias("node"), "copies"), "node")
+    none = {"component": F.lit(None).cast("long"), "others": F.lit(0).cast("long")}
+    edges, others = (component_links(chosen, per_cent), None) if components_only else link_counts(chosen, per_cent) or (None, None)
+    if edges is None:
+        known = reps.withColumns(none)
+    else:
+        comp = stars(contracted(edges))
         known = reps.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        known = known.withColumn("others", F.lit(0).cast("long")) if components_only else known.join(others, "rep", "left")
+        known = known.withColumn("others", none["others"]) if others is None else known.join(others.withColumnRenamed("node", "rep"), "rep", "left")
     rows = sets.select("node", "doc_id", "n", "sig").join(known, "sig", "left")
     n_links = F.coalesce(F.col("copies") - 1 + F.coalesce("others", F.lit(0)), F.lit(0))
     rows = settled(rows.select("node", "doc_id", "n", F.coalesce("component", "rep", "node").alias("root"), n_links.alias("n_links")))
