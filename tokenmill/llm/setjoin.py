@@ -14,16 +14,15 @@ each document under the links and, in ``jaccard_join``, the number of its links.
    a probe reads its own and the two neighbouring blocks only; within them the
    positions bound the largest possible overlap, and entries that can't reach
    the threshold are skipped, as are pairs that meet in a list shortly before.
-4. One set of each list is probed first; each set keeps the most similar set it
-   was compared with, its *reference* r, and its difference from it (what it has
-   beyond r, and what it lacks of r). Answers are then derived from the reference's:
-   Jaccard distance is a metric, so sets y and z of one reference whose distances
-   to it differ by more than the limit are no link, and those whose distances add
-   up to the limit at most are one. The first are skipped; the second are counted
-   by distance, all at once, and never paired. For the others the overlap follows
-   from r's size and the four small differences, |y & z| = |r| - |r-y| - |r-z| +
-   |(r-y) & (r-z)| + |(y-r) & (z-r)|. Only sets of different references are
-   intersected as a whole, so no link is left out.
+4. One set of each list is probed first; each set keeps a set it was linked with, its
+   *reference* r (the one with the most links), and its difference from it (what it
+   has beyond r, and what it lacks of r). Answers are then derived from the
+   reference's: |y & z| = |r| - |r-y| - |r-z| + |(r-y) & (r-z)| + |(y-r) & (z-r)|, four
+   small differences. ``jaccard_join`` counts the links among the sets of one reference
+   from these alone, block against block, and makes no row for a pair. Where y and z
+   were compared with the same set and their distances to it differ by more than the
+   limit, the pair is out, as Jaccard distance is a metric. Only sets of different
+   references are intersected as a whole, so no link is left out.
 5. ``jaccard_components`` needs no link inside a known component: it probes a few
    sets of each list at a time (one, then sixteen times as many each round), and a
    list is done once its sets are in one component. When the pairs left are few
@@ -54,9 +53,10 @@ PART_KEYS = 2_000_000
 LINEAR, MOST_PROBES = 16, 4096
 #: Text in one chunk: bounds the memory of a task that makes the sets.
 SET_CHUNK_BYTES = 8 << 20
-#: Distances are kept in steps of 1 / STEPS, rounded both ways, so that a reference has at most so many
-#: different ones and sums of them are exact.
+#: Distances are kept in steps of 1 / STEPS, rounded both ways, so that comparing them is exact.
 STEPS = 4096
+#: Sets, and n-grams of their differences, in a block of sets of one reference.
+BLOCK_SETS, BLOCK_KEYS, SLAB = 256, 200_000, 4096
 #: A list's entry carries so many n-grams that come before in its prefix: two sets that share one
 #: of them meet in that list, so they needn't meet in this one.
 BACK = 4
@@ -282,18 +282,19 @@ def _with(lists: DataFrame, learned: DataFrame) -> DataFrame:
             .withColumn("comp", F.coalesce("comp", "node")))
 
 
-def _compared(sets: DataFrame, per_cent: int, sure: bool) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """(first links, other links, what the first round learned). With ``sure``, pairs whose link is known from
-    their distances to one reference are left out of the other links."""
+def _compared(sets: DataFrame, per_cent: int, grouped: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None:
+    """(first links, other links, what the first round learned, differences). With ``grouped``, pairs of sets that
+    are close to one reference are left out of the other links: ``_grouped`` counts them."""
     lists, entries, shared = _index(sets, per_cent)
     if not entries:
         return None
     tested = settled(_intersected(_untested(_candidates(lists, 1, per_cent, False), None), shared))
-    learned = _learned(tested, None)
+    learned = _learned(tested, None, per_cent)
     diffs = _differences(learned, shared, per_cent)
-    pairs = settled(_untested(_candidates(settled(_with(lists, learned)), None, per_cent, False, sure), tested))
-    rest = settled(_intersected(pairs.filter("via is null"), shared).unionByName(_derived(pairs.filter("via is not null"), diffs)))
-    return _linked(tested, per_cent), _linked(rest, per_cent), learned
+    pairs = settled(_untested(_candidates(settled(_with(lists, learned)), None, per_cent, False, grouped), tested))
+    rest = _intersected(pairs.filter("via is null"), shared)
+    rest = settled(rest if grouped else rest.unionByName(_derived(pairs.filter("via is not null"), diffs)))
+    return _linked(tested, per_cent), _linked(rest, per_cent), learned, diffs
 
 
 def links(sets: DataFrame, per_cent: int) -> DataFrame | None:
@@ -308,24 +309,62 @@ def link_counts(sets: DataFrame, per_cent: int) -> tuple[DataFrame, DataFrame] |
     found = _compared(sets, per_cent, True)
     if found is None:
         return None
-    first, rest, learned = found
-    copies, limit = sets.select("node", "copies"), _limit(per_cent)
-    close = settled(learned.filter(F.col("far") <= limit).select("node", "ref", "far").join(copies, "node"))
-    # a reference's sets by distance, at most STEPS rows: how many are within the limit less the own distance
-    steps = close.groupBy("ref", "far").agg(F.sum("copies").alias("c"))
-    marks = (steps.select("ref", F.col("far").alias("at"), "c", F.lit(None).cast("int").alias("far"))
-             .unionByName(steps.select("ref", (limit - F.col("far")).alias("at"), F.lit(0).cast("long").alias("c"), "far")))
-    within = Window.partitionBy("ref").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    reach = marks.withColumn("c", F.sum("c").over(within)).filter("far is not null")
-    own = F.when(2 * F.col("far") <= limit, F.col("copies")).otherwise(0)
-    sure = close.join(reach, ["ref", "far"]).select("node", (F.col("c") - own).alias("others"))
-    # the first links that are among the sure ones must not count twice
-    side = lambda x: close.select(F.col("node").alias(x), F.col("ref").alias("ref_" + x), F.col("far").alias("far_" + x))
-    again = F.coalesce((F.col("ref_a") == F.col("ref_b")) & (F.col("far_a") + F.col("far_b") <= limit), F.lit(False))
+    first, rest, learned, diffs = found
+    copies = sets.select("node", "copies")
+    close = settled(learned.filter(F.col("far") <= _limit(per_cent)).select("node", "ref"))
+    # first links among the sets of one reference are counted there
+    side = lambda x: close.select(F.col("node").alias(x), F.col("ref").alias("ref_" + x))
+    again = F.coalesce(F.col("ref_a") == F.col("ref_b"), F.lit(False))
     single = first.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(~again).select("a", "b").unionByName(rest)
     ends = single.select("a", "b").unionByName(single.select(F.col("b").alias("a"), F.col("a").alias("b")))
     paired = ends.join(copies.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), F.col("copies").alias("others"))
-    return first.unionByName(rest), sure.unionByName(paired).groupBy("node").agg(F.sum("others").alias("others"))
+    inside = _grouped(close.join(copies, "node").join(diffs, "node"), per_cent)
+    return first.unionByName(rest), paired.unionByName(inside).groupBy("node").agg(F.sum("others").alias("others"))
+
+
+def _grouped(close: DataFrame, per_cent: int) -> DataFrame:
+    """``close``: node, ref, copies, size, whole, more, less. node, others: rows of the linked sets of the same
+    reference. A reference's sets are dealt to blocks of bounded size, and each two blocks meet in one group."""
+    # what is beyond the reference and what is lacking of it have no n-gram in common
+    rows = close.select("ref", "node", "copies", "size", "whole", F.size("less").alias("lack"), F.concat("less", "more").alias("diff"))
+    blocks = rows.groupBy("ref").agg(F.count(F.lit(1)).alias("c"), F.sum(F.size("diff")).alias("keys")).filter("c > 1")
+    n = F.ceil(F.greatest(F.col("c") / BLOCK_SETS, F.col("keys") / BLOCK_KEYS)).cast("int")
+    rows = (rows.join(blocks.select("ref", F.greatest(n, F.lit(1)).alias("n")), "ref")
+            .withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("n")).cast("int"))
+            .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+            .withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")}))
+    return (rows.select("ref", "i", "j", "block", "node", "copies", "size", "whole", "lack", "diff")
+            .groupBy("ref", "i", "j").applyInArrow(_block_counts(per_cent), "node long, others long"))
+
+
+def _block_counts(per_cent: int):
+    def count(table: pa.Table) -> pa.Table:
+        col = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        node, copies, size, lack, block = (col(c).astype(np.int64) for c in ("node", "copies", "size", "lack", "block"))
+        whole, i, j = int(col("whole")[0]), int(col("i")[0]), int(col("j")[0])
+        diff = table.column("diff").combine_chunks()
+        keys, owner = diff.flatten().to_numpy(), segments(diff.value_lengths().to_numpy())[1]
+        _, key, times = np.unique(keys, return_inverse=True, return_counts=True)
+        several = times[key] > 1
+        key, owner = (np.cumsum(times > 1) - 1)[key[several]], owner[several]
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
+        a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        both = np.zeros((len(a), len(b)), np.int64)
+        for lo in range(0, int((times > 1).sum()), SLAB):
+            x, y = np.searchsorted(key, [lo, lo + SLAB])
+            has = np.zeros((len(node), SLAB), np.float32)
+            has[owner[x:y], key[x:y] - lo] = 1
+            both += (has[a] @ has[b].T).astype(np.int64)
+        same = whole - lack[a][:, None] - lack[b][None, :] + both
+        linked = (100 + per_cent) * same >= per_cent * (size[a][:, None] + size[b][None, :])
+        if i == j:
+            np.fill_diagonal(linked, False)
+        nodes, others = [node[a]], [linked @ copies[b]]
+        if i != j:
+            nodes, others = [*nodes, node[b]], [*others, linked.T @ copies[a]]
+        return pa.table([pa.array(np.concatenate(nodes), pa.int64()), pa.array(np.concatenate(others), pa.int64())], ["node", "others"])
+    return count
 
 
 def component_links(sets: DataFrame, per_cent: int) -> DataFrame | None:
@@ -342,7 +381,7 @@ def component_links(sets: DataFrame, per_cent: int) -> DataFrame | None:
         linked = _linked(tested, per_cent)
         if whole:
             return linked
-        lists = _with(lists, _learned(tested, linked))
+        lists = _with(lists, _learned(tested, linked, per_cent))
         open_ = settled(lists.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"))
                         .filter("lo <> hi").select("h", "c"))
         left = open_.agg(F.sum(F.col("c") * F.col("c"))).first()[0]
@@ -353,13 +392,13 @@ def component_links(sets: DataFrame, per_cent: int) -> DataFrame | None:
         whole = left <= LINEAR * entries or probes > MOST_PROBES
 
 
-def _candidates(lists: DataFrame, probes: int | None, per_cent: int, components_only: bool, sure: bool = False) -> DataFrame:
+def _candidates(lists: DataFrame, probes: int | None, per_cent: int, components_only: bool, grouped: bool = False) -> DataFrame:
     """Pairs (a, b), perhaps repeated, of probed sets and those of their list that the block, the
     positions, the distances to a common set, the lists before and, with ``components_only``, the
     components leave open; via is the reference of both, if both are close to it. Probed are one set
     of each of ``probes`` salts of a list's block, by a hash of the set alone or the place of the n-gram
-    in it and then a hash, so that lists over the same sets probe the same and repeat the same pairs; None: all sets. With ``sure``, pairs
-    that the distances prove to be links are left out too."""
+    in it and then a hash, so that lists over the same sets probe the same and repeat the same pairs; None: all sets. With ``grouped``, pairs
+    that have such a reference are left out too."""
     fields = ["n", "node", "pos", "comp", "ref", "near", "far", "back"]
     if probes is None:
         probed, near = lists, (0, 1)  # a pair is met from its lower block
@@ -377,7 +416,8 @@ def _candidates(lists: DataFrame, probes: int | None, per_cent: int, components_
     most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
     limit, one = _limit(per_cent), F.col("ref") == F.col("ref2")
     apart = F.greatest(F.col("near") - F.col("far2"), F.col("near2") - F.col("far")) * 100 > STEPS * (100 - per_cent)
-    known = one & (apart | (F.col("far") + F.col("far2") <= limit)) if sure else one & apart
+    close = one & (F.col("far") <= limit) & (F.col("far2") <= limit)
+    known = one & apart | close if grouped else one & apart
     differ = "comp" if components_only else "node"
     pairs = (probed.join(other, ["h", "block"]).filter(F.col(differ) != F.col(differ + "2"))
              .filter(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * per_cent)
@@ -385,13 +425,14 @@ def _candidates(lists: DataFrame, probes: int | None, per_cent: int, components_
              .filter(~F.coalesce(known, F.lit(False))).filter(~F.arrays_overlap("back", "back2")))
     if probes is None:
         pairs = pairs.filter("step = 1 or node < node2")
-    via = F.when(one & (F.col("far") <= limit) & (F.col("far2") <= limit), F.col("ref"))
+    via = F.when(close, F.col("ref"))
     return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), via.alias("via"))
 
 
-def _learned(tested: DataFrame, linked: DataFrame | None) -> DataFrame:
-    """Per set compared so far: node, comp (null without ``linked``), and the most similar set (ref)
-    at its distance in steps, rounded down (near) and up (far)."""
+def _learned(tested: DataFrame, linked: DataFrame | None, per_cent: int) -> DataFrame:
+    """Per set compared so far: node, comp (null without ``linked``), and a reference (ref) at its distance in
+    steps, rounded down (near) and up (far): the most similar set or, without ``linked``, of the sets close
+    enough to be linked the one with the most of them."""
     union = F.col("sum") - F.col("same")
     out = (STEPS * (union - F.col("same")).cast("long")).alias("out")
     ends = tested.select(F.col("a").alias("node"), F.col("b").alias("ref"), out, union.alias("all"))
@@ -399,6 +440,11 @@ def _learned(tested: DataFrame, linked: DataFrame | None) -> DataFrame:
     near = F.floor(F.col("out") / F.col("all"))  # a quotient of integers this small is exact to the step
     ends = ends.select("node", F.struct((near + F.when(near * F.col("all") < F.col("out"), 1).otherwise(0)).cast("int").alias("far"),
                                         near.cast("int").alias("near"), "ref").alias("r"))
+    if linked is None:
+        ends, close = settled(ends), F.col("r.far") <= _limit(per_cent)
+        most = ends.filter(close).groupBy(F.col("r.ref").alias("ref")).agg(F.count(F.lit(1)).alias("c"))
+        order = F.struct((~close).alias("alone"), F.when(close, -F.col("c")).otherwise(F.col("r.far")).alias("o"), "r.far", "r.near", "r.ref")
+        ends = ends.withColumn("ref", F.col("r.ref")).join(most, "ref", "left").select("node", order.alias("r"))
     nearest = ends.groupBy("node").agg(F.min("r").alias("r")).select("node", "r.ref", "r.near", "r.far")
     if linked is None:
         return settled(nearest.withColumn("comp", F.lit(None).cast("long")))
