@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -136,14 +137,28 @@ def user_metric(col: Column, fn: Callable[[pd.Series], float]) -> Column:
     return agg(col)
 
 
+#: Ids that a model gets in one call, unless a single sequence has more.
+PIECE_IDS = 1 << 20
+
+
+def _pieces(seqs: pd.Series, size: int) -> Iterator[list]:
+    """The sequences in runs of about ``size`` ids. An Arrow batch may hold tens of megabytes of ids, and scores take
+    twice that, so they are made and sent run by run."""
+    ends = np.cumsum([0 if x is None else len(x) for x in seqs])
+    for part in np.split(np.arange(len(seqs)), np.flatnonzero(np.diff(ends // size)) + 1):
+        yield seqs.iloc[part].tolist()
+
+
 def model_log_probs(ids: Column, factory: Callable[[], Callable[[list], list[list[float]]]]) -> Column:
-    """U4: per-token log-probs of a user model for each id sequence (the model gets and may return numpy arrays)."""
+    """U4: per-token log-probs of a user model for each id sequence (the model gets and may return numpy arrays).
+    The model is called for about ``PIECE_IDS`` ids at a time, so a worker never holds the scores of a whole batch."""
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()
         for s in batches:
-            yield pd.Series(list(model(s.tolist())), dtype=object)
+            for piece in _pieces(s, PIECE_IDS):
+                yield pd.Series(list(model(piece)), dtype=object)
 
     return run(ids)
 

@@ -30,8 +30,15 @@ def sliding_windows(seqs: DataFrame, len_col: str, ctx: int, stride: int, keep:
     i*stride + ctx - stride on. n = max(ceil((L - ctx + stride)/stride), 1).
     Every position 1..L-1 is scored exactly once."""
     L = F.col(len_col).cast("long")
-    n = F.greatest(F.ceil((L - ctx + stride) / F.lit(float(stride))), F.lit(1)).cast("int")
-    out = seqs.select(*keep, L.alias("seq_len"), F.explode(F.sequence(F.lit(0), n - 1)).alias("window_id"))
+    return _bounds(seqs.select(*keep, L.alias("seq_len"), F.explode(_window_numbers(L, ctx, stride)).alias("window_id")), ctx, stride)
+
+
+def _window_numbers(length: Column, ctx: int, stride: int) -> Column:
+    n = F.greatest(F.ceil((length - ctx + stride) / F.lit(float(stride))), F.lit(1)).cast("int")
+    return F.sequence(F.lit(0), n - 1)
+
+
+def _bounds(out: DataFrame, ctx: int, stride: int) -> DataFrame:
     i = F.col("window_id").cast("long")
     start = F.when(i == 0, F.lit(0)).otherwise(i * stride)
     end = F.least(start + ctx, F.col("seq_len"))
@@ -50,9 +57,14 @@ def scoring_window(pos, ctx: int, stride: int) -> Column:
 
 def window_ids(seqs: DataFrame, ids_col: str, ctx: int, stride: int, keep: Sequence[str] = (), out_col: str = "win_ids") -> DataFrame:
     """W1 for a model: the scoring windows of each sequence with the ids that they cover. Empty sequences have
-    one window without positions; a null sequence has none."""
-    w = sliding_windows(seqs.where(F.col(ids_col).isNotNull()).withColumn("_len", F.size(ids_col)), "_len", ctx, stride, [*keep, ids_col])
-    return w.withColumn(out_col, F.slice(ids_col, (F.col("win_start") + 1).cast("int"), (F.col("win_end") - F.col("win_start")).cast("int"))).drop(ids_col)
+    one window without positions; a null sequence has none. The windows are cut before they become rows, so that no
+    row carries its whole sequence."""
+    L = F.size(ids_col).cast("long")
+    cut = F.transform(_window_numbers(L, ctx, stride), lambda i: F.struct(
+        L.alias("seq_len"), i.alias("window_id"), F.slice(ids_col, i * stride + 1, ctx).alias(out_col)))
+    w = seqs.select(*keep, F.inline(F.when(F.col(ids_col).isNotNull(), cut)))
+    return _bounds(w, ctx, stride).select(*keep, "seq_len", "window_id", "win_start", "win_end", "score_from", "score_to",
+                                          "n_scored", out_col)
 
 
 def stitch_windows(windows: DataFrame, cols: Sequence[str], keep: Sequence[str], windows_per_range: int = 64) -> DataFrame:
