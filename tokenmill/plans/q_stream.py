@@ -17,14 +17,23 @@ from .catalog import query
 from .fixtures import char_ids_sql
 from .q_tokens import MOL_TOKS_SQL
 
-N_FILES = 4
+#: Micro-batches of a stream.
+N_BATCHES = 4
+#: Text of a micro-batch where a key's rows of it are one task.
+BATCH_BYTES = 128 << 20
 
 
-def _staged(spark, sf, name, order_col, n_files=N_FILES):
+def _parts(spark) -> int:
+    """Files of a micro-batch: together as many as shuffle partitions."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // N_BATCHES)
+
+
+def _staged(spark, sf, name, order_col, n_batches=N_BATCHES):
     src = table(spark, sf, name)
     path = os.path.join(scratch_path(spark, f"stage_{name}"), "in")
-    J.stage_as_files(src, path, order_col, n_files)
-    return J.read_stream(spark, path, src.schema), path, src.schema
+    parts = _parts(spark) if n_batches == N_BATCHES else N_BATCHES
+    J.stage_as_files(src, path, order_col, n_batches * parts)
+    return J.read_stream(spark, path, src.schema, parts), path, src.schema
 
 
 # -------------------------------------------------------------------- ST1 --
@@ -47,8 +56,8 @@ select source, block_id::BIGINT block_id, array_to_string(list_concat([{V.CHAR_B
 from b where len(ids) = 62"""
 
 
-def _id_stream(spark, sf):
-    sdf, _, _ = _staged(spark, sf, "documents", "doc_id")
+def _id_stream(spark, sf, n_batches=N_BATCHES):
+    sdf, _, _ = _staged(spark, sf, "documents", "doc_id", n_batches)
     return J.stream_tokenize(sdf, eos=V.CHAR_EOS).select("source", "doc_id", "ids")
 
 
@@ -62,8 +71,11 @@ def q_stream_pack(spark, sf):
 
 @query("stream_pack_state", STREAM_PACK_SQL)
 def q_stream_pack_state(spark, sf):
-    """ST2 with the left-overs as streaming state: a source's rows of a micro-batch are one task."""
-    packed = J.stream_pack(_id_stream(spark, sf), "source", "doc_id", "ids", 64, V.CHAR_BOS, V.CHAR_EOS)
+    """ST2 with the left-overs as streaming state: a source's rows of a micro-batch are one task. So a larger corpus
+    comes in more micro-batches, not in larger ones."""
+    text_bytes = table(spark, sf, "documents").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_batches = max(N_BATCHES, -(-text_bytes // BATCH_BYTES))
+    packed = J.stream_pack(_id_stream(spark, sf, n_batches), "source", "doc_id", "ids", 64, V.CHAR_BOS, V.CHAR_EOS)
     out, ck = J.fresh(spark, "st2_state")
     J.run_to_parquet(packed, out, ck)
     back = spark.read.parquet(out)
@@ -128,13 +140,14 @@ def q_stream_resume(spark, sf):
     src = table(spark, sf, "events")
     base = scratch_path(spark, "st6")
     first = os.path.join(base, "in")
-    J.stage_as_files(src.where(F.col("event_id") % 2 == 0), first, "event_id", 2)
+    parts = 2 * _parts(spark)
+    J.stage_as_files(src.where(F.col("event_id") % 2 == 0), first, "event_id", 2 * parts)
     out, ck = os.path.join(base, "out"), os.path.join(base, "_checkpoint")
-    sdf = J.read_stream(spark, first, src.schema).select("event_id", "user_id", "value")
+    sdf = J.read_stream(spark, first, src.schema, parts).select("event_id", "user_id", "value")
     J.run_to_parquet(sdf, out, ck)
     # new files arrive; the restarted query reads only what it has not committed
-    J.stage_as_files(src.where(F.col("event_id") % 2 == 1), first, "event_id", 2)
-    sdf2 = J.read_stream(spark, first, src.schema).select("event_id", "user_id", "value")
+    J.stage_as_files(src.where(F.col("event_id") % 2 == 1), first, "event_id", 2 * parts)
+    sdf2 = J.read_stream(spark, first, src.schema, parts).select("event_id", "user_id", "value")
     J.run_to_parquet(sdf2, out, ck)
     return spark.read.parquet(out)
 
@@ -163,8 +176,8 @@ def q_stream_stop_rules(spark, sf):
     toks = d.select("sample_id", F.posexplode("ids").alias("step", "token"))
     path = os.path.join(scratch_path(spark, "st7"), "in")
     # file order follows the steps, so a sample's tokens arrive over several micro-batches
-    J.stage_as_files(toks.withColumn("_o", F.col("step").cast("long")), path, "_o", N_FILES)
-    sdf = J.read_stream(spark, path, "sample_id string, step int, token int, _o long")
+    J.stage_as_files(toks.withColumn("_o", F.col("step").cast("long")), path, ["_o", "sample_id"], N_BATCHES * _parts(spark))
+    sdf = J.read_stream(spark, path, "sample_id string, step int, token int, _o long", _parts(spark))
     stops = J.stream_stop_rules(sdf, "sample_id", "step", "token", eos=STOP_EOS, threshold=STOP_ENTROPY)
     out, ck = J.fresh(spark, "st7")
     J.run_to_parquet(stops, out, ck)
