@@ -12,7 +12,7 @@ from ..functions.rand import uniform, uniform_sql
 from ..operators import metrics as M
 from ..operators.joins import explode_grid
 from ..operators.offsets import row_index
-from ..session import table
+from ..session import cut_lineage, table
 from .catalog import query
 from .fixtures import LOSSES_SQL, char_ids_sql, losses
 from .q_tokens import MOL_TOKS_SQL, mol_ids
@@ -116,6 +116,7 @@ e as (select doc_id, sum(c)::BIGINT n, ln(sum(c)) - sum(c * ln(c)) / sum(c) entr
 
 
 def _doc_entropy(spark, sf):
+    """doc_id, n, entropy: one row a document."""
     # one row per token; the character symbol stands for the token id (1:1)
     d = table(spark, sf, "documents").select("doc_id", F.explode(T.char_symbols("text")).alias("tok"))
     return M.token_entropy(d, ["doc_id"], "tok")
@@ -141,7 +142,7 @@ select batch_id::BIGINT batch_id, round(sum(entropy), {R - 3}) batch_entropy, co
   round(sum(sum(entropy) * count(*)) over () / sum(count(*)) over (), {R - 3}) metric
 from b group by batch_id""")
 def q_agg_batch_entropy(spark, sf):
-    e = _doc_entropy(spark, sf)
+    e = cut_lineage(_doc_entropy(spark, sf))  # one row a document, read three times: the tokens are counted once
     idx = row_index(e.select("doc_id"), ["doc_id"], out_col="_i")
     e = e.join(idx, "doc_id").withColumn("batch_id", F.floor(F.col("_i") / 8).cast("long"))
     b = M.batch_entropy(e, "batch_id")
@@ -215,7 +216,11 @@ select interval_id, eps_min, eps_max, batch_id, seq_id, block_id,
 def block_losses(spark, sf):
     lo = _lo(spark, sf)
     idx = row_index(lo.select("seq_id").distinct(), ["seq_id"], out_col="_si")
+    # dealt by batch before the grid multiplies the rows: a batch's blocks are together from here on, so neither the
+    # block means nor the figures of (interval, batch) need a further exchange, and a task holds its own batches only
+    p = int(spark.conf.get("spark.sql.shuffle.partitions"))
     b = (lo.join(idx, "seq_id").withColumn("batch_id", F.floor(F.col("_si") / 4).cast("long"))
+         .select("batch_id", "seq_id", "pos", "nll").repartition(p, "batch_id")
          .groupBy("batch_id", "seq_id", F.floor(F.col("pos") / BLOCK).cast("long").alias("block_id"))
          .agg(F.avg("nll").alias("m")))
     g = explode_grid(b, N.clip_grid_array(WIDTHS, DELTA, N.EPS, block_size=BLOCK))
