@@ -11,7 +11,13 @@ puts every row into one task. Here it is computed in two passes:
 
 With grouping columns the same is done per group: a group that holds a
 third of all rows is spread over many range partitions like any other
-range, so hot groups do not end up in one task.
+range, so hot groups do not end up in one task. Only the first group of a
+range can have rows in earlier ranges, so the bases are one row per range
+at most, however many groups there are, and reach the rows by broadcast.
+The rows are then dealt by group and range over a fixed number of tasks
+(``partitions``), which run-time coalescing leaves alone: narrow rows
+compress so well that a coalesced task would sort far more than its size
+says. Rows with a null group are left out.
 
 Callers pass a narrow projection (keys + length); the wide payload is
 joined back on the key, so the payload itself is shuffled only once.
@@ -33,6 +39,12 @@ def _n_parts(df: DataFrame, partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _with_groups(df: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    for c in group_cols:
+        df = df.where(F.col(c).isNotNull())
+    return df
+
+
 def running_offset(df: DataFrame, length_col: str, order_cols: Sequence[str],
                    group_cols: Sequence[str] = (), out_col: str = "offset",
                    strategy: str = "two_pass", partitions: int | None = None) -> DataFrame:
@@ -50,6 +62,7 @@ def running_offset(df: DataFrame, length_col: str, order_cols: Sequence[str],
         return df.withColumn(out_col, F.coalesce(F.sum(n).over(w), F.lit(0)).cast("long"))
 
     p = _n_parts(df, partitions)
+    df = _with_groups(df, group_cols)
     # The task tag must be the same for the totals and for the rows. Two
     # separate range exchanges may sample different bounds, so the tagged
     # narrow rows are written once (reliable checkpoint in the shared
@@ -58,14 +71,12 @@ def running_offset(df: DataFrame, length_col: str, order_cols: Sequence[str],
                          .withColumn("_pid", F.spark_partition_id()))
     totals = ranged.groupBy(*group_cols, "_pid").agg(F.sum(n).alias("_tot"))
     wb = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(*group_cols, "_pid", F.coalesce(F.sum("_tot").over(wb), F.lit(0)).alias("_base"))
-    if not group_cols:
-        # one row per range partition: bounded by `p`, safe to broadcast
-        base = F.broadcast(base)
-    joined = ranged.join(base, on=[*group_cols, "_pid"], how="inner")
+    base = totals.select(*group_cols, "_pid", F.sum("_tot").over(wb).alias("_base")).where("_base is not null")
+    # one row per range partition: bounded by `p`, safe to broadcast
+    joined = ranged.join(F.broadcast(base), on=[*group_cols, "_pid"], how="left").repartition(p, *group_cols, "_pid")
     wr = Window.partitionBy(*group_cols, "_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     return (joined
-            .withColumn(out_col, (F.col("_base") + F.sum(n).over(wr) - n).cast("long"))
+            .withColumn(out_col, (F.coalesce("_base", F.lit(0)) + F.sum(n).over(wr) - n).cast("long"))
             .drop("_pid", "_base"))
 
 
@@ -85,15 +96,14 @@ def running_agg(df: DataFrame, value_col: str, order_cols: Sequence[str], group_
     group_cols, order_cols = list(group_cols), list(order_cols)
     p = _n_parts(df, partitions)
     v = F.col(value_col)
+    df = _with_groups(df, group_cols)
     ranged = cut_lineage(df.repartitionByRange(p, *group_cols, *order_cols)
                          .withColumn("_pid", F.spark_partition_id()))
     totals = ranged.groupBy(*group_cols, "_pid").agg(agg(v).alias("_tot"), F.count(F.lit(1)).alias("_cnt"))
     wb = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(*group_cols, "_pid", agg("_tot").over(wb).alias("_carry"),
-                         F.coalesce(F.sum("_cnt").over(wb), F.lit(0)).alias("_cnt_base"))
-    if not group_cols:
-        base = F.broadcast(base)
-    joined = ranged.join(base, on=[*group_cols, "_pid"], how="inner")
+                         F.sum("_cnt").over(wb).alias("_cnt_base")).where("_cnt_base is not null")
+    joined = ranged.join(F.broadcast(base), on=[*group_cols, "_pid"], how="left").repartition(p, *group_cols, "_pid")
     wr = Window.partitionBy(*group_cols, "_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     local = agg(v).over(wr)
     carry = F.col("_carry")
@@ -106,7 +116,7 @@ def running_agg(df: DataFrame, value_col: str, order_cols: Sequence[str], group_
         we = Window.partitionBy(*group_cols, "_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
         out = out.withColumn(exclusive_col, merge(agg(v).over(we)))
     if count_col:
-        out = out.withColumn(count_col, (F.col("_cnt_base") + F.count(F.lit(1)).over(wr)).cast("long"))
+        out = out.withColumn(count_col, (F.coalesce("_cnt_base", F.lit(0)) + F.count(F.lit(1)).over(wr)).cast("long"))
     return out.drop("_pid", "_carry", "_cnt_base")
 
 

@@ -178,17 +178,20 @@ def shift_targets(ids, mask=None) -> dict[str, Column]:
 def split_into_blocks(df: DataFrame, arr_col: str, block: int, keep: Sequence[str] = (),
                       values_col: str | None = None) -> DataFrame:
     """K9: one row per block of ``block`` positions; with ``values_col`` (an
-    array of doubles of the same length) also the per-block mean."""
+    array of doubles of the same length) also the per-block mean. The blocks are cut before they become rows: Spark holds
+    the rows made of one row together, and none of them may carry the whole array."""
     a = F.col(arr_col)
     nb = F.floor(F.size(a) / block)
     starts = F.when(nb > 0, F.sequence(F.lit(0), (nb - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    out = df.select(*keep, a.alias("_a"), *( [F.col(values_col).alias("_v")] if values_col else []),
-                    F.explode(starts).alias("block_id"))
-    cols = [*keep, "block_id", F.slice("_a", F.col("block_id") * block + 1, block).alias("block_ids")]
-    if values_col:
-        vs = F.slice("_v", F.col("block_id") * block + 1, block)
-        cols.append((F.aggregate(vs, F.lit(0.0), lambda acc, x: acc + x) / block).alias("block_mean"))
-    return out.select(*cols)
+
+    def cut(i: Column) -> Column:
+        cols = [i.alias("block_id"), F.slice(a, i * block + 1, block).alias("block_ids")]
+        if values_col:
+            vs = F.slice(values_col, i * block + 1, block)
+            cols.append((F.aggregate(vs, F.lit(0.0), lambda acc, x: acc + x) / block).alias("block_mean"))
+        return F.struct(*cols)
+
+    return df.select(*keep, F.inline(F.transform(starts, cut)))
 
 
 # --------------------------------------------------------------------- K10 --

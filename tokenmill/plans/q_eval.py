@@ -183,7 +183,7 @@ s as (select *, sum(ln(dk)) over (partition by seq_id order by n rows between un
         sum(ln(dk)) over (partition by seq_id) LN from d)
 select seq_id, round(sum(nll * (1 - dk) * exp(LN - Lk)), {R}) ema from s group by seq_id""")
 def q_ema_with_warmup(spark, sf):
-    lo = losses(spark, sf)
+    lo = losses(spark, sf).select("seq_id", "pos", "nll")
     out = ema(lo, "nll", ["pos"], ["seq_id"], decay=0.9999)
     last = out.groupBy("seq_id").agg(F.max_by("ema", "pos").alias("ema"))
     return last.select("seq_id", F.round("ema", R).alias("ema"))

@@ -203,7 +203,9 @@ from b""")
 def q_join_block_prefix(spark, sf):
     """J5 re-aimed: what a query block gathers from its earlier (context) blocks,
     as a per-sequence prefix aggregate (two-pass scan) instead of a theta join."""
-    d = docs(spark, sf).select("doc_id", T.char_ids("text").alias("ids"))
+    # the text is dealt over a fixed number of tasks first: its blocks are many times its size
+    p = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = docs(spark, sf).select("doc_id", "text").repartition(p, "doc_id", "text").select("doc_id", T.char_ids("text").alias("ids"))
     blocks = K.split_into_blocks(d, "ids", 16, keep=["doc_id"])
     b = blocks.select("doc_id", F.col("block_id").cast("long").alias("q_block"),
                       F.size(F.filter("block_ids", lambda x: x != 34)).cast("long").alias("n_letters"))
