@@ -15,6 +15,8 @@ bigram, linear in the data, exact.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,20 +27,27 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _named(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with ``value`` evaluated once, however often ``of`` uses it, also inside its own lambdas."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
 def well_formed(smiles) -> Column:
     """Built-in validity rule (see module doc)."""
-    s = F.coalesce(_c(smiles), F.lit(""))
-    toks = T.smiles_tokens(s, None)
+    return _named(F.coalesce(_c(smiles), F.lit("")), lambda s: _named(T.smiles_tokens(s, None), lambda toks: _well_formed(s, toks)))
+
+
+def _well_formed(s: Column, toks: Column) -> Column:
     covered = F.array_join(toks, "") == s
     depth = F.aggregate(
         toks, F.struct(F.lit(0).alias("d"), F.lit(True).alias("ok")),
         lambda acc, t: F.struct(
             (acc["d"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)).alias("d"),
             (acc["ok"] & ((acc["d"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)) >= 0)).alias("ok")))
-    parens = depth["ok"] & (depth["d"] == 0)
-    rings = F.filter(toks, lambda t: t.rlike("^(%[0-9]{2}|[0-9])$"))
-    rings_closed = F.forall(F.array_distinct(rings),
-                            lambda r: F.pmod(F.size(F.filter(rings, lambda x: x == r)), F.lit(2)) == 0)
+    parens = _named(depth, lambda d: d["ok"] & (d["d"] == 0))
+    rings_closed = _named(
+        F.filter(toks, lambda t: t.rlike("^(%[0-9]{2}|[0-9])$")),
+        lambda rings: F.forall(F.array_distinct(rings), lambda r: F.pmod(F.size(F.filter(rings, lambda x: x == r)), F.lit(2)) == 0))
     return (F.length(s) > 0) & covered & parens & rings_closed
 
 
@@ -72,7 +81,10 @@ def distinct_items(items: DataFrame, item_col: str, valid_col: str) -> DataFrame
 
 def bigram_set(tokens) -> Column:
     """Distinct token bigrams of an item ('a b' strings)."""
-    t = _c(tokens)
+    return _named(_c(tokens), _bigrams)
+
+
+def _bigrams(t: Column) -> Column:
     n = F.size(t)
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
                         lambda i: F.concat_ws(" ", F.get(t, i - 1), F.get(t, i)))
@@ -81,19 +93,19 @@ def bigram_set(tokens) -> Column:
 
 def diversity(distinct: DataFrame, item_col: str) -> DataFrame:
     """A16 (re-aimed, see module doc): 1 - mean pairwise cosine similarity of
-    bigram sets over the distinct valid items; 0 when fewer than 2 items."""
-    with_b = distinct.select(F.col(item_col).alias("_item"),
-                             bigram_set(T.smiles_tokens(F.col(item_col), None)).alias("_g"))
-    with_b = with_b.withColumn("_k", F.size("_g"))
+    bigram sets over the distinct valid items; 0 when fewer than 2 items. The items are read once: beside a row a
+    bigram each gives one row without a bigram, by which the items are counted."""
+    with_b = distinct.select(bigram_set(T.smiles_tokens(F.col(item_col), None)).alias("_g"))
+
+    def row(g, w, item, nz):
+        return F.struct(g.cast("string").alias("g"), w.cast("double").alias("w"), item.cast("int").alias("item"), nz.cast("int").alias("nz"))
+
     # each item contributes 1/sqrt(k) to each of its k bigrams
-    contrib = (with_b.where(F.col("_k") > 0)
-               .select(F.explode("_g").alias("g"), (F.lit(1.0) / F.sqrt(F.col("_k"))).alias("w")))
-    per_gram = contrib.groupBy("g").agg(F.sum("w").alias("s"))
-    # item counts and the squared bigram sums meet in one final aggregate
-    rows = (per_gram.select(F.lit(0).alias("_item"), F.lit(0).alias("_nz"), (F.col("s") * F.col("s")).alias("_sq"))
-            .unionByName(with_b.select(F.lit(1).alias("_item"), (F.col("_k") > 0).cast("int").alias("_nz"),
-                                       F.lit(0.0).alias("_sq"))))
-    both = rows.agg(F.sum("_item").alias("n"), F.sum("_nz").alias("n_nz"), F.sum("_sq").alias("sum_sq"))
+    w = F.lit(1.0) / F.sqrt(F.greatest(F.size("_g"), F.lit(1)))
+    own = F.array(row(F.lit(None), F.lit(0), F.lit(1), F.size("_g") > 0))
+    rows = with_b.select(F.inline(F.concat(own, F.transform("_g", lambda g: row(g, w, F.lit(0), F.lit(0))))))
+    per_gram = rows.groupBy("g").agg(F.sum("w").alias("s"), F.sum("item").alias("item"), F.sum("nz").alias("nz"))
+    both = per_gram.agg(F.sum("item").alias("n"), F.sum("nz").alias("n_nz"), F.sum(F.col("s") * F.col("s")).alias("sum_sq"))
     nn = F.col("n").cast("double")
     mean_sim = (F.coalesce(F.col("sum_sq"), F.lit(0.0)) - F.col("n_nz")) / (nn * (nn - 1))
     return both.select(F.when(F.col("n") >= 2, F.lit(1.0) - mean_sim).otherwise(F.lit(0.0)).alias("diversity"),
