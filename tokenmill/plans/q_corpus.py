@@ -27,7 +27,9 @@ def _docs(spark, sf):
 @query("scan_arrow_shards", """select doc_id, n_chars, length(text)::BIGINT text_len, md5(coalesce(text, '')) text_md5 from documents""")
 def q_scan_arrow_shards(spark, sf):
     path = scratch_path(spark, "arrow_shards")
-    S.write_arrow_shards(_docs(spark, sf), path, stream_every=3, shards=3, batch_rows=64)
+    # as many shards as shuffle partitions (three at least, for one in the stream format, which is one task's to read)
+    shards = max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    S.write_arrow_shards(_docs(spark, sf), path, stream_every=3, shards=shards, batch_rows=64)
     back = A.scan_arrow_shards(spark, path, ["doc_id", "n_chars", "text"], split_bytes=1 << 18)
     return back.select("doc_id", "n_chars", F.length("text").cast("long").alias("text_len"),
                        F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))

@@ -30,7 +30,8 @@ def _raw_text(spark, sf) -> str:
     """The documents' raw text as the files of one folder, in doc_id order."""
     path = scratch_path(spark, "raw_text")
     words = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+", " "))
-    ordered = table(spark, sf, "documents").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a task writes one
+    ordered = table(spark, sf, "documents").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
     ordered.select(words.alias("value")).write.option("lineSep", " ").text(path)
     return path
 
