@@ -20,7 +20,7 @@ from .q_tokens import MOL_TOKS_SQL
 #: Micro-batches of a stream.
 N_BATCHES = 4
 #: Text of a micro-batch where a key's rows of it are one task.
-BATCH_BYTES = 128 << 20
+BATCH_BYTES = 256 << 20
 
 
 def _parts(spark) -> int:
