@@ -167,6 +167,33 @@ def test_wavelet_matrix_queries():
                 assert m.select(c, len(where)) == -1
 
 
+def test_parts_have_the_ids_of_whole_pieces(monkeypatch):
+    """Each different part goes to the model once, and the ids are those of the library for the whole text, also
+    while the table of parts starts anew."""
+    import random
+    from tokenizers import Tokenizer
+    from tokenmill.llm import tokens
+    tok, rng = Tokenizer.from_file(TOK + "word_bpe_49k.json"), random.Random(8)
+    some = ["word", "Word,", "WORD!!", "'S", "don't", "we'LL've", "'", "''s", "x86_64", "42", "<|endoftext|>", "a<|endoftext|>b", "<|EndOfText|>", "ÉÀÖ", "straße.",
+            "e\u0301", "\u00c5", "\u212b", "\u0130", "ΣΑΣ", "\u00d7\u00f7", "\u00aa\u00ba", "½", "\x1c", "\x7f", "\u0085", "\u00a0", "\u3000", "中文", "\U0001f600!", "ﬁ", "\u0345"]
+    texts = [" ".join("".join(rng.choice(some + list("aZ9.,'é")) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 9))) for _ in range(1500)]
+    for limit in (tokens.PART_BYTES, 1000):
+        monkeypatch.setattr(tokens, "PART_BYTES", limit)
+        flat, n = tokens._library_table(TOK + "word_bpe_49k.json").rows([t.encode().split() for t in texts])
+        want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == want
+    asked = []
+
+    class Model:
+        def tokenize(self, part):
+            asked.append(part)
+            return tok.model.tokenize(part)
+
+    parts = tokens._Parts(Model())
+    assert [list(parts[x]) for x in ("word", "été", "word", "!")] == [tok.encode(x).ids for x in ("word", "été", "word", "!")]
+    assert len(asked) == 3
+
+
 def test_packing(docs):
     ids = _library_ids(2)
     out = packing.pack(docs, TOK + "word_bpe_49k.json", 2, 256).collect()

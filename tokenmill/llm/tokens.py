@@ -4,11 +4,19 @@ The tokenizers used here never join characters across ASCII white space (the
 file drops it), so a text's ids are those of its white-space-separated pieces
 one after the other. Pieces repeat; each distinct one is encoded once per
 worker and its ids are gathered with numpy.
+
+A file that lower-cases and splits as ``NORMALIZER`` and ``SPLIT`` say gives a
+piece of printable ASCII and Latin-1 letters the ids of its parts (word,
+digit, run of signs) one after the other. Parts repeat far more than pieces
+do, so the library's model is asked once for each distinct part. All other
+pieces, and those of all other files, go to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from array import array
 
 import numpy as np
@@ -19,6 +27,18 @@ from .common import worker_state
 KEEP_BYTES = 160 << 20
 #: Bytes of a piece in the table besides its own (objects, the dictionary's place, ids).
 _OVERHEAD = 140
+#: Bytes that a worker's table of parts may hold, and pieces given to the library at a time.
+PART_BYTES, BATCH = 96 << 20, 10_000
+_PART_OVERHEAD = 220
+
+#: The normaliser and pre-tokeniser whose parts are known here. On the characters of ``_PLAIN``
+#: NFC and the white-space rule change nothing, and every part but a contraction is a maximal run of its kind.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+          "behavior": "Removed", "invert": True},
+         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 class _Pieces(dict):
@@ -32,7 +52,7 @@ class _Pieces(dict):
 
 
 class PieceTable:
-    """piece -> ids. ``encode`` takes a list of new pieces and returns a list of id lists."""
+    """piece -> ids. ``encode`` takes a list of new pieces and gives their id lists in order."""
 
     def __init__(self, encode):
         self.encode = encode
@@ -67,13 +87,60 @@ class PieceTable:
         return ids, np.diff(np.r_[0, ends])
 
 
+class _Parts(dict):
+    """part -> its ids by the library's model; starts anew past ``PART_BYTES``."""
+
+    def __init__(self, model):
+        from .bpe import printable_bytes
+        self.tokens, self.chars, self.held = model.tokenize, printable_bytes(), 0
+
+    def __missing__(self, part):
+        if self.held > PART_BYTES:
+            self.clear()
+            self.held = 0
+        shown = part if part.isascii() else "".join(map(self.chars.__getitem__, part.encode("utf-8")))
+        ids = self[part] = array("I", [t.id for t in self.tokens(shown)])
+        self.held += _PART_OVERHEAD + len(part) + 4 * len(ids)
+        return ids
+
+
+def _has_known_parts(spec: dict) -> bool:
+    norm, split = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
+    return (norm.get("type") == split.get("type") == "Sequence" and norm["normalizers"] == NORMALIZER
+            and split["pretokenizers"] == SPLIT and spec["model"].get("type") == "BPE"
+            and not spec["model"].get("ignore_merges") and spec["model"].get("dropout") is None
+            and not any(t["normalized"] for t in spec["added_tokens"]))
+
+
 def _library_table(path: str) -> PieceTable:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+
+    def whole(texts):
+        for i in range(0, len(texts), BATCH):
+            yield from (x.ids for x in tok.encode_batch_fast(texts[i:i + BATCH], add_special_tokens=False))
+
+    if not _has_known_parts(spec):
+        return PieceTable(lambda pieces: whole([p.decode("utf-8") for p in pieces]))
+    parts = _Parts(tok.model)
+    added = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
 
     def encode(pieces):
-        return [x.ids for x in tok.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)]
+        texts = [p.decode("utf-8") for p in pieces]
+        plain = [_PLAIN.fullmatch(t) and not added.search(t) for t in texts]
+        others = whole([t for t, p in zip(texts, plain) if not p])
+        for t, p in zip(texts, plain):
+            if p:
+                first, *rest = _PARTS.findall(t.lower())
+                ids = parts[first]
+                for x in rest:
+                    ids = ids + parts[x]
+                yield ids
+            else:
+                yield next(others)
 
     return PieceTable(encode)
 
