@@ -12,7 +12,8 @@ from __future__ import annotations
 import os
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -23,10 +24,28 @@ from tokenmill.llm.queries import vocabulary  # noqa: E402
 from tokenmill.session import scratch_path  # noqa: E402
 
 
+def _from_files(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a table of Parquet files as it was read, so that a row is known by its file and its place in it."""
+    if "_metadata" in docs.columns or docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        return False
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
-    """(_row, doc_id, text, doc): a number for each row and the row itself, written once so that all passes see the
-    same numbers: ids may be null or repeat. The row is one struct, so any column names of its own are safe."""
-    return settled(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text", F.struct(*docs.columns).alias("doc")))
+    """(_row, doc_id, text, doc): a number for each row, the same in all passes (ids may be null or repeat), and the
+    row itself as one struct, so any column names of its own are safe. The number is the row's file and its place in
+    it; a table that is not read from files, as the stages' own are, is written once."""
+    row = F.struct(*docs.columns).alias("doc")
+    rows = docs.select(row, "_metadata") if _from_files(docs) else settled(docs.select(row)).select("doc", "_metadata")
+    rows = rows.select("doc", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    number = F.row_number().over(Window.orderBy("file")).cast("long")  # one row for each file
+    files = settled(rows.select("file").distinct().select("file", number.alias("number")))
+    return rows.join(F.broadcast(files), "file").select(
+        (F.shiftleft("number", 38) + F.col("place")).alias("_row"), F.col("doc.doc_id"), F.col("doc.text"), "doc")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

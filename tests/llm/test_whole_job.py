@@ -161,3 +161,51 @@ def test_links_at_the_exact_ratio_of_sizes(spark, n, per_cent, big, small):
     docs = frame(spark, [(1, " ".join(w)), (2, " ".join(w[:small])), (3, "w0 other"), (4, " ".join(reversed(w)))])
     got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in setjoin.jaccard_join(docs, n, per_cent).collect()}
     assert got == {1: (1, 2), 2: (1, 2), 3: (3, 0), 4: (1, 2)}
+
+
+def test_rows_of_files_are_numbered_where_they_stand(spark, tmp_path):
+    """A table read from files is not written again: the row's file and its place in it are its number in all passes.
+    Of other tables, even those made of such files, each row still has a number of its own."""
+    import os
+    from tokenmill.session import checkpoint_dir
+    rng = random.Random(4)
+    rows = texts() + [(None, "lone  text without id"), (61, "zz copy"), (60, "zz copy"), (61, "other")]
+    rows += [(300 + i % 9, " ".join("%020x" % rng.getrandbits(80) for _ in range(900))) for i in range(40)]
+    paths = [str(tmp_path / x) for x in ("a", "b c%20d")]
+    for p, half in zip(paths, (rows[::2], rows[1::2])):
+        frame(spark, half).repartition(3).write.parquet(p)
+    docs = spark.read.parquet(*paths)
+    folder = checkpoint_dir(spark).removeprefix("file:") + "/tables"
+    held = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(folder) for f in fs)
+    before = held()
+    squeezed = lambda r: (r[0], re.sub("[\x20\x09-\x0d]+", " ", r[1] or ""))
+    least = {}
+    for d, body in map(squeezed, rows):
+        least[body] = min(least.get(body, (True, 0)), (d is None, d or 0))
+    got = collections.Counter(squeezed((r["doc_id"], r["text"])) for r in P.drop_copies(spark, docs, "").collect())
+    assert got == collections.Counter((None if none else d, body) for body, (none, d) in least.items())
+    assert held() - before < sum(len(t or "") for _, t in rows) / 4
+    for other in (docs, docs.union(docs), docs.withColumn("x", F.explode(F.array(F.lit(1), F.lit(2)))),
+                  docs.withColumn("_metadata", F.lit(1)), docs.crossJoin(spark.range(2))):
+        numbered = P._numbered(other)
+        assert numbered.count() == other.count() == numbered.select("_row").distinct().count()
+        assert numbered.select("doc.*").columns == other.columns
+
+
+def test_texts_are_not_joined_with_their_rows_again(spark, tmp_path):
+    """``cut_documents`` gives its rows from the chunks: no join beyond those of the operator, and all columns as they were."""
+    from tokenmill.llm import suffix
+    from .fixtures import kept_bytes
+    rows = texts()
+    docs = frame(spark, rows).withColumn("n_chars", F.length("text").cast("long")).withColumn("day", F.lit(None).cast("timestamp"))
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    out = suffix.cut_documents(docs)
+    assert joins(out) == joins(suffix.digests(docs))
+    assert out.dtypes == docs.dtypes
+    want = []
+    for d, t in rows:
+        kept = kept_bytes(rows, d, t)
+        want.append((d, t if t is None or kept == t.encode() else kept.decode("utf-8", "ignore"), "en", "N"))
+    got = sorted(((r["doc_id"], r["text"], r["lang"], r["_new"]) for r in out.collect()), key=key)
+    assert got == sorted(want, key=key)
+    assert {(r["text"] is None, r["n_chars"]) for r in out.collect()} == {(r[1] is None, None if r[1] is None else len(r[1])) for r in want}

@@ -33,10 +33,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def bodies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id (long) and body (the text's UTF-8 bytes; null text is empty)."""
+def bodies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more) -> DataFrame:
+    """doc_id (long), body (the text's UTF-8 bytes; null text is empty) and the columns ``more``."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                       F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
+                       F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"), *more)
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int, int]:

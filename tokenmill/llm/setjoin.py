@@ -101,10 +101,15 @@ def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], doc[new]
 
 
+def chunk_order(ids: list, texts: list[bytes]) -> list[int]:
+    """The order of a chunk's rows in every pass."""
+    return sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
+
+
 def chunk_rows(table: pa.Table) -> tuple[list, list[bytes]]:
     """Ids and bodies of a chunk in one order for every pass."""
     ids, texts = table.column("doc_id").to_pylist(), table.column("body").to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
+    order = chunk_order(ids, texts)
     return [ids[i] for i in order], [texts[i] for i in order]
 
 

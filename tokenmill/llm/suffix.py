@@ -38,9 +38,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from .common import bodies, chunked, key_array, key_bytes
-from .setjoin import chunk_rows, mix, part_of
+from .setjoin import chunk_order, chunk_rows, mix, part_of
 from .tokens import groups_of_bytes
 
 LENGTH = 50
@@ -354,8 +355,8 @@ def removed_masks(texts: list[bytes], mail: list[tuple]) -> dict[int, np.ndarray
     return out
 
 
-def _masks(docs: DataFrame, finish, schema: str, id_col: str, text_col: str) -> DataFrame:
-    rows, _, total = chunked(bodies(docs, id_col, text_col))
+def _masks(docs: DataFrame, finish, schema, id_col: str, text_col: str, *more) -> DataFrame:
+    rows, _, total = chunked(bodies(docs, id_col, text_col, *more))
     mark_parts = max(1, min(60_000, -(-(total // 10) // PART_KEYS)))
     name_parts = max(1, min(60_000, -(-(total // 12) // PART_KEYS)))
     copies = _copies(rows)
@@ -407,24 +408,28 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` (all columns) with the repeated strings cut out of the text; ``n_chars``, where the
-    table has it, counts the new text. Rows that lose nothing are passed on unchanged."""
+    table has it, counts the new text. Rows that lose nothing are passed on unchanged.
+
+    The rows travel whole with their texts, so the texts are shuffled once and no join finds the rows again."""
+    # the other columns are one struct, so that none of theirs can be taken for one of ours
+    others = F.struct(F.col(text_col).isNull().alias("none"), F.struct(*(c for c in docs.columns if c != text_col)).alias("row"))
+    row = docs.select(others.alias("doc")).schema["doc"].dataType["row"].dataType
 
     def finish(rows: pa.Table, mail: pa.Table) -> pa.Table:
-        out = [(d, hashlib.sha256(old).digest(), kept.decode("utf-8", "ignore"))
-               for (d, _, gone, _, kept), old in zip(_cuts(rows, mail), chunk_rows(rows)[1]) if gone] if rows.num_rows else []
-        cols = list(zip(*out)) if out else [()] * 3
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.string())],
-                        ["_id", "_was", "_new"])
-
-    changed = _masks(docs, finish, "_id long, _was binary, _new string", id_col, text_col).distinct()
-    # the documents travel as one struct, so that no column of theirs can be taken for one of ours
-    row = docs.select(F.struct(*docs.columns).alias("doc"))
-    text = F.col("doc")[text_col]
-    # the id says which rows change; of rows that share an id, the old text tells them apart
-    old = F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
-    both = row.join(changed, F.col("doc")[id_col].cast("long").eqNullSafe(F.col("_id")) & (old == F.col("_was")), "left")
-    columns = {text_col: F.coalesce("_new", text).alias(text_col)}
+        ids, texts = rows.column("doc_id").to_pylist(), rows.column("body").to_pylist()
+        doc = rows.column("doc").take(pa.array(chunk_order(ids, texts), pa.int64())).combine_chunks()
+        del ids, texts
+        cut, new = [], []
+        for gone, kept in ((gone, kept) for _, _, gone, _, kept in (_cuts(rows, mail) if rows.num_rows else ())):
+            cut.append(gone > 0)
+            new.append(kept.decode("utf-8", "ignore").encode("utf-8") if gone else kept)
+        texts = pa.array([None if none else t for t, none in zip(new, doc.field("none").to_pylist())], pa.binary())
+        return pa.table([texts.view(pa.string()), pa.array(cut, pa.bool_()), doc.field("row")], ["text", "cut", "row"])
+
+    schema = StructType([StructField("text", StringType()), StructField("cut", BooleanType()), StructField("row", row)])
+    out = _masks(docs, finish, schema, id_col, text_col, others.alias("doc"))
+    columns = {text_col: F.col("text").alias(text_col)}
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        columns["n_chars"] = F.when(F.col("_new").isNull(), F.col("doc")["n_chars"]).otherwise(F.length("_new")).cast(kind).alias("n_chars")
-    return both.select([columns.get(c, F.col("doc")[c].alias(c)) for c in docs.columns])
+        columns["n_chars"] = F.when(F.col("cut"), F.length("text").cast(kind)).otherwise(F.col("row")["n_chars"]).alias("n_chars")
+    return out.select([columns.get(c, F.col("row")[c].alias(c)) for c in docs.columns])
