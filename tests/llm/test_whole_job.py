@@ -13,7 +13,7 @@ import corpus_pipeline as P
 from tokenmill.llm import setjoin, topk, urls
 from tokenmill.llm.common import bodies, chunked
 
-from .fixtures import frame, key, shingle_sets, texts
+from .fixtures import frame, jaccard_components, key, shingle_sets, texts
 
 
 def _kept(df):
@@ -155,6 +155,40 @@ def test_answers_derived_from_a_reference(spark, monkeypatch):
     assert learned.filter("far <= 614").groupBy("ref").count().agg(F.max("count")).first()[0] > 60  # several blocks
 
 
+def test_a_set_is_probed_once_in_each_list(spark, monkeypatch):
+    """Lists whose sets are not linked stay open for all rounds, but what a set has met it doesn't meet again."""
+    rng, rows = random.Random(8), []
+    for i in range(42):
+        rows.append((i, " ".join(rng.sample([f"w{j}" for j in range(44)], 30))))
+    rows += [(90 + i, rows[i][1] + " more") for i in range(3)]
+    met, probed = [], []
+    monkeypatch.setattr(setjoin, "LINEAR", 0)
+    untested, candidates = setjoin._untested, setjoin._candidates
+
+    def counted(pairs, tested):
+        met.append(pairs.count())
+        return untested(pairs, tested)
+
+    def noted(lists, by, *more):
+        probed.append(by)
+        return candidates(lists, by, *more)
+
+    monkeypatch.setattr(setjoin, "_untested", counted)
+    monkeypatch.setattr(setjoin, "_candidates", noted)
+    for most in (4096, 1):  # rounds until no list is open; a whole one after the first
+        monkeypatch.setattr(setjoin, "MOST_PROBES", most)
+        met.clear()
+        probed.clear()
+        docs = frame(spark, rows)
+        got = sorted(map(tuple, setjoin.jaccard_components(docs, 1, 70).drop("node").collect()), key=key)
+        assert got == sorted(jaccard_components(rows, 1, 70), key=key)
+        table = setjoin.sets_of(docs, 1, 70, "doc_id", "text").filter("prefix is not null").dropDuplicates(["sig"])
+        lists, entries, _ = setjoin._index(table, 70)
+        assert len(met) > 1 and sum(met) <= 2 * candidates(lists, None, 70, False).count()
+        each = collections.Counter((r["h"], r["node"]) for by in probed for r in by.select("h", "node").collect())
+        assert max(each.values()) == 1 and sum(each.values()) <= entries
+
+
 @pytest.mark.parametrize("n, per_cent, big, small", [(1, 10, 10_000, 1_000), (1, 50, 4096, 2048), (1, 100, 30, 30)])
 def test_links_at_the_exact_ratio_of_sizes(spark, n, per_cent, big, small):
     w = [f"w{i}" for i in range(big)]

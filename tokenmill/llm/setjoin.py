@@ -24,9 +24,11 @@ each document under the links and, in ``jaccard_join``, the number of its links.
    limit, the pair is out, as Jaccard distance is a metric. Only sets of different
    references are intersected as a whole, so no link is left out.
 5. ``jaccard_components`` needs no link inside a known component: it probes a few
-   sets of each list at a time (one, then sixteen times as many each round), and a
-   list is done once its sets are in one component. When the pairs left are few
-   for the size of the lists, one last round probes all of them.
+   sets of each list at a time (one, then sixteen times as many each round). A probed
+   set has met its whole list and leaves it, so it is probed there once in all rounds;
+   a list is done once the sets left are in one component. When the pairs left are few
+   for the size of the lists, one last round probes all sets beside the largest
+   component of their list.
 
 Edge cases: null or empty text has no n-grams, is linked with nothing and is
 its own component; fewer than n words give one n-gram, the whole sequence; a
@@ -48,9 +50,10 @@ from .components import contracted, stars
 
 #: Distinct n-grams in one part: bounds the memory of a counting task.
 PART_KEYS = 2_000_000
-#: For components alone, all pairs left are looked at once they are at most so many for each entry of
-#: the lists, or once so many sets of a list would be probed at a time. Components are the same either way.
-LINEAR, MOST_PROBES = 16, 4096
+#: For components alone, all pairs left (of a set beside its list's largest component and any other) are looked at
+#: once they are at most so many for each entry of the lists, or once so many sets of a list would be probed at a time.
+#: Components are the same either way.
+LINEAR, MOST_PROBES = 4, 4096
 #: Text in one chunk: bounds the memory of a task that makes the sets.
 SET_CHUNK_BYTES = 8 << 20
 #: Distances are kept in steps of 1 / STEPS, rounded both ways, so that comparing them is exact.
@@ -60,6 +63,8 @@ BLOCK_SETS, BLOCK_KEYS, SLAB = 256, 200_000, 4096
 #: A list's entry carries so many n-grams that come before in its prefix: two sets that share one
 #: of them meet in that list, so they needn't meet in this one.
 BACK = 4
+#: What a probe takes along from its list's entry.
+FIELDS = ["n", "node", "pos", "comp", "ref", "near", "far", "back"]
 ASK = "part int, chunk int, keys binary, counts binary"
 ANSWER = "chunk int, part int, data binary"
 SETS = "node long, doc_id long, n int, sig binary, prefix array<long>, shared array<long>"
@@ -293,7 +298,9 @@ def _compared(sets: DataFrame, per_cent: int, grouped: bool) -> tuple[DataFrame,
     lists, entries, shared = _index(sets, per_cent)
     if not entries:
         return None
-    tested = settled(_intersected(_untested(_candidates(lists, 1, per_cent, False), None), shared))
+    # for answers to be derived, the set with the fewest rare n-grams: it is the closest to the others
+    probed = _probes(lists, 1, "pos")
+    tested = settled(_intersected(_untested(_candidates(lists, probed, per_cent, False), None), shared))
     learned = _learned(tested, None, per_cent)
     diffs = _differences(learned, shared, per_cent)
     pairs = settled(_untested(_candidates(settled(_with(lists, learned)), None, per_cent, False, grouped), tested))
@@ -380,44 +387,47 @@ def component_links(sets: DataFrame, per_cent: int) -> DataFrame | None:
         return None
     tested, probes, whole = None, 1, False  # tested: a, b, same (overlap), sum (of the sizes)
     while True:
-        pairs = _untested(_candidates(lists, None if whole else probes, per_cent, True), tested)
+        # a pair of two components has one set at least beside the list's largest component
+        probed = lists.filter("comp <> main") if whole else settled(_probes(lists, probes))
+        pairs = _untested(_candidates(lists, probed, per_cent, True), tested)
         found = settled(_intersected(pairs, shared))
         tested = found if tested is None else tested.unionByName(found)
         linked = _linked(tested, per_cent)
         if whole:
             return linked
-        lists = _with(lists, _learned(tested, linked, per_cent))
-        open_ = settled(lists.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"))
-                        .filter("lo <> hi").select("h", "c"))
-        left = open_.agg(F.sum(F.col("c") * F.col("c"))).first()[0]
+        # a probed set has met all of its list: the pairs left are those of the others
+        lists = _with(lists.join(probed.select("h", "node"), ["h", "node"], "left_anti"), _learned(tested, linked, per_cent))
+        by_comp = lists.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"))
+        open_ = settled(by_comp.groupBy("h").agg(F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("c")).filter("c > most.c")
+                        .select("h", F.col("most.comp").alias("main"), (F.col("c") * (F.col("c") - F.col("most.c"))).alias("left")))
+        left = open_.agg(F.sum("left")).first()[0]
         if not left:
             return linked
-        lists = settled(lists.join(open_.select("h"), "h"))
+        lists = settled(lists.join(open_.select("h", "main"), "h"))
         probes *= 16
         whole = left <= LINEAR * entries or probes > MOST_PROBES
 
 
-def _candidates(lists: DataFrame, probes: int | None, per_cent: int, components_only: bool, grouped: bool = False) -> DataFrame:
-    """Pairs (a, b), perhaps repeated, of probed sets and those of their list that the block, the
+def _probes(lists: DataFrame, probes: int, *first: str) -> DataFrame:
+    """One set of each of ``probes`` salts of a list's block, by a hash of the set alone or the columns ``first`` and
+    then a hash, so that lists over the same sets probe the same and repeat the same pairs."""
+    salt = F.pmod(F.xxhash64("node", F.lit(probes)), F.lit(probes))
+    return (lists.groupBy("h", "block", salt.alias("salt"))
+            .agg(F.min(F.struct(*[F.col(c).alias("by_" + c) for c in first], F.xxhash64("node", F.lit(-probes)).alias("o"), *FIELDS)).alias("p"))
+            .select("h", "block", *[f"p.{f}" for f in FIELDS]))
+
+
+def _candidates(lists: DataFrame, probed: DataFrame | None, per_cent: int, components_only: bool, grouped: bool = False) -> DataFrame:
+    """Pairs (a, b), perhaps repeated, of probed sets (None: all) and those of their list that the block, the
     positions, the distances to a common set, the lists before and, with ``components_only``, the
-    components leave open; via is the reference of both, if both are close to it. Probed are one set
-    of each of ``probes`` salts of a list's block, by a hash of the set alone or the place of the n-gram
-    in it and then a hash, so that lists over the same sets probe the same and repeat the same pairs; None: all sets. With ``grouped``, pairs
+    components leave open; via is the reference of both, if both are close to it. With ``grouped``, pairs
     that have such a reference are left out too."""
-    fields = ["n", "node", "pos", "comp", "ref", "near", "far", "back"]
-    if probes is None:
+    every, near = probed is None, (-1, 0, 1)
+    if every:
         probed, near = lists, (0, 1)  # a pair is met from its lower block
-    else:
-        salt = F.pmod(F.xxhash64("node", F.lit(probes)), F.lit(probes))
-        # for answers to be derived, the set with the fewest rare n-grams: it is the closest to the others
-        order = [] if components_only else [F.col("pos").alias("rare")]
-        probed = (lists.groupBy("h", "block", salt.alias("salt"))
-                  .agg(F.min(F.struct(*order, F.xxhash64("node", F.lit(-probes)).alias("o"), *fields)).alias("p"))
-                  .select("h", "block", *[f"p.{f}" for f in fields]))
-        near = (-1, 0, 1)
-    probed = (probed.withColumn("step", F.explode(F.array(*map(F.lit, near))))
+    probed = (probed.select("h", "block", *FIELDS).withColumn("step", F.explode(F.array(*map(F.lit, near))))
               .withColumn("block", F.col("block") + F.col("step")))
-    other = lists.select("h", "block", *[F.col(c).alias(c + "2") for c in fields])
+    other = lists.select("h", "block", *[F.col(c).alias(c + "2") for c in FIELDS])
     most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
     limit, one = _limit(per_cent), F.col("ref") == F.col("ref2")
     apart = F.greatest(F.col("near") - F.col("far2"), F.col("near2") - F.col("far")) * 100 > STEPS * (100 - per_cent)
@@ -428,7 +438,7 @@ def _candidates(lists: DataFrame, probes: int | None, per_cent: int, components_
              .filter(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * per_cent)
              .filter(most * (100 + per_cent) >= (F.col("n") + F.col("n2")) * per_cent)
              .filter(~F.coalesce(known, F.lit(False))).filter(~F.arrays_overlap("back", "back2")))
-    if probes is None:
+    if every:
         pairs = pairs.filter("step = 1 or node < node2")
     via = F.when(close, F.col("ref"))
     return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), via.alias("via"))
