@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tokenmill.functions import tokens as T
 from tokenmill.operators import packing as K
+from tokenmill.plans import q_forms
 from tokenmill.plans.prepare import epoch_batches, prepare_corpus
 
 
@@ -48,3 +49,13 @@ def test_epoch_batches_cover_epoch(spark):
     assert sorted(set(seen)) == list(range(103)) and len(seen) == 104  # one padded repeat
     resumed = epoch_batches(df, "doc", 42, 0, 4, 1, 8, counter=16)
     assert resumed.agg(F.min("rank_pos")).first()[0] == 16
+
+
+def test_text8_crop_prepares_the_whole_text(spark, tmp_path):
+    texts = [f"{chr(97 + i % 26)}bc " * 2_500 for i in range(30)]  # 300,000 letters and spaces
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    raw = "".join(t.strip() + " " for t in texts)
+    whole = "".join(raw[i:i + 256] + "$" for i in range(0, len(raw) // 256 * 256, 256))  # a chunk and its end
+    rows = [list(map(int, r["input_ids"].split())) for r in q_forms.q_prepare_text8_crop(spark, str(tmp_path)).orderBy("block_id").collect()]
+    ids = {" ": 34, "$": 3} | {chr(97 + i): 8 + i for i in range(26)}
+    assert rows == [[2, *[ids[c] for c in whole[i:i + 126]], 3] for i in range(0, len(whole) // 126 * 126, 126)]

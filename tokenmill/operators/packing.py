@@ -45,7 +45,7 @@ def _wrapped(blocks: DataFrame, body: Column, group_cols: Sequence[str], block_s
 
 def pack_chars(df: DataFrame, text_col: str, order_cols: Sequence[str], block_size: int,
                bos: int, eos: int, insert_special: bool = True, insert_eos: bool = True,
-               group_cols: Sequence[str] = ()) -> DataFrame:
+               group_cols: Sequence[str] = (), in_order: bool = False) -> DataFrame:
     """K1/K2 for the character tokenizer, packed as text.
 
     Character tokens are the code points of the lower-cased text, so the
@@ -53,7 +53,8 @@ def pack_chars(df: DataFrame, text_col: str, order_cols: Sequence[str], block_si
     point): lengths come from ``char_length`` without tokenising, the one
     exchange carries about a byte per token instead of an int array, and
     each finished block is tokenised once. Same rows as ``pack_wrapped`` with
-    ``char_ids`` + EOS."""
+    ``char_ids`` + EOS. Rows that lie in order (``in_order``, see ``pack_ranges``)
+    are not exchanged at all."""
     group_cols, order_cols = list(group_cols), list(order_cols)
     chunk = block_size - 2 if insert_special else block_size
 
@@ -62,7 +63,7 @@ def pack_chars(df: DataFrame, text_col: str, order_cols: Sequence[str], block_si
         return F.concat(t, F.lit(T.EOS_CHAR)) if insert_eos else t
 
     rows = df.select(*dict.fromkeys([*group_cols, *order_cols]), F.col(text_col).alias("_t"))
-    blocks = pack_ranges(rows, group_cols, order_cols, chunk, text=True, prepare=prepare)
+    blocks = pack_ranges(rows, group_cols, order_cols, chunk, text=True, prepare=prepare, in_order=in_order)
     return _wrapped(blocks, T.char_ids_of_lowered(F.col("_body")), group_cols, block_size, bos, eos, insert_special)
 
 

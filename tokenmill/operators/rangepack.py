@@ -10,6 +10,9 @@
    block boundaries. Whole blocks leave as they are. Only the pieces of a
    block that straddles ranges are shuffled: one or two rows a task.
 
+Rows that lie in order already (``in_order``) are their own ranges: they are not exchanged, nothing is written, and
+steps 2 and 3 read them again.
+
 A task holds one Arrow batch and the rest of a block. Equal rows follow each
 other in any order, which changes nothing; other rows of one order key follow
 by the hash of their payload.
@@ -111,11 +114,13 @@ def _cutter(payload, chunk: int, tails: bool):
 
 
 def pack_ranges(rows: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], chunk: int, text: bool,
-                prepare: Callable[[Column], Column] | None = None, partitions: int | None = None) -> DataFrame:
+                prepare: Callable[[Column], Column] | None = None, partitions: int | None = None,
+                in_order: bool = False) -> DataFrame:
     """``rows``: group and order columns, ``_t`` (string or integer array; null is empty), made ready by ``prepare``
     once it is where it is cut. Returns the group columns, block_id and ``_body``, the whole blocks of ``chunk`` tokens
-    of each group's sequence."""
-    return _pack(rows, group_cols, order_cols, chunk, text, prepare, partitions, False)[0]
+    of each group's sequence. ``in_order``: the rows of each partition, and the partitions, are in (group, order
+    columns) order, and the same whenever they are read."""
+    return _pack(rows, group_cols, order_cols, chunk, text, prepare, partitions, False, in_order)[0]
 
 
 def pack_on(rows: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], chunk: int, text: bool,
@@ -128,7 +133,7 @@ def pack_on(rows: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str
     return _pack(rows, group_cols, order_cols, chunk, text, None, partitions, True)
 
 
-def _pack(rows, group_cols, order_cols, chunk, text, prepare, partitions, tails) -> tuple[DataFrame, DataFrame | None]:
+def _pack(rows, group_cols, order_cols, chunk, text, prepare, partitions, tails, in_order=False) -> tuple[DataFrame, DataFrame | None]:
     spark = rows.sparkSession
     payload = _Text() if text else _Ids()
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -138,17 +143,23 @@ def _pack(rows, group_cols, order_cols, chunk, text, prepare, partitions, tails)
                         F.xxhash64("_t").alias("_h"), F.xxhash64("_t", F.lit(1)).alias("_h2"), begin, "_t")
     keys = ["_g", *[f"_o{i}" for i in range(len(order_cols))], "_h", "_h2"]
     t = prepare(F.col("_t")) if prepare else F.col("_t")
-    ranged = (named.repartitionByRange(p, *keys).sortWithinPartitions(*keys)
-              .select("_g", "_begin", t.alias("_t"), F.spark_partition_id().alias("_pid")))
+    ranged = named if in_order else named.repartitionByRange(p, *keys).sortWithinPartitions(*keys)
+    ranged = ranged.select("_g", "_begin", t.alias("_t"), F.spark_partition_id().alias("_pid"))
     n = F.char_length("_t") if text else F.size("_t")
-    ranged = cut_lineage(ranged.withColumn("_n", F.greatest(n, F.lit(0)).cast("long") + F.col("_begin")))
+    ranged = ranged.withColumn("_n", F.greatest(n, F.lit(0)).cast("long") + F.col("_begin"))
+    if not in_order:
+        ranged = cut_lineage(ranged)
     totals = ranged.groupBy("_g", "_pid").agg(F.sum("_n").alias("_n"))
+    if in_order:
+        totals = cut_lineage(totals)  # a row for each range
     before = Window.partitionBy("_g").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     base = totals.select("_g", "_pid", F.sum("_n").over(before).alias("_base")).where("_base > 0")
     # one group at most goes on from range to range: a row for each range
     based = ranged.drop("_n").join(F.broadcast(base), ["_g", "_pid"], "left")
     schema = StructType([ranged.schema["_g"]]).add("block_id", "long").add("s", "long").add("t", payload.kind).add("whole", "boolean")
-    cut = cut_lineage(based.mapInArrow(_cutter(payload, chunk, tails), schema))  # pieces and whole blocks are read apart
+    cut = based.mapInArrow(_cutter(payload, chunk, tails), schema)
+    if not in_order:
+        cut = cut_lineage(cut)  # pieces and whole blocks are read apart
     parts = cut.where("not whole").groupBy("_g", "block_id").agg(F.array_sort(F.collect_list(F.struct("s", "t"))).alias("_p"))
     if text:
         joined, size = F.array_join(F.transform("_p", lambda x: x["t"]), ""), F.char_length("_body")

@@ -76,8 +76,9 @@ def prepare_corpus(spark: SparkSession, name: str, path: str, mode: str = "train
                            splits=splits)
         if wrap:
             if tokenizer == "char":
+                # the chunks of a raw text are read in the order of their numbers
                 return K.pack_chars(df, "text", order_cols, block_size, sp["bos"], sp["eos"], insert_special,
-                                    insert_eos)
+                                    insert_eos, in_order=spec.form == "offsets" and list(order_cols) == ["id"])
             ids = ids_of("text")
             if insert_eos:
                 ids = T.append_eos(ids, sp["eos"])

@@ -52,9 +52,12 @@ def q_corpus_text8_splits(spark, sf):
                            for s, _, _ in OFFSETS})
 
 
-def _packed_text8_sql(mode: str, chunk: int, block: int) -> str:
+#: The training text of ``prepare_text8_crop``: all of the raw text.
+WHOLE = ("train", 0, None)
+
+
+def _packed_text8_sql(offsets: tuple, chunk: int, block: int) -> str:
     body = block - 2
-    offsets = next(s for s in OFFSETS if s[0] == mode)
     return f"""with raw as ({RAW_SQL}), c as ({_split_sql(*offsets, chunk)}),
 d as (select id, list_append({char_ids_sql()}, {V.CHAR_EOS}) ids from c),
 u as (select id, unnest(ids) tok, generate_subscripts(ids, 1) p from d),
@@ -64,9 +67,9 @@ select block_id::BIGINT block_id, array_to_string(list_concat([{V.CHAR_BOS}], id
 from b where len(ids) = {body}"""
 
 
-@query("prepare_text8_crop", _packed_text8_sql("train", 4 * BLOCK, 2 * BLOCK))
+@query("prepare_text8_crop", _packed_text8_sql(WHOLE, 4 * BLOCK, 2 * BLOCK))
 def q_prepare_text8_crop(spark, sf):
-    out = prepare_corpus(spark, "text8-crop", _raw_text(spark, sf), mode="train", block_size=BLOCK, splits=OFFSETS)
+    out = prepare_corpus(spark, "text8-crop", _raw_text(spark, sf), mode="train", block_size=BLOCK, splits=[WHOLE])
     return out.select("block_id", T.ids_text("input_ids").alias("input_ids"))
 
 
