@@ -85,6 +85,24 @@ def test_colliding_nodes_change_nothing(spark, monkeypatch):
     assert found(frame(spark, [r for r in rows if r[0] not in range(100, 106)])) == variants([r for r in rows if r[0] not in range(100, 106)])
 
 
+def test_large_tries_are_not_broadcast(spark, monkeypatch):
+    """The file of 15,000 words is far below Spark's limit; their tries have ten times as many rows."""
+    rng = random.Random(4)
+    words = {"".join(rng.choice("abcdefgh") for _ in range(10)) for _ in range(15_000)}
+    words = settled(spark.createDataFrame(list(enumerate(sorted(words))), "wid long, word string"))
+    plans = []
+    monkeypatch.setattr(spelling, "settled", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settled(df))
+    spelling.neighbours(words)
+    tries = [p for p in plans if "MapInArrow" in p]
+    assert tries and not any("Broadcast" in p for p in tries)
+
+
+def test_variants_by_shuffled_joins(spark, monkeypatch):
+    rows = spelled()
+    monkeypatch.setattr(spelling, "BROADCAST_BYTES", 0)
+    assert found(frame(spark, rows).repartition(4)) == variants(rows)
+
+
 def test_tables_are_forgotten(spark):
     t = settled(spark.range(3))
     forget(t)

@@ -24,7 +24,8 @@ letter by letter at the end.
 Sizes: a word gives one row a letter to the tables, so long words cost their
 length; the number of levels is that of the branching nodes on a word's path.
 A node has no more edges than there are letters. All tables are joined and
-grouped by Spark; nothing is collected.
+grouped by Spark; nothing is collected. Spark takes the tries for as small as the
+words' file, so tables are broadcast only if their rows were counted to be few.
 
 Edge cases: null text has no words; a null id counts as the empty text before
 the colon; repeated rows count as often as they occur; ties between forms go to
@@ -48,6 +49,23 @@ from .tokens import groups_of_bytes
 LETTERS = "A-Za-zÀ-ÿ"
 #: A run whose hash this divides loses a letter.
 DELETE_EVERY = 199
+#: Bytes of rows in memory up to which Spark may broadcast a table, by way of the driver.
+BROADCAST_BYTES = 8 << 20
+
+
+def _held(df: DataFrame, text_col: str) -> int:
+    """About the bytes that the rows take in memory, by counting: files are packed, and say nothing of rows to come."""
+    return df.agg(F.sum(F.char_length(text_col) * 2 + 96)).first()[0] or 0
+
+
+def _large(words: DataFrame) -> bool:
+    """Whether the words, or their tries of about a row a letter, are too large to be broadcast."""
+    return (words.agg(F.sum(F.char_length("word") * 64 + 256)).first()[0] or 0) > BROADCAST_BYTES
+
+
+def _shuffled(df: DataFrame, large: bool) -> DataFrame:
+    """A side of a join; if ``large``, neither side is broadcast, whatever Spark takes their sizes for."""
+    return df.hint("merge") if large else df
 
 
 def counted_words(docs: DataFrame, min_length: int = 6, min_count: int = 5, id_col: str = "doc_id",
@@ -97,8 +115,8 @@ def _paths(batches):
                     ["wid", "back", "at", "node", "next", "stop"])
 
 
-def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, starts) of the two tries.
+def trie(words: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """(edges, starts) of the two tries. ``large``: see ``_large``.
 
     edges: node, label, child, opens (a bit for each first letter of the child's own edges), ends (the words
     that end at the child: none or one, but where hashes collide). starts: the states of all words at their halves."""
@@ -106,9 +124,9 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = (paths.groupBy("node").agg(
         F.min("next").alias("a"), F.max("next").alias("b"), F.max("stop").alias("s"),
         F.bit_or(F.expr("if(next < 0, 0L, shiftleft(1L, next & 63))")).alias("opens")).where("s or a <> b").select("node", "opens"))
-    stops = (paths.join(nodes, "node").groupBy("wid", "back")
+    stops = (paths.join(_shuffled(nodes, large), "node").groupBy("wid", "back")
              .agg(F.sort_array(F.collect_list(F.struct("at", "node", "opens"))).alias("stops")))  # at most one a letter
-    walks = settled(stops.join(words.select("wid", "word"), "wid")
+    walks = settled(stops.join(_shuffled(words.select("wid", "word"), large), "wid")
                     .select("wid", F.when(F.col("back"), F.reverse("word")).otherwise(F.col("word")).alias("spelled"), "back", "stops"))
     steps = walks.select("wid", "spelled", F.posexplode(
         F.arrays_zip(F.expr("slice(stops, 1, size(stops) - 1)").alias("a"), F.expr("slice(stops, 2, size(stops) - 1)").alias("b"))))
@@ -142,12 +160,13 @@ _ENDS = "(size(ends) > 0 and char_length(rest) + edits = 1)"
 def neighbours(words: DataFrame) -> DataFrame:
     """word, near: all ordered pairs of words that are exactly one edit apart. ``words``: wid (unique), word,
     of three letters or more."""
-    edges, starts = trie(words)
+    large = _large(words)
+    edges, starts = trie(words, large)
     frontier, levels = starts, []
-    while frontier.limit(1).count():
+    while held := _held(frontier, "rest"):
         f = frontier.select("wid", "rest", F.expr("substring(rest, 2)").alias("rest2"), "node", "edits").alias("f")
         on = F.expr("f.node = e.node and (edits = 0 or startswith(rest, label))")  # with its edit, only the edge that spells on
-        met = f.join(edges.alias("e"), on).withColumn("other", F.expr("edits = 0 and substring(rest, 1, 1) <> substring(label, 1, 1)"))
+        met = f.join(_shuffled(edges.alias("e"), held > BROADCAST_BYTES), on).withColumn("other", F.expr("edits = 0 and substring(rest, 1, 1) <> substring(label, 1, 1)"))
         moved = met.withColumn("to", F.explode(F.expr(_STEP))).select(
             "wid", F.expr("substring(rest, to.by + 1)").alias("rest"), F.col("child").alias("node"),
             F.col("to.edits").alias("edits"), "ends", "opens")
@@ -157,7 +176,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     pairs = words.select("wid", F.col("wid").alias("near")).where(F.lit(False))
     for level in levels:
         pairs = pairs.union(level.where(_ENDS).select("wid", F.explode("ends").alias("near")))
-    names = words.select("wid", "word")
+    names = _shuffled(words.select("wid", "word"), large)
     named = (pairs.distinct().join(names, "wid").join(names.select(F.col("wid").alias("near"), F.col("word").alias("_near")), "near")
              .select("word", F.col("_near").alias("near")))
     named = settled(named.where(F.expr("levenshtein(word, near, 1) = 1")))
@@ -168,8 +187,9 @@ def neighbours(words: DataFrame) -> DataFrame:
 def roots(forms: DataFrame) -> DataFrame:
     """word, root: the end of each word's chain of forms, by pointer jumping. ``forms``: word, form (not null)."""
     at = settled(forms.select("word", F.col("form").alias("root")))
+    large = _held(at, "word") > BROADCAST_BYTES
     while True:
-        further = at.select(F.col("word").alias("root"), F.col("root").alias("_next"))
+        further = _shuffled(at.select(F.col("word").alias("root"), F.col("root").alias("_next")), large)
         step = settled(at.join(further, "root", "left").select(
             "word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved")))
         forget(at)
@@ -184,8 +204,10 @@ def variants(docs: DataFrame, min_length: int = 6, min_count: int = 5, ratio: in
     if it has ``ratio`` times the word's or more."""
     words = settled(counted_words(docs, min_length, min_count, id_col, text_col)
                     .withColumn("wid", F.monotonically_increasing_id()))
+    large = _large(words)
     near = neighbours(words)
-    best = (near.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near").groupBy("word")
+    counts = _shuffled(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), large)
+    best = (near.join(counts, "near").groupBy("word")
             .agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), "near")).alias("best")))
     out = words.join(best, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
@@ -193,5 +215,5 @@ def variants(docs: DataFrame, min_length: int = 6, min_count: int = 5, ratio: in
         F.expr(f"if(-best.minus >= {ratio} * n, -best.minus, null)").alias("form_n"))
     out = settled(out)
     ends = roots(out.where("form is not null").select("word", "form"))
-    return out.join(ends, "word", "left").select(
+    return out.join(_shuffled(ends, large), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
