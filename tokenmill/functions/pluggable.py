@@ -141,17 +141,28 @@ def user_metric(col: Column, fn: Callable[[pd.Series], float]) -> Column:
 PIECE_IDS = 1 << 20
 
 
-def _pieces(seqs: pd.Series, size: int) -> Iterator[list]:
+def _pieces(seqs: pd.Series, size: int, ids: Callable = len) -> Iterator[list]:
     """The sequences in runs of about ``size`` ids. An Arrow batch may hold tens of megabytes of ids, and scores take
     twice that, so they are made and sent run by run."""
-    ends = np.cumsum([0 if x is None else len(x) for x in seqs])
+    ends = np.cumsum([0 if x is None else ids(x) for x in seqs])
     for part in np.split(np.arange(len(seqs)), np.flatnonzero(np.diff(ends // size)) + 1):
         yield seqs.iloc[part].tolist()
 
 
-def model_log_probs(ids: Column, factory: Callable[[], Callable[[list], list[list[float]]]]) -> Column:
+def model_log_probs(ids: Column, factory: Callable[[], Callable[[list], list[list[float]]]], in_ranges: bool = False) -> Column:
     """U4: per-token log-probs of a user model for each id sequence (the model gets and may return numpy arrays).
-    The model is called for about ``PIECE_IDS`` ids at a time, so a worker never holds the scores of a whole batch."""
+    The model is called for about ``PIECE_IDS`` ids at a time, so a worker never holds the scores of a whole batch.
+    ``in_ranges``: a row has an array of sequences and gets one of their scores."""
+    if in_ranges:
+        @F.pandas_udf(ArrayType(ArrayType(DoubleType())))
+        def run_ranges(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = factory()
+            for s in batches:
+                for piece in _pieces(s, PIECE_IDS, lambda row: sum(map(len, row))):
+                    scores = iter(model([x for row in piece for x in row]))
+                    yield pd.Series([[next(scores) for _ in row] for row in piece], dtype=object)
+
+        return run_ranges(ids)
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -33,19 +33,28 @@ def sliding_windows(seqs: DataFrame, len_col: str, ctx: int, stride: int, keep:
     return _bounds(seqs.select(*keep, L.alias("seq_len"), F.explode(_window_numbers(L, ctx, stride)).alias("window_id")), ctx, stride)
 
 
+def _last_window(length: Column, ctx: int, stride: int) -> Column:
+    return F.greatest(F.ceil((length - ctx + stride) / F.lit(float(stride))), F.lit(1)).cast("int") - 1
+
+
 def _window_numbers(length: Column, ctx: int, stride: int) -> Column:
-    n = F.greatest(F.ceil((length - ctx + stride) / F.lit(float(stride))), F.lit(1)).cast("int")
-    return F.sequence(F.lit(0), n - 1)
+    return F.sequence(F.lit(0), _last_window(length, ctx, stride))
 
 
-def _bounds(out: DataFrame, ctx: int, stride: int) -> DataFrame:
-    i = F.col("window_id").cast("long")
+#: Columns of a window beside its key and its ids.
+_WINDOW = ("seq_len", "window_id", "win_start", "win_end", "score_from", "score_to", "n_scored")
+
+
+def _limits(i: Column, length: Column, ctx: int, stride: int) -> list[Column]:
     start = F.when(i == 0, F.lit(0)).otherwise(i * stride)
-    end = F.least(start + ctx, F.col("seq_len"))
+    end = F.least(start + ctx, length)
     lo = F.when(i == 0, F.lit(1)).otherwise(i * stride + ctx - stride)
-    return (out.withColumn("win_start", start.cast("long")).withColumn("win_end", end.cast("long"))
-            .withColumn("score_from", lo.cast("long")).withColumn("score_to", end.cast("long"))
-            .withColumn("n_scored", F.greatest(F.col("score_to") - F.col("score_from"), F.lit(0)).cast("long")))
+    return [start.cast("long").alias("win_start"), end.cast("long").alias("win_end"), lo.cast("long").alias("score_from"),
+            end.cast("long").alias("score_to"), F.greatest(end.cast("long") - lo.cast("long"), F.lit(0)).cast("long").alias("n_scored")]
+
+
+def _bounds(out: DataFrame, ctx: int, stride: int) -> DataFrame:
+    return out.select("*", *_limits(F.col("window_id").cast("long"), F.col("seq_len"), ctx, stride))
 
 
 def scoring_window(pos, ctx: int, stride: int) -> Column:
@@ -55,29 +64,61 @@ def scoring_window(pos, ctx: int, stride: int) -> Column:
         F.floor((p - ctx) / stride) + 1).cast("long")
 
 
-def window_ids(seqs: DataFrame, ids_col: str, ctx: int, stride: int, keep: Sequence[str] = (), out_col: str = "win_ids") -> DataFrame:
+def window_ids(seqs: DataFrame, ids_col: str, ctx: int, stride: int, keep: Sequence[str] = (), out_col: str = "win_ids",
+               windows_per_range: int | None = None) -> DataFrame:
     """W1 for a model: the scoring windows of each sequence with the ids that they cover. Empty sequences have
     one window without positions; a null sequence has none. The windows are cut before they become rows, so that no
-    row carries its whole sequence."""
-    L = F.size(ids_col).cast("long")
-    cut = F.transform(_window_numbers(L, ctx, stride), lambda i: F.struct(
-        L.alias("seq_len"), i.alias("window_id"), F.slice(ids_col, i * stride + 1, ctx).alias(out_col)))
-    w = seqs.select(*keep, F.inline(F.when(F.col(ids_col).isNotNull(), cut)))
-    return _bounds(w, ctx, stride).select(*keep, "seq_len", "window_id", "win_start", "win_end", "score_from", "score_to",
-                                          "n_scored", out_col)
+    row carries its whole sequence.
 
-
-def stitch_windows(windows: DataFrame, cols: Sequence[str], keep: Sequence[str], windows_per_range: int = 64) -> DataFrame:
+    With ``windows_per_range``, a row has that many windows, of all sequences with the same ``keep``: ``range_id`` and,
+    as arrays with an entry a window, the other columns, for ``stitch_windows(..., in_ranges=True)``. The ids are
+    shuffled before the windows overlap and have scores."""
+    L = F.size(ids_col).cast("long")
+    if windows_per_range is None:
+        cut = F.transform(_window_numbers(L, ctx, stride), lambda i: F.struct(
+            L.alias("seq_len"), i.alias("window_id"), F.slice(ids_col, i * stride + 1, ctx).alias(out_col)))
+        w = seqs.select(*keep, F.inline(F.when(F.col(ids_col).isNotNull(), cut)))
+    else:
+        k = windows_per_range
+        cut = F.transform(F.sequence(F.lit(0), F.floor(_last_window(L, ctx, stride) / k).cast("int")), lambda r: F.struct(
+            L.alias("seq_len"), r.alias("_range"), F.slice(ids_col, r * (k * stride) + 1, (k - 1) * stride + ctx).alias("_ids")))
+        pieces = (seqs.select(*keep, F.inline(F.when(F.col(ids_col).isNotNull(), cut))).groupBy(*keep, "_range")
+                  .agg(F.collect_list(F.struct("seq_len", "_ids")).alias("_pieces")))
+        first = F.col("_range") * k
+
+        def windows(piece: Column) -> Column:
+            last = F.least(first + (k - 1), _last_window(piece["seq_len"], ctx, stride))
+            return F.transform(F.sequence(first, last), lambda i: F.struct(
+                piece["seq_len"].alias("seq_len"), i.alias("window_id"), *_limits(i.cast("long"), piece["seq_len"], ctx, stride),
+                F.slice(piece["_ids"], (i - first) * stride + 1, ctx).alias(out_col)))
+
+        w = pieces.select(*keep, F.col("_range").cast("long").alias("range_id"), F.flatten(F.transform("_pieces", windows)).alias("_w"))
+        return w.select(*keep, "range_id", *[F.col("_w")[c].alias(c) for c in (*_WINDOW, out_col)])
+    return _bounds(w, ctx, stride).select(*keep, *_WINDOW, out_col)
+
+
+def stitch_windows(windows: DataFrame, cols: Sequence[str], keep: Sequence[str], windows_per_range: int = 64,
+                   in_ranges: bool = False) -> DataFrame:
     """W1 stitched: per-position arrays of overlapping windows (``cols``: as long as the window) put together so that
     each position 1..L-1 comes from the one window that owns it.
 
     One row per (``keep``, ``range_id``) with the arrays of ``windows_per_range`` windows and the position of their first
-    element, so a sequence of any length never is one row; a range is one shuffle group of bounded size."""
-    own = lambda c: F.slice(c, (F.col("score_from") - F.col("win_start") + 1).cast("int"), F.col("n_scored").cast("int"))
-    part = F.struct("score_from", *[own(c).alias(c) for c in cols])
-    g = (windows.where("n_scored > 0").groupBy(*keep, F.floor(F.col("window_id") / windows_per_range).cast("long").alias("range_id"))
-         .agg(F.min("score_from").alias("pos_from"), F.array_sort(F.collect_list(part)).alias("_p")))
-    return g.select(*keep, "range_id", "pos_from", *[F.flatten(F.col("_p")[c]).alias(c) for c in cols])
+    element, so a sequence of any length never is one row; a range is one shuffle group of bounded size. ``in_ranges``:
+    the windows are the rows of ``window_ids`` with the same ``windows_per_range`` (``cols`` have an array a window), and
+    nothing is shuffled."""
+    def part(w, c) -> Column:
+        at = w["score_from"] - w["win_start"] + 1
+        return F.slice(w[c], at.cast("int"), w["n_scored"].cast("int")).alias(c)
+
+    if in_ranges:
+        own = F.filter(F.arrays_zip("score_from", "win_start", "n_scored", *cols), lambda w: w["n_scored"] > 0)
+        parts = F.transform(own, lambda w: F.struct(w["score_from"].alias("score_from"), *[part(w, c) for c in cols]))
+        g = windows.where(F.exists("n_scored", lambda n: n > 0)).select(*keep, "range_id", F.array_sort(parts).alias("_p"))
+    else:
+        row = {c: F.col(c) for c in ("score_from", "win_start", "n_scored", *cols)}
+        g = (windows.where("n_scored > 0").groupBy(*keep, F.floor(F.col("window_id") / windows_per_range).cast("long").alias("range_id"))
+             .agg(F.array_sort(F.collect_list(F.struct("score_from", *[part(row, c) for c in cols]))).alias("_p")))
+    return g.select(*keep, "range_id", F.col("_p")[0]["score_from"].alias("pos_from"), *[F.flatten(F.col("_p")[c]).alias(c) for c in cols])
 
 
 # --------------------------------------------------------------------- W3 --

@@ -44,10 +44,11 @@ st as (select doc_id, window_id // {RANGE} range_id, p, tok, -lp nll from x wher
 
 def _stitched(spark, sf):
     from ..functions.pluggable import adaptive_unigram_factory, model_log_probs
-    d = table(spark, sf, "documents").select("doc_id", T.char_ids("text").alias("ids"))
-    w = E.window_ids(d, "ids", CTX, STRIDE, ["doc_id"])
-    w = w.withColumn("log_p", model_log_probs(F.col("win_ids"), adaptive_unigram_factory(VOCAB)))
-    return E.stitch_windows(w, ["win_ids", "log_p"], ["doc_id"], RANGE)
+    # a character's id is a byte where it is shuffled
+    d = table(spark, sf, "documents").select("doc_id", T.char_ids("text").cast("array<tinyint>").alias("ids"))
+    w = E.window_ids(d, "ids", CTX, STRIDE, ["doc_id"], windows_per_range=RANGE)
+    w = w.withColumn("log_p", model_log_probs(F.col("win_ids"), adaptive_unigram_factory(VOCAB), in_ranges=True))
+    return E.stitch_windows(w, ["win_ids", "log_p"], ["doc_id"], RANGE, in_ranges=True)
 
 
 @query("sliding_window_stitch", STITCH_SQL + f"""
