@@ -75,7 +75,7 @@ def test_ranges_dealt_before_they_are_scored(spark, ctx, stride, per_range):
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
-@pytest.mark.parametrize("query", [q_eval.q_sliding_window_stitch])
+@pytest.mark.parametrize("query", [q_eval.q_sliding_window_stitch, q_eval.q_windowed_generative_ppl])
 def test_scores_are_not_shuffled(spark, tmp_path, query):
     spark.createDataFrame([(i, "a text " * 400) for i in range(20)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     plan = query(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().splitlines()
